@@ -153,3 +153,49 @@ def crc_mod3(col) -> "F.Column":
 
 def crc32(b: bytes) -> int:
     return zlib.crc32(b) & 0xFFFFFFFF
+
+
+# -- Arrow kernels --------------------------------------------------------------------------------
+
+
+def with_columns(df: DataFrame, inputs: list[str], extra: str, fn, replaces: str | None = None) -> DataFrame:
+    """df with further columns that fn(*lists of the inputs) gives as lists; all others pass through untouched.
+
+    Columns of df named like a further one give way. With replaces, fn's last list takes that column's place.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType, _parse_datatype_string
+
+    new: StructType = _parse_datatype_string(extra)
+    taken = {f.name.lower() for f in new}
+    back = {f"_in{i}": c for i, c in enumerate(inputs)}
+    kept = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken], *[F.col(f"`{c}`").alias(a) for a, c in back.items()])
+    names = [c for c in kept.columns if c not in back]
+    schema = StructType([kept.schema[c] for c in names] + list(new.fields))
+    types = [f.type for f in to_arrow_schema(new)]
+
+    def each(batches):
+        for b in batches:
+            made = fn(*[b.column(a).to_pylist() for a in back])
+            cols = [b.column(c) for c in names]
+            if replaces:
+                cols[names.index(replaces)] = pa.array(made[-1], cols[names.index(replaces)].type)
+            yield pa.RecordBatch.from_arrays(cols + [pa.array(v, t) for v, t in zip(made, types, strict=False)], [*names, *[f.name for f in new]])
+
+    return kept.mapInArrow(each, schema)
+
+
+def emit(df: DataFrame, schema: str, fn) -> DataFrame:
+    """df.mapInArrow(fn), where fn(batches, out) yields out(list of columns) of the schema."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    kind = _parse_datatype_string(schema)
+    arrow = to_arrow_schema(kind)
+
+    def each(batches):
+        yield from fn(batches, lambda cols: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], [f.name for f in arrow]))
+
+    return df.mapInArrow(each, kind)

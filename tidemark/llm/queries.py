@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from .quality import ORACLE_SQL as QUALITY_SQL
-from .quality import op4_quality_rules
+from . import media, mixing, pieces, quality, secrets
 
 QUERIES = {
-    "op4_quality_rules": op4_quality_rules,
+    "op1_media_columns": media.op1_media_columns,
+    "op2_secret_scans": secrets.op2_secret_scans,
+    "op3_sentencepiece": pieces.op3_sentencepiece,
+    "op4_quality_rules": quality.op4_quality_rules,
+    "op8_mix_sources": mixing.op8_mix_sources,
 }
 
 ORACLES = {
-    "op4_quality_rules": QUALITY_SQL,
+    "op4_quality_rules": quality.ORACLE_SQL,
+    "op8_mix_sources": mixing.ORACLE_SQL,
 }
