@@ -49,7 +49,7 @@ def staged(spark: SparkSession, df: DataFrame, folder: str, name: str) -> DataFr
 
 def input_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of df's size, from file sizes: no job runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()))
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def arrow_rows(spark: SparkSession, n: int = 500) -> None:
