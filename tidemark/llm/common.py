@@ -199,3 +199,59 @@ def emit(df: DataFrame, schema: str, fn) -> DataFrame:
         yield from fn(batches, lambda cols: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], [f.name for f in arrow]))
 
     return df.mapInArrow(each, kind)
+
+
+def lists(column) -> list[np.ndarray]:
+    """The lists of an Arrow list column as numpy arrays, without copies."""
+    values, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def runs(batches, key: str, names: list[str]):
+    """(key, list of rows) for each run of equal keys of batches that are sorted by key; list columns become arrays."""
+    import pyarrow as pa
+
+    now, rows = None, []
+    for b in batches:
+        cols = [lists(b.column(n)) if pa.types.is_list(b.column(n).type) else b.column(n).to_pylist() for n in names]
+        for k, *row in zip(b.column(key).to_pylist(), *cols, strict=True):
+            if k != now and rows:
+                yield now, rows
+                rows = []
+            now = k
+            rows.append(row)
+    if rows:
+        yield now, rows
+
+
+def bucket_count(spark: SparkSession, df: DataFrame, size: int) -> int:
+    """Buckets in proportion to df's size on disk, and at least as many as shuffles have partitions."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(df) // size)
+
+
+def deal_buckets(df: DataFrame, n: int) -> DataFrame:
+    """df with each bucket (0 to n - 1) in a partition of its own."""
+    return df.repartitionById(n, F.col("bucket").cast("int")).sortWithinPartitions("bucket")
+
+
+def components(spark: SparkSession, edges: DataFrame, folder: str, name: str) -> DataFrame:
+    """node, comp: the smallest node that edges (a, b) connect it with. Minimum labels with pointer jumping, in tables.
+
+    A round takes each node's smallest label among its neighbours, then the label of that label. Minima are combined
+    before the shuffle, so that a node with very many edges costs a task no more than others.
+    """
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct()
+    both = staged(spark, both, folder, f"{name}-edges")
+    at = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp"))
+    at = staged(spark, at, folder, f"{name}-0")
+    for i in range(1, 200):
+        near = both.join(at, both.b == at.node).groupBy("a").agg(F.min("comp").alias("m"))
+        new = at.join(near, at.node == near.a).select("node", F.col("comp").alias("old"), F.least("comp", "m").alias("comp"))
+        new = staged(spark, new, folder, f"{name}-{i}a")
+        up = new.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
+        new = new.join(up, "comp").select("node", "old", F.least("comp", "up").alias("comp"))
+        new = staged(spark, new, folder, f"{name}-{i}b")
+        at = new.select("node", "comp")
+        if new.where("old != comp").isEmpty():
+            return at
+    raise RuntimeError("labels did not settle")

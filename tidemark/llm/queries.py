@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import media, mixing, pieces, quality, secrets
+from . import media, mixing, ngramjoin, pieces, quality, secrets, toxicity
 
 QUERIES = {
     "op1_media_columns": media.op1_media_columns,
     "op2_secret_scans": secrets.op2_secret_scans,
     "op3_sentencepiece": pieces.op3_sentencepiece,
     "op4_quality_rules": quality.op4_quality_rules,
+    "op6_ngram_jaccard_join": ngramjoin.op6_ngram_jaccard_join,
     "op8_mix_sources": mixing.op8_mix_sources,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLES = {
