@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import media, mixing, ngramjoin, pieces, quality, secrets, toxicity
+from . import media, mixing, ngramjoin, pieces, quality, secrets, toxicity, warc
 
 QUERIES = {
     "op1_media_columns": media.op1_media_columns,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_sentencepiece": pieces.op3_sentencepiece,
     "op4_quality_rules": quality.op4_quality_rules,
     "op6_ngram_jaccard_join": ngramjoin.op6_ngram_jaccard_join,
+    "op7_warc": warc.op7_warc,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op10_toxicity": toxicity.op10_toxicity,
 }
