@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import media, mixing, ngramjoin, pieces, quality, secrets, toxicity, warc
+from . import media, mixing, ngramjoin, pieces, quality, repeats, secrets, toxicity, warc
 
 QUERIES = {
     "op1_media_columns": media.op1_media_columns,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_ngram_jaccard_join": ngramjoin.op6_ngram_jaccard_join,
     "op7_warc": warc.op7_warc,
     "op8_mix_sources": mixing.op8_mix_sources,
+    "op9_suffix_array_dedup": repeats.op9_suffix_array_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 

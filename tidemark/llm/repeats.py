@@ -1,0 +1,392 @@
+"""Suffix-array dedup: maximal repeats of at least MIN bytes, by the interval tree of an enhanced suffix array.
+
+1. Anchors. Of the GRAM-byte strings of each MIN-byte window, the one of the smallest hash (the leftmost of equals) is
+   the window's anchor. Equal windows have equal anchors at equal places, and a long text has an anchor every few
+   hundred bytes. An anchor that neither another text nor another place has means that its windows occur once.
+2. Segments. For each other anchor, the windows that it stands for, as one string. A segment that occurs twice is
+   repeated as a whole, and only distinct segments are compared further, by anchor.
+3. Suffix arrays. A task concatenates the segments of whole anchors, sorts the suffixes by doubling ranks, takes common
+   prefixes from the ranks, and scans the LCP intervals of at least MIN with a stack. An interval whose occurrences
+   differ in the byte before them is a maximal repeat; its occurrences are covered over its length. (An interval with one
+   byte before all is part of a longer repeat that is found there.) An anchor of more than LARGE distinct segments isn't
+   given to one task: its windows are counted one by one, by hash, which deals them evenly. Both are exact.
+4. Coverage goes back to the texts by their hash; overlapping parts are merged and removed.
+
+Texts are judged as given. Equal texts are one text of many occurrences from the start. Windows of large anchors and
+whole texts are told apart by 64-bit hashes, segments by content. Defined results: a null text is empty; texts shorter
+than MIN keep all; texts of any length are whole; repeated rows of 400 bytes or more remove all; a null doc_id is a
+document like others; an empty table gives an empty one; further columns are ignored.
+"""
+
+from __future__ import annotations
+
+import hashlib
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import M1, M2, arrow_rows, bucket_count, emit, lists, mix, runs, shared_dir, staged, table
+
+MIN, GRAM = 400, 64
+LARGE = 200  # distinct segments of an anchor that one task compares
+BATCH = 1 << 20  # bytes of segments in one suffix array
+_BYTE = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * M2)
+_STEP = [mix(np.array([i + 77], np.uint64)) | np.uint64(1) for i in range(8)]
+
+
+def gram_hashes(x: np.ndarray) -> np.ndarray:
+    """Hashes of all GRAM-byte strings, by doubling."""
+    h, k, i = _BYTE[x], 1, 0
+    while k < GRAM:
+        h = h[:-k] * _STEP[i] + h[k:]
+        k, i = 2 * k, i + 1
+        if k == 8:
+            h = mix(h)
+    return mix(h)
+
+
+def anchors(x: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place, first window, last window, hash) of the anchors of texts that x concatenates and that end at ends."""
+    none = np.zeros(0, np.int64)
+    if len(x) < MIN:
+        return none, none, none, np.zeros(0, np.uint64)
+    h = gram_hashes(x)
+    w = MIN - GRAM + 1
+    place = np.uint64((1 << 28) - 1)
+    key = (h & ~place) | np.arange(len(h), dtype=np.uint64)
+    pad = -len(key) % w
+    blocks = np.concatenate([key, np.full(pad, np.uint64(0xFFFFFFFFFFFFFFFF))]).reshape(-1, w)
+    ahead = np.minimum.accumulate(blocks, axis=1).reshape(-1)
+    back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].reshape(-1)
+    n = len(x) - MIN + 1
+    at = (np.minimum(back[:n], ahead[w - 1 : w - 1 + n]) & place).astype(np.int64)
+    starts = np.concatenate([[0], ends[:-1]])
+    ok = np.zeros(n + 1, np.int64)  # windows within one text
+    long = ends - starts >= MIN
+    np.add.at(ok, starts[long], 1)
+    np.add.at(ok, ends[long] - MIN + 1, -1)
+    valid = np.cumsum(ok)[:n] > 0
+    i = np.flatnonzero(valid)
+    if not len(i):
+        return none, none, none, np.zeros(0, np.uint64)
+    new = np.concatenate([[True], (at[i][1:] != at[i][:-1]) | (np.diff(i) > 1)])
+    first = i[new]
+    last = np.append(i[np.flatnonzero(new)[1:] - 1], i[-1])
+    p = at[first]
+    return p, first, last, h[p]
+
+
+def enhanced(x: np.ndarray, start: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix array of the suffixes at start, and common prefixes with the one before, up to 512. part: bounds suffixes end at."""
+    n = len(x)
+    stop = part[np.searchsorted(part, np.arange(n), side="right")]
+    # Beyond a part's end, a symbol of its own stands for each place: suffixes of different parts differ there.
+    words = np.zeros(n, np.uint64)
+    padded = np.concatenate([x.astype(np.uint64) + np.uint64(1), np.zeros(8, np.uint64)])
+    near = stop - np.arange(n)
+    for j in range(7):  # 7 symbols of 9 bits
+        s = padded[j : j + n].copy()
+        s[near <= j] = 0
+        words = (words << np.uint64(9)) | s
+    rank = np.unique(words, return_inverse=True)[1].astype(np.int64)
+    levels, k = [(7, rank)], 7
+    while k < MIN:
+        nxt = np.full(n, -1, np.int64)
+        ok = near > k
+        nxt[ok] = rank[np.flatnonzero(ok) + k]
+        if 2 * k >= MIN:  # only the suffixes asked for need the last order
+            both = (rank[start] << 32) + nxt[start] + 1
+            order = np.argsort(both, kind="stable")
+            break
+        both = (rank << 32) + nxt + 1
+        rank = np.unique(both, return_inverse=True)[1].astype(np.int64)
+        k *= 2
+        levels.append((k, rank))
+    sa = start[order]
+    a, b = sa[:-1].copy(), sa[1:].copy()
+    lcp = np.zeros(len(a), np.int64)
+    for k, rank in [(levels[-1][0], levels[-1][1]), *levels[::-1]]:
+        ia, ib = np.minimum(a + lcp, n - 1), np.minimum(b + lcp, n - 1)
+        room = (near[a] - lcp >= k) & (near[b] - lcp >= k)
+        same = room & (rank[ia] == rank[ib])
+        lcp[same] += k
+    for _ in range(7):
+        ia, ib = np.minimum(a + lcp, n - 1), np.minimum(b + lcp, n - 1)
+        same = (near[a] > lcp) & (near[b] > lcp) & (x[ia] == x[ib])
+        lcp[same] += 1
+    return sa, lcp
+
+
+def intervals(sa: np.ndarray, lcp: np.ndarray, before: np.ndarray, least: int):
+    """Maximal repeats: (length, first and last place in sa, places in sa that no inner interval has).
+
+    before: for each suffix of sa what stands before it; negative values differ from all others.
+    """
+    hot = np.flatnonzero(lcp >= least)
+    if not len(hot):
+        return
+    cut = np.flatnonzero(np.diff(hot) > 1)
+    for lo, hi in zip(np.concatenate([[0], cut + 1]), np.concatenate([cut, [len(hot) - 1]]), strict=True):
+        first, last = int(hot[lo]), int(hot[hi]) + 1
+        heights, left = lcp[first:last].tolist(), before[first : last + 1].tolist()
+        stack: list[list] = []  # length, first place, what stands before all or None, own places
+        pending = [(first, left[0])]
+        for j, h in enumerate([*heights, 0]):
+            lb, child = None, None
+            while stack and stack[-1][0] > h:
+                top = stack.pop()
+                if pending:
+                    _join(top, pending)
+                    pending = []
+                if top[2] is None:
+                    yield top[0], top[1], first + j, top[3]
+                lb, child = top[1], top
+                if stack and stack[-1][0] >= h:
+                    if child[2] is None or stack[-1][2] != child[2]:
+                        stack[-1][2] = None
+                    child = None
+            if h >= least:
+                if not stack or stack[-1][0] < h:
+                    new = [h, lb if lb is not None else pending[0][0], child[2] if child else pending[0][1], []]
+                    stack.append(new)
+                elif child is not None and (child[2] is None or stack[-1][2] != child[2]):
+                    stack[-1][2] = None
+                if pending:
+                    _join(stack[-1], pending)
+                pending = [(first + j + 1, left[j + 1])]
+
+
+def _join(top: list, places: list[tuple[int, int]]) -> None:
+    for p, c in places:
+        top[3].append(p)
+        if top[2] is not None and (c != top[2] or c < 0):
+            top[2] = None
+
+
+def maximal_repeats(texts: list[bytes], least: int = MIN) -> list[tuple[int, list[tuple[int, int]]]]:
+    """All maximal repeats of at least `least` bytes (up to 512 are told apart): (length, [(text, offset), ...])."""
+    x = np.frombuffer(b"".join(texts), np.uint8)
+    ends = np.cumsum([len(t) for t in texts]).astype(np.int64)
+    if not len(x):
+        return []
+    starts = np.arange(len(x))
+    starts = starts[ends[np.searchsorted(ends, starts, side="right")] - starts >= least]
+    if len(starts) < 2:
+        return []
+    sa, lcp = enhanced(x, starts, ends)
+    begin = ends - np.array([len(t) for t in texts])
+    of = np.searchsorted(ends, sa, side="right")
+    before = np.where(sa == begin[of], -1 - np.arange(len(sa)), x[np.maximum(sa - 1, 0)].astype(np.int64))
+    return [(n, [(int(of[i]), int(sa[i] - begin[of[i]])) for i in range(lb, rb + 1)]) for n, lb, rb, _ in intervals(sa, lcp, before, least)]
+
+
+def covered(segs: list[bytes]) -> list[list[tuple[int, int]]]:
+    """For each segment, merged parts (begin, end) that repeats among the segments cover."""
+    x = np.frombuffer(b"".join(segs), np.uint8)
+    size = np.array([len(s) for s in segs], np.int64)
+    ends = np.cumsum(size)
+    count = size - MIN + 1
+    starts = np.repeat(ends - size, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    sa, lcp = enhanced(x, starts, ends)
+    of = np.searchsorted(ends, sa, side="right")
+    begin = ends - size
+    before = np.where(sa == begin[of], -1 - np.arange(len(sa)), x[np.maximum(sa - 1, 0)].astype(np.int64))
+    delta = np.zeros(len(x) + 1, np.int64)
+    for n, _, _, own in intervals(sa, lcp, before, MIN):
+        p = sa[own]
+        np.add.at(delta, p, 1)
+        np.add.at(delta, p + n, -1)
+    on = np.concatenate([[0], (np.cumsum(delta[:-1]) > 0).astype(np.int8), [0]])
+    out: list[list[tuple[int, int]]] = [[] for _ in segs]
+    a, b = np.flatnonzero(np.diff(on) == 1), np.flatnonzero(np.diff(on) == -1)
+    for i, j in zip(a.tolist(), b.tolist(), strict=True):
+        while i < j:  # parts of neighbouring segments touch
+            s = int(np.searchsorted(ends, i, side="right"))
+            e = min(j, int(ends[s]))
+            out[s].append((i - int(begin[s]), e - int(begin[s])))
+            i = e
+    return out
+
+
+def _slices(texts: list, most: int = 6 << 20):
+    """(first, texts as bytes) of parts of a batch of up to about most bytes."""
+    part, n, at = [], 0, 0
+    for i, t in enumerate(texts):
+        b = (t or "").encode()
+        if part and n + len(b) > most:
+            yield at, part
+            part, n, at = [], 0, i
+        part.append(b)
+        n += len(b)
+    if part:
+        yield at, part
+
+
+def _found(part: list[bytes]):
+    x = np.frombuffer(b"".join(part), np.uint8)
+    ends = np.cumsum([len(b) for b in part]).astype(np.int64)
+    p, first, last, h = anchors(x, ends)
+    return x, ends, p, first, last, h.view(np.int64), np.searchsorted(ends, first, side="right")
+
+
+def profile(docs: DataFrame) -> DataFrame:
+    """node, anchors, again (whether the text has the anchor more than once) for each row of docs (node, text)."""
+
+    def each(batches, out):
+        for b in batches:
+            nodes, texts = b.column("node").to_pylist(), b.column("text").to_pylist()
+            for at, part in _slices(texts):
+                _, _, _, _, _, h, of = _found(part)
+                order = np.lexsort((h, of))
+                h, of = h[order], of[order]
+                new = np.concatenate([[True], (h[1:] != h[:-1]) | (of[1:] != of[:-1])]) if len(h) else np.zeros(0, bool)
+                size = np.diff(np.append(np.flatnonzero(new), len(h)))
+                h, of, again = h[new], of[new], size > 1
+                cut = np.searchsorted(of, np.arange(len(part) + 1))
+                yield out([nodes[at : at + len(part)], [h[a:z] for a, z in zip(cut[:-1], cut[1:], strict=True)], [again[a:z] for a, z in zip(cut[:-1], cut[1:], strict=True)]])
+
+    return emit(docs, "node long, anchors array<long>, again array<boolean>", each)
+
+
+SEGMENT = "h long, node long, start long, lead int, seg binary"
+
+
+def segments(docs: DataFrame) -> DataFrame:
+    """Segments of docs (node, text, wanted: anchors) by SEGMENT; seg is null where a text's own repetition covers start to lead."""
+
+    def each(batches, out):
+        for b in batches:
+            nodes, texts, wanted = b.column("node").to_pylist(), b.column("text").to_pylist(), lists(b.column("wanted"))
+            for at, part in _slices(texts):
+                x, ends, p, first, last, h, of = _found(part)
+                begin = np.concatenate([[0], ends[:-1]])
+                cut = np.searchsorted(of, np.arange(len(part) + 1))
+                rows: list[tuple] = []
+                for i in range(len(part)):
+                    mine = np.arange(cut[i], cut[i + 1])
+                    mine = mine[np.isin(h[mine], wanted[at + i])]
+                    seen: dict[tuple, int] = {}
+                    twice: set = set()
+                    places = []
+                    for j in mine.tolist():
+                        a, z = int(first[j] - begin[i]), int(last[j] - begin[i]) + MIN
+                        k = (int(h[j]), int(p[j] - first[j]), part[i][a:z])
+                        places.append((k, a, z))
+                        if k in seen:
+                            twice.add(k)
+                        else:
+                            seen[k] = a
+                    node = nodes[at + i]
+                    rows += [(k[0], node, a, k[1], k[2]) for k, a in seen.items()]
+                    to = None
+                    for k, a, z in places:  # runs of what the text itself repeats
+                        if k in twice:
+                            if to is not None and a <= to[1]:
+                                to[1] = max(to[1], z)
+                            else:
+                                if to:
+                                    rows.append((None, node, to[0], to[1], None))
+                                to = [a, z]
+                    if to:
+                        rows.append((None, node, to[0], to[1], None))
+                    if len(rows) > 4000:
+                        yield out(list(zip(*rows, strict=True)))
+                        rows = []
+                if rows:
+                    yield out(list(zip(*rows, strict=True)))
+
+    return emit(docs, SEGMENT, each)
+
+
+def repeated_parts(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """node, parts: array of (begin, end) of docs (node, text, one row a node wanted of) that repeats cover."""
+    prof = staged(spark, profile(docs.select("node", "text")), folder, "profile")
+    seen = prof.select("node", F.explode(F.arrays_zip("anchors", "again")).alias("x")).select("node", F.col("x.anchors").alias("h"), F.col("x.again").alias("again"))
+    many = seen.groupBy("h").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.max("again").alias("again")).where("lo != hi or again").select("h")
+    many = staged(spark, many, folder, "anchors")
+    wanted = seen.select("node", "h").join(many, "h").groupBy("node").agg(F.collect_set("h").alias("wanted"))
+    wanted = staged(spark, wanted, folder, "wanted")
+    segs = staged(spark, segments(docs.join(wanted, "node").select("node", "text", "wanted")), folder, "segments")
+
+    # Distinct segments of each anchor: what occurs twice is covered; the others are compared if the anchor has several.
+    dig = F.xxhash64("seg", "lead")
+    place = segs.where("seg is not null").select("h", "lead", "node", "start", dig.alias("dig"), F.octet_length("seg").alias("size"))
+    distinct = segs.where("seg is not null").groupBy("h", "lead", "seg").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
+    distinct = staged(spark, distinct.select("h", "lead", "seg", (F.col("lo") != F.col("hi")).alias("twice"), dig.alias("dig")), folder, "distinct")
+    sizes = staged(spark, distinct.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.count_if(~F.col("twice")).alias("open")).where("c > 1 and open > 0"), folder, "sizes")
+    open_ = distinct.join(sizes, "h")
+
+    def compare(batches, out):
+        def flush():
+            got = covered([r[2] for r in rows])
+            flat = [(r[0], r[1], r[3], a, z) for r, parts in zip(rows, got, strict=True) if not r[4] for a, z in parts]
+            rows.clear()
+            return out(list(zip(*flat, strict=True))) if flat else None
+
+        rows, held = [], 0
+        for _, group in runs(batches, "h", ["h", "lead", "seg", "dig", "twice"]):
+            rows += group
+            held += sum(len(r[2]) for r in group)
+            if held >= BATCH:
+                if (got := flush()) is not None:
+                    yield got
+                held = 0
+        if rows and (got := flush()) is not None:
+            yield got
+
+    parts = "h long, lead int, dig long, a int, z int"
+    n = bucket_count(spark, distinct, 8 << 20)
+    small = emit(open_.where(F.col("c") <= LARGE).select("h", "lead", "seg", "dig", "twice").repartition(n, "h").sortWithinPartitions("h"), parts, compare)
+    windows = open_.where(F.col("c") > LARGE).select("h", "lead", "dig", "seg", F.explode(F.sequence(F.lit(0), F.octet_length("seg") - MIN)).alias("a"))
+    windows = windows.select("h", "lead", "dig", "a", F.xxhash64("h", F.col("lead") - F.col("a"), F.expr(f"substring(seg, a + 1, {MIN})")).alias("w"))
+    windows = staged(spark, windows, folder, "windows")
+    twice = windows.groupBy("w").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("w")
+    large = windows.join(staged(spark, twice, folder, "windows-twice"), "w").select("h", "lead", "dig", "a", (F.col("a") + MIN).alias("z"))
+    whole = distinct.where("twice").select("h", "lead", "dig", F.lit(0).alias("a"), F.octet_length("seg").alias("z"))
+    cover = staged(spark, small.unionByName(large).unionByName(whole), folder, "cover")
+    back = place.join(cover, ["h", "lead", "dig"]).select("node", (F.col("start") + F.col("a")).alias("begin"), (F.col("start") + F.col("z")).alias("end"))
+    own = segs.where("seg is null").select("node", F.col("start").alias("begin"), F.col("lead").cast("long").alias("end"))
+    return back.unionByName(own).groupBy("node").agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("parts"))
+
+
+def remove_repeats(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) for each row of docs."""
+    arrow_rows(spark)
+    folder = shared_dir(spark)
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
+    # Of equal texts, one takes part; texts below MIN have no windows.
+    copies = rows.where(F.octet_length("text") >= MIN).groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(F.col("key").isNull(), "key"))["key"].alias("first"))
+    copies = staged(spark, copies, folder, "copies")
+    parts = staged(spark, repeated_parts(spark, rows.where(F.octet_length("text") >= MIN).select("node", "text"), folder), folder, "parts")
+    of = copies.join(parts, "node", "left").where("copies > 1 or parts is not null")
+    of = staged(spark, of.select(F.col("node").alias("n"), "copies", F.when(F.col("copies") == 1, F.col("parts")).alias("parts")), folder, "of")
+
+    def each(batches, out):
+        import pyarrow as pa
+
+        for b in batches:
+            got = []
+            for k, t, c, spans in zip(*[b.column(x).to_pylist() for x in ("key", "text", "copies", "parts")], strict=True):
+                raw = t.encode()
+                merged: list[list[int]] = [[0, len(raw)]] if c and c > 1 else []
+                for s in spans or []:
+                    if merged and s["begin"] <= merged[-1][1]:
+                        merged[-1][1] = max(merged[-1][1], s["end"])
+                    else:
+                        merged.append([s["begin"], s["end"]])
+                kept, at = [], 0
+                for a, z in merged:
+                    kept.append(raw[at:a])
+                    at = z
+                kept = b"".join([*kept, raw[at:]])
+                got.append((k, len(raw), len(raw) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), kept))
+            yield out(list(zip(*got, strict=True)) if got else [pa.array([])] * 6)
+
+    kind = docs.schema[key].dataType.simpleString()
+    df = rows.join(of, (F.col("node") == F.col("n")) & (F.octet_length("text") >= MIN), "left").select("key", "text", "copies", "parts")
+    return emit(df, f"key {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary", each).withColumnRenamed("key", key)
+
+
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(spark, table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
