@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import media, mixing, ngramjoin, pieces, quality, repeats, secrets, toxicity, warc
+from . import lm, media, mixing, ngramjoin, pieces, quality, repeats, secrets, toxicity, warc
 
 QUERIES = {
     "op1_media_columns": media.op1_media_columns,
     "op2_secret_scans": secrets.op2_secret_scans,
     "op3_sentencepiece": pieces.op3_sentencepiece,
     "op4_quality_rules": quality.op4_quality_rules,
+    "op5_lm_scoring": lm.op5_lm_scoring,
     "op6_ngram_jaccard_join": ngramjoin.op6_ngram_jaccard_join,
     "op7_warc": warc.op7_warc,
     "op8_mix_sources": mixing.op8_mix_sources,
