@@ -72,6 +72,17 @@ def to_long(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def kept(key, make):
+    """What make() gives, made once for each key in a worker process, which serves many tasks."""
+    import sys
+    import types
+
+    box = sys.modules.setdefault("_tidemark_kept", types.ModuleType("_tidemark_kept"))
+    if key not in box.__dict__:
+        box.__dict__[key] = make()
+    return box.__dict__[key]
+
+
 # -- hashes ---------------------------------------------------------------------------------------
 
 M1, M2, M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
