@@ -9,10 +9,10 @@
    prefixes from the ranks, and scans the LCP intervals of at least MIN with a stack. An interval whose occurrences
    differ in the byte before them is a maximal repeat; its occurrences are covered over its length. (An interval with one
    byte before all is part of a longer repeat that is found there.) An anchor of more than LARGE distinct segments isn't
-   given to one task: its windows are counted one by one, by hash, which deals them evenly. Both are exact.
+   given to one task: its windows are compared in ranges by hash, and ranges that differ in narrower ones. Both are exact.
 4. Coverage goes back to the texts by their hash; overlapping parts are merged and removed.
 
-Texts are judged as given. Equal texts are one text of many occurrences from the start. Windows of large anchors and
+Texts are judged as given. Equal texts are one text of many occurrences from the start. Ranges of large anchors and
 whole texts are told apart by 64-bit hashes, segments by content. Defined results: a null text is empty; texts shorter
 than MIN keep all; texts of any length are whole; repeated rows of 400 bytes or more remove all; a null doc_id is a
 document like others; an empty table gives an empty one; further columns are ignored.
@@ -30,6 +30,7 @@ from .common import M1, M2, arrow_rows, bucket_count, emit, lists, mix, runs, sh
 
 MIN, GRAM = 400, 64
 LARGE = 200  # distinct segments of an anchor that one task compares
+WIDTHS = (64, 8, 1)  # windows of a range in the rounds for larger ones
 BATCH = 1 << 20  # bytes of segments in one suffix array
 _BYTE = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * M2)
 _STEP = [mix(np.array([i + 77], np.uint64)) | np.uint64(1) for i in range(8)]
@@ -299,6 +300,31 @@ def segments(docs: DataFrame) -> DataFrame:
     return emit(docs, SEGMENT, each)
 
 
+def descend(spark: SparkSession, pieces: DataFrame, folder: str) -> DataFrame:
+    """h, lead, dig, a, z: parts of segments that repeats cover, for anchors of any number of segments, without one task for an anchor.
+
+    pieces: h, lead, dig, seg, a, b: the windows a to b of a segment. Windows are taken in ranges of fixed places by the
+    anchor, narrower in each round. All windows of a range share a core: ranges whose core no other has are done, and so
+    are ranges of which all with that core are equal. Only one of each different range goes down to the next width, at
+    last 1. What goes down are the few windows at the ends of repeats, so rows grow with the segments, not with their pairs.
+    """
+    found = []
+    for w in WIDTHS:
+        r = F.explode(F.sequence(F.floor((F.col("lead") - F.col("b")) / w).cast("int"), F.floor((F.col("lead") - F.col("a")) / w).cast("int")))
+        df = pieces.withColumn("r", r).withColumn("top", F.col("lead") - F.col("r") * w)  # the range's last window, wherever the piece ends
+        df = df.withColumn("a", F.greatest("a", F.col("top") - (w - 1))).withColumn("b", F.least("b", "top"))
+        core = F.xxhash64("h", "r", F.expr(f"substring(seg, top + 1, {MIN - w + 1})"))
+        df = df.withColumn("core", core).withColumn("same", F.xxhash64("core", F.col("top") - F.col("a"), F.expr(f"substring(seg, a + 1, b - a + {MIN})")))
+        df = staged(spark, df.select("h", "lead", "dig", "seg", "a", "b", "core", "same"), folder, f"ranges-{w}")
+        one = F.min_by(F.struct("h", "lead", "dig", "seg", "a", "b"), F.struct("dig", "lead", "a")).alias("one")
+        kinds = staged(spark, df.groupBy("core", "same").agg(F.count(F.lit(1)).alias("c"), one), folder, f"kinds-{w}")
+        twice = staged(spark, kinds.where("c > 1").select("same"), folder, f"twice-{w}")
+        found.append(df.join(twice, "same").select("h", "lead", "dig", "a", (F.col("b") + MIN).alias("z")))
+        mixed = staged(spark, kinds.groupBy("core").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("core"), folder, f"mixed-{w}")
+        pieces = kinds.join(mixed, "core").select("one.*")
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 def repeated_parts(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """node, parts: array of (begin, end) of docs (node, text, one row a node wanted of) that repeats cover."""
     prof = staged(spark, profile(docs.select("node", "text")), folder, "profile")
@@ -338,11 +364,7 @@ def repeated_parts(spark: SparkSession, docs: DataFrame, folder: str) -> DataFra
     parts = "h long, lead int, dig long, a int, z int"
     n = bucket_count(spark, distinct, 8 << 20)
     small = emit(open_.where(F.col("c") <= LARGE).select("h", "lead", "seg", "dig", "twice").repartition(n, "h").sortWithinPartitions("h"), parts, compare)
-    windows = open_.where(F.col("c") > LARGE).select("h", "lead", "dig", "seg", F.explode(F.sequence(F.lit(0), F.octet_length("seg") - MIN)).alias("a"))
-    windows = windows.select("h", "lead", "dig", "a", F.xxhash64("h", F.col("lead") - F.col("a"), F.expr(f"substring(seg, a + 1, {MIN})")).alias("w"))
-    windows = staged(spark, windows, folder, "windows")
-    twice = windows.groupBy("w").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("w")
-    large = windows.join(staged(spark, twice, folder, "windows-twice"), "w").select("h", "lead", "dig", "a", (F.col("a") + MIN).alias("z"))
+    large = descend(spark, open_.where(F.col("c") > LARGE).select("h", "lead", "dig", "seg", F.lit(0).alias("a"), (F.octet_length("seg") - MIN).alias("b")), folder)
     whole = distinct.where("twice").select("h", "lead", "dig", F.lit(0).alias("a"), F.octet_length("seg").alias("z"))
     cover = staged(spark, small.unionByName(large).unionByName(whole), folder, "cover")
     back = place.join(cover, ["h", "lead", "dig"]).select("node", (F.col("start") + F.col("a")).alias("begin"), (F.col("start") + F.col("z")).alias("end"))
