@@ -151,9 +151,9 @@ def unpack_sorted(b: bytes) -> np.ndarray:
     return np.cumsum(unpack(b, np.uint64), dtype=np.uint64)
 
 
-def cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each of the equal ranges of the 64-bit space begins and ends in sorted keys."""
-    edges = (np.arange(1, buckets, dtype=object) * (1 << 64)) // buckets
+def cuts(keys: np.ndarray, buckets: int, bits: int = 64) -> np.ndarray:
+    """Where each of the equal ranges of the space of keys begins and ends in sorted keys."""
+    edges = (np.arange(1, buckets, dtype=object) * (1 << bits)) // buckets
     return np.concatenate([[0], np.searchsorted(keys, np.array(edges, dtype=np.uint64)), [len(keys)]]).astype(np.int64)
 
 

@@ -12,7 +12,8 @@ A document's own occurrences are subtracted (else every gram would have been see
 documents: c(abc)/c(ab) if c(abc) > 0, else ALPHA times c(bc)/c(b) if c(bc) > 0, else ALPHA^2 c(c)/N if c(c) > 0, else
 ALPHA^3/(N + 1), N the other documents' words. The first word has no context to back off from, the second one word.
 
-Words are lower-cased runs without ASCII white space, told apart by 64-bit hashes. Defined results: a null or empty text
+Words are lower-cased runs without ASCII white space; grams are told apart by hashes of BITS bits (of 10^10 different
+grams, one in seven million has another's count added). Defined results: a null or empty text
 has no words and a null score; texts are scored whole; repeated rows are documents of their own and support each other;
 a null doc_id is a document like others; one document alone scores ALPHA^k for every word; an empty table gives an empty
 one; further columns are ignored.
@@ -28,6 +29,7 @@ from .common import WordHash, arrow_rows, bucket_count, cuts, deal_buckets, emit
 
 ORDER = 3
 ALPHA = 0.4
+BITS = 56
 BLOCK_BYTES = 12 << 20  # of the table's files, for a block
 
 
@@ -35,6 +37,11 @@ def words_of(text: str | None, words: WordHash) -> np.ndarray:
     return words((text or "").encode().lower().split())
 
 
+def gram_keys(h: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of n-grams in their upper BITS bits: what is shorter travels shorter, and 2 ** BITS is far above any corpus's grams."""
+    return ngram_hashes(h, n) >> np.uint64(64 - BITS)
+
+
 def labels(spark: SparkSession, n: int) -> list[int]:
     """A number for each of n blocks that Spark's hash puts into a partition of its own."""
     ids = spark.range(n * 40 + 400).select("id", F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("p")).groupBy("p").agg(F.min("id").alias("id"))
@@ -50,8 +57,8 @@ def grams(docs: DataFrame, order: int, buckets: int) -> DataFrame:
 
         def flush():
             for n in range(1, order + 1):
-                keys, nums = np.unique(np.concatenate([ngram_hashes(h, n) for h in held]), return_counts=True)
-                at = cuts(keys, buckets)
+                keys, nums = np.unique(np.concatenate([gram_keys(h, n) for h in held]), return_counts=True)
+                at = cuts(keys, buckets, BITS)
                 some = np.flatnonzero(np.diff(at)).tolist()
                 yield out([some, [block] * len(some), [n] * len(some), [pack_sorted(keys[at[i] : at[i + 1]]) for i in some], [pack(nums[at[i] : at[i + 1]].astype(np.uint32)) for i in some]])
 
@@ -104,7 +111,7 @@ def scores(h: list[np.ndarray], nums: dict[int, np.ndarray], total: int, order:
     """The sum of the logarithms of each document's words. nums: totals of the block's distinct grams, by order."""
     at, seen = {}, {}
     for n in range(1, order + 1):
-        g = [ngram_hashes(x, n) for x in h]
+        g = [gram_keys(x, n) for x in h]
         flat = np.concatenate(g) if g else np.zeros(0, np.uint64)
         back = np.unique(flat, return_inverse=True)[1]
         who = np.repeat(np.arange(len(g)), [len(x) for x in g])
@@ -150,7 +157,7 @@ def lm_scores(spark: SparkSession, docs: DataFrame, order: int = ORDER, key: str
     block = F.element_at(names, (F.pmod(F.xxhash64("key", "text"), F.lit(n)) + 1).cast("int"))
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).withColumn("block", block).repartition(n, "block")
     answers = totals(grams(rows, order, buckets), buckets)
-    total = rows.agg(F.sum(F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+"), ""))).alias("n")).first()["n"] or 0
+    total = docs.agg(F.sum(F.size(F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), "[\\x20\\x09-\\x0D]+"), ""))).alias("n")).first()["n"] or 0
     kind = docs.schema[key].dataType.simpleString()
 
     def each(left, right):
