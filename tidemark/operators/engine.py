@@ -154,8 +154,11 @@ def breaks(panel: DataFrame, most: int = 40, least: float = 0.05) -> DataFrame:
             rows = []
             for r in b.itertuples(index=False):
                 m, _, _ = _arrays(r)
+                if len(m) < 3 or m.shape[1] < 24:  # nothing to search: too few donors, or bins before and after
+                    rows.append({"verdict": r.verdict, "detected": False})
+                    continue
                 rows.append({"verdict": r.verdict, **K.break_search(m[0], m[1:], most, least)})
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")]).astype({x: "Int64" for x in ("index", "first", "last")})
 
     return matrices(panel).repartition("verdict").mapInPandas(each, schema)
 
