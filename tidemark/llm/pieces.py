@@ -16,15 +16,17 @@ pass through; an empty table gives an empty one.
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import M3, arrow_rows, mix, table, with_columns
+from .common import M3, arrow_rows, kept, mix, table, with_columns
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
+MOST_EDGES = 5_000_000  # of lattices that a worker keeps
 _UNIT = re.compile(r" *[^ \n]+| +|\n+")
 
 
@@ -57,9 +59,15 @@ class Lattice:
             for c in map(ord, s):
                 node = trie.setdefault((node, c), len(trie) + 1)
             ends[node] = (i, weights[i])
-        keys = np.array([(a << 21) | c for a, c in trie], np.int64)
-        order = np.argsort(keys)
-        self.keys, self.to = keys[order], np.array(list(trie.values()), np.int64)[order]
+        # Trie edges in an open table of a load below 0.2: a step costs a look or two instead of a binary search.
+        self.bits = max(10, (len(trie) * 5).bit_length())
+        self.keys, self.to = np.full((1 << self.bits) + 64, -1, np.int64), np.zeros((1 << self.bits) + 64, np.int64)
+        for (a, ch), to in trie.items():
+            k = (a << 21) | ch
+            at = int(self._slot(np.array([k], np.int64))[0])
+            while self.keys[at] >= 0:
+                at += 1
+            self.keys[at], self.to[at] = k, to
         self.piece = np.full(len(trie) + 1, -1, np.int64)
         self.weight = np.zeros(len(trie) + 1)
         for node, (i, w) in ends.items():
@@ -67,10 +75,37 @@ class Lattice:
         self.lone = -alpha * np.log(sp.vocab_size() * 4.0)  # of a byte
         self.reset()
 
+    def _put(self, name: str, at: int, new: np.ndarray) -> None:
+        """Writes new at a place of an array, which doubles when it is full."""
+        old = getattr(self, name)
+        while len(old) < at + len(new):
+            old = np.concatenate([old, np.zeros_like(old)])
+        old[at : at + len(new)] = new
+        setattr(self, name, old)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.view(np.uint64) * M3) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _step(self, key: np.ndarray) -> np.ndarray:
+        """The nodes that trie edges lead to, -1 where there is none."""
+        at = self._slot(key)
+        got = self.keys[at]
+        out = np.where(got == key, self.to[at], -1)
+        on = np.flatnonzero((got != key) & (got >= 0))
+        while len(on):  # slots that other edges took
+            at[on] += 1
+            got = self.keys[at[on]]
+            hit = got == key[on]
+            out[on[hit]] = self.to[at[on[hit]]]
+            on = on[~hit & (got >= 0)]
+        return out
+
     def reset(self) -> None:
         self.unit: dict[str, int] = {}
         self.last = np.zeros(0, np.int64)  # the end node of each unit
-        self.cdf, self.prev, self.edge = np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.cdf, self.prev, self.edge = np.zeros(1 << 16), np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)  # by edge, edges by end node
+        self.first = np.zeros(1 << 16, np.int32)  # edge of each node
+        self.edges = 0
         self.nodes = 0
         self.fallback: list[bytes] = []
 
@@ -88,10 +123,9 @@ class Lattice:
         a, b, w, what = [], [], [], []
         covered = np.zeros(len(chars), bool)
         while len(live):
-            key = (node << 21) | chars[live + depth]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            hit = self.keys[at] == key
-            live, node = live[hit], self.to[at[hit]]
+            to = self._step((node << 21) | chars[live + depth])
+            hit = to >= 0
+            live, node = live[hit], to[hit]
             depth += 1
             done = self.piece[node] >= 0
             a.append(start[live[done]])
@@ -107,16 +141,19 @@ class Lattice:
             a.append([start[i]])
             b.append([start[i] + 1])
             w.append([self.lone * len(s)])
-            what.append([-1 - len(self.fallback)])
-            self.fallback.append(s)
+            if len(s) == 1:
+                what.append([self.byte_id[s[0]]])
+            else:
+                what.append([-1 - len(self.fallback)])
+                self.fallback.append(s)
         a, b, w, what = (np.concatenate(x) for x in (a, b, w, what))
-        order = np.lexsort((a, b))
+        order = np.argsort(b * 128 - (b - a))  # by end, the longest first; no piece has 128 characters
         a, b, w, what = a[order], b[order], w[order], what[order].astype(np.int64)
         alpha = np.full(len(chars) + len(texts), -np.inf)
         alpha[base] = 0.0
         # End nodes at the same distance from their unit's begin are filtered together.
         dist = b - np.repeat(base, size + 1)[b]
-        by = np.argsort(dist, kind="stable")
+        by = np.argsort(dist.astype(np.uint16) if len(dist) and dist.max() < 65536 else dist, kind="stable")
         bounds = np.searchsorted(dist[by], np.arange(1, (size.max() if len(size) else 0) + 2))
         score = np.empty(len(a))
         for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
@@ -143,9 +180,13 @@ class Lattice:
             cum = (np.cumsum(best) - np.repeat(np.cumsum(best)[heads] - best[heads], n) > 0).astype(float)
         cum = np.clip(cum, 0, 1)
         cum[np.append(heads[1:], len(b)) - 1 if len(b) else heads] = 1.0
-        self.cdf = np.concatenate([self.cdf, b + self.nodes + cum])
-        self.prev = np.concatenate([self.prev, np.where(a == np.repeat(base, size + 1)[a], -1, a + self.nodes)])
-        self.edge = np.concatenate([self.edge, what])
+        begin = np.zeros(len(chars) + len(texts), np.int64)
+        begin[b[heads]] = heads + self.edges
+        self._put("first", self.nodes, begin)
+        self._put("cdf", self.edges, cum)
+        self._put("prev", self.edges, np.where(a == np.repeat(base, size + 1)[a], -1, a + self.nodes))
+        self._put("edge", self.edges, what)
+        self.edges += len(b)
         self.last = np.concatenate([self.last, base + size + self.nodes])
         for i, t in enumerate(texts):
             self.unit[t] = len(self.unit)
@@ -153,13 +194,13 @@ class Lattice:
 
     def encode(self, texts: list[str], keys: list[int | None]) -> list[np.ndarray]:
         split = [_UNIT.findall(t) for t in texts]
-        if len(self.edge) > 3_000_000:
+        if self.edges > MOST_EDGES:
             self.reset()
         new = set().union(*split).difference(self.unit) if split else set()
         if new:
             self.learn(sorted(new))
         count = np.fromiter(map(len, split), np.int64, len(split))
-        occ = np.fromiter((self.unit[u] for s in split for u in s), np.int64, int(count.sum()))
+        occ = np.fromiter(map(self.unit.__getitem__, chain.from_iterable(split)), np.int64, int(count.sum()))
         k = np.array([0 if x is None else int(x) & 0xFFFFFFFFFFFFFFFF for x in keys], np.uint64)
         nth = np.arange(len(occ)) - np.repeat(np.cumsum(count) - count, count)
         seed = mix(np.repeat(mix(k * M3 + self.seed), count) + nth.astype(np.uint64) * M3)
@@ -167,7 +208,11 @@ class Lattice:
         made = np.zeros(len(occ), np.int64)
         while len(live):
             u = (mix(seed[live] + np.array(len(steps) + 1, np.uint64).reshape(1) * M3) >> np.uint64(11)).astype(float) / float(1 << 53)
-            e = np.searchsorted(self.cdf, node + np.minimum(u, 1 - 1e-9), side="right")
+            e = self.first[node]
+            on = np.flatnonzero(u >= self.cdf[e])
+            while len(on):  # the shares of a node's edges run up to 1
+                e[on] += 1
+                on = on[u[on] >= self.cdf[e[on]]]
             steps.append((live, e))
             made[live] += 1
             node = self.prev[e]
@@ -181,10 +226,14 @@ class Lattice:
         return [self._bytes(x) if (x < 0).any() else x for x in got]
 
     def _bytes(self, x: np.ndarray) -> np.ndarray:
-        ids: list[int] = []
-        for i in x.tolist():
-            ids.extend([i] if i >= 0 else [self.byte_id[b] for b in self.fallback[-1 - i]])
-        return np.array(ids, np.int64)
+        """x with characters that have no piece (negative) as the pieces of their bytes."""
+        at = np.flatnonzero(x < 0)
+        own = [[self.byte_id[b] for b in self.fallback[-1 - i]] for i in x[at].tolist()]
+        size = np.ones(len(x), np.int64)
+        size[at] = [len(o) for o in own]
+        out = np.repeat(x, size)
+        out[np.repeat(x < 0, size)] = list(chain.from_iterable(own))
+        return out
 
     def decode(self, ids) -> str:
         return b"".join(map(self.raw.__getitem__, ids)).decode()
@@ -198,17 +247,15 @@ def read_model(path: str = MODEL) -> bytes:
 
 def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = MODEL, alpha: float = 1.0, sample: bool = True, seed: int = 1) -> DataFrame:
     """docs with pieces (ids), n_pieces, and lossless: whether decoding gives the text back."""
-    proto, held = read_model(path), []
+    proto = read_model(path)
 
     def each(texts: list, keys: list) -> list:
-        if not held:
-            held.append(Lattice(proto, alpha, sample, seed))
-        lat, pieces = held[0], [None] * len(texts)
+        lat, pieces = kept(("lattice", hash(proto), alpha, sample, seed), lambda: Lattice(proto, alpha, sample, seed)), [None] * len(texts)
         some = [i for i, t in enumerate(texts) if t is not None]
         at = 0
-        while at < len(some):  # up to a million characters at a time, a longer text alone
+        while at < len(some):  # up to two million characters at a time, a longer text alone
             n, to = 0, at
-            while to < len(some) and (to == at or n + len(texts[some[to]]) <= 1_000_000):
+            while to < len(some) and (to == at or n + len(texts[some[to]]) <= 2_000_000):
                 n += len(texts[some[to]])
                 to += 1
             for i, p in zip(some[at:to], lat.encode([texts[i] for i in some[at:to]], [keys[i] for i in some[at:to]]), strict=True):
@@ -222,12 +269,11 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str =
 
 def decode(df: DataFrame, pieces: str = "pieces", path: str = MODEL) -> DataFrame:
     """df with decoded: the text of each list of ids."""
-    proto, held = read_model(path), []
+    proto = read_model(path)
 
     def each(rows: list) -> list:
-        if not held:
-            held.append(Lattice(proto))
-        return [[None if p is None else held[0].decode(p) for p in rows]]
+        lat = kept(("lattice", hash(proto), 1.0, True, 1), lambda: Lattice(proto))
+        return [[None if p is None else lat.decode(p) for p in rows]]
 
     return with_columns(df, [pieces], "decoded string", each)
 
