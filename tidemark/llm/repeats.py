@@ -7,8 +7,8 @@
    repeated as a whole, and only distinct segments are compared further, by anchor.
 3. Suffix arrays. A task concatenates the segments of whole anchors, sorts the suffixes by doubling ranks, takes common
    prefixes from the ranks, and scans the LCP intervals of at least MIN with a stack. An interval whose occurrences
-   differ in the byte before them is a maximal repeat; its occurrences are covered over its length. (An interval with one
-   byte before all is part of a longer repeat that is found there.) An anchor of more than LARGE distinct segments isn't
+   differ in the byte before them is a maximal repeat, whose group of all occurrences maximal_repeats() gives; each
+   suffix is covered over the length of its innermost interval. An anchor of more than LARGE distinct segments isn't
    given to one task: its windows are compared in ranges by hash, and ranges that differ in narrower ones. Both are exact.
 4. Coverage goes back to the texts by their hash; overlapping parts are merged and removed.
 
@@ -78,8 +78,11 @@ def anchors(x: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return p, first, last, h[p]
 
 
-def enhanced(x: np.ndarray, start: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array of the suffixes at start, and common prefixes with the one before, up to 512. part: bounds suffixes end at."""
+def enhanced(x: np.ndarray, start: np.ndarray, part: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix array of the suffixes at start by their first `depth` bytes at least, and common prefixes with the one before.
+
+    part: the bounds that suffixes end at.
+    """
     n = len(x)
     stop = part[np.searchsorted(part, np.arange(n), side="right")]
     # Beyond a part's end, a symbol of its own stands for each place: suffixes of different parts differ there.
@@ -90,28 +93,34 @@ def enhanced(x: np.ndarray, start: np.ndarray, part: np.ndarray) -> tuple[np.nda
         s = padded[j : j + n].copy()
         s[near <= j] = 0
         words = (words << np.uint64(9)) | s
-    rank = np.unique(words, return_inverse=True)[1].astype(np.int64)
+    rank = np.unique(words, return_inverse=True)[1].astype(np.int32)
+    del words, padded
     levels, k = [(7, rank)], 7
-    while k < MIN:
-        nxt = np.full(n, -1, np.int64)
+    while True:
+        nxt = np.full(n, -1, np.int32)
         ok = near > k
         nxt[ok] = rank[np.flatnonzero(ok) + k]
-        if 2 * k >= MIN:  # only the suffixes asked for need the last order
-            both = (rank[start] << 32) + nxt[start] + 1
+        if 2 * k >= depth:  # only the suffixes asked for need the last order
+            both = (rank[start].astype(np.int64) << 32) + nxt[start] + 1
             order = np.argsort(both, kind="stable")
             break
-        both = (rank << 32) + nxt + 1
-        rank = np.unique(both, return_inverse=True)[1].astype(np.int64)
+        both = (rank.astype(np.int64) << 32) + nxt + 1
+        rank = np.unique(both, return_inverse=True)[1].astype(np.int32)
         k *= 2
         levels.append((k, rank))
     sa = start[order]
     a, b = sa[:-1].copy(), sa[1:].copy()
     lcp = np.zeros(len(a), np.int64)
-    for k, rank in [(levels[-1][0], levels[-1][1]), *levels[::-1]]:
-        ia, ib = np.minimum(a + lcp, n - 1), np.minimum(b + lcp, n - 1)
-        room = (near[a] - lcp >= k) & (near[b] - lcp >= k)
-        same = room & (rank[ia] == rank[ib])
-        lcp[same] += k
+    for k, rank in levels[::-1]:
+        on = np.arange(len(a))
+        while len(on):  # the longest step as often as it fits, each shorter one once
+            i, j = a[on] + lcp[on], b[on] + lcp[on]
+            ok = (near[a[on]] - lcp[on] >= k) & (near[b[on]] - lcp[on] >= k)
+            on, i, j = on[ok], i[ok], j[ok]
+            on = on[rank[i] == rank[j]]
+            lcp[on] += k
+            if k != levels[-1][0]:
+                break
     for _ in range(7):
         ia, ib = np.minimum(a + lcp, n - 1), np.minimum(b + lcp, n - 1)
         same = (near[a] > lcp) & (near[b] > lcp) & (x[ia] == x[ib])
@@ -120,7 +129,7 @@ def enhanced(x: np.ndarray, start: np.ndarray, part: np.ndarray) -> tuple[np.nda
 
 
 def intervals(sa: np.ndarray, lcp: np.ndarray, before: np.ndarray, least: int):
-    """Maximal repeats: (length, first and last place in sa, places in sa that no inner interval has).
+    """LCP intervals: (length, first and last place in sa, places in sa that no inner interval has, whether it is left-diverse).
 
     before: for each suffix of sa what stands before it; negative values differ from all others.
     """
@@ -140,8 +149,7 @@ def intervals(sa: np.ndarray, lcp: np.ndarray, before: np.ndarray, least: int):
                 if pending:
                     _join(top, pending)
                     pending = []
-                if top[2] is None:
-                    yield top[0], top[1], first + j, top[3]
+                yield top[0], top[1], first + j, top[3], top[2] is None
                 lb, child = top[1], top
                 if stack and stack[-1][0] >= h:
                     if child[2] is None or stack[-1][2] != child[2]:
@@ -166,7 +174,7 @@ def _join(top: list, places: list[tuple[int, int]]) -> None:
 
 
 def maximal_repeats(texts: list[bytes], least: int = MIN) -> list[tuple[int, list[tuple[int, int]]]]:
-    """All maximal repeats of at least `least` bytes (up to 512 are told apart): (length, [(text, offset), ...])."""
+    """All maximal repeats of at least `least` bytes: (length, [(text, offset), ...])."""
     x = np.frombuffer(b"".join(texts), np.uint8)
     ends = np.cumsum([len(t) for t in texts]).astype(np.int64)
     if not len(x):
@@ -175,11 +183,11 @@ def maximal_repeats(texts: list[bytes], least: int = MIN) -> list[tuple[int, lis
     starts = starts[ends[np.searchsorted(ends, starts, side="right")] - starts >= least]
     if len(starts) < 2:
         return []
-    sa, lcp = enhanced(x, starts, ends)
+    sa, lcp = enhanced(x, starts, ends, max(map(len, texts)))
     begin = ends - np.array([len(t) for t in texts])
     of = np.searchsorted(ends, sa, side="right")
     before = np.where(sa == begin[of], -1 - np.arange(len(sa)), x[np.maximum(sa - 1, 0)].astype(np.int64))
-    return [(n, [(int(of[i]), int(sa[i] - begin[of[i]])) for i in range(lb, rb + 1)]) for n, lb, rb, _ in intervals(sa, lcp, before, least)]
+    return [(n, [(int(of[i]), int(sa[i] - begin[of[i]])) for i in range(lb, rb + 1)]) for n, lb, rb, _, diverse in intervals(sa, lcp, before, least) if diverse]
 
 
 def covered(segs: list[bytes]) -> list[list[tuple[int, int]]]:
@@ -189,12 +197,14 @@ def covered(segs: list[bytes]) -> list[list[tuple[int, int]]]:
     ends = np.cumsum(size)
     count = size - MIN + 1
     starts = np.repeat(ends - size, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    sa, lcp = enhanced(x, starts, ends)
+    sa, lcp = enhanced(x, starts, ends, MIN)
     of = np.searchsorted(ends, sa, side="right")
     begin = ends - size
     before = np.where(sa == begin[of], -1 - np.arange(len(sa)), x[np.maximum(sa - 1, 0)].astype(np.int64))
     delta = np.zeros(len(x) + 1, np.int64)
-    for n, _, _, own in intervals(sa, lcp, before, MIN):
+    # Each suffix is covered over its innermost interval. Order beyond MIN bytes isn't needed: what a longer repeat covers
+    # further on, suffixes that begin later show.
+    for n, _, _, own, _ in intervals(sa, lcp, before, MIN):
         p = sa[own]
         np.add.at(delta, p, 1)
         np.add.at(delta, p + n, -1)
@@ -210,7 +220,7 @@ def covered(segs: list[bytes]) -> list[list[tuple[int, int]]]:
     return out
 
 
-def _slices(texts: list, most: int = 6 << 20):
+def _slices(texts: list, most: int = 2 << 20):
     """(first, texts as bytes) of parts of a batch of up to about most bytes."""
     part, n, at = [], 0, 0
     for i, t in enumerate(texts):
