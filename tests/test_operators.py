@@ -167,3 +167,45 @@ def test_planted_fields_get_their_states(spark):
     r = audit_claims(spark, *G2.crops(spark)).collect()
     assert sum(x["status"] == "VERIFIED" for x in r if x["role"] == "adopter") >= 4 and all(x["onset"] == 2021 for x in r if x["role"] == "adopter")
     assert not any(x["status"] in ("VERIFIED", "PARTIAL") for x in r if x["role"] in ("liar", "weak"))
+
+
+def test_attacks_are_not_real(spark):
+    from tidemark.plans.attacks import red_team
+
+    r = {x["attack"]: x for x in red_team(spark, 2).collect()}
+    assert r["step"]["REAL"] == 2 and all(r[a]["REAL"] == 0 for a in ("common_shock", "pre_trend", "no_fit", "one_bin", "untouched", "season_shift"))
+
+
+def test_scenes_to_verdict(spark):
+    """A cleared zone among quiet ones: from digital numbers to REAL, with receipts for cloud, versions and tiles."""
+    import random
+
+    from tidemark.plans import series as P
+
+    r = random.Random(2)
+    scenes, px = [], []
+    for i in range(130):
+        day = dt.datetime(2021, 1, 1, 10) + dt.timedelta(days=7 * i)
+        box = {"west": 0.0, "south": 0.0, "east": 1.0, "north": 1.0}
+        scenes.append((f"s{i}", day, "T1", "05.00", float(i % 50), box, 0.9))
+        shared = r.gauss(0, 0.02)
+        for z in range(31):
+            nir = 0.42 + shared + 0.002 * z + r.gauss(0, 0.004) - (0.2 if z == 0 and day >= dt.datetime(2023, 1, 1) else 0)
+            px += [(f"s{i}", z, 8 if i % 29 == 3 and z == 0 else 4, "05.00", 1500, 1000 + int(10000 * 0.08), 1000 + int(10000 * nir), 2500) for _ in range(2)]
+    scenes += [("old", scenes[5][1], "T1", "02.00", 1.0, box, 0.9), ("side", scenes[6][1], "T2", "05.00", 1.0, box, 0.2), ("far", scenes[7][1], "T9", "05.00", 1.0, {"west": 9.0, "south": 9.0, "east": 10.0, "north": 10.0}, 0.9)]
+    s = spark.createDataFrame(scenes, "scene string, ts timestamp, tile string, version string, cloud double, bbox struct<west:double,south:double,east:double,north:double>, share double")
+    p = spark.createDataFrame(px, "scene string, zone int, cls int, baseline string, b03 int, b04 int, b08 int, b12 int")
+    keep, why = P.wanted_scenes(s, (0.0, 0.0, 1.0, 1.0), "2023-01-01", 14)
+    assert {(x["scene"], x["reason"]) for x in why.collect()} == {("old", "superseded"), ("side", "other tile")} and keep.count() == 130
+    obs, receipts = P.optical_series(keep, p)
+    assert receipts.where("reason = 'cloud'").count() == len([i for i in range(130) if i % 29 == 3])
+    profile = P.Profile(donors=25, placebos=20, grid=21)
+    v = P.verdict_of("a", P.panel_of(obs, "2023-01-01", 14, profile=profile), "clearing", profile).first()
+    assert v["status"] == "REAL" and v["point"] < -0.1, v
+
+
+def test_ring_groups(spark):
+    cells = spark.createDataFrame([(f"c{i:03d}", float(i % 10), float(i // 10)) for i in range(100)] + [("far", 999.0, 999.0)], "cell string, x double, y double")
+    g = K.ring_groups(cells, 5.0, per=10, least=3, groups=4).groupBy("group").count().orderBy("group").collect()
+    assert [x["count"] for x in g] == [10, 10, 10, 10]
+    assert len(K.annulus(0, 0, 10, 20, 50)) == 50 and all(10 <= (x * x + y * y) ** 0.5 <= 20 for x, y in K.annulus(0, 0, 10, 20, 50))

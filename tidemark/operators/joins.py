@@ -18,10 +18,12 @@ def join_groups(treated_bins: DataFrame, donor_bins: DataFrame, min_cov: float =
     return spine.join(got.select("k", "unit", "v"), ["k", "unit"], "left")
 
 
-def on_weeks(series: DataFrame, start: str, end: str, unit: str = "unit", week: str = "week", value: str = "v") -> DataFrame:
-    """Every unit on every Sunday between two dates."""
-    a, b = week_ending(F.lit(start).cast("date")), week_ending(F.lit(end).cast("date"))
-    axis = series.select(unit).distinct().select(unit, F.explode(F.sequence(a, b, F.expr("interval 7 days"))).alias(week))
+def on_weeks(series: DataFrame, start: str | None = None, end: str | None = None, unit: str = "unit", week: str = "week", value: str = "v") -> DataFrame:
+    """Every unit on every Sunday between two dates (those of the series if not given)."""
+    span = series.agg(F.min(week).alias("_a"), F.max(week).alias("_b"))
+    a = week_ending(F.lit(start).cast("date")) if start else F.col("_a")
+    b = week_ending(F.lit(end).cast("date")) if end else F.col("_b")
+    axis = series.select(unit).distinct().join(F.broadcast(span)).select(unit, F.explode(F.sequence(a, b, F.expr("interval 7 days"))).alias(week))  # one row
     return axis.join(series.select(unit, week, value), [unit, week], "left")
 
 

@@ -80,15 +80,14 @@ def despike_neighbours(spark, sf):
     return G.despike(days, drop=20000.0).select("unit", "d", settled("v").alias("v"), "suspect")
 
 
-_WEEKS = f"""{OBS}, wk AS (SELECT unit, (date_trunc('week', d) + INTERVAL 6 DAY)::DATE AS week, avg(v) AS v FROM obs WHERE d BETWEEN DATE '1998-01-05' AND DATE '1999-12-26' GROUP BY 1, 2),
-wax AS (SELECT unnest(generate_series(DATE '1998-01-11', DATE '1999-12-26', INTERVAL 7 DAY))::DATE AS week),
+_WEEKS = f"""{OBS}, wk AS (SELECT unit, (date_trunc('week', d) + INTERVAL 6 DAY)::DATE AS week, avg(v) AS v FROM obs GROUP BY 1, 2),
+wax AS (SELECT unnest(generate_series((SELECT min(week) FROM wk), (SELECT max(week) FROM wk), INTERVAL 7 DAY))::DATE AS week),
 weeks AS (SELECT u.unit, wax.week, wk.v FROM (SELECT DISTINCT unit FROM wk) u CROSS JOIN wax LEFT JOIN wk ON wk.unit = u.unit AND wk.week = wax.week)"""
 
 
 def nation_weeks(spark, sf) -> DataFrame:
-    o = obs(spark, sf).where(F.col("d").between("1998-01-05", "1999-12-26"))
-    w = o.groupBy("unit", week_ending("d").alias("week")).agg(F.avg("v").alias("v"))
-    return J.on_weeks(w, "1998-01-05", "1999-12-26")
+    w = obs(spark, sf).groupBy("unit", week_ending("d").alias("week")).agg(F.avg("v").alias("v"))
+    return J.on_weeks(w)
 
 
 @query(f"WITH {_WEEKS} SELECT unit, week, {R('v')} AS v FROM weeks")
@@ -214,7 +213,7 @@ def cohort_aligned_mean(spark, sf):
     return A.cohort_mean(nation_weeks(spark, sf), EVENT).withColumn("v", settled("v", 4))
 
 
-@query(f"""WITH {OBS}, days AS (SELECT unit, d, avg(v) AS v, dayofyear(d) AS doy FROM obs WHERE unit < 5 OR unit >= 5 GROUP BY 1, 2), pre AS (SELECT * FROM days WHERE d < DATE '1996-07-01'), n AS (SELECT unit, unnest(range(1, 367)) AS doy FROM (SELECT DISTINCT unit FROM days)),
+@query(f"""WITH {OBS}, days AS (SELECT unit, d, avg(v) AS v, dayofyear(d) AS doy FROM obs GROUP BY 1, 2), pre AS (SELECT * FROM days WHERE d < DATE '1996-07-01'), n AS (SELECT unit, unnest(range(1, 367)) AS doy FROM (SELECT DISTINCT unit FROM days)),
 r AS (SELECT n.unit, n.doy, median(p.v) AS r FROM n JOIN pre p ON p.unit = n.unit AND least(abs(p.doy - n.doy), 366 - abs(p.doy - n.doy)) <= 14 GROUP BY 1, 2), fb AS (SELECT unit, median(v) AS f FROM pre GROUP BY 1)
 SELECT days.unit, days.d, {R('days.v')} AS v, {R('coalesce(r.r, fb.f, 0)')} AS reference FROM days LEFT JOIN r USING (unit, doy) LEFT JOIN fb ON fb.unit = days.unit""")
 def seasonal_reference(spark, sf):

@@ -473,3 +473,45 @@ def peers_by_month(spark, sf):
 @query("SELECT unit, count(*) AS n FROM (SELECT c_nationkey AS unit, o_orderdate::DATE AS d FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderdate >= DATE '1996-01-01' AND o_orderdate < DATE '2000-01-01') GROUP BY 1")
 def analysis_window(spark, sf):
     return obs(spark, sf).where((F.col("d") >= "1996-01-01") & (F.col("d") < "2000-01-01")).groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH r AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 = 0 THEN 'traffic' ELSE 'background' END AS stratum, s_acctbal / 1000 - 1 AS lo, s_acctbal / 1000 + 1 AS hi, CASE WHEN s_suppkey % 7 = 0 THEN 6 ELSE 12 END AS post_months FROM supplier), f AS (SELECT 'traffic' AS stratum, 12 AS m, 4.5::DOUBLE AS published)
+SELECT id, CASE WHEN published IS NULL THEN 'no finding' WHEN m <> post_months THEN 'other horizon' WHEN published BETWEEN lo AND hi THEN 'inside' ELSE 'outside' END AS agreement FROM r LEFT JOIN f USING (stratum)""")
+def published_findings(spark, sf):
+    k = F.col("s_suppkey")
+    r = table(spark, sf, "supplier").select(k.alias("id"), F.when(k % 3 == 0, "traffic").otherwise("background").alias("stratum"), (F.col("s_acctbal") / 1000 - 1).alias("lo"), (F.col("s_acctbal") / 1000 + 1).alias("hi"), F.when(k % 7 == 0, 6).otherwise(12).alias("post_months"))
+    f = spark.createDataFrame([("traffic", 12, 4.5, "study")], "stratum string, months int, effect double, study string")
+    return J.with_findings(r, f).select("id", "agreement")
+
+
+@query("SELECT count(*) FILTER (quality = 1 AND toxic = 0) AS hit, count(*) FILTER (quality = 1 AND toxic = 1) AS missed, count(*) FILTER (quality = 0 AND toxic = 0) AS false_alarm, count(*) FILTER (quality = 0 AND toxic = 1) AS correct, 0::BIGINT AS cant_tell FROM labels")
+def site_tallies(spark, sf):
+    s = table(spark, sf, "labels").select(F.when(F.col("quality") == 1, "REAL").otherwise("NOT_REAL").alias("expected"), F.when(F.col("toxic") == 1, "NOT_REAL").otherwise("REAL").alias("call"))
+    return A.tallies(s)
+
+
+@query(f"""WITH e AS (SELECT user_id % 5 AS zone, date_trunc('minute', ts) AS minute, event_id AS scene, value AS v, (event_id % 11) / 10.0::DOUBLE AS c FROM events) SELECT minute, zone, {R('avg(v)')} AS v, max(c) AS clear_share FROM e GROUP BY 1, 2""")
+def same_minute_merge(spark, sf):
+    e = table(spark, sf, "events").select((F.col("user_id") % 5).alias("zone"), F.date_trunc("minute", "ts").alias("minute"), F.col("event_id").alias("scene"), F.col("value").alias("v"), ((F.col("event_id") % 11).cast("double") / 10).alias("clear_share"))
+    return A.merge_same_minute(e)[0].withColumn("v", settled("v"))
+
+
+@query("""WITH e AS (SELECT user_id % 5 AS zone, date_trunc('minute', ts) AS minute, event_id AS scene, (event_id % 11) / 10.0::DOUBLE AS c FROM events), s AS (SELECT minute, scene, row_number() OVER (PARTITION BY minute ORDER BY max(c) DESC, scene) AS r FROM e GROUP BY minute, scene) SELECT minute, scene, 'duplicate' AS reason FROM s WHERE r > 1""")
+def same_minute_receipts(spark, sf):
+    e = table(spark, sf, "events").select((F.col("user_id") % 5).alias("zone"), F.date_trunc("minute", "ts").alias("minute"), F.col("event_id").alias("scene"), F.col("value").alias("v"), ((F.col("event_id") % 11).cast("double") / 10).alias("clear_share"))
+    return A.merge_same_minute(e)[1]
+
+
+@query(f"""WITH {PIX}, g AS (SELECT "row", "col", CASE WHEN avg(v) > 0 THEN round(avg(v), 6) END AS v FROM px GROUP BY 1, 2), p AS (SELECT p_partkey % 8 + 0.2 AS y, p_size % 8 - 0.2 AS x, max(p_partkey)::DOUBLE AS v FROM part GROUP BY 1, 2), n AS (SELECT round(y)::INT AS "row", round(x)::INT AS "col", max(v) AS pv FROM p GROUP BY 1, 2)
+SELECT "row", "col", coalesce(g.v, n.pv) AS v FROM g LEFT JOIN n USING ("row", "col")""")
+def grid_alignment(spark, sf):
+    g = pixels(spark, sf).groupBy("row", "col").agg(F.avg("v").alias("m")).select("row", "col", F.when(F.col("m") > 0, F.round("m", 6)).alias("v"))
+    p = table(spark, sf, "part").select((F.col("p_partkey") % 8 + F.lit(0.2)).alias("y"), (F.col("p_size") % 8 - F.lit(0.2)).alias("x"), F.col("p_partkey").cast("double").alias("v"))
+    return J.on_grid(p, g, 0.0, 0.0, 1.0)
+
+
+@query("SELECT c_nationkey AS unit, count(*) FILTER (c_acctbal > 0) AS claims, count(*) FILTER (NOT c_acctbal > 0) AS donors FROM customer GROUP BY 1")
+def claim_split(spark, sf):
+    a, b = U.split_claims(table(spark, sf, "customer").withColumn("claims", F.col("c_acctbal") > 0))
+    n = lambda df, name: df.groupBy(F.col("c_nationkey").alias("unit")).agg(F.count(F.lit(1)).alias(name))
+    return n(a, "claims").join(n(b, "donors"), "unit", "full").na.fill(0)

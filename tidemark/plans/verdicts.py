@@ -36,31 +36,30 @@ def land_verdicts(spark: SparkSession, panels: DataFrame, signal: str = "NDVI",
     return D.land(r)
 
 
-def nation_panels(spark: SparkSession, sf: str, treated: list[int]) -> DataFrame:
-    """A panel for each treated nation: it is unit 0, the others keep their numbers plus one. Values in units of 100,000."""
+def nation_panels(spark: SparkSession, sf: str) -> DataFrame:
+    """A panel for each nation as the treated one: it is unit 0, the others keep their numbers plus one. Values in units of 100,000."""
     p = panel(spark, sf)
-    t = F.explode(F.array(*[F.lit(x) for x in treated])).alias("t")
-    df = p.select("*", t)
+    df = p.join(F.broadcast(p.select(F.col("unit").alias("t")).distinct()))  # a panel a nation
     return df.select(F.concat(F.lit("nation-"), F.col("t").cast("string")).alias("verdict"), F.when(F.col("unit") == F.col("t"), 0).otherwise(F.col("unit") + 1).cast("long").alias("unit"), F.col("k").cast("long").alias("k"), (F.col("v") / 100000).alias("v"), "pre")
 
 
 @query
 def land_verdict(spark, sf):
     """Nations as units, with an invented event: bins, donors, fits, intervals, placebos in space and time, verdict."""
-    d = land_verdicts(spark, nation_panels(spark, sf, [7, 12]), k=15, placebos=12, grid=21)
+    d = land_verdicts(spark, nation_panels(spark, sf), k=15, placebos=12, grid=21)
     return d.select("verdict", "status", *[settled(c, 4).alias(c) for c in ("point", "lo", "hi", "placebo_p", "pre_rmse")], "n_pre", "n_post", "n_donors")
 
 
 @query
 def ascm_effect_path(spark, sf):
-    fits = E.run(nation_panels(spark, sf, [7]), 15, placebos=8, grid=11)
+    fits = E.run(nation_panels(spark, sf), 15, placebos=8, grid=11)
     t = fits.where("kind = 'treated'").select("verdict", F.posexplode("effect").alias("bin", "e"))
     return t.join(E.placebo_band(fits), ["verdict", "bin"]).select("verdict", "bin", *[settled(c, 4).alias(c) for c in ("e", "lo", "hi")])
 
 
 @query
 def break_search(spark, sf):
-    b = E.breaks(nation_panels(spark, sf, [7]), most=8)
+    b = E.breaks(nation_panels(spark, sf), most=8)
     return b.select("verdict", "index", "first", "last", settled("stat", 4).alias("stat"), "p", "detected")
 
 
@@ -106,7 +105,7 @@ def air_verdict(spark, sf):
 @query
 def weather_ridge(spark, sf):
     """Daily values of nations as stations, with weather made from the calendar: adjusted series."""
-    o = obs(spark, sf).where(F.col("d").between("1996-01-01", "1999-12-31")).groupBy(F.col("unit").alias("station"), "d").agg((F.avg("v") / 1000).alias("v"))
+    o = obs(spark, sf).groupBy(F.col("unit").alias("station"), "d").agg((F.avg("v") / 1000).alias("v"))
     doy = F.dayofyear("d")
     w = o.withColumns({"temperature_2m": 10 - 8 * F.cos(2 * 3.141592653589793 * doy / 365), "precipitation": F.pmod(F.xxhash64("d"), F.lit(10)).cast("double"), "wind_u": F.sin(doy / 9.0), "wind_v": F.cos(doy / 7.0), "boundary_layer_height": 500 + 50 * F.sin(doy / 20.0)})
     for c in ("temperature_2m", "precipitation", "wind_u", "wind_v", "boundary_layer_height"):
@@ -163,6 +162,14 @@ def agreement(a: DataFrame, b: DataFrame, keys: list[str], value: str = "v") ->
     return j.agg(F.percentile(d, F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99))).alias("q"), F.avg((d <= 1e-4).cast("double")).alias("same"), F.count(F.lit(1)).alias("n"))
 
 
+@query
+def red_team(spark, sf):
+    """Adversarial panels against the verdict rules."""
+    from .attacks import red_team as attack
+
+    return attack(spark, 2)
+
+
 @query
 def stream_tumbling(spark, sf):
     from ..streaming import events as S
