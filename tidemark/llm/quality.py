@@ -59,7 +59,7 @@ RULES = (
     Rule("symbols", "n_symbols", "n_words", high=0.1),
     Rule("stop_words", "n_stop_words", low=2),
     Rule("letters", "n_letter_words", "n_words", low=0.8),
-    Rule("lines_repeated", "n_dup_lines", "n_lines", high=0.3),
+    Rule("lines_repeated", "n_dup_lines", "n_lines", high=0.4),
     Rule("lines_bulleted", "n_bullets", "n_lines", high=0.9),
     Rule("lines_trailing_off", "n_ellipses", "n_lines", high=0.3),
     Rule("words_repeated", "n_repeat_words", "n_words", high=0.5),
