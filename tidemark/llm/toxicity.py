@@ -34,7 +34,7 @@ TRAIN_ROWS = 20_000
 MOST_WORDS = 400
 THRESHOLD = 0.7
 
-# The grammar's closed word classes.
+# The grammar's closed word classes. SEEDS serve only where there are no labels to learn from.
 SEEDS = ["idiot", "idiots", "moron", "morons", "scum", "loser", "stupid", "worthless", "pathetic", "disgusting", "clown", "trash", "bastard", "imbecile", "idiota", "imbécile", "crétin", "salaud", "dummkopf", "arschloch", "estúpido", "imbécil"]
 THREATS = ["kill", "hurt", "beat", "destroy", "burn", "töten", "schlagen", "vernichten", "tuer", "frapper", "détruire", "matar", "golpear", "destruir"]
 TARGETS = ["you", "your", "yours", "he", "she", "they", "them", "him", "her", "du", "dich", "dir", "ihr", "euch", "sie", "tu", "te", "toi", "vous", "ils", "elles", "tú", "ti", "usted", "ustedes", "vosotros", "ellos", "ellas"]
@@ -156,15 +156,14 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     counts = emit(sample, "word string, n1 long, n0 long", count).groupBy("word").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
     counts = counts.where("n1 >= 3")
     all1, all0 = (counts.where(F.col("word") == "\0").select("n1", "n0").first() or (0, 0))
-    words = dict.fromkeys(SEEDS, 2.0)
     if not all1 or not all0:
-        return Model(words)
+        return Model(dict.fromkeys(SEEDS, 2.0))
     p1, p0 = F.col("n1") / all1, F.col("n0") / all0
     p = (F.col("n1") + F.col("n0")) / (all1 + all0)
     z = (p1 - p0) / F.sqrt(p * (1 - p) * (1 / all1 + 1 / all0) + 1e-12)
     odds = F.log((F.col("n1") + 0.5) / (all1 - F.col("n1") + 0.5)) - F.log((F.col("n0") + 0.5) / (all0 - F.col("n0") + 0.5))
     best = counts.where(F.col("word") != "\0").select("word", z.alias("z"), odds.alias("odds")).where("z >= 4.5 and odds >= 2").orderBy(F.desc("z"), "word").limit(MOST_WORDS)
-    words |= {r["word"]: min(6.0, float(r["odds"])) for r in best.collect()}
+    words = {r["word"]: min(6.0, float(r["odds"])) for r in best.collect()}  # learned ones alone: the seeds have no part in a trained model
     model = Model(words)
 
     def rows(batches, out):
