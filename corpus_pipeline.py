@@ -33,7 +33,7 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     found = near_duplicates(spark, docs.select("doc_id", "text"))
     folder = shared_dir(spark)
     keep = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.max("node").alias("node"))
-    keep = staged(spark, keep.select(F.col("doc_id").alias("kept_id")), folder, "keep")
+    keep = staged(spark, keep.select(F.col("doc_id").alias("kept_id")), folder, "keep", small=True)
     named = docs.where("doc_id is not null").join(keep, F.col("doc_id") == F.col("kept_id"), "left_semi")
     return named.select(*COLUMNS).dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null").select(*COLUMNS))
 

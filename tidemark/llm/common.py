@@ -41,9 +41,13 @@ def _sweep() -> None:
             return
 
 
-def staged(spark: SparkSession, df: DataFrame, folder: str, name: str) -> DataFrame:
-    """Cuts the lineage: df as a table in the shared folder, which survives lost executors."""
-    df.write.mode("overwrite").parquet(f"{folder}/{name}")
+def staged(spark: SparkSession, df: DataFrame, folder: str, name: str, small: bool = False) -> DataFrame:
+    """Cuts the lineage: df as a table in the shared folder, which survives lost executors.
+
+    small: rows of a few numbers, which come from a shuffle: two files a core are enough for them, instead of a tiny one
+    for each partition of the shuffle.
+    """
+    (df.coalesce(2 * spark.sparkContext.defaultParallelism) if small else df).write.mode("overwrite").parquet(f"{folder}/{name}")
     return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
@@ -152,10 +156,13 @@ def unpack_sorted(b: bytes) -> np.ndarray:
     return np.cumsum(unpack(b, np.uint64), dtype=np.uint64)
 
 
-def cuts(keys: np.ndarray, buckets: int, bits: int = 64) -> np.ndarray:
-    """Where each of the equal ranges of the space of keys begins and ends in sorted keys."""
-    edges = (np.arange(1, buckets, dtype=object) * (1 << bits)) // buckets
-    return np.concatenate([[0], np.searchsorted(keys, np.array(edges, dtype=np.uint64)), [len(keys)]]).astype(np.int64)
+def ranges(keys: np.ndarray, buckets: int, bits: int = 64) -> list[tuple[int, int, int]]:
+    """(bucket, first, past the last) of sorted keys for each of the equal ranges of their space that has any."""
+    if not len(keys):
+        return []
+    b = ((keys >> np.uint64(bits - 32)) * np.uint64(buckets)) >> np.uint64(32)
+    at = np.flatnonzero(np.diff(b, prepend=b[:1] + np.uint64(1)))
+    return list(zip(b[at].tolist(), at.tolist(), [*at[1:].tolist(), len(b)], strict=True))
 
 
 def crc_mod3(col) -> "F.Column":
@@ -173,7 +180,7 @@ def crc32(b: bytes) -> int:
 def with_columns(df: DataFrame, inputs: list[str], extra: str, fn, replaces: str | None = None) -> DataFrame:
     """df with further columns that fn(*lists of the inputs) gives as lists; all others pass through untouched.
 
-    Columns of df named like a further one give way. With replaces, fn's last list takes that column's place.
+    Columns of df named like a further one give way. fn may give Arrow arrays instead of lists. With replaces, fn's last list takes that column's place.
     """
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -193,7 +200,7 @@ def with_columns(df: DataFrame, inputs: list[str], extra: str, fn, replaces: str
             cols = [b.column(c) for c in names]
             if replaces:
                 cols[names.index(replaces)] = pa.array(made[-1], cols[names.index(replaces)].type)
-            yield pa.RecordBatch.from_arrays(cols + [pa.array(v, t) for v, t in zip(made, types, strict=False)], [*names, *[f.name for f in new]])
+            yield pa.RecordBatch.from_arrays(cols + [v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(made, types, strict=False)], [*names, *[f.name for f in new]])
 
     return kept.mapInArrow(each, schema)
 
@@ -213,6 +220,17 @@ def emit(df: DataFrame, schema: str, fn) -> DataFrame:
     return df.mapInArrow(each, kind)
 
 
+def list_array(rows: list):
+    """An Arrow array of lists of ints from numpy arrays and Nones, without a Python object for each number."""
+    import pyarrow as pa
+
+    sizes = np.array([0 if r is None else len(r) for r in rows], np.int64)
+    some = [r for r in rows if r is not None]
+    flat = np.concatenate(some).astype(np.int32) if some else np.zeros(0, np.int32)
+    at = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+    return pa.ListArray.from_arrays(at, pa.array(flat), mask=pa.array([r is None for r in rows]))
+
+
 def lists(column) -> list[np.ndarray]:
     """The lists of an Arrow list column as numpy arrays, without copies."""
     values, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
@@ -236,14 +254,18 @@ def runs(batches, key: str, names: list[str]):
         yield now, rows
 
 
+MOST_TASKS = 1 << 16  # of a stage: beyond it, a task takes several buckets, one after another
+
+
 def bucket_count(spark: SparkSession, df: DataFrame, size: int) -> int:
     """Buckets in proportion to df's size on disk, and at least as many as shuffles have partitions."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(df) // size)
 
 
 def deal_buckets(df: DataFrame, n: int) -> DataFrame:
-    """df with each bucket (0 to n - 1) in a partition of its own."""
-    return df.repartitionById(n, F.col("bucket").cast("int")).sortWithinPartitions("bucket")
+    """df with each bucket (0 to n - 1) in one partition, a run of rows, and as evenly as they are."""
+    tasks = min(n, MOST_TASKS)
+    return df.repartitionById(tasks, F.floor(F.col("bucket").cast("long") * tasks / n).cast("int")).sortWithinPartitions("bucket")
 
 
 def components(spark: SparkSession, edges: DataFrame, folder: str, name: str) -> DataFrame:
@@ -253,16 +275,16 @@ def components(spark: SparkSession, edges: DataFrame, folder: str, name: str) ->
     before the shuffle, so that a node with very many edges costs a task no more than others.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct()
-    both = staged(spark, both, folder, f"{name}-edges")
+    both = staged(spark, both, folder, f"{name}-edges", small=True)
     at = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp"))
-    at = staged(spark, at, folder, f"{name}-0")
+    at = staged(spark, at, folder, f"{name}-0", small=True)
     for i in range(1, 200):
         near = both.join(at, both.b == at.node).groupBy("a").agg(F.min("comp").alias("m"))
         new = at.join(near, at.node == near.a).select("node", F.col("comp").alias("old"), F.least("comp", "m").alias("comp"))
-        new = staged(spark, new, folder, f"{name}-{i}a")
+        new = staged(spark, new, folder, f"{name}-{i}a", small=True)
         up = new.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
         new = new.join(up, "comp").select("node", "old", F.least("comp", "up").alias("comp"))
-        new = staged(spark, new, folder, f"{name}-{i}b")
+        new = staged(spark, new, folder, f"{name}-{i}b", small=True)
         at = new.select("node", "comp")
         if new.where("old != comp").isEmpty():
             return at

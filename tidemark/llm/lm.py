@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, arrow_rows, bucket_count, cuts, deal_buckets, emit, input_bytes, ngram_hashes, pack, pack_sorted, runs, table, unpack, unpack_sorted
+from .common import MOST_TASKS, WordHash, arrow_rows, bucket_count, deal_buckets, emit, input_bytes, ngram_hashes, pack, pack_sorted, ranges, runs, table, unpack, unpack_sorted
 
 ORDER = 3
 ALPHA = 0.4
@@ -43,7 +43,9 @@ def gram_keys(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def labels(spark: SparkSession, n: int) -> list[int]:
-    """A number for each of n blocks that Spark's hash puts into a partition of its own."""
+    """A number for each of n blocks that Spark's hash puts into a partition of its own; from 4,096 on chance deals evenly enough."""
+    if n > 4096:
+        return []
     ids = spark.range(n * 40 + 400).select("id", F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("p")).groupBy("p").agg(F.min("id").alias("id"))
     got = {r["p"]: r["id"] for r in ids.collect()}  # a number for each block
     return [int(got.get(i, i)) for i in range(n)]
@@ -58,9 +60,8 @@ def grams(docs: DataFrame, order: int, buckets: int) -> DataFrame:
         def flush():
             for n in range(1, order + 1):
                 keys, nums = np.unique(np.concatenate([gram_keys(h, n) for h in held]), return_counts=True)
-                at = cuts(keys, buckets, BITS)
-                some = np.flatnonzero(np.diff(at)).tolist()
-                yield out([some, [block] * len(some), [n] * len(some), [pack_sorted(keys[at[i] : at[i + 1]]) for i in some], [pack(nums[at[i] : at[i + 1]].astype(np.uint32)) for i in some]])
+                at = ranges(keys, buckets, BITS)
+                yield out([[i for i, _, _ in at], [block] * len(at), [n] * len(at), [pack_sorted(keys[a:z]) for _, a, z in at], [pack(nums[a:z].astype(np.uint32)) for _, a, z in at]])
 
         for k, rows in runs(batches, "block", ["text"]):
             if k != block and held:
@@ -153,9 +154,11 @@ def lm_scores(spark: SparkSession, docs: DataFrame, order: int = ORDER, key: str
     # As many blocks as shuffles have partitions at least: then the join below keeps this partitioning, and the texts move once.
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(docs) // BLOCK_BYTES)
     buckets = bucket_count(spark, docs, 4 << 20)
-    names = F.array(*[F.lit(x) for x in labels(spark, n)])
-    block = F.element_at(names, (F.pmod(F.xxhash64("key", "text"), F.lit(n)) + 1).cast("int"))
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).withColumn("block", block).repartition(n, "block")
+    i = F.pmod(F.xxhash64("key", "text"), F.lit(n)).cast("int")
+    names = labels(spark, n)
+    block = F.element_at(F.array(*[F.lit(x) for x in names]), i + 1) if names else i
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).withColumn("block", block).repartition(min(n, MOST_TASKS), "block")
+    rows = rows if names else rows.sortWithinPartitions("block")
     answers = totals(grams(rows, order, buckets), buckets)
     total = docs.agg(F.sum(F.size(F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), "[\\x20\\x09-\\x0D]+"), ""))).alias("n")).first()["n"] or 0
     kind = docs.schema[key].dataType.simpleString()

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import input_bytes, table
+from .common import MOST_TASKS, input_bytes, table
 
 SEED = "mix-1"
 FLATTEN = 0.5  # the default weights: proportional to a source's documents to this power
@@ -61,7 +61,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, target: float
     df = df.withColumn("_u", uniform("copies", key)).withColumn("_n", n).where("_n > 0")
     df = df.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n").cast("long") - 1)))
     df = df.withColumn("shuffle_key", uniform("order", key, "copy")).drop("_source", "source_key", "cdf", "_u", "_n")
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), input_bytes(docs) // (32 << 20))
+    parts = min(MOST_TASKS, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), input_bytes(docs) // (32 << 20)))
     return df.repartition(parts, "shuffle_key").sortWithinPartitions("shuffle_key", key, "copy")
 
 

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, arrow_rows, bucket_count, components, cuts, deal_buckets, emit, lists, ngram_hashes, pack, pack_sorted, runs, shared_dir, staged, table, to_long, unpack, unpack_sorted
+from .common import MOST_TASKS, WordHash, arrow_rows, bucket_count, components, deal_buckets, emit, lists, ngram_hashes, pack, pack_sorted, ranges, runs, shared_dir, staged, table, to_long, unpack, unpack_sorted
 
 LEVELS = (1, 2, 3, 4, 6, 8)
 BLOCK = 64  # nodes of a block when a large group is compared in blocks
@@ -73,10 +73,9 @@ def exchange(docs: DataFrame, n: int, text: str, buckets: int) -> DataFrame:
             nodes, sizes = np.array([v for _, v in sets], np.int64), np.array([len(s) for s, _ in sets], np.uint32)
             order = np.argsort(keys, kind="stable")
             keys, who, cols = keys[order], who[order], [[], [], [], [], []]
-            at = cuts(keys, buckets)
-            for i in np.flatnonzero(np.diff(at)):
-                used, back = np.unique(who[at[i] : at[i + 1]], return_inverse=True)
-                for c, v in zip(cols, (int(i), pack_sorted(keys[at[i] : at[i + 1]]), pack(back.astype(np.uint32)), pack(nodes[used]), pack(sizes[used])), strict=True):
+            for i, lo, hi in ranges(keys, buckets):
+                used, back = np.unique(who[lo:hi], return_inverse=True)
+                for c, v in zip(cols, (i, pack_sorted(keys[lo:hi]), pack(back.astype(np.uint32)), pack(nodes[used]), pack(sizes[used])), strict=True):
                     c.append(v)
             sets.clear()
             seen.clear()
@@ -213,16 +212,16 @@ def forest(pairs: np.ndarray, size: int) -> list[tuple[int, int]]:
 def links(spark: SparkSession, recs: DataFrame, folder: str, percent: int) -> DataFrame:
     """a, b: links that connect what is linked. recs: a table of records()."""
     posts = recs.select("node", F.explode(F.slice("tokens", F.lit(1), F.col("base"))).alias("token"))
-    hubs = staged(spark, posts.groupBy("token").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1").select("token", "hub"), folder, "hubs")
+    hubs = staged(spark, posts.groupBy("token").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1").select("token", "hub"), folder, "hubs", small=True)
     star = posts.join(hubs, "token").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     group = components(spark, star, folder, "groups")
-    sizes = staged(spark, group.groupBy("comp").agg(F.count(F.lit(1)).alias("size")), folder, "sizes")
-    of = staged(spark, group.join(sizes, "comp"), folder, "of")
+    sizes = staged(spark, group.groupBy("comp").agg(F.count(F.lit(1)).alias("size")), folder, "sizes", small=True)
+    of = staged(spark, group.join(sizes, "comp"), folder, "of", small=True)
     df = staged(spark, recs.join(of, "node"), folder, "grouped")
 
     large = df.where(F.col("size") > LARGE)
     typical = large.groupBy("comp").agg(F.min_by(F.struct(F.col("node").alias("h"), F.col("n").alias("hn"), F.col("tokens").alias("ht")), F.struct((F.col("n") - F.size("tokens")) / F.col("n"), F.col("node"))).alias("x"))
-    typical = staged(spark, typical.select("comp", "x.*"), folder, "typical")
+    typical = staged(spark, typical.select("comp", "x.*"), folder, "typical", small=True)
 
     def near(batches, out):
         for b in batches:
@@ -238,7 +237,7 @@ def links(spark: SparkSession, recs: DataFrame, folder: str, percent: int) -> Da
     # Blocks: of small groups one; of large ones the core's and the rest's, of which only pairs with the rest meet.
     pick = lambda size: F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), F.ceil(size / BLOCK)).cast("int")).cast("int")
     parts = large.select("node", "comp").join(star.select("node", "core"), "node").groupBy("comp").agg(F.count_if("core").alias("n_core"), F.count_if(~F.col("core")).alias("n_rest"))
-    parts = staged(spark, parts, folder, "parts")
+    parts = staged(spark, parts, folder, "parts", small=True)
     few = df.where(F.col("size") <= LARGE).select("node", "n", "tokens", "dfs", "base", F.concat_ws(":", "comp").alias("task"))
     big = large.join(star.select("node", "core"), "node").join(parts, "comp").where("n_rest > 0")
     rest_blocks, core_blocks = F.greatest(F.lit(1), F.ceil(F.col("n_rest") / BLOCK)).cast("int"), F.greatest(F.lit(1), F.ceil(F.col("n_core") / BLOCK)).cast("int")
@@ -256,7 +255,7 @@ def links(spark: SparkSession, recs: DataFrame, folder: str, percent: int) -> Da
                 if got:
                     yield out([[rows[i][0] for i, _ in got], [rows[j][0] for _, j in got]])
 
-    n = bucket_count(spark, recs, 4 << 20)
+    n = min(MOST_TASKS, bucket_count(spark, recs, 4 << 20))
     dealt = few.union(big).repartition(n, "task").sortWithinPartitions("task")
     found = emit(dealt, "a long, b long", compare)
     return found.union(star.where("core").select(F.col("node").alias("a"), F.col("h").alias("b")))
@@ -268,14 +267,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, n: int = 5, percent: i
     folder = shared_dir(spark)
     buckets = bucket_count(spark, docs, 4 << 20)
     mem = staged(spark, members(docs, n, key, text), folder, "members")
-    recs = staged(spark, records(shared(exchange(docs, n, text, buckets), buckets), percent), folder, "records")
+    recs = staged(spark, records(shared(exchange(docs, n, text, buckets), buckets), percent), folder, "records", small=True)
     edges = staged(spark, links(spark, recs, folder, percent), folder, "links")
     comp = components(spark, edges, folder, "components")
     reps = mem.where("node is not null").groupBy("node").agg(F.min("key").alias("first"))
     reps = reps.join(comp, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "first")
-    reps = staged(spark, reps, folder, "reps")
-    ids = staged(spark, reps.groupBy("comp").agg(F.min("first").alias("component_id")), folder, "ids")
-    of = staged(spark, reps.join(ids, "comp").select("node", "component_id"), folder, "of-node")
+    reps = staged(spark, reps, folder, "reps", small=True)
+    ids = staged(spark, reps.groupBy("comp").agg(F.min("first").alias("component_id")), folder, "ids", small=True)
+    of = staged(spark, reps.join(ids, "comp").select("node", "component_id"), folder, "of-node", small=True)
     out = mem.join(of, "node", "left")
     return out.select(F.col("key").alias(key), "n_shingles", F.coalesce("component_id", "key").alias("component_id"), "node")
 

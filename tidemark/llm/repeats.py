@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import M1, M2, arrow_rows, bucket_count, emit, lists, mix, runs, shared_dir, staged, table
+from .common import M2, MOST_TASKS, arrow_rows, bucket_count, emit, lists, mix, runs, shared_dir, staged, table
 
 MIN, GRAM = 400, 64
 LARGE = 200  # distinct segments of an anchor that one task compares
@@ -327,10 +327,10 @@ def descend(spark: SparkSession, pieces: DataFrame, folder: str) -> DataFrame:
         df = df.withColumn("core", core).withColumn("same", F.xxhash64("core", F.col("top") - F.col("a"), F.expr(f"substring(seg, a + 1, b - a + {MIN})")))
         df = staged(spark, df.select("h", "lead", "dig", "seg", "a", "b", "core", "same"), folder, f"ranges-{w}")
         one = F.min_by(F.struct("h", "lead", "dig", "seg", "a", "b"), F.struct("dig", "lead", "a")).alias("one")
-        kinds = staged(spark, df.groupBy("core", "same").agg(F.count(F.lit(1)).alias("c"), one), folder, f"kinds-{w}")
-        twice = staged(spark, kinds.where("c > 1").select("same"), folder, f"twice-{w}")
+        kinds = staged(spark, df.groupBy("core", "same").agg(F.count(F.lit(1)).alias("c"), one), folder, f"kinds-{w}", small=True)
+        twice = staged(spark, kinds.where("c > 1").select("same"), folder, f"twice-{w}", small=True)
         found.append(df.join(twice, "same").select("h", "lead", "dig", "a", (F.col("b") + MIN).alias("z")))
-        mixed = staged(spark, kinds.groupBy("core").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("core"), folder, f"mixed-{w}")
+        mixed = staged(spark, kinds.groupBy("core").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("core"), folder, f"mixed-{w}", small=True)
         pieces = kinds.join(mixed, "core").select("one.*")
     return found[0].unionByName(found[1]).unionByName(found[2])
 
@@ -340,7 +340,7 @@ def repeated_parts(spark: SparkSession, docs: DataFrame, folder: str) -> DataFra
     prof = staged(spark, profile(docs.select("node", "text")), folder, "profile")
     seen = prof.select("node", F.explode(F.arrays_zip("anchors", "again")).alias("x")).select("node", F.col("x.anchors").alias("h"), F.col("x.again").alias("again"))
     many = seen.groupBy("h").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.max("again").alias("again")).where("lo != hi or again").select("h")
-    many = staged(spark, many, folder, "anchors")
+    many = staged(spark, many, folder, "anchors", small=True)
     wanted = seen.select("node", "h").join(many, "h").groupBy("node").agg(F.collect_set("h").alias("wanted"))
     wanted = staged(spark, wanted, folder, "wanted")
     segs = staged(spark, segments(docs.join(wanted, "node").select("node", "text", "wanted")), folder, "segments")
@@ -350,7 +350,7 @@ def repeated_parts(spark: SparkSession, docs: DataFrame, folder: str) -> DataFra
     place = segs.where("seg is not null").select("h", "lead", "node", "start", dig.alias("dig"), F.octet_length("seg").alias("size"))
     distinct = segs.where("seg is not null").groupBy("h", "lead", "seg").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
     distinct = staged(spark, distinct.select("h", "lead", "seg", (F.col("lo") != F.col("hi")).alias("twice"), dig.alias("dig")), folder, "distinct")
-    sizes = staged(spark, distinct.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.count_if(~F.col("twice")).alias("open")).where("c > 1 and open > 0"), folder, "sizes")
+    sizes = staged(spark, distinct.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.count_if(~F.col("twice")).alias("open")).where("c > 1 and open > 0"), folder, "sizes", small=True)
     open_ = distinct.join(sizes, "h")
 
     def compare(batches, out):
@@ -372,7 +372,7 @@ def repeated_parts(spark: SparkSession, docs: DataFrame, folder: str) -> DataFra
             yield got
 
     parts = "h long, lead int, dig long, a int, z int"
-    n = bucket_count(spark, distinct, 8 << 20)
+    n = min(MOST_TASKS, bucket_count(spark, distinct, 8 << 20))
     small = emit(open_.where(F.col("c") <= LARGE).select("h", "lead", "seg", "dig", "twice").repartition(n, "h").sortWithinPartitions("h"), parts, compare)
     large = descend(spark, open_.where(F.col("c") > LARGE).select("h", "lead", "dig", "seg", F.lit(0).alias("a"), (F.octet_length("seg") - MIN).alias("b")), folder)
     whole = distinct.where("twice").select("h", "lead", "dig", F.lit(0).alias("a"), F.octet_length("seg").alias("z"))
@@ -389,10 +389,10 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, key: str = "doc_id", te
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
     # Of equal texts, one takes part; texts below MIN have no windows.
     copies = rows.where(F.octet_length("text") >= MIN).groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(F.col("key").isNull(), "key"))["key"].alias("first"))
-    copies = staged(spark, copies, folder, "copies")
-    parts = staged(spark, repeated_parts(spark, rows.where(F.octet_length("text") >= MIN).select("node", "text"), folder), folder, "parts")
+    copies = staged(spark, copies, folder, "copies", small=True)
+    parts = staged(spark, repeated_parts(spark, rows.where(F.octet_length("text") >= MIN).select("node", "text"), folder), folder, "parts", small=True)
     of = copies.join(parts, "node", "left").where("copies > 1 or parts is not null")
-    of = staged(spark, of.select(F.col("node").alias("n"), "copies", F.when(F.col("copies") == 1, F.col("parts")).alias("parts")), folder, "of")
+    of = staged(spark, of.select(F.col("node").alias("n"), "copies", F.when(F.col("copies") == 1, F.col("parts")).alias("parts")), folder, "of", small=True)
 
     def each(batches, out):
         import pyarrow as pa

@@ -113,9 +113,9 @@ def decisions(spark: SparkSession, pages: DataFrame, folder: str) -> DataFrame:
     """pages (page_id, url, html) with refers_to: the page that a revisit repeats, null for responses."""
     html = F.coalesce("html", F.lit(""))
     small = pages.select("page_id", F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).alias("size")).where(F.col("size") >= MIN_REVISIT)
-    first = staged(spark, small.groupBy("digest").agg(F.max("page_id").alias("of"), F.count(F.lit(1)).alias("c")).where("c > 1 and of is not null"), folder, "first")
+    first = staged(spark, small.groupBy("digest").agg(F.max("page_id").alias("of"), F.count(F.lit(1)).alias("c")).where("c > 1 and of is not null"), folder, "first", small=True)
     again = small.join(first, "digest").where("page_id is null or page_id != of").select(F.col("page_id").alias("p"), F.col("of").alias("refers_to"), F.col("digest").alias("d")).distinct()
-    again = staged(spark, again, folder, "again")
+    again = staged(spark, again, folder, "again", small=True)
     return pages.join(again, F.col("page_id").eqNullSafe(F.col("p")) & (F.sha1(html.cast("binary")) == F.col("d")), "left").select("page_id", "url", "html", "refers_to")
 
 
@@ -299,7 +299,7 @@ def archive(spark: SparkSession, pages: DataFrame) -> DataFrame:
     folder = f"{root}/warc"
     files = staged(spark, write(decisions(spark, pages.select("page_id", "url", "html"), root), folder), root, "files")
     got = staged(spark, read(files, folder), root, "read")
-    first = staged(spark, got.where("kind = 'response'").groupBy("page_id", "digest").agg(F.max("bytes").alias("b")).select(F.col("page_id").alias("o"), F.col("digest").alias("d"), "b"), root, "origins")
+    first = staged(spark, got.where("kind = 'response'").groupBy("page_id", "digest").agg(F.max("bytes").alias("b")).select(F.col("page_id").alias("o"), F.col("digest").alias("d"), "b"), root, "origins", small=True)
     index = staged(spark, merged(spark, files, folder), root, "index")
     df = got.join(index, ["archive", "offset", "length"])
     again = df.where("kind = 'revisit'").join(first, (F.col("refers_to") == F.col("o")) & (F.col("digest") == F.col("d")))
