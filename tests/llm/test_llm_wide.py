@@ -1,12 +1,14 @@
 """Language model, joins, archives, repeats, pipeline: brute force on small tables, edge cases, the paths of large groups."""
 
 import collections
+import gzip
 import hashlib
 import math
 import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import lm, ngramjoin, queries, repeats, warc
 
@@ -171,7 +173,7 @@ def test_archives(spark, sf, monkeypatch):
     monkeypatch.setattr(warc, "PER_RANGE", 40)
     p = spark.read.parquet(f"{sf}/pages.parquet")
     odd = spark.createDataFrame([(7777, None, None), (None, "http://x", "y" * 2000), (None, "http://x", "y" * 2000), (7778, "http://x/\r\nbad", "y" * 2000), (7779, "http://X:99999/p", "é" * 3), (7779, "http://X", "é" * 3), (7780, "no url [", "y" * 999), (7781, "u", "y" * 999)], "page_id long, url string, html string")
-    p = p.union(p.selectExpr("page_id + 100000", "url", "html").limit(20)).union(odd).withColumn("digest", p.url if False else odd.url if False else p["url"] if False else __import__("pyspark.sql.functions", fromlist=["lit"]).lit("clash")).repartition(6)
+    p = p.union(p.selectExpr("page_id + 100000", "url", "html").limit(20)).union(odd).withColumn("digest", F.lit("clash")).repartition(6)
     rows = p.collect()
     got = warc.archive(spark, p).collect()
     same = collections.defaultdict(list)
@@ -193,7 +195,7 @@ def test_no_pages(spark):
 
 
 def test_damaged_record_is_told():
-    raw = __import__("gzip").decompress(warc.record("response", 1, "http://a", hashlib.sha1(b"x").digest(), b"x", None))
+    raw = gzip.decompress(warc.record("response", 1, "http://a", hashlib.sha1(b"x").digest(), b"x", None))
     assert warc.parse(raw)["bytes"] == 1
     with pytest.raises(ValueError):
         warc.parse(raw.replace(b"\r\n\r\nx\r\n", b"\r\n\r\ny\r\n"))
@@ -283,7 +285,7 @@ def test_pipeline_stages(spark, sf, docs):
     want = {i: t for i, t in docs if model.score(t) < toxicity.THRESHOLD}
     a = cp.toxicity(spark, src, sf)
     assert tuple(a.columns) == cp.COLUMNS and {r["doc_id"] for r in a.collect()} == set(want)
-    a = a.localCheckpoint() if False else a.cache()
+    a = a.cache()
     b = cp.near_duplicate(spark, a, sf).cache()
     keep = {c for _, _, c in brute_components(list(want.items()))}
     assert {r["doc_id"] for r in b.collect()} == keep and b.count() == len(keep)
