@@ -20,13 +20,12 @@ from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from .common import M3, arrow_rows, kept, mix, table, with_columns
+from .common import M3, arrow_rows, kept, list_array, mix, table, with_columns
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-MOST_EDGES = 5_000_000  # of lattices that a worker keeps
+MOST_EDGES = 3_000_000  # of lattices that a worker keeps
 _UNIT = re.compile(r" *[^ \n]+| +|\n+")
 
 
@@ -253,16 +252,16 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str =
         lat, pieces = kept(("lattice", hash(proto), alpha, sample, seed), lambda: Lattice(proto, alpha, sample, seed)), [None] * len(texts)
         some = [i for i, t in enumerate(texts) if t is not None]
         at = 0
-        while at < len(some):  # up to two million characters at a time, a longer text alone
+        while at < len(some):  # up to a million characters at a time, a longer text alone
             n, to = 0, at
-            while to < len(some) and (to == at or n + len(texts[some[to]]) <= 2_000_000):
+            while to < len(some) and (to == at or n + len(texts[some[to]]) <= 1_000_000):
                 n += len(texts[some[to]])
                 to += 1
             for i, p in zip(some[at:to], lat.encode([texts[i] for i in some[at:to]], [keys[i] for i in some[at:to]]), strict=True):
                 pieces[i] = p
             at = to
         same = [None if p is None else lat.decode(p.tolist()) == t for p, t in zip(pieces, texts, strict=True)]
-        return [pieces, [None if p is None else len(p) for p in pieces], same]
+        return [list_array(pieces), [None if p is None else len(p) for p in pieces], same]
 
     return with_columns(docs, [text, key], "pieces array<int>, n_pieces long, lossless boolean", each)
 
