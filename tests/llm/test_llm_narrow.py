@@ -225,6 +225,20 @@ def test_mixing_edges(spark, edge, empty):
     assert sorted(map(str, rows)) == sorted(map(str, mixing.mix(edge).collect()))
 
 
+def test_mixing_draws_large_means(spark):
+    source = F.when(F.col("id") == 0, "rare").otherwise("hot")
+    m = mixing.mix(spark.range(40_000).select(F.col("id").alias("doc_id"), source.alias("source")))
+    copies = sorted(r["copy"] for r in m.where("source = 'rare'").collect())
+    want = 40_000 / (1 + 39_999**0.5)  # 199
+    assert copies == list(range(len(copies))) and abs(len(copies) - want) < 5 * want**0.5
+    few = spark.range(600).select(F.col("id").alias("doc_id"), F.lit("a").alias("source"))
+    n = np.array([r["count"] for r in mixing.mix(few, target=600 * 200.0).groupBy("doc_id").count().collect()])
+    assert len(n) == 600 and abs(n.mean() / 200 - 1) < 0.02 and abs(n.var() / 200 - 1) < 0.3  # a Poisson variable's variance is its mean
+    one = mixing.mix(few.where("doc_id = 3"), target=200_000.0)
+    got = one.agg(F.count(F.lit(1)), F.countDistinct("copy"), F.max("copy")).first()
+    assert abs(got[0] - 200_000) < 2500 and got[1] == got[0] == got[2] + 1
+
+
 # -- toxicity -------------------------------------------------------------------------------------
 
 

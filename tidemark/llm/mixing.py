@@ -1,10 +1,12 @@
 """Mixing sources to target weights by Poisson replication.
 
 A document's number of copies is the inverse of the Poisson distribution function at a uniform number hashed from seed
-and doc_id, with its source's target repetition rate as mean: weight x target documents / documents of the source.
-Copies are exploded and shuffled globally by a hashed key. All expressions are built in; the rates are a table with one
-row for each source, joined by broadcast only below a checked number of sources and else with the documents' side
-split by AQE. The shuffle deals by the hashed key, so that a hot source spreads evenly.
+and doc_id, with its source's target repetition rate as mean: weight x target documents / documents of the source. A
+mean above MOST_RATE is drawn as a sum of independent draws of equal means of at most MOST_RATE, which has the same
+distribution. Copies are exploded (in blocks of BLOCK if a row can have many) and shuffled globally by a hashed key.
+All expressions are built in; the rates are a table with one row for each source, joined by broadcast only below a
+checked number of sources and else with the documents' side split by AQE. The shuffle deals by the hashed key, so that
+a hot source spreads evenly.
 
 Defined results: a null source is a source of its own; null texts and repeated rows count and copy like others (equal
 doc_ids draw equal numbers); a null doc_id draws as the text 'null'; an empty table gives an empty one; further
@@ -20,13 +22,14 @@ from .common import MOST_TASKS, input_bytes, table
 
 SEED = "mix-1"
 FLATTEN = 0.5  # the default weights: proportional to a source's documents to this power
-MOST_RATE = 64.0  # a mean above this is refused: the table of the distribution function would grow without need
+MOST_RATE = 64.0  # a mean above this is drawn in parts: the table of the distribution function would grow without need
 TERMS = 160  # of the distribution function: at a mean of 64 the rest is below 1e-20
+BLOCK = 1 << 16  # copies of a row that are made at once
 
 
 def uniform(what: str, *cols) -> F.Column:
-    """A number in [0, 1) from the first 13 hexadecimal digits of an MD5: the same in any engine."""
-    key = F.concat_ws("|", F.lit(SEED), F.lit(what), *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in cols])
+    """A number in [0, 1) from the first 13 hexadecimal digits of an MD5: the same in any engine. cols: names or columns."""
+    key = F.concat_ws("|", F.lit(SEED), F.lit(what), *[F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("null")) for c in cols])
     return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("long").cast("double") / F.lit(float(1 << 52))
 
 
@@ -40,8 +43,7 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, target: floa
     n = n.withColumn("w", w)
     all_n, all_w = n.agg(F.sum("n"), F.sum(F.round("w", 6))).first()  # two numbers
     want = float(target if target is not None else all_n or 0)
-    rate = F.round(F.col("w") / F.lit(float(all_w or 1)) * F.lit(want) / F.col("n"), 9)
-    return n.select("source_key", F.when(rate <= MOST_RATE, rate).otherwise(F.raise_error(F.lit("a source's repetition rate is too high"))).alias("rate"))
+    return n.select("source_key", F.round(F.col("w") / F.lit(float(all_w or 1)) * F.lit(want) / F.col("n"), 9).alias("rate"))
 
 
 def distribution(rate: F.Column) -> F.Column:
@@ -54,14 +56,25 @@ def distribution(rate: F.Column) -> F.Column:
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, target: float | None = None, key: str = "doc_id", source: str = "source") -> DataFrame:
     """docs, each as often as drawn, with copy (from 0) and shuffle_key, dealt and ordered by the latter."""
     docs = docs.drop("copy", "shuffle_key")
-    r = rates(docs, weights, target, source).withColumn("cdf", distribution(F.col("rate"))).select("source_key", "cdf")
-    few = r.limit(10_001).count() <= 10_000  # at most 10,000 rows of at most TERMS numbers
+    r = rates(docs, weights, target, source).withColumn("draws", F.greatest(F.lit(1), F.ceil(F.col("rate") / MOST_RATE)).cast("long"))
+    sources, most = r.agg(F.count(F.lit(1)), F.max("rate")).first()
+    few = sources <= 10_000  # rows of at most TERMS numbers
+    r = r.withColumn("cdf", distribution(F.col("rate") / F.col("draws"))).select("source_key", "draws", "cdf")
     df = docs.withColumn("_source", F.coalesce(F.col(source), F.lit("null"))).join(F.broadcast(r) if few else r, F.col("_source") == F.col("source_key"))
-    n = F.size(F.filter("cdf", lambda c: c <= F.col("_u")))
-    df = df.withColumn("_u", uniform("copies", key)).withColumn("_n", n).where("_n > 0")
-    df = df.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n").cast("long") - 1)))
-    df = df.withColumn("shuffle_key", uniform("order", key, "copy")).drop("_source", "source_key", "cdf", "_u", "_n")
     parts = min(MOST_TASKS, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), input_bytes(docs) // (32 << 20)))
+    zero = F.lit(0).cast("long")
+    drawn = lambda u: F.size(F.filter("cdf", lambda c: c <= u)).cast("long")
+    df = df.withColumn("_u", uniform("copies", key)).withColumn("_n", drawn(F.col("_u")))
+    if (most or 0) > MOST_RATE:  # the further draws of a large mean have numbers of their own
+        further = F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("draws") - 1), zero, lambda a, i: a + drawn(uniform("copies", key, i)))
+        df = df.withColumn("_n", F.col("_n") + F.when(F.col("draws") > 1, further).otherwise(zero))
+    some = lambda a: F.explode(F.when(F.col("_n") > 0, a))  # noqa: E731  # not a filter: Spark 4.1 moves one to the rates, which lack the row's number
+    if (most or 0) > BLOCK // 2:  # blocks are dealt first, so that the copies of one row aren't made by one task
+        df = df.drop("cdf").withColumn("_b", some(F.sequence(zero, F.floor((F.col("_n") - 1) / BLOCK)))).repartition(parts, F.xxhash64(key, "_b"))
+        df = df.withColumn("copy", F.explode(F.sequence(F.col("_b") * BLOCK, F.least(F.col("_n"), (F.col("_b") + 1) * BLOCK) - 1))).drop("_b")
+    else:
+        df = df.withColumn("copy", some(F.sequence(zero, F.col("_n") - 1)))
+    df = df.withColumn("shuffle_key", uniform("order", key, "copy")).drop("_source", "source_key", "draws", "cdf", "_u", "_n")
     return df.repartition(parts, "shuffle_key").sortWithinPartitions("shuffle_key", key, "copy")
 
 
