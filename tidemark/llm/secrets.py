@@ -1,11 +1,12 @@
 """Secret scans: a character convolutional network over every candidate and its surroundings.
 
 Patterns find the base spans (assignments, access keys, hex runs), which always stay. Further candidates - any run of 16
-or more token characters that mixes letters and digits and isn't part of a base span - are judged by a small network
-(embedding, one convolution, pooling over candidate and context, one output) in numpy. It is trained on labelled
-findings made by a seeded generator (secrets in the forms that scanners list; look-alikes such as checksums, commit ids,
-identifiers and numbers), calibrated by a logistic fit on a second part, and cut at the highest threshold that keeps the
-wanted recall on a third part. One narrow pass over the documents: no shuffle.
+or more token characters that mixes letters and digits, without the base spans in it - are judged by a small network
+(embedding, one convolution, pooling over candidate and context, one output) in numpy. What is longer than a window is
+judged in overlapping windows over all of it and what follows, and the highest probability counts. The network is
+trained on labelled findings made by a seeded generator (secrets in the forms that scanners list; look-alikes such as
+checksums, commit ids, identifiers and numbers; long runs with a secret anywhere or none), calibrated by a logistic fit
+on a second part, and cut at the highest threshold that keeps the wanted recall on a third part. One narrow pass over the documents: no shuffle.
 
 Defined results: a null text is an empty one; an empty text has no spans; texts are searched whole; repeated rows give
 repeated results; further columns are ignored; an empty table gives an empty one. Positions are code points.
@@ -27,6 +28,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _OTHER = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 WIDTH, BEFORE, EMBED, FILTERS, SPAN = 96, 32, 8, 24, 5
+STEP = 32  # between the windows of a long candidate: each 32 characters in a row are whole in one
 RECALL = 0.98
 
 
@@ -38,16 +40,34 @@ def base_spans(t: str) -> list[tuple[int, int, int]]:
     return sorted(out + [(m.start(), 2, m.end()) for m in _HEX.finditer(t)])
 
 
+def mixed(s: str) -> bool:
+    return any(c.isdigit() for c in s) and any(c.isalpha() for c in s)
+
+
 def other_candidates(t: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Runs of token characters with letters and digits that touch no base span."""
+    """Runs of token characters with letters and digits, without base spans: of what these leave, parts that are such
+    runs themselves, and shorter ones beside a key or hex run, which may belong to it."""
     out, k = [], 0
+    union: list[list[int]] = []
+    for a, _, b in base:
+        if union and a <= union[-1][1]:
+            union[-1][1] = max(union[-1][1], b)
+        else:
+            union.append([a, b])
+    starts, ends = {a for a, kind, _ in base if kind}, {b for _, kind, b in base if kind}
     for m in _OTHER.finditer(t):
-        a, b, s = m.start(), m.end(), m.group()
-        if any(c.isdigit() for c in s) and any(c.isalpha() for c in s):
-            while k < len(base) and base[k][2] <= a and all(x[2] <= a for x in base[k : k + 3]):
-                k += 1
-            if not any(x[0] < b and a < x[2] for x in base[k:][:8]):
-                out.append((a, b))
+        if not mixed(m.group()):
+            continue
+        at, b = m.span()
+        while k < len(union) and union[k][1] <= at:
+            k += 1
+        parts, j = [], k
+        while j < len(union) and union[j][0] < b:
+            parts.append((at, union[j][0]))
+            at, j = union[j][1], j + 1
+        for x, y in [*parts, (at, b)]:
+            if x < y and ((y - x >= 16 and mixed(t[x:y])) or ((x in ends or y in starts) and any(c.isalnum() for c in t[x:y]))):
+                out.append((x, y))
     return out
 
 
@@ -58,6 +78,11 @@ def codes(t: str, a: int, b: int) -> np.ndarray:
     return np.where(x >= 127, 1, np.where(x < 32, np.where(x == 0, 0, 2), x - 29)).astype(np.int8)
 
 
+def places(a: int, b: int) -> range:
+    """Where the windows of a candidate begin: one, or if it is longer than that, as many as see all of it and STEP more."""
+    return range(a, b, STEP) if b - a > WIDTH - BEFORE else range(a, a + 1)
+
+
 class Net:
     """Embedding, convolution, ReLU, maxima over context and candidate, one logit; trained by plain Adam."""
 
@@ -120,8 +145,60 @@ class Net:
         self.threshold = float(p[int(np.floor((1 - recall) * len(p)))])
 
 
+def long_findings(n: int, seed: int = 11) -> list[tuple[str, int, int]]:
+    """n made texts with a long run or a run around a hex run, and where its secret begins and ends: every other one has none."""
+    r = np.random.default_rng([seed, 1])
+    alnum, hexa = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "0123456789abcdef"
+    some = lambda a, k: "".join(np.array(list(a))[r.integers(0, len(a), k)])
+    word = lambda: some("etaoinshrdlucmfw", int(r.integers(2, 9)))
+    prose = lambda k: " ".join(word() for _ in range(k))
+    pick = lambda a: a[int(r.integers(0, len(a)))]
+
+    def words(least: int) -> str:
+        sep, s = pick("/_-"), word() + str(r.integers(1, 2030))
+        while len(s) < least:
+            s += sep + (word() if r.random() < 0.8 else pick(["v", "", "id"]) + str(r.integers(1, 2030)))
+        return s
+
+    out = []
+    for i in range(n):
+        k = int(r.integers(0, 5))
+        secret = some(alnum, int(r.integers(24, 48)))
+        if i % 2:
+            lead, secret, rest = [
+                lambda: ("", "eyJ" + some(alnum + "_-", int(r.integers(65, 300))), ""), lambda: ("", some(alnum + "+/", int(r.integers(65, 300))) + pick(["", "="]), ""),
+                lambda: (words(int(r.integers(60, 240))) + pick("/=_"), secret, ""), lambda: (words(int(r.integers(40, 120))) + "/", secret, "/" + words(int(r.integers(20, 120)))),
+                lambda: ("", some(alnum, int(r.integers(8, 24))) + some(hexa, 24) + some(alnum, int(r.integers(0, 24))), ""),
+            ][k]()
+        else:
+            secret = ""
+            lead, rest = [
+                lambda: (words(int(r.integers(65, 300))), ""), lambda: (pick(["/", "./", ""]) + words(int(r.integers(65, 160))), ""), lambda: (pick("=-_/") * int(r.integers(60, 120)) + word() + str(r.integers(0, 99)), ""),
+                lambda: (words(int(r.integers(4, 40))) + pick("/-_="), some(hexa, 40) + pick(["", "/" + words(8), "-" + word()])), lambda: ("-".join(str(r.integers(1, 2030)) for _ in range(int(r.integers(14, 40)))) + "-" + word(), ""),
+            ][k]()
+        t = prose(int(r.integers(2, 7))) + " "
+        a = len(t) + len(lead)
+        out.append((t + lead + secret + rest + pick([" ", ". ", ", ", "\n"]) + prose(int(r.integers(1, 6))), a, a + len(secret)))
+    return out
+
+
+def long_windows(n: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and labels of the windows of long_findings, without those that hold a secret's edge only."""
+    xs, ys = [], []
+    for t, lo, hi in long_findings(n, seed):
+        for a, b in other_candidates(t, base_spans(t)):
+            for w in places(a, b):
+                if min(hi, w + WIDTH - BEFORE) - max(lo, w) >= 16:
+                    xs.append(codes(t, w, b))
+                    ys.append(1)
+                elif lo == hi or hi <= w - BEFORE or w + WIDTH - BEFORE <= lo:
+                    xs.append(codes(t, w, b))
+                    ys.append(0)
+    return np.array(xs), np.array(ys, float)
+
+
 def labelled_findings(n: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and labels of n made findings in prose: half of them secrets."""
+    """Codes and labels of n made findings in prose, half of them secrets, and of the windows of n / 4 long ones."""
     r = np.random.default_rng(seed)
     alnum, low, hexa = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef"
     some = lambda a, k: "".join(np.array(list(a))[r.integers(0, len(a), k)])
@@ -149,19 +226,25 @@ def labelled_findings(n: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
         at = t.index(s, len(before) - 1 if t.startswith(before) else 0)
         xs.append(codes(t, at, at + len(s)))
         ys.append(y)
-    return np.array(xs), np.array(ys, float)
+    x, y = long_windows(n // 4, seed)
+    return np.concatenate([np.array(xs), x]), np.concatenate([np.array(ys, float), y])
 
 
 _MODEL: list[Net] = []
 
 
 def model(n: int = 3000) -> Net:
-    """The network, trained once a process: n findings to train on, n / 2 each to calibrate and to set the threshold."""
+    """The network, trained once a process: n findings (and long ones) to train on, n / 2 each to calibrate and to set the threshold."""
     if not _MODEL:
         net = Net()
         net.fit(*labelled_findings(n, 11))
         net.calibrate(*labelled_findings(n // 2, 12))
-        net.constrain(*labelled_findings(n // 2, 13))
+        x, y = labelled_findings(n // 2, 13)
+        least = []
+        for part in (slice(n // 2), slice(n // 2, None)):  # the recall holds for short and for long ones
+            net.constrain(x[part], y[part])
+            least.append(net.threshold)
+        net.threshold = min(least)
         _MODEL.append(net)
     return _MODEL[0]
 
@@ -172,7 +255,10 @@ def scan(t: str, net: Net) -> tuple[list[tuple[int, int, int]], list[tuple[int,
     other = other_candidates(t, base)
     if not base and not other:
         return base, base, 0.0
-    p = net.prob(np.array([codes(t, a, b) for a, _, b in base] + [codes(t, a, b) for a, b in other]))
+    all_ = [(a, b) for a, _, b in base] + other
+    at = [places(a, b) for a, b in all_]
+    p = net.prob(np.array([codes(t, w, b) for (_, b), ws in zip(all_, at, strict=True) for w in ws]))
+    p = np.maximum.reduceat(p, np.cumsum([0, *map(len, at)])[:-1])
     more = [(a, 3, b) for (a, b), q in zip(other, p[len(base) :], strict=True) if q >= net.threshold]
     return base, sorted(base + more), float(p.max())
 
