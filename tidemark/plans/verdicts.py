@@ -59,7 +59,7 @@ def ascm_effect_path(spark, sf):
 
 @query
 def break_search(spark, sf):
-    b = E.breaks(nation_panels(spark, sf), most=8)
+    b = E.breaks(nation_panels(spark, sf))
     return b.select("verdict", "index", "first", "last", settled("stat", 4).alias("stat"), "p", "detected")
 
 
