@@ -46,13 +46,13 @@ def nation_panels(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def land_verdict(spark, sf):
     """Nations as units, with an invented event: bins, donors, fits, intervals, placebos in space and time, verdict."""
-    d = land_verdicts(spark, nation_panels(spark, sf), k=15, placebos=12, grid=21)
+    d = land_verdicts(spark, nation_panels(spark, sf))
     return d.select("verdict", "status", *[settled(c, 4).alias(c) for c in ("point", "lo", "hi", "placebo_p", "pre_rmse")], "n_pre", "n_post", "n_donors")
 
 
 @query
 def ascm_effect_path(spark, sf):
-    fits = E.run(nation_panels(spark, sf), 15, placebos=8, grid=11)
+    fits = E.run(nation_panels(spark, sf))
     t = fits.where("kind = 'treated'").select("verdict", F.posexplode("effect").alias("bin", "e"))
     return t.join(E.placebo_band(fits), ["verdict", "bin"]).select("verdict", "bin", *[settled(c, 4).alias(c) for c in ("e", "lo", "hi")])
 
