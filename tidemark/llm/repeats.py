@@ -6,9 +6,9 @@
 2. Segments. For each other anchor, the windows that it stands for, as one string. A segment that occurs twice is
    repeated as a whole, and only distinct segments are compared further, by anchor.
 3. Suffix arrays. A task concatenates the segments of whole anchors, sorts the suffixes by doubling ranks, takes common
-   prefixes from the ranks, and scans the LCP intervals of at least MIN with a stack. An interval whose occurrences
-   differ in the byte before them is a maximal repeat, whose group of all occurrences maximal_repeats() gives; each
-   suffix is covered over the length of its innermost interval. An anchor of more than LARGE distinct segments isn't
+   prefixes from the ranks, and scans the LCP intervals of at least MIN with a stack. Each
+   suffix is covered over the length of its innermost interval. Groups aren't output and left-diversity isn't used here:
+   maximal_repeats() alone gives the intervals whose occurrences differ in the byte before them, for texts in memory. An anchor of more than LARGE distinct segments isn't
    given to one task: its windows are compared in ranges by hash, and ranges that differ in narrower ones. Both are exact.
 4. Coverage goes back to the texts by their hash; overlapping parts are merged and removed.
 
