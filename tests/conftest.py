@@ -3,6 +3,9 @@ import sys
 
 import pytest
 
+for _x in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS"):
+    os.environ.setdefault(_x, "1")  # one BLAS thread a task: tasks fill the cores
+
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 

@@ -53,48 +53,58 @@ def run_task(row, k: int, least: float, grid: int) -> tuple | None:
     return _row(row, f, pre, len(d), ci)
 
 
+CHUNK = 8  # tasks that share a copy of their verdict's arrays
+
+
 def tasks(panel: DataFrame, placebos: int = 60, fake: int = 3) -> DataFrame:
-    """verdict, kind, j with the verdict's arrays: evenly spaced placebo units, fake dates, the treated unit."""
+    """verdict, part, todo (kind, j) with the verdict's arrays: evenly spaced placebo units, fake dates, the treated unit, in chunks."""
     m = matrices(panel)
     n = F.size("units") - 1
     even = F.transform(F.sequence(F.lit(0), F.least(n, F.lit(placebos)) - 1), lambda i: F.when(n <= placebos, i).otherwise(F.bround(i * (n - 1) / (placebos - 1)).cast("int")))
     one = lambda kind: lambda j: F.struct(F.lit(kind).alias("kind"), j.cast("long").alias("j"))
-    todo = F.concat(F.array(F.struct(F.lit("treated").alias("kind"), F.lit(0).cast("long").alias("j"))), F.transform(even, one("space")), F.transform(F.sequence(F.lit(1), F.lit(fake)), one("time")))
-    return m.select("*", F.explode(todo).alias("t")).select("verdict", "units", "pre", "m", "t.kind", "t.j")
+    todo = F.concat(F.array(F.struct(F.lit("treated").alias("kind"), F.lit(0).cast("long").alias("j"))), F.transform(F.sequence(F.lit(1), F.lit(fake)), one("time")), F.transform(even, one("space")))
+    m = m.withColumn("todo", todo).withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.size("todo") - 1) / CHUNK).cast("int"))))
+    return m.withColumn("todo", F.slice("todo", F.col("part") * CHUNK + 1, CHUNK))
 
 
 def run(panel: DataFrame, k: int = 80, least: float = 0.05, placebos: int = 60, grid: int = 41) -> DataFrame:
     """A row (FIT) for each task."""
-    todo = tasks(panel, placebos)
     n = max(1, int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def each(batches):
         for b in batches:
-            got = [r for r in (run_task(t, k, least, grid) for t in b.itertuples(index=False)) if r]
-            yield pd.DataFrame(got, columns=[x.split()[0] for x in FIT.split(", ")]).astype({"boundary_hit": object, "flagged": object})
+            got = [run_task(r._replace(kind=t["kind"], j=t["j"]), k, least, grid) for r in b.assign(kind="", j=0).itertuples(index=False) for t in r.todo]
+            yield pd.DataFrame([r for r in got if r], columns=[x.split()[0] for x in FIT.split(", ")]).astype({"boundary_hit": object, "flagged": object})
+
+    return tasks(panel, placebos).repartition(n, "verdict", "part").mapInPandas(each, FIT)
+
 
-    return todo.repartition(n, "verdict", "kind", "j").mapInPandas(each, FIT)
+def _median(a) -> F.Column:
+    s, n = F.sort_array(a), F.size(a)
+    return F.when(n > 0, (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2)
 
 
 def results(fits: DataFrame, panel: DataFrame) -> DataFrame:
-    """A row a verdict: what the decision rules read, with ranks of the treated unit among its placebos."""
-    t = fits.where("kind = 'treated'").select("verdict", "point", F.col("ratio").alias("_r"), F.col("rmse").alias("pre_rmse"), "lam", "lo", "hi", "p_zero", "boundary_hit", "n_donors")
-    s = fits.where("kind = 'space'").select("verdict", F.col("ratio").alias("_sr"), F.col("point").alias("_sp"), F.col("rmse").alias("_sm"))
-    sign = F.when(F.col("point") < 0, -1.0).otherwise(1.0)
-    p = t.select("verdict", "point", "_r").join(s, "verdict").groupBy("verdict").agg(
-        ((F.count_if(F.col("_sr") >= F.col("_r")) + 1) / (F.count(F.lit(1)) + 1)).alias("placebo_p"), ((F.count_if(sign * F.col("_sp") >= sign * F.col("point")) + 1) / (F.count(F.lit(1)) + 1)).alias("placebo_p_effect"),
-        F.count(F.lit(1)).alias("placebo_n"), F.median("_sm").alias("placebo_pre_rmse_median"), F.median("_sp").alias("placebo_effect_median"),
+    """A row a verdict: what the decision rules read, with ranks of the treated unit among its placebos. One aggregation, so that each task is fitted once."""
+    of = lambda kind, *cols: F.when(F.col("kind") == kind, F.struct(*cols))
+    own = of("treated", "point", "ratio", F.col("rmse").alias("pre_rmse"), "lam", "lo", "hi", "p_zero", "boundary_hit", "n_donors")
+    r = fits.groupBy("verdict").agg(F.max(own).alias("t"), F.collect_list(of("space", "ratio", "point", "rmse")).alias("s"), F.sort_array(F.collect_list(of("time", "j", "flagged"))).alias("f")).where("t is not null")
+    sign = F.when(F.col("t.point") < 0, -1.0).otherwise(1.0)
+    share = lambda hit: (F.size(F.filter("s", hit)) + 1) / (F.size("s") + 1)
+    r = r.select(
+        "verdict", *[F.col(f"t.{c}").alias(c) for c in ("point", "pre_rmse", "lam", "lo", "hi", "p_zero", "boundary_hit", "n_donors")],
+        share(lambda x: x["ratio"] >= F.col("t.ratio")).alias("placebo_p"), share(lambda x: sign * x["point"] >= sign * F.col("t.point")).alias("placebo_p_effect"), F.size("s").cast("long").alias("placebo_n"),
+        _median(F.transform("s", lambda x: x["rmse"])).alias("placebo_pre_rmse_median"), _median(F.transform("s", lambda x: x["point"])).alias("placebo_effect_median"), F.transform("f", lambda x: x["flagged"]).alias("time_placebo_flags"),
     )
-    f = fits.where("kind = 'time'").groupBy("verdict").agg(F.transform(F.sort_array(F.collect_list(F.struct("j", "flagged"))), lambda x: x["flagged"]).alias("time_placebo_flags"))
     n = panel.where("unit = 0").groupBy("verdict").agg(F.count_if("pre").alias("n_pre"), F.count_if(~F.col("pre")).alias("n_post"))
-    out = t.drop("_r").join(p, "verdict", "left").join(f, "verdict", "left").join(n, "verdict")
-    return out.withColumn("time_placebo_flags", F.coalesce("time_placebo_flags", F.array().cast("array<boolean>"))).withColumns({"placebo_p": F.coalesce("placebo_p", F.lit(1.0)), "placebo_p_effect": F.coalesce("placebo_p_effect", F.lit(1.0)), "placebo_n": F.coalesce("placebo_n", F.lit(0).cast("long"))})
+    return r.join(n, "verdict")
 
 
 def placebo_band(fits: DataFrame) -> DataFrame:
-    """verdict, bin, lo, hi: 5 % and 95 % of the placebo units' paths."""
-    e = fits.where("kind = 'space'").select("verdict", F.posexplode("effect").alias("bin", "e"))
-    return e.groupBy("verdict", "bin").agg(F.percentile("e", F.array(F.lit(0.05), F.lit(0.95))).alias("q")).select("verdict", "bin", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
+    """verdict, bin, e (the treated unit's effect), lo, hi: 5 % and 95 % of the placebo units' paths."""
+    e = fits.where("kind != 'time'").select("verdict", "kind", F.posexplode("effect").alias("bin", "e"))
+    q = F.percentile(F.when(F.col("kind") == "space", F.col("e")), F.array(F.lit(0.05), F.lit(0.95)))
+    return e.groupBy("verdict", "bin").agg(F.max(F.when(F.col("kind") == "treated", F.col("e"))).alias("e"), q.alias("q")).where("q is not null").select("verdict", "bin", "e", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
 
 
 def escalate(results_: DataFrame, least: float) -> DataFrame:

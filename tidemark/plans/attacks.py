@@ -47,20 +47,21 @@ def seasonal(m: np.ndarray, pre: int, size: float = 0.25) -> np.ndarray:
 ATTACKS = {"common_shock": shocked, "pre_trend": drifting, "no_fit": noisy, "one_bin": brief, "season_shift": seasonal}
 
 
-def panels(spark: SparkSession, units: int = 3, donors: int = 26, bins: int = 64, pre: int = 46) -> DataFrame:
-    """A panel for each attack and seed, and for planted steps and untouched units."""
+def panels(spark: SparkSession, units: int = 3, donors: int = 60, bins: int = 110, pre: int = 75) -> DataFrame:
+    """A panel for each attack and seed, and for planted steps, steps on top of a common shock, and untouched units."""
     named = {}
     for s in range(units):
-        quiet = G.factor_panel(donors, bins, pre, 0.0, 50 + s)
+        quiet = G.seasonal_panel(donors, bins, pre, seed=50 + s)
         named |= {f"{a}:{s}": (f(quiet, pre), pre) for a, f in ATTACKS.items()}
         named[f"untouched:{s}"] = (quiet, pre)
-        named[f"step:{s}"] = (G.factor_panel(donors, bins, pre, -0.3, 50 + s), pre)
+        named[f"step:{s}"] = (G.seasonal_panel(donors, bins, pre, seed=50 + s, effect=-0.3), pre)
+        named[f"step_in_shock:{s}"] = (shocked(G.seasonal_panel(donors, bins, pre, seed=50 + s, effect=-0.3), pre), pre)
     return G.as_panel(spark, named)
 
 
 def red_team(spark: SparkSession, units: int = 3) -> DataFrame:
     """attack, REAL, NOT_REAL, CANT_TELL."""
-    d = land_verdicts(spark, panels(spark, units), k=22, placebos=20, grid=15)
+    d = land_verdicts(spark, panels(spark, units), placebos=30, grid=21)
     return d.groupBy(F.split("verdict", ":")[0].alias("attack")).pivot("status", ["REAL", "NOT_REAL", "CANT_TELL"]).agg(F.count(F.lit(1))).na.fill(0)
 
 

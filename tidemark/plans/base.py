@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,20 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df as a checkpoint in the folder that spark.checkpoint.dir names: several consumers don't compute it again.
+
+    Only a local session without that setting gets a folder of its own.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir isn't set")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tidemark-"))
+    return df.checkpoint()
+
+
 def obs(spark: SparkSession, sf: str) -> DataFrame:
     """unit (nation), d, v of orders."""
     o = table(spark, sf, "orders").select("o_custkey", F.col("o_orderdate").cast("date").alias("d"), F.col("o_totalprice").alias("v"))

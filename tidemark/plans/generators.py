@@ -19,6 +19,15 @@ def factor_panel(units: int, bins: int, pre: int, effect: float, seed: int, nois
     return np.vstack([y, d])
 
 
+def seasonal_panel(units: int, bins: int, pre: int, seed: int, effect: float = 0.0, noise: float = 0.03) -> np.ndarray:
+    """(units + 1, bins): units of one season of 36 bins, each with its own amplitude, level and noise; unit 0 shifted by effect from bin pre on."""
+    r = np.random.default_rng(seed)
+    season = 0.22 * np.sin(2 * np.pi * np.arange(bins) / 36.5)
+    m = 0.5 + r.uniform(0.8, 1.2, (units + 1, 1)) * season + r.normal(0, 0.05, (units + 1, 1)) + r.normal(0, noise, (units + 1, bins))
+    m[0, pre:] += effect
+    return m
+
+
 def autoregressive(n: int, phi: float, sigma: float, k: int, seed: int) -> np.ndarray:
     r = np.random.default_rng(seed)
     e = r.normal(0, sigma, (n, k))

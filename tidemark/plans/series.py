@@ -1,7 +1,8 @@
 """From scenes and pixels to series: pruning before any pixel, zonal means, merging, haze filter, bins, donors, verdicts.
 
-One lazy plan. Scenes are pruned by footprint, processing version, tile and cloud before pixels are joined; what is
-dropped on the way becomes receipts. A profile only sets sizes.
+Scenes are pruned by footprint, processing version, tile and cloud before pixels are joined; what is
+dropped on the way becomes receipts. What several branches read - zonal means, despiked series, the complete panel - is
+cut into checkpoints, so that pixels are read once. A profile only sets sizes.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from ..operators import grid as X
 from ..operators import sets as U
 from ..operators import timebins as T
 from ..operators import topk as K
+from .base import cut
 
 
 @dataclass(frozen=True)
@@ -45,12 +47,12 @@ def optical_series(scenes: DataFrame, pixels: DataFrame) -> tuple[DataFrame, Dat
     """unit (zone), d, v (NDVI), w (NDWI) without haze, and receipts. pixels as in grid.optical_zones()."""
     px = pixels.join(scenes.select("scene"), "scene", "left_semi")
     obs, dropped = X.optical_zones(px)
-    obs = obs.join(scenes.select("scene", "minute", "d"), "scene")
+    obs = cut(obs.join(scenes.select("scene", "minute", "d"), "scene"))
     merged, twice = A.merge_same_minute(obs, "ndvi")
     water, _ = A.merge_same_minute(obs, "ndwi")
     day = obs.select("minute", "d").distinct()
     s = merged.join(water.select("minute", "zone", "ndwi"), ["minute", "zone"]).join(day, "minute").select(F.col("zone").alias("unit"), "d", F.col("ndvi").alias("v"), F.col("ndwi").alias("w"))
-    s = G.despike(s, water="w")
+    s = cut(G.despike(cut(s), water="w"))
     haze = s.where("suspect and unit = 0").select(F.concat(F.lit("day "), F.col("d").cast("string")).alias("scene"), F.lit("haze").alias("reason"), F.lit(None).cast("string").alias("detail"))
     receipts = dropped.unionByName(twice.select("scene", "reason", F.lit(None).cast("string").alias("detail"))).unionByName(haze)
     return s.withColumn("v", F.when(~F.col("suspect"), F.col("v"))).drop("suspect"), receipts
@@ -58,7 +60,7 @@ def optical_series(scenes: DataFrame, pixels: DataFrame) -> tuple[DataFrame, Dat
 
 def panel_of(series: DataFrame, event: str, width: int, covariates: DataFrame | None = None, profile: Profile = FULL) -> DataFrame:
     """unit, k, v, pre: the treated unit 0 and its chosen donors on complete bins, gaps filled by position."""
-    full = T.complete_panel(T.anchored_bins(series, event, width), 0).select("unit", "k", F.col("v_full").alias("v"), "pre")
+    full = cut(T.complete_panel(cut(T.anchored_bins(series, event, width)), 0).select("unit", "k", F.col("v_full").alias("v"), "pre"))
     scored = K.donor_rmse(full, 0)
     if covariates is not None:
         own = covariates.where("zone = 0").select(F.col("lc").alias("own_lc"), F.col("elevation").alias("own_elevation"))

@@ -16,8 +16,7 @@ from ..operators import timebins as T
 from ..operators import topk as K
 from ..operators import windows as W
 from . import generators as Gen
-from .base import EVENT, obs, table
-from .panel import panel
+from .base import EVENT, TREATED, cut, obs, table
 
 QUERIES, SQL = {}, {}
 
@@ -36,25 +35,32 @@ def land_verdicts(spark: SparkSession, panels: DataFrame, signal: str = "NDVI",
     return D.land(r)
 
 
+SCALE, PLANTED = 1e6, -0.15
+
+
 def nation_panels(spark: SparkSession, sf: str) -> DataFrame:
-    """A panel for each nation as the treated one: it is unit 0, the others keep their numbers plus one. Values in units of 100,000."""
-    p = panel(spark, sf)
-    df = p.join(F.broadcast(p.select(F.col("unit").alias("t")).distinct()))  # a panel a nation
-    return df.select(F.concat(F.lit("nation-"), F.col("t").cast("string")).alias("verdict"), F.when(F.col("unit") == F.col("t"), 0).otherwise(F.col("unit") + 1).cast("long").alias("unit"), F.col("k").cast("long").alias("k"), (F.col("v") / 100000).alias("v"), "pre")
+    """A panel for each nation as the treated one: it is unit 0, the others keep their numbers plus one.
+
+    60-day bins of orders in units of SCALE, small gaps filled. Every third nation, when it is the treated one, falls by
+    PLANTED after the invented event. Bins are computed once; a nation's copy of the panel is a join on the list of nations.
+    """
+    p = cut(T.complete_panel(T.anchored_bins(obs(spark, sf), EVENT, 60), TREATED).select("unit", F.col("k").cast("long").alias("k"), (F.col("v_full") / SCALE).alias("v"), "pre"))
+    df = p.join(F.broadcast(table(spark, sf, "nation").select(F.col("n_nationkey").alias("t"))))  # the registry of nations: a panel for each
+    own = F.col("unit") == F.col("t")
+    v = F.col("v") + F.when(own & ~F.col("pre") & (F.col("t") % 3 == 0), PLANTED).otherwise(0.0)
+    return df.select(F.concat(F.lit("nation-"), F.col("t").cast("string")).alias("verdict"), F.when(own, 0).otherwise(F.col("unit") + 1).cast("long").alias("unit"), "k", v.alias("v"), "pre")
 
 
 @query
 def land_verdict(spark, sf):
-    """Nations as units, with an invented event: bins, donors, fits, intervals, placebos in space and time, verdict."""
+    """Nations as units, with an invented event and planted falls: bins, donors, fits, intervals, placebos in space and time, verdict."""
     d = land_verdicts(spark, nation_panels(spark, sf))
     return d.select("verdict", "status", *[settled(c, 4).alias(c) for c in ("point", "lo", "hi", "placebo_p", "pre_rmse")], "n_pre", "n_post", "n_donors")
 
 
 @query
 def ascm_effect_path(spark, sf):
-    fits = E.run(nation_panels(spark, sf))
-    t = fits.where("kind = 'treated'").select("verdict", F.posexplode("effect").alias("bin", "e"))
-    return t.join(E.placebo_band(fits), ["verdict", "bin"]).select("verdict", "bin", *[settled(c, 4).alias(c) for c in ("e", "lo", "hi")])
+    return E.placebo_band(E.run(nation_panels(spark, sf))).select("verdict", "bin", *[settled(c, 4).alias(c) for c in ("e", "lo", "hi")])
 
 
 @query
