@@ -278,6 +278,19 @@ def test_mixing_draws_large_means(spark):
     assert abs(got[0] - 200_000) < 2500 and got[1] == got[0] == got[2] + 1
 
 
+def test_mixing_of_a_rare_source(spark):
+    df = spark.range(20_001).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 7, "rare").otherwise("hot").alias("source"))
+    n = {r["source"]: r["count"] for r in mixing.mix(df).groupBy("source").count().collect()}
+    assert abs(n["rare"] - 140) < 60 and abs(n["hot"] - 19_860) < 600
+
+
+def test_helper_columns_give_way_to_none(spark):
+    names = ["_in0", "_in1", "cdf", "_cdf", "source_key", "_source", "_u", "_n", "_t", "_w", "_l", "_v", "_s", "_p", "draws", "_key", "_b"]
+    df = spark.range(40).select(F.col("id").alias("doc_id"), F.lit("token=abcdefgh and more words").alias("text"), F.lit("a").alias("source"), *[F.lit(f"own {n}").alias(n) for n in names])
+    for out in (mixing.mix(df), quality.apply_rules(df), secrets.find_secrets(df), pieces.encode(df), toxicity.score(df, toxicity.Model({"idiot": 2.0}))):
+        assert all(out.where(F.col(n) != f"own {n}").count() == 0 for n in names[:9:2]) and set(names) <= set(out.columns)
+
+
 # -- toxicity -------------------------------------------------------------------------------------
 
 

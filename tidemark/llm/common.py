@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import itertools
 import tempfile
 import uuid
 import zlib
@@ -21,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir (below an own temporary folder only where that is unset, as in tests)."""
+    """A new folder below spark.checkpoint.dir; only a local session without that setting, as in tests, gets a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = _OWN.setdefault("base", tempfile.mkdtemp(prefix="tidemark-"))
     out = f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex[:12]}"
     _MADE.append((spark, out))
@@ -51,6 +54,24 @@ def staged(spark: SparkSession, df: DataFrame, folder: str, name: str, small: bo
     return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
+def discard(spark: SparkSession, folder: str, *names: str) -> None:
+    """Removes staged tables that nothing reads any more: what was made from them is staged itself."""
+    for name in names:
+        p = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns, like the given ones, that df has no column of."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def input_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of df's size, from file sizes: no job runs. Tables that aren't files are counted, at 2 KB a row."""
     n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -188,7 +209,7 @@ def with_columns(df: DataFrame, inputs: list[str], extra: str, fn, replaces: str
 
     new: StructType = _parse_datatype_string(extra)
     taken = {f.name.lower() for f in new}
-    back = {f"_in{i}": c for i, c in enumerate(inputs)}
+    back = dict(zip(fresh(df, *[f"_in{i}" for i in range(len(inputs))]), inputs, strict=True))
     kept = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken], *[F.col(f"`{c}`").alias(a) for a, c in back.items()])
     names = [c for c in kept.columns if c not in back]
     schema = StructType([kept.schema[c] for c in names] + list(new.fields))
@@ -278,7 +299,7 @@ def components(spark: SparkSession, edges: DataFrame, folder: str, name: str) ->
     both = staged(spark, both, folder, f"{name}-edges", small=True)
     at = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp"))
     at = staged(spark, at, folder, f"{name}-0", small=True)
-    for i in range(1, 200):
+    for i in itertools.count(1):  # labels only fall, so it ends; pointer jumping makes the rounds few
         near = both.join(at, both.b == at.node).groupBy("a").agg(F.min("comp").alias("m"))
         new = at.join(near, at.node == near.a).select("node", F.col("comp").alias("old"), F.least("comp", "m").alias("comp"))
         new = staged(spark, new, folder, f"{name}-{i}a", small=True)
@@ -286,6 +307,7 @@ def components(spark: SparkSession, edges: DataFrame, folder: str, name: str) ->
         new = new.join(up, "comp").select("node", "old", F.least("comp", "up").alias("comp"))
         new = staged(spark, new, folder, f"{name}-{i}b", small=True)
         at = new.select("node", "comp")
+        discard(spark, folder, f"{name}-{i}a", f"{name}-{i - 1}b" if i > 1 else f"{name}-0")
         if new.where("old != comp").isEmpty():
+            discard(spark, folder, f"{name}-edges")
             return at
-    raise RuntimeError("labels did not settle")

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MOST_TASKS, input_bytes, table
+from .common import MOST_TASKS, fresh, input_bytes, table
 
 SEED = "mix-1"
 FLATTEN = 0.5  # the default weights: proportional to a source's documents to this power
@@ -56,25 +56,26 @@ def distribution(rate: F.Column) -> F.Column:
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, target: float | None = None, key: str = "doc_id", source: str = "source") -> DataFrame:
     """docs, each as often as drawn, with copy (from 0) and shuffle_key, dealt and ordered by the latter."""
     docs = docs.drop("copy", "shuffle_key")
+    of, from_, draws, cdf, u, n, b = fresh(docs, "_source", "_key", "_draws", "_cdf", "_u", "_n", "_b")
     r = rates(docs, weights, target, source).withColumn("draws", F.greatest(F.lit(1), F.ceil(F.col("rate") / MOST_RATE)).cast("long"))
     sources, most = r.agg(F.count(F.lit(1)), F.max("rate")).first()
     few = sources <= 10_000  # rows of at most TERMS numbers
-    r = r.withColumn("cdf", distribution(F.col("rate") / F.col("draws"))).select("source_key", "draws", "cdf")
-    df = docs.withColumn("_source", F.coalesce(F.col(source), F.lit("null"))).join(F.broadcast(r) if few else r, F.col("_source") == F.col("source_key"))
+    r = r.select(F.col("source_key").alias(from_), F.col("draws").alias(draws), distribution(F.col("rate") / F.col("draws")).alias(cdf))
+    df = docs.withColumn(of, F.coalesce(F.col(source), F.lit("null"))).join(F.broadcast(r) if few else r, F.col(of) == F.col(from_))
     parts = min(MOST_TASKS, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), input_bytes(docs) // (32 << 20)))
     zero = F.lit(0).cast("long")
-    drawn = lambda u: F.size(F.filter("cdf", lambda c: c <= u)).cast("long")
-    df = df.withColumn("_u", uniform("copies", key)).withColumn("_n", drawn(F.col("_u")))
+    drawn = lambda x: F.size(F.filter(cdf, lambda c: c <= x)).cast("long")
+    df = df.withColumn(u, uniform("copies", key)).withColumn(n, drawn(F.col(u)))
     if (most or 0) > MOST_RATE:  # the further draws of a large mean have numbers of their own
-        further = F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("draws") - 1), zero, lambda a, i: a + drawn(uniform("copies", key, i)))
-        df = df.withColumn("_n", F.col("_n") + F.when(F.col("draws") > 1, further).otherwise(zero))
-    some = lambda a: F.explode(F.when(F.col("_n") > 0, a))  # noqa: E731  # not a filter: Spark 4.1 moves one to the rates, which lack the row's number
+        further = F.aggregate(F.sequence(F.lit(1).cast("long"), F.col(draws) - 1), zero, lambda a, i: a + drawn(uniform("copies", key, i)))
+        df = df.withColumn(n, F.col(n) + F.when(F.col(draws) > 1, further).otherwise(zero))
+    some = lambda a: F.explode(F.when(F.col(n) > 0, a))  # noqa: E731  # not a filter: Spark 4.1 moves one to the rates, which lack the row's number
     if (most or 0) > BLOCK // 2:  # blocks are dealt first, so that the copies of one row aren't made by one task
-        df = df.drop("cdf").withColumn("_b", some(F.sequence(zero, F.floor((F.col("_n") - 1) / BLOCK)))).repartition(parts, F.xxhash64(key, "_b"))
-        df = df.withColumn("copy", F.explode(F.sequence(F.col("_b") * BLOCK, F.least(F.col("_n"), (F.col("_b") + 1) * BLOCK) - 1))).drop("_b")
+        df = df.drop(cdf).withColumn(b, some(F.sequence(zero, F.floor((F.col(n) - 1) / BLOCK)))).repartition(parts, F.xxhash64(key, b))
+        df = df.withColumn("copy", F.explode(F.sequence(F.col(b) * BLOCK, F.least(F.col(n), (F.col(b) + 1) * BLOCK) - 1))).drop(b)
     else:
-        df = df.withColumn("copy", some(F.sequence(zero, F.col("_n") - 1)))
-    df = df.withColumn("shuffle_key", uniform("order", key, "copy")).drop("_source", "source_key", "draws", "cdf", "_u", "_n")
+        df = df.withColumn("copy", some(F.sequence(zero, F.col(n) - 1)))
+    df = df.withColumn("shuffle_key", uniform("order", key, "copy")).drop(of, from_, draws, cdf, u, n)
     return df.repartition(parts, "shuffle_key").sortWithinPartitions("shuffle_key", key, "copy")
 
 

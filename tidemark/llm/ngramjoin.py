@@ -16,7 +16,7 @@
 
 Shingles are compared by 64-bit hashes. Defined results: a null text is empty; texts without words have no shingles and
 are linked with nothing; with fewer words than n the whole sequence is the one shingle; texts are whole; repeated rows
-share a component; rows with equal doc_id are one document in component_id; a null doc_id has component_id null unless
+share a component; rows with equal doc_id are judged each by its own text; a null doc_id has component_id null unless
 a row linked with it has one; an empty table gives an empty one; further columns are ignored.
 """
 

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table
 
 # Frequent function words of the languages, for the stop-word rule.
 STOP_WORDS = [
@@ -68,35 +68,34 @@ RULES = (
 
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the counts that the rules speak of. Arrays that several counts need are columns of an inner projection."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    df = docs.withColumn("_t", t)
+    t, w, lines, v, order, p = fresh(docs, "_t", "_w", "_l", "_v", "_s", "_p")
+    df = docs.withColumn(t, F.coalesce(F.col(text), F.lit("")))
     df = df.withColumns({
-        "_w": F.array_remove(F.split("_t", SPACE), ""),
-        "_l": F.filter(F.split("_t", "\n"), lambda x: F.length(F.translate(x, " \t\n\x0b\x0c\r", "")) > 0),
+        w: F.array_remove(F.split(t, SPACE), ""),
+        lines: F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, " \t\n\x0b\x0c\r", "")) > 0),
     })
-    n3 = F.greatest(F.size("_w") - 2, F.lit(0))
+    n3 = F.greatest(F.size(w) - 2, F.lit(0))
     join = lambda a, b: F.concat(a, F.lit(" "), b)  # noqa: E731  words have no blank: a joined window is unambiguous
-    df = df.withColumn("_v", F.zip_with(F.zip_with(F.slice("_w", F.lit(1), n3), F.slice("_w", F.lit(2), n3), join), F.slice("_w", F.lit(3), n3), join))
-    n = F.size("_v")
+    df = df.withColumn(v, F.zip_with(F.zip_with(F.slice(w, F.lit(1), n3), F.slice(w, F.lit(2), n3), join), F.slice(w, F.lit(3), n3), join))
+    n = F.size(v)
     # Only a text with a repeated window is sorted: equal windows become neighbours, which name the positions.
-    order = F.when(F.size(F.array_distinct("_v")) < n, F.sort_array(F.transform("_v", lambda w, i: F.struct(w.alias("w"), i.alias("i")))))
-    df = df.withColumn("_s", order)
-    pairs = F.zip_with(F.slice("_s", F.lit(1), n - 1), F.slice("_s", F.lit(2), n - 1), lambda a, b: F.when(a["w"] == b["w"], F.array(a["i"], b["i"])))
-    df = df.withColumn("_p", F.when(F.col("_s").isNotNull(), F.array_distinct(F.flatten(F.array_compact(pairs)))))
-    covered = F.array_union(F.array_union("_p", F.transform("_p", lambda p: p + 1)), F.transform("_p", lambda p: p + 2))
+    df = df.withColumn(order, F.when(F.size(F.array_distinct(v)) < n, F.sort_array(F.transform(v, lambda x, i: F.struct(x.alias("w"), i.alias("i"))))))
+    pairs = F.zip_with(F.slice(order, F.lit(1), n - 1), F.slice(order, F.lit(2), n - 1), lambda a, b: F.when(a["w"] == b["w"], F.array(a["i"], b["i"])))
+    df = df.withColumn(p, F.when(F.col(order).isNotNull(), F.array_distinct(F.flatten(F.array_compact(pairs)))))
+    covered = F.array_union(F.array_union(p, F.transform(p, lambda x: x + 1)), F.transform(p, lambda x: x + 2))
     long = lambda c: c.cast("long")
     return df.withColumns({
-        "n_words": long(F.size("_w")),
-        "word_chars": long(F.length(F.translate("_t", " \t\n\x0b\x0c\r", ""))),
-        "n_symbols": long(F.length("_t") - F.length(F.translate("_t", "#*$%&|<>", ""))),
-        "n_lines": long(F.size("_l")),
-        "n_dup_lines": long(F.size("_l") - F.size(F.array_distinct("_l"))),
-        "n_bullets": long(F.size(F.filter("_l", lambda x: F.ltrim(x).substr(1, 1).isin("-", "*", "•")))),
-        "n_ellipses": long(F.size(F.filter("_l", lambda x: F.rtrim(x).endswith("...") | F.rtrim(x).endswith("…")))),
+        "n_words": long(F.size(w)),
+        "word_chars": long(F.length(F.translate(t, " \t\n\x0b\x0c\r", ""))),
+        "n_symbols": long(F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))),
+        "n_lines": long(F.size(lines)),
+        "n_dup_lines": long(F.size(lines) - F.size(F.array_distinct(lines))),
+        "n_bullets": long(F.size(F.filter(lines, lambda x: F.ltrim(x).substr(1, 1).isin("-", "*", "•")))),
+        "n_ellipses": long(F.size(F.filter(lines, lambda x: F.rtrim(x).endswith("...") | F.rtrim(x).endswith("…")))),
         "n_repeat_words": long(F.coalesce(F.size(covered), F.lit(0))),
-        "n_stop_words": long(F.size(F.array_intersect("_w", F.array(*[F.lit(w) for w in sorted(set(STOP_WORDS))])))),
-        "n_letter_words": long(F.regexp_count("_t", F.lit("[^\\x20\\x09-\\x0D]*\\p{L}[^\\x20\\x09-\\x0D]*"))),
-    }).drop("_t", "_w", "_l", "_v", "_s", "_p")
+        "n_stop_words": long(F.size(F.array_intersect(w, F.array(*[F.lit(x) for x in sorted(set(STOP_WORDS))])))),
+        "n_letter_words": long(F.regexp_count(t, F.lit("[^\\x20\\x09-\\x0D]*\\p{L}[^\\x20\\x09-\\x0D]*"))),
+    }).drop(t, w, lines, v, order, p)
 
 
 def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
