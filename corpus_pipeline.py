@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_rows, shared_dir, staged, table
+from tidemark.llm.common import WS, arrow_rows, shared_dir, staged, table
 from tidemark.llm.mixing import mix
 from tidemark.llm.ngramjoin import near_duplicates
 from tidemark.llm.pieces import encode
@@ -29,13 +29,19 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest doc_id of each component of similar texts, and all without words or doc_id."""
-    found = near_duplicates(spark, docs.select("doc_id", "text"))
+    """Keeps one row of each component of similar texts - that of the smallest doc_id, null last - and all rows without words.
+
+    Rows are told apart by doc_id and text, so that different texts under one doc_id are judged each for itself, and
+    copies without a doc_id go like others. Of repeated rows one stays.
+    """
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("text"))
+    keyed = docs.select(*COLUMNS).withColumn("row", row)
+    found = near_duplicates(spark, keyed.select("row", "text"), key="row")
     folder = shared_dir(spark)
-    keep = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.max("node").alias("node"))
-    keep = staged(spark, keep.select(F.col("doc_id").alias("kept_id")), folder, "keep", small=True)
-    named = docs.where("doc_id is not null").join(keep, F.col("doc_id") == F.col("kept_id"), "left_semi")
-    return named.select(*COLUMNS).dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null").select(*COLUMNS))
+    first = staged(spark, found.where(F.col("node").isNotNull() & (F.col("row") == F.col("component_id"))).select("row").distinct(), folder, "first", small=True)
+    wordless = F.length(F.translate(F.coalesce("text", F.lit("")), WS, "")) == 0
+    kept = keyed.where(~wordless).join(first, "row", "left_semi").dropDuplicates(["row"])
+    return kept.select(*COLUMNS).unionByName(docs.where(wordless).select(*COLUMNS))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
