@@ -25,12 +25,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MOST_TASKS, WordHash, arrow_rows, bucket_count, deal_buckets, emit, input_bytes, ngram_hashes, pack, pack_sorted, ranges, runs, table, unpack, unpack_sorted
+from .common import MOST_TASKS, WordHash, arrow_rows, bucket_count, deal_buckets, emit, ngram_hashes, pack, pack_sorted, ranges, runs, shared_dir, staged, table, unpack, unpack_sorted
 
 ORDER = 3
 ALPHA = 0.4
 BITS = 56
-BLOCK_BYTES = 12 << 20  # of the table's files, for a block
+BLOCK_BYTES = 20 << 20  # of text, for a block
+BUCKET_BYTES = 8 << 20  # of text, for a range of the hash space
 
 
 def words_of(text: str | None, words: WordHash) -> np.ndarray:
@@ -55,7 +56,7 @@ def grams(docs: DataFrame, order: int, buckets: int) -> DataFrame:
     """bucket, block, n, keys, nums: the distinct n-grams of each block and range. docs (block, text): a block in one partition."""
 
     def each(batches, out):
-        words, block, held = WordHash(2_000_000), None, []
+        words, block, held = WordHash(), None, []
 
         def flush():
             for n in range(1, order + 1):
@@ -108,77 +109,92 @@ def count_table(docs: DataFrame, order: int = ORDER, text: str = "text") -> Data
     return emit(deal_buckets(packed, buckets), "n int, gram long, count long", each)
 
 
-def scores(h: list[np.ndarray], nums: dict[int, np.ndarray], total: int, order: int) -> list[float | None]:
-    """The sum of the logarithms of each document's words. nums: totals of the block's distinct grams, by order."""
-    at, seen = {}, {}
-    for n in range(1, order + 1):
-        g = [gram_keys(x, n) for x in h]
-        flat = np.concatenate(g) if g else np.zeros(0, np.uint64)
-        back = np.unique(flat, return_inverse=True)[1]
-        who = np.repeat(np.arange(len(g)), [len(x) for x in g])
-        pair = who.astype(np.int64) * (int(back.max()) + 1 if len(back) else 1) + back
-        _, pback, own = np.unique(pair, return_inverse=True, return_counts=True)
-        other = nums[n][back].astype(np.int64) - own[pback] if len(back) else np.zeros(0, np.int64)
-        at[n] = np.cumsum([0, *[len(x) for x in g]])
-        seen[n] = other.astype(float)
-    out: list[float | None] = []
-    for d, x in enumerate(h):
-        m = len(x)
-        if not m:
-            out.append(None)
-            continue
-        rest = total - m
-        c = {n: seen[n][at[n][d] : at[n][d + 1]] for n in range(1, order + 1)}
-        level = np.minimum(np.arange(m) + 1, order)  # the longest gram that ends at each word
-        done, value, back = np.zeros(m, bool), np.zeros(m), np.zeros(m)
-        for n in range(order, 0, -1):
-            if n > m:
-                continue
-            ends = np.arange(n - 1, m)
-            num = c[n]
-            den = c[n - 1][: len(num)] if n > 1 else np.full(len(num), float(max(rest, 1)))
-            use = ~done[ends] & (level[ends] >= n) & (num > 0)
-            e = ends[use]
-            value[e] = np.log(num[use] / den[use]) + back[e] * np.log(ALPHA)
-            done[e] = True
-            miss = ends[~done[ends] & (level[ends] >= n)]
-            back[miss] += 1
-        value[~done] = np.log(1.0 / (rest + 1)) + back[~done] * np.log(ALPHA)
-        out.append(float(value.sum()))
+def places(flat: np.ndarray) -> np.ndarray:
+    """For each key its place among the distinct keys in order, in less memory than np.unique takes for it."""
+    order = np.argsort(flat, kind="stable")
+    new = np.ones(len(flat), bool)
+    ranked = flat[order]
+    np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
+    del ranked
+    out = np.empty(len(flat), np.int32)
+    out[order] = np.cumsum(new, dtype=np.int32) - 1
     return out
 
 
+def others(h: list[np.ndarray], n: int, nums: np.ndarray) -> np.ndarray:
+    """For the n-grams of all documents, one after another: how often the other documents have them. nums: totals of the block's distinct grams."""
+    size = np.array([max(0, len(x) - n + 1) for x in h])
+    back = places(np.concatenate([gram_keys(x, n) for x in h])) if len(h) else np.zeros(0, np.int32)
+    out = nums[back].astype(np.float64)
+    for a, z in zip(np.cumsum(size) - size, np.cumsum(size), strict=True):
+        own, at, count = np.unique(back[a:z], return_inverse=True, return_counts=True)
+        out[a:z] -= count[at]
+    return out
+
+
+def scores(h: list[np.ndarray], nums, order: int) -> list[tuple[float, int, int]]:
+    """For each document: the sum of the logarithms of its words without what the corpus's size enters, the words scored
+    by their own frequency, and the words that no other document has. nums(n): totals of the block's distinct n-grams.
+    """
+    size = np.array([len(x) for x in h], np.int64)
+    begin = np.cumsum(size) - size
+    word = np.arange(int(size.sum())) - np.repeat(begin, size)  # place in its document
+    longest = np.minimum(word + 1, order)
+    value, backed = np.zeros(len(word)), np.zeros(len(word), np.int8)
+    level = np.zeros(len(word), np.int8)  # the order that a word was scored at
+    upper = others(h, order, nums(order))
+    for n in range(order, 0, -1):
+        lower = others(h, n - 1, nums(n - 1)) if n > 1 else None
+        ends = np.flatnonzero(word >= n - 1)  # the last word of each n-gram, in the grams' order
+        wanted = (level[ends] == 0) & (longest[ends] >= n)
+        hit = wanted & (upper > 0)
+        at = ends[hit]
+        value[at] = np.log(upper[hit])
+        if lower is not None:  # the (n-1)-gram that the n-gram begins with stands where the word before ends
+            place = np.cumsum(np.where(word >= n - 2, 1, 0)) - 1
+            value[at] -= np.log(lower[place[at - 1]])
+        level[at] = n
+        backed[ends[wanted & ~hit]] += 1
+        upper = lower
+    value += backed * np.log(ALPHA)
+    own, unseen = level == 1, level == 0
+    total = lambda x: np.add.reduceat(np.append(x, 0), begin)[: len(h)] * (size > 0) if len(h) else x[:0]
+    return list(zip(total(value).tolist(), total(own.astype(np.int64)).tolist(), total(unseen.astype(np.int64)).tolist(), strict=True))
+
+
 def lm_scores(spark: SparkSession, docs: DataFrame, order: int = ORDER, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_words, log_score (sum of natural logarithms), mean_log_score for each row of docs."""
     arrow_rows(spark)
     # As many blocks as shuffles have partitions at least: then the join below keeps this partitioning, and the texts move once.
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(docs) // BLOCK_BYTES)
-    buckets = bucket_count(spark, docs, 4 << 20)
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BLOCK_BYTES)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)
     i = F.pmod(F.xxhash64("key", "text"), F.lit(n)).cast("int")
     names = labels(spark, n)
     block = F.element_at(F.array(*[F.lit(x) for x in names]), i + 1) if names else i
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).withColumn("block", block).repartition(min(n, MOST_TASKS), "block")
     rows = rows if names else rows.sortWithinPartitions("block")
     answers = totals(grams(rows, order, buckets), buckets)
-    total = docs.agg(F.sum(F.size(F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), "[\\x20\\x09-\\x0D]+"), ""))).alias("n")).first()["n"] or 0
     kind = docs.schema[key].dataType.simpleString()
 
     def each(left, right):
         import pyarrow as pa
 
-        words = WordHash(2_000_000)
-        h = [words_of(t, words) for t in left.column("text").to_pylist()]
-        nums = {}
-        got = sorted(zip(*[right.column(c).to_pylist() for c in ("n", "bucket", "nums")], strict=True), key=lambda r: r[:2])
-        for k in range(1, order + 1):
-            parts = [unpack(r[2], np.uint64) for r in got if r[0] == k]
-            nums[k] = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-        s = scores(h, nums, total, order)
-        m = [len(x) for x in h]
-        return pa.table([left.column("key"), pa.array(m, pa.int64()), pa.array(s, pa.float64()), pa.array([None if v is None else v / c for v, c in zip(s, m, strict=True)], pa.float64())], names=[key, "n_words", "log_score", "mean_log_score"])
-
-    out = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(each, f"{key} {kind}, n_words long, log_score double, mean_log_score double")
-    return out
+        words = WordHash()
+        h = [words_of(t.as_py(), words) for t in left.column("text")]
+        words.seen.clear()
+        sent = sorted(zip(*[right.column(c).to_pylist() for c in ("n", "bucket", "nums")], strict=True), key=lambda r: r[:2])
+        nums = lambda k: np.concatenate([unpack(r[2], np.uint64) for r in sent if r[0] == k] or [np.zeros(0, np.uint64)])
+        got = scores(h, nums, order)
+        return pa.table([left.column("key"), pa.array([len(x) for x in h], pa.int64()), *[pa.array([g[j] for g in got], t) for j, t in enumerate((pa.float64(), pa.int64(), pa.int64()))]], names=["key", "n_words", "value", "own", "unseen"])
+
+    made = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(each, f"key {kind}, n_words long, value double, own long, unseen long")
+    # The corpus's size is known once all documents are counted: rows of five numbers are kept, so that no scan is made for it.
+    made = staged(spark, made, shared_dir(spark), "scores")
+    total = made.agg(F.sum("n_words")).first()[0] or 0
+    rest = F.lit(total) - F.col("n_words")
+    score = F.when(F.col("n_words") > 0, F.col("value") - F.col("own") * F.log(F.greatest(rest, F.lit(1))) - F.col("unseen") * F.log(rest + 1))
+    return made.select(F.col("key").alias(key), "n_words", score.alias("log_score"), (score / F.col("n_words")).alias("mean_log_score"))
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
