@@ -1,45 +1,73 @@
-"""Suffix-array dedup: maximal repeats of at least MIN bytes, by the interval tree of an enhanced suffix array.
+"""Suffix-array dedup: repeats of at least MIN bytes, and passages of over 50 words, by the interval tree of an enhanced suffix array.
 
-1. Anchors. Of the GRAM-byte strings of each MIN-byte window, the one of the smallest hash (the leftmost of equals) is
-   the window's anchor. Equal windows have equal anchors at equal places, and a long text has an anchor every few
-   hundred bytes. An anchor that neither another text nor another place has means that its windows occur once.
+1. Anchors. Of the gram strings of each window of the least length, the one of the smallest hash (the leftmost of equals)
+   is the window's anchor. Equal windows have equal anchors at equal places, and a long text has few anchors. An anchor
+   that neither another text nor another place has means that its windows occur once. There are two kinds: BYTES, the
+   windows of MIN bytes whose repetition is removed, and WORDS, windows of 51 words, which find the passages.
 2. Segments. For each other anchor, the windows that it stands for, as one string. A segment that occurs twice is
    repeated as a whole, and only distinct segments are compared further, by anchor.
 3. Suffix arrays. A task concatenates the segments of whole anchors, sorts the suffixes by doubling ranks, takes common
-   prefixes from the ranks, and scans the LCP intervals of at least MIN with a stack. Each
-   suffix is covered over the length of its innermost interval. Groups aren't output and left-diversity isn't used here:
-   maximal_repeats() alone gives the intervals whose occurrences differ in the byte before them, for texts in memory. An anchor of more than LARGE distinct segments isn't
-   given to one task: its windows are compared in ranges by hash, and ranges that differ in narrower ones. Both are exact.
+   prefixes from the ranks, and scans the LCP intervals of at least the least length with a stack. Each suffix is covered
+   over the length of its innermost interval; for passages, of its innermost interval that two documents share. An anchor
+   of more than LARGE distinct segments is cut into ranges of windows first (descend()), until each task's share is that
+   small: the same arrays, on shorter strings.
 4. Coverage goes back to the texts by their hash; overlapping parts are merged and removed.
 
-Texts are judged as given. Equal texts are one text of many occurrences from the start. Ranges of large anchors and
-whole texts are told apart by 64-bit hashes, segments by content. Defined results: a null text is empty; texts shorter
-than MIN keep all; texts of any length are whole; repeated rows of 400 bytes or more remove all; a null doc_id is a
-document like others; an empty table gives an empty one; further columns are ignored.
+repeat_groups() gives the groups themselves: left-diverse intervals, those whose occurrences differ in the byte before
+them, with all occurrences in all documents. A group is clipped to its anchor's segment, so that a long repeat is a row of
+overlapping groups.
+
+Texts are judged as given. Equal texts are one text of many occurrences from the start. Ranges of large anchors, words and
+whole texts are told apart by hashes of 64 bits (words: 32), segments by content. Defined results: a null text is empty;
+texts shorter than MIN keep all; texts of any length are whole; repeated rows of 400 bytes or more remove all; of over 50
+words they are passages; a null doc_id is a document like others; an empty table gives an empty one; further columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import M2, MOST_TASKS, arrow_rows, bucket_count, emit, lists, mix, runs, shared_dir, staged, table
+from .common import M2, MOST_TASKS, arrow_rows, bucket_count, discard, emit, kept, lists, mix, runs, shared_dir, staged, table
 
 MIN, GRAM = 400, 64
 LARGE = 200  # distinct segments of an anchor that one task compares
-WIDTHS = (64, 8, 1)  # windows of a range in the rounds for larger ones
 BATCH = 1 << 20  # bytes of segments in one suffix array
 _BYTE = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * M2)
 _STEP = [mix(np.array([i + 77], np.uint64)) | np.uint64(1) for i in range(8)]
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_P = 0x9E3779B97F4A7C15  # odd: it has an inverse among 64-bit words
+
+
+@dataclass(frozen=True)
+class Kind:
+    """What repeats: symbols of `unit` bytes; the shortest repeat, an anchor's gram, and ranges of windows, in symbols."""
+
+    code: int
+    unit: int
+    least: int
+    gram: int
+    widths: tuple[int, int, int]
+
 
+BYTES, WORDS = Kind(0, 1, MIN, GRAM, (64, 8, 1)), Kind(1, 4, 51, 8, (16, 4, 1))
+KINDS = (BYTES, WORDS)
+SHORTEST = 101  # bytes of the shortest text that can have 51 words
 
-def gram_hashes(x: np.ndarray) -> np.ndarray:
-    """Hashes of all GRAM-byte strings, by doubling."""
-    h, k, i = _BYTE[x], 1, 0
-    while k < GRAM:
+
+def _of_kind(of) -> F.Column:
+    return F.when(F.col("kind") == BYTES.code, of(BYTES)).otherwise(of(WORDS))
+
+
+def gram_hashes(h: np.ndarray, gram: int) -> np.ndarray:
+    """Hashes of all strings of gram symbols from hashes of the symbols, by doubling."""
+    k, i = 1, 0
+    while k < gram:
         h = h[:-k] * _STEP[i] + h[k:]
         k, i = 2 * k, i + 1
         if k == 8:
@@ -47,26 +75,65 @@ def gram_hashes(x: np.ndarray) -> np.ndarray:
     return mix(h)
 
 
-def anchors(x: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(place, first window, last window, hash) of the anchors of texts that x concatenates and that end at ends."""
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of _P and of its inverse."""
+    size = 1 << max(20, (n - 1).bit_length())
+
+    def make():
+        out = []
+        for q in (_P, pow(_P, -1, 1 << 64)):
+            x = np.full(size, np.uint64(q))
+            x[0] = 1
+            out.append(np.cumprod(x))
+        return out
+
+    return tuple(x[:n] for x in kept(f"powers{size}", make))
+
+
+def word_symbols(x: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of the texts that x concatenates, as 32-bit hashes, and the texts' ends among them: differences of prefix hashes, without a loop."""
+    if not len(x):
+        return np.zeros(0, np.uint32), np.zeros(len(ends), np.int64)
+    word = ~_SPACE[x]
+    edge = np.zeros(len(x) + 1, bool)  # before each byte: whether a text begins there
+    edge[0] = edge[-1] = True
+    edge[ends] = True
+    a = np.flatnonzero(word & (edge[:-1] | np.concatenate([[True], ~word[:-1]])))
+    z = np.flatnonzero(word & (edge[1:] | np.concatenate([~word[1:], [True]])))
+    up, down = powers(len(x))
+    total = np.cumsum(_BYTE[x] * up)
+    h = (total[z] - np.where(a > 0, total[np.maximum(a - 1, 0)], np.uint64(0))) * down[a]
+    return (mix(h) >> np.uint64(32)).astype(np.uint32), np.searchsorted(a, ends)
+
+
+def symbols(x: np.ndarray, ends: np.ndarray, kind: Kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of the texts that x concatenates, their ends, and hashes of the symbols."""
+    if kind is BYTES:
+        return x, ends, _BYTE[x]
+    w, at = word_symbols(x, ends)
+    return w, at, mix(w.astype(np.uint64) + np.uint64(0x51ED27))
+
+
+def anchors(h: np.ndarray, ends: np.ndarray, kind: Kind) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place, first window, last window, hash) of the anchors of texts that end at ends. h: hashes of their symbols."""
     none = np.zeros(0, np.int64)
-    if len(x) < MIN:
+    n = len(h) - kind.least + 1
+    if n < 1:
         return none, none, none, np.zeros(0, np.uint64)
-    h = gram_hashes(x)
-    w = MIN - GRAM + 1
+    h = gram_hashes(h, kind.gram)
+    w = kind.least - kind.gram + 1
     place = np.uint64((1 << 28) - 1)
     key = (h & ~place) | np.arange(len(h), dtype=np.uint64)
     pad = -len(key) % w
     blocks = np.concatenate([key, np.full(pad, np.uint64(0xFFFFFFFFFFFFFFFF))]).reshape(-1, w)
     ahead = np.minimum.accumulate(blocks, axis=1).reshape(-1)
     back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-    n = len(x) - MIN + 1
     at = (np.minimum(back[:n], ahead[w - 1 : w - 1 + n]) & place).astype(np.int64)
     starts = np.concatenate([[0], ends[:-1]])
     ok = np.zeros(n + 1, np.int64)  # windows within one text
-    long = ends - starts >= MIN
+    long = ends - starts >= kind.least
     np.add.at(ok, starts[long], 1)
-    np.add.at(ok, ends[long] - MIN + 1, -1)
+    np.add.at(ok, ends[long] - kind.least + 1, -1)
     valid = np.cumsum(ok)[:n] > 0
     i = np.flatnonzero(valid)
     if not len(i):
@@ -85,17 +152,20 @@ def enhanced(x: np.ndarray, start: np.ndarray, part: np.ndarray, depth: int) ->
     """
     n = len(x)
     stop = part[np.searchsorted(part, np.arange(n), side="right")]
-    # Beyond a part's end, a symbol of its own stands for each place: suffixes of different parts differ there.
-    words = np.zeros(n, np.uint64)
-    padded = np.concatenate([x.astype(np.uint64) + np.uint64(1), np.zeros(8, np.uint64)])
     near = stop - np.arange(n)
-    for j in range(7):  # 7 symbols of 9 bits
-        s = padded[j : j + n].copy()
-        s[near <= j] = 0
-        words = (words << np.uint64(9)) | s
-    rank = np.unique(words, return_inverse=True)[1].astype(np.int32)
-    del words, padded
-    levels, k = [(7, rank)], 7
+    if x.dtype != np.uint8:
+        k, rank = 1, np.unique(x, return_inverse=True)[1].astype(np.int32)
+    else:
+        # Beyond a part's end, a symbol of its own stands for each place: suffixes of different parts differ there.
+        words = np.zeros(n, np.uint64)
+        padded = np.concatenate([x.astype(np.uint64) + np.uint64(1), np.zeros(8, np.uint64)])
+        for j in range(7):  # 7 symbols of 9 bits
+            s = padded[j : j + n].copy()
+            s[near <= j] = 0
+            words = (words << np.uint64(9)) | s
+        k, rank = 7, np.unique(words, return_inverse=True)[1].astype(np.int32)
+        del words, padded
+    base, levels = k, [(k, rank)]
     while True:
         nxt = np.full(n, -1, np.int32)
         ok = near > k
@@ -121,7 +191,7 @@ def enhanced(x: np.ndarray, start: np.ndarray, part: np.ndarray, depth: int) ->
             lcp[on] += k
             if k != levels[-1][0]:
                 break
-    for _ in range(7):
+    for _ in range(base if base > 1 else 0):
         ia, ib = np.minimum(a + lcp, n - 1), np.minimum(b + lcp, n - 1)
         same = (near[a] > lcp) & (near[b] > lcp) & (x[ia] == x[ib])
         lcp[same] += 1
@@ -190,21 +260,39 @@ def maximal_repeats(texts: list[bytes], least: int = MIN) -> list[tuple[int, lis
     return [(n, [(int(of[i]), int(sa[i] - begin[of[i]])) for i in range(lb, rb + 1)]) for n, lb, rb, _, diverse in intervals(sa, lcp, before, least) if diverse]
 
 
-def covered(segs: list[bytes]) -> list[list[tuple[int, int]]]:
-    """For each segment, merged parts (begin, end) that repeats among the segments cover."""
-    x = np.frombuffer(b"".join(segs), np.uint8)
-    size = np.array([len(s) for s in segs], np.int64)
+def _array(segs: list[bytes], kind: Kind, whole: bool = False):
+    """Suffix array of the windows of segments, in order of at least their least length (whole: of all they have): symbols, ends, suffixes, common prefixes, segment of each suffix, symbol before it (negative: none)."""
+    x = np.frombuffer(b"".join(segs), np.uint8 if kind is BYTES else np.uint32)
+    size = np.array([len(s) // kind.unit for s in segs], np.int64)
     ends = np.cumsum(size)
-    count = size - MIN + 1
+    count = size - kind.least + 1
     starts = np.repeat(ends - size, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    sa, lcp = enhanced(x, starts, ends, MIN)
+    sa, lcp = enhanced(x, starts, ends, int(size.max()) if whole else kind.least)
     of = np.searchsorted(ends, sa, side="right")
-    begin = ends - size
-    before = np.where(sa == begin[of], -1 - np.arange(len(sa)), x[np.maximum(sa - 1, 0)].astype(np.int64))
-    delta = np.zeros(len(x) + 1, np.int64)
-    # Each suffix is covered over its innermost interval. Order beyond MIN bytes isn't needed: what a longer repeat covers
-    # further on, suffixes that begin later show.
-    for n, _, _, own, _ in intervals(sa, lcp, before, MIN):
+    before = np.where(sa == (ends - size)[of], -1 - np.arange(len(sa)), x[np.maximum(sa - 1, 0)].astype(np.int64))
+    return x, size, ends, sa, lcp, of, before
+
+
+def shares(sa: np.ndarray, lcp: np.ndarray, before: np.ndarray, least: int, who: np.ndarray | None):
+    """(length, places): for each suffix its innermost interval; with who (the document of each suffix), the innermost that two documents have."""
+    held: list[tuple[int, list[int]]] = []  # intervals of one document: an outer one may have two
+    if who is not None:
+        change = np.append(np.flatnonzero(who[1:] != who[:-1]), len(who))
+    for n, lb, rb, own, _ in intervals(sa, lcp, before, least):
+        if who is not None and change[np.searchsorted(change, lb)] + 1 > rb:
+            held.append((lb, own))
+            continue
+        while held and held[-1][0] >= lb:
+            own = own + held.pop()[1]
+        yield n, own
+
+
+def covered(segs: list[bytes], kind: Kind = BYTES, docs: list[int] | None = None) -> list[list[tuple[int, int]]]:
+    """For each segment, merged parts (begin, end) that repeats among the segments cover. docs: the document of each segment, where only repeats of two documents count."""
+    x, size, ends, sa, lcp, of, before = _array(segs, kind)
+    begin, delta = ends - size, np.zeros(len(x) + 1, np.int64)
+    # Order beyond the least length isn't needed: what a longer repeat covers further on, suffixes that begin later show.
+    for n, own in shares(sa, lcp, before, kind.least, None if docs is None else np.array(docs)[of]):
         p = sa[own]
         np.add.at(delta, p, 1)
         np.add.at(delta, p + n, -1)
@@ -235,189 +323,290 @@ def _slices(texts: list, most: int = 2 << 20):
 
 
 def _found(part: list[bytes]):
-    x = np.frombuffer(b"".join(part), np.uint8)
-    ends = np.cumsum([len(b) for b in part]).astype(np.int64)
-    p, first, last, h = anchors(x, ends)
-    return x, ends, p, first, last, h.view(np.int64), np.searchsorted(ends, first, side="right")
+    """For each kind: kind, symbols, ends, and anchors: place, first and last window, hash, text."""
+    raw = np.frombuffer(b"".join(part), np.uint8)
+    bounds = np.cumsum([len(b) for b in part]).astype(np.int64)
+    for kind in KINDS:
+        x, ends, h = symbols(raw, bounds, kind)
+        p, first, last, g = anchors(h, ends, kind)
+        yield kind, x, ends, p, first, last, g.view(np.int64), np.searchsorted(ends, first, side="right")
 
 
 def profile(docs: DataFrame) -> DataFrame:
-    """node, anchors, again (whether the text has the anchor more than once) for each row of docs (node, text)."""
+    """node, anchors, again (whether the text has an anchor of BYTES more than once) for each row of docs (node, text)."""
 
     def each(batches, out):
         for b in batches:
             nodes, texts = b.column("node").to_pylist(), b.column("text").to_pylist()
             for at, part in _slices(texts):
-                _, _, _, _, _, h, of = _found(part)
-                order = np.lexsort((h, of))
-                h, of = h[order], of[order]
-                new = np.concatenate([[True], (h[1:] != h[:-1]) | (of[1:] != of[:-1])]) if len(h) else np.zeros(0, bool)
-                size = np.diff(np.append(np.flatnonzero(new), len(h)))
-                h, of, again = h[new], of[new], size > 1
-                cut = np.searchsorted(of, np.arange(len(part) + 1))
+                hs, ofs, agains = [], [], []
+                for kind, _, _, _, _, _, h, of in _found(part):
+                    order = np.lexsort((h, of))
+                    h, of = h[order], of[order]
+                    new = np.concatenate([[True], (h[1:] != h[:-1]) | (of[1:] != of[:-1])]) if len(h) else np.zeros(0, bool)
+                    size = np.diff(np.append(np.flatnonzero(new), len(h)))
+                    hs.append(h[new])
+                    ofs.append(of[new])
+                    agains.append((size > 1) & (kind is BYTES))
+                h, of, again = np.concatenate(hs), np.concatenate(ofs), np.concatenate(agains)
+                order = np.argsort(of, kind="stable")
+                h, again = h[order], again[order]
+                cut = np.searchsorted(of[order], np.arange(len(part) + 1))
                 yield out([nodes[at : at + len(part)], [h[a:z] for a, z in zip(cut[:-1], cut[1:], strict=True)], [again[a:z] for a, z in zip(cut[:-1], cut[1:], strict=True)]])
 
     return emit(docs, "node long, anchors array<long>, again array<boolean>", each)
 
 
-SEGMENT = "h long, node long, start long, lead int, seg binary"
+SEGMENT = "h long, kind int, node long, start long, lead int, seg binary"
 
 
-def segments(docs: DataFrame) -> DataFrame:
-    """Segments of docs (node, text, wanted: anchors) by SEGMENT; seg is null where a text's own repetition covers start to lead."""
+def segments(docs: DataFrame, every: bool = False) -> DataFrame:
+    """Segments of docs (node, text, wanted: anchors) by SEGMENT, equal ones of a text once (every: each); seg is null where a text's own repetition covers bytes from start to lead."""
 
     def each(batches, out):
+        rows: list[tuple] = []
+
+        def flush():
+            got = out(list(zip(*rows, strict=True)))
+            rows.clear()
+            return got
+
         for b in batches:
             nodes, texts, wanted = b.column("node").to_pylist(), b.column("text").to_pylist(), lists(b.column("wanted"))
             for at, part in _slices(texts):
-                x, ends, p, first, last, h, of = _found(part)
-                begin = np.concatenate([[0], ends[:-1]])
-                cut = np.searchsorted(of, np.arange(len(part) + 1))
-                rows: list[tuple] = []
-                for i in range(len(part)):
-                    mine = np.arange(cut[i], cut[i + 1])
-                    mine = mine[np.isin(h[mine], wanted[at + i])]
-                    seen: dict[tuple, int] = {}
-                    twice: set = set()
-                    places = []
-                    for j in mine.tolist():
-                        a, z = int(first[j] - begin[i]), int(last[j] - begin[i]) + MIN
-                        k = (int(h[j]), int(p[j] - first[j]), part[i][a:z])
-                        places.append((k, a, z))
-                        if k in seen:
-                            twice.add(k)
-                        else:
-                            seen[k] = a
-                    node = nodes[at + i]
-                    rows += [(k[0], node, a, k[1], k[2]) for k, a in seen.items()]
-                    to = None
-                    for k, a, z in places:  # runs of what the text itself repeats
-                        if k in twice:
-                            if to is not None and a <= to[1]:
-                                to[1] = max(to[1], z)
-                            else:
-                                if to:
-                                    rows.append((None, node, to[0], to[1], None))
-                                to = [a, z]
-                    if to:
-                        rows.append((None, node, to[0], to[1], None))
-                    if len(rows) > 4000:
-                        yield out(list(zip(*rows, strict=True)))
-                        rows = []
-                if rows:
-                    yield out(list(zip(*rows, strict=True)))
+                for kind, x, ends, p, first, last, h, of in _found(part):
+                    begin = np.concatenate([[0], ends[:-1]])
+                    cut = np.searchsorted(of, np.arange(len(part) + 1))
+                    for i in range(len(part)):
+                        mine = np.arange(cut[i], cut[i + 1])
+                        mine = mine[np.isin(h[mine], wanted[at + i])]
+                        seen: set[tuple] = set()
+                        twice: set[tuple] = set()
+                        places = []
+                        node = nodes[at + i]
+                        for j in mine.tolist():
+                            a, z = int(first[j]), int(last[j]) + kind.least
+                            k = (int(h[j]), int(p[j] - a), x[a:z].tobytes())
+                            a, z = a - int(begin[i]), z - int(begin[i])
+                            places.append((k, a, z))
+                            if k in seen:
+                                twice.add(k)
+                            if every or k not in seen:
+                                rows.append((k[0], kind.code, node, a, k[1], k[2]))
+                            seen.add(k)
+                        to = None
+                        for k, a, z in places if kind is BYTES and not every else ():  # runs of what the text itself repeats
+                            if k in twice:
+                                if to is not None and a <= to[1]:
+                                    to[1] = max(to[1], z)
+                                else:
+                                    if to:
+                                        rows.append((None, kind.code, node, to[0], to[1], None))
+                                    to = [a, z]
+                        if to:
+                            rows.append((None, kind.code, node, to[0], to[1], None))
+                        if len(rows) > 4000:
+                            yield flush()
+        if rows:
+            yield flush()
 
     return emit(docs, SEGMENT, each)
 
 
-def descend(spark: SparkSession, pieces: DataFrame, folder: str) -> DataFrame:
-    """h, lead, dig, a, z: parts of segments that repeats cover, for anchors of any number of segments, without one task for an anchor.
+TASK = ("g", "kind", "h", "lead", "dig", "base", "seg", "twice", "lo", "same")
 
-    pieces: h, lead, dig, seg, a, b: the windows a to b of a segment. Windows are taken in ranges of fixed places by the
-    anchor, narrower in each round. All windows of a range share a core: ranges whose core no other has are done, and so
-    are ranges of which all with that core are equal. Only one of each different range goes down to the next width, at
-    last 1. What goes down are the few windows at the ends of repeats, so rows grow with the segments, not with their pairs.
-    """
-    found = []
-    for w in WIDTHS:
-        r = F.explode(F.sequence(F.floor((F.col("lead") - F.col("b")) / w).cast("int"), F.floor((F.col("lead") - F.col("a")) / w).cast("int")))
-        df = pieces.withColumn("r", r).withColumn("top", F.col("lead") - F.col("r") * w)  # the range's last window, wherever the piece ends
-        df = df.withColumn("a", F.greatest("a", F.col("top") - (w - 1))).withColumn("b", F.least("b", "top"))
-        core = F.xxhash64("h", "r", F.expr(f"substring(seg, top + 1, {MIN - w + 1})"))
-        df = df.withColumn("core", core).withColumn("same", F.xxhash64("core", F.col("top") - F.col("a"), F.expr(f"substring(seg, a + 1, b - a + {MIN})")))
-        df = staged(spark, df.select("h", "lead", "dig", "seg", "a", "b", "core", "same"), folder, f"ranges-{w}")
-        one = F.min_by(F.struct("h", "lead", "dig", "seg", "a", "b"), F.struct("dig", "lead", "a")).alias("one")
-        kinds = staged(spark, df.groupBy("core", "same").agg(F.count(F.lit(1)).alias("c"), one), folder, f"kinds-{w}", small=True)
-        twice = staged(spark, kinds.where("c > 1").select("same"), folder, f"twice-{w}", small=True)
-        found.append(df.join(twice, "same").select("h", "lead", "dig", "a", (F.col("b") + MIN).alias("z")))
-        mixed = staged(spark, kinds.groupBy("core").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("core"), folder, f"mixed-{w}", small=True)
-        pieces = kinds.join(mixed, "core").select("one.*")
-    return found[0].unionByName(found[1]).unionByName(found[2])
 
+def descend(spark: SparkSession, pieces: DataFrame, folder: str) -> tuple[list[DataFrame], list[DataFrame], list[DataFrame]]:
+    """Cuts anchors of very many segments into ranges of windows: (parts that repeats cover as a whole, groups for suffix arrays by TASK, pieces by their content `same`).
 
-def repeated_parts(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """node, parts: array of (begin, end) of docs (node, text, one row a node wanted of) that repeats cover."""
+    pieces: h, kind, lead, dig, seg, lo, hi, a, b: the windows a to b of a segment. Windows are taken in ranges of fixed places
+    by the anchor, narrower in each round. All windows of a range share a core: ranges whose core no other has are done, and
+    so are ranges of which all with that core are equal. Up to LARGE different ones are a group for one suffix array; more go
+    down to the next width, at last 1. What goes down are the few windows at the ends of repeats, so rows grow with the
+    segments, not with their pairs.
+    """
+    covers, groups, members = [], [], []
+    unit, least = _of_kind(lambda k: F.lit(k.unit)), _of_kind(lambda k: F.lit(k.least))
+    part = lambda a, n: F.col("seg").substr((a * unit + 1).cast("int"), (n * unit).cast("int"))
+    for i in range(3):
+        w = _of_kind(lambda k: F.lit(k.widths[i]))  # noqa: B023
+        df = pieces.withColumn("r", F.explode(F.sequence(F.floor((F.col("lead") - F.col("b")) / w).cast("int"), F.floor((F.col("lead") - F.col("a")) / w).cast("int"))))
+        df = df.withColumn("top", F.col("lead") - F.col("r") * w)  # the range's last window, wherever the piece ends
+        df = df.withColumn("a", F.greatest(F.col("a"), F.col("top") - (w - 1))).withColumn("b", F.least("b", "top"))
+        df = df.withColumn("core", F.xxhash64("h", "r", part(F.col("top"), least - w + 1)))
+        df = df.withColumn("same", F.xxhash64("core", F.col("top") - F.col("a"), part(F.col("a"), F.col("b") - F.col("a") + least)))
+        df = staged(spark, df.select(*pieces.columns, "core", "same"), folder, f"ranges-{i}")
+        one = F.min_by(F.struct(*pieces.columns), F.struct("dig", "lead", "a")).alias("one")
+        twice = F.when(F.first("kind") == BYTES.code, F.count(F.lit(1)) > 1).otherwise(F.min("lo") != F.max("hi"))
+        kinds = staged(spark, df.groupBy("core", "same").agg(twice.alias("twice"), one), folder, f"kinds-{i}", small=True)
+        covers.append(df.join(kinds.where("twice").select("same"), "same").select("h", "kind", "lead", "dig", "a", (F.col("b") + least).alias("z"), F.col("same").alias("g")))
+        members.append(df.select("same", "kind", "h", "lead", "dig", "a"))
+        mixed = kinds.groupBy("core").agg(F.count(F.lit(1)).alias("k"), F.count_if(~F.col("twice")).alias("open")).where("k > 1 and open > 0")
+        kinds = kinds.join(staged(spark, mixed.select("core", "k"), folder, f"mixed-{i}", small=True), "core").select("core", "k", "same", "twice", "one.*")
+        few = kinds.where(F.col("k") <= LARGE)
+        groups.append(few.select(F.col("core").alias("g"), "kind", "h", "lead", "dig", F.col("a").alias("base"), part(F.col("a"), F.col("b") - F.col("a") + least).alias("seg"), "twice", "lo", "same"))
+        pieces = kinds.where(F.col("k") > LARGE).select(*pieces.columns)
+    return covers, groups, members
+
+
+def candidates(spark: SparkSession, docs: DataFrame, folder: str, every: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(segments, parts covered as a whole, groups for suffix arrays, pieces of cut anchors by content) of docs (node, text)."""
     prof = staged(spark, profile(docs.select("node", "text")), folder, "profile")
     seen = prof.select("node", F.explode(F.arrays_zip("anchors", "again")).alias("x")).select("node", F.col("x.anchors").alias("h"), F.col("x.again").alias("again"))
     many = seen.groupBy("h").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.max("again").alias("again")).where("lo != hi or again").select("h")
     many = staged(spark, many, folder, "anchors", small=True)
     wanted = seen.select("node", "h").join(many, "h").groupBy("node").agg(F.collect_set("h").alias("wanted"))
     wanted = staged(spark, wanted, folder, "wanted")
-    segs = staged(spark, segments(docs.join(wanted, "node").select("node", "text", "wanted")), folder, "segments")
+    discard(spark, folder, "profile", "anchors")
+    segs = staged(spark, segments(docs.join(wanted, "node").select("node", "text", "wanted"), every), folder, "segments")
 
-    # Distinct segments of each anchor: what occurs twice is covered; the others are compared if the anchor has several.
+    # Distinct segments of each anchor: what two texts have is covered; the others are compared if the anchor has several.
     dig = F.xxhash64("seg", "lead")
-    place = segs.where("seg is not null").select("h", "lead", "node", "start", dig.alias("dig"), F.octet_length("seg").alias("size"))
-    distinct = segs.where("seg is not null").groupBy("h", "lead", "seg").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
-    distinct = staged(spark, distinct.select("h", "lead", "seg", (F.col("lo") != F.col("hi")).alias("twice"), dig.alias("dig")), folder, "distinct")
-    sizes = staged(spark, distinct.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.count_if(~F.col("twice")).alias("open")).where("c > 1 and open > 0"), folder, "sizes", small=True)
+    distinct = segs.where("seg is not null").groupBy("h", "kind", "lead", "seg").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
+    distinct = staged(spark, distinct.withColumns({"twice": F.col("lo") != F.col("hi"), "dig": dig}), folder, "distinct")
+    sizes = staged(spark, distinct.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.count_if(~F.col("twice")).alias("open")).where("c > 1 and open > 0").select("h", "c"), folder, "sizes", small=True)
     open_ = distinct.join(sizes, "h")
+    least, unit = _of_kind(lambda k: F.lit(k.least)), _of_kind(lambda k: F.lit(k.unit))
+    size = (F.octet_length("seg") / unit).cast("int")
+    covers, groups, members = descend(spark, open_.where(F.col("c") > LARGE).select("h", "kind", "lead", "dig", "seg", "lo", "hi", F.lit(0).alias("a"), (size - least).alias("b")), folder)
+    groups.append(open_.where(F.col("c") <= LARGE).select(F.col("h").alias("g"), "kind", "h", "lead", "dig", F.lit(0).alias("base"), "seg", "twice", "lo", F.lit(None).cast("long").alias("same")))
+    covers.append(distinct.where("twice").select("h", "kind", "lead", "dig", F.lit(0).alias("a"), size.alias("z"), F.xxhash64("seg").alias("g")))
+    union = lambda dfs: dfs[0] if len(dfs) == 1 else dfs[0].unionByName(union(dfs[1:]))
+    n = min(MOST_TASKS, bucket_count(spark, distinct, 8 << 20))
+    return segs, union(covers), union(groups).repartition(n, "g").sortWithinPartitions("g"), union(members)
+
+
+def batched(batches, flush, same: bool = False):
+    """What flush(kind, rows) gives for the groups of batches sorted by g, as rows (kind, h, lead, seg, dig, twice, lo, base, and same if asked for), up to about BATCH bytes of a kind at a time."""
+    rows, held = {k: [] for k in KINDS}, dict.fromkeys(KINDS, 0)
+    for _, group in runs(batches, "g", ["kind", "h", "lead", "seg", "dig", "twice", "lo", "base", *(["same"] if same else [])]):
+        kind = KINDS[group[0][0]]
+        rows[kind] += group
+        held[kind] += sum(len(r[3]) for r in group)
+        if held[kind] >= BATCH:
+            yield from flush(kind, rows[kind])
+            rows[kind], held[kind] = [], 0
+    for kind in KINDS:
+        if rows[kind]:
+            yield from flush(kind, rows[kind])
+
+
+def repeated_parts(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """node, parts, passages: arrays of (begin, end) of docs (node, text, one row a node) that repeats cover: bytes, and words of passages."""
+    segs, covers, groups, _ = candidates(spark, docs, folder)
 
     def compare(batches, out):
-        def flush():
-            got = covered([r[2] for r in rows])
-            flat = [(r[0], r[1], r[3], a, z) for r, parts in zip(rows, got, strict=True) if not r[4] for a, z in parts]
-            rows.clear()
-            return out(list(zip(*flat, strict=True))) if flat else None
-
-        rows, held = [], 0
-        for _, group in runs(batches, "h", ["h", "lead", "seg", "dig", "twice"]):
-            rows += group
-            held += sum(len(r[2]) for r in group)
-            if held >= BATCH:
-                if (got := flush()) is not None:
-                    yield got
-                held = 0
-        if rows and (got := flush()) is not None:
-            yield got
-
-    parts = "h long, lead int, dig long, a int, z int"
-    n = min(MOST_TASKS, bucket_count(spark, distinct, 8 << 20))
-    small = emit(open_.where(F.col("c") <= LARGE).select("h", "lead", "seg", "dig", "twice").repartition(n, "h").sortWithinPartitions("h"), parts, compare)
-    large = descend(spark, open_.where(F.col("c") > LARGE).select("h", "lead", "dig", "seg", F.lit(0).alias("a"), (F.octet_length("seg") - MIN).alias("b")), folder)
-    whole = distinct.where("twice").select("h", "lead", "dig", F.lit(0).alias("a"), F.octet_length("seg").alias("z"))
-    cover = staged(spark, small.unionByName(large).unionByName(whole), folder, "cover")
-    back = place.join(cover, ["h", "lead", "dig"]).select("node", (F.col("start") + F.col("a")).alias("begin"), (F.col("start") + F.col("z")).alias("end"))
-    own = segs.where("seg is null").select("node", F.col("start").alias("begin"), F.col("lead").cast("long").alias("end"))
-    return back.unionByName(own).groupBy("node").agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("parts"))
+        def flush(kind, rows):
+            # A segment of several documents is a document of its own: any interval with it has two.
+            who = None if kind is BYTES else [-1 - i if r[5] else r[6] for i, r in enumerate(rows)]
+            got = covered([r[3] for r in rows], kind, who)
+            flat = [(r[1], r[0], r[2], r[4], r[7] + a, r[7] + z) for r, parts in zip(rows, got, strict=True) if not r[5] for a, z in parts]
+            if flat:
+                yield out(list(zip(*flat, strict=True)))
+
+        yield from batched(batches, flush)
+
+    cover = staged(spark, emit(groups.drop("same"), "h long, kind int, lead int, dig long, a int, z int", compare).unionByName(covers.drop("g")), folder, "cover")
+    place = segs.where("seg is not null").select("h", "kind", "lead", "node", "start", F.xxhash64("seg", "lead").alias("dig"))
+    back = place.join(cover, ["h", "kind", "lead", "dig"]).select("node", "kind", (F.col("start") + F.col("a")).alias("begin"), (F.col("start") + F.col("z")).alias("end"))
+    own = segs.where("seg is null").select("node", "kind", F.col("start").alias("begin"), F.col("lead").cast("long").alias("end"))
+    of = lambda k: F.sort_array(F.collect_set(F.when(F.col("kind") == k.code, F.struct("begin", "end"))))
+    return back.unionByName(own).groupBy("node").agg(of(BYTES).alias("parts"), of(WORDS).alias("passages"))
+
+
+def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
+
+
+def repeat_groups(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """group, length, key, offset: groups of repeats of at least MIN bytes, all occurrences in all rows.
+
+    Groups are left-diverse intervals of the suffix arrays, and segments or ranges of windows that occur several times as a
+    whole; equal texts are listed for each of their rows. A group is clipped to an anchor's segment or range. Rows are as many as occurrences: no list is gathered.
+    """
+    arrow_rows(spark)
+    folder = shared_dir(spark)
+    rows = _rows(docs, key, text).where(F.octet_length("text") >= MIN)
+    texts = rows.groupBy("node").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    segs, covers, groups, members = candidates(spark, texts.select("node", "text"), folder, every=True)
+
+    def grouped(batches, out):
+        import xxhash
+
+        def flush(kind, rows):
+            x, size, ends, sa, lcp, of, before = _array([r[3] for r in rows], kind, whole=True)
+            begin, flat = ends - size, []
+            for n, lb, rb, _, diverse in intervals(sa, lcp, before, kind.least):
+                if diverse:
+                    g = xxhash.xxh3_64_intdigest(x[sa[lb] : sa[lb] + n].tobytes()) - (1 << 63)
+                    flat += [(g, n, *[rows[of[i]][c] for c in (1, 2, 4, 7, 8)], int(sa[i] - begin[of[i]])) for i in range(lb, rb + 1)]
+            if flat:
+                yield out(list(zip(*flat, strict=True)))
+
+        yield from batched(batches, flush, same=True)
+
+    made = emit(groups.where(F.col("kind") == BYTES.code).select(*TASK), "group long, length int, h long, lead int, dig long, base int, same long, at int", grouped)
+    made = staged(spark, made, folder, "groups")
+    # A piece of a cut anchor stands for all pieces of its content.
+    like = made.where("same is not null").select("group", "length", "same", "at").join(members.where(F.col("kind") == BYTES.code), "same")
+    at = ("group", "length", "h", "lead", "dig", (F.col("a") + F.col("at")).alias("at"))
+    made = made.where("same is null").withColumnRenamed("base", "a").select(*at).unionByName(like.select(*at))
+    place = segs.where((F.col("kind") == BYTES.code) & F.col("seg").isNotNull()).select("h", "lead", "node", "start", F.xxhash64("seg", "lead").alias("dig"), F.octet_length("seg").alias("size"))
+    again = place.groupBy("h", "lead", "dig").agg(F.count(F.lit(1)).alias("places"), F.first("size").alias("z")).where("places > 1")  # within a text, too
+    again = again.select(F.xxhash64("h", "lead", "dig").alias("group"), F.col("z").alias("length"), "h", "lead", "dig", F.lit(0).alias("at"))
+    ranges_ = covers.where(F.col("kind") == BYTES.code).select(F.col("g").alias("group"), (F.col("z") - F.col("a")).alias("length"), "h", "lead", "dig", F.col("a").alias("at"))
+    found = place.join(made.unionByName(again).unionByName(ranges_).distinct(), ["h", "lead", "dig"]).select("group", "length", "node", (F.col("start") + F.col("at")).alias("offset"))
+    copies = texts.where("copies > 1").select(F.xxhash64(F.lit("text"), "node").alias("group"), F.octet_length("text").alias("length"), "node", F.lit(0).cast("long").alias("offset"))
+    found = found.unionByName(copies)
+    return found.join(rows.select("node", F.col("key").alias(key)), "node").select("group", "length", key, "offset").distinct()
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) for each row of docs."""
+    """key, n_bytes, n_removed, n_spans, kept_sha256, passage_words (words of passages of over 50 words that another row has too) and kept (the remaining bytes) for each row of docs."""
     arrow_rows(spark)
     folder = shared_dir(spark)
-    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
-    # Of equal texts, one takes part; texts below MIN have no windows.
-    copies = rows.where(F.octet_length("text") >= MIN).groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(F.col("key").isNull(), "key"))["key"].alias("first"))
+    rows = _rows(docs, key, text)
+    some = F.octet_length("text") >= SHORTEST
+    # Of equal texts, one takes part; shorter texts have no windows.
+    copies = rows.where(some).groupBy("node").agg(F.count(F.lit(1)).alias("copies"))
     copies = staged(spark, copies, folder, "copies", small=True)
-    parts = staged(spark, repeated_parts(spark, rows.where(F.octet_length("text") >= MIN).select("node", "text"), folder), folder, "parts", small=True)
+    parts = staged(spark, repeated_parts(spark, rows.where(some).select("node", "text"), folder), folder, "parts", small=True)
     of = copies.join(parts, "node", "left").where("copies > 1 or parts is not null")
-    of = staged(spark, of.select(F.col("node").alias("n"), "copies", F.when(F.col("copies") == 1, F.col("parts")).alias("parts")), folder, "of", small=True)
+    of = staged(spark, of.select(F.col("node").alias("n"), "copies", "parts", "passages"), folder, "of", small=True)
+    discard(spark, folder, "segments", "distinct", "cover", *[f"ranges-{i}" for i in range(3)], *[f"kinds-{i}" for i in range(3)])
+
+    def merged(spans):
+        out: list[list[int]] = []
+        for s in spans or []:
+            if out and s["begin"] <= out[-1][1]:
+                out[-1][1] = max(out[-1][1], s["end"])
+            else:
+                out.append([s["begin"], s["end"]])
+        return out
 
     def each(batches, out):
         import pyarrow as pa
 
         for b in batches:
             got = []
-            for k, t, c, spans in zip(*[b.column(x).to_pylist() for x in ("key", "text", "copies", "parts")], strict=True):
+            for k, t, c, spans, passages in zip(*[b.column(x).to_pylist() for x in ("key", "text", "copies", "parts", "passages")], strict=True):
                 raw = t.encode()
-                merged: list[list[int]] = [[0, len(raw)]] if c and c > 1 else []
-                for s in spans or []:
-                    if merged and s["begin"] <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], s["end"])
-                    else:
-                        merged.append([s["begin"], s["end"]])
+                copy = (c or 0) > 1
+                gone = [[0, len(raw)]] if copy and len(raw) >= MIN else merged(spans)
+                words = len(raw.split()) if copy else 0
+                if words < WORDS.least:
+                    words = sum(z - a for a, z in merged(passages))
                 kept, at = [], 0
-                for a, z in merged:
+                for a, z in gone:
                     kept.append(raw[at:a])
                     at = z
                 kept = b"".join([*kept, raw[at:]])
-                got.append((k, len(raw), len(raw) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), kept))
-            yield out(list(zip(*got, strict=True)) if got else [pa.array([])] * 6)
+                got.append((k, len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), words, kept))
+            yield out(list(zip(*got, strict=True)) if got else [pa.array([])] * 7)
 
     kind = docs.schema[key].dataType.simpleString()
-    df = rows.join(of, (F.col("node") == F.col("n")) & (F.octet_length("text") >= MIN), "left").select("key", "text", "copies", "parts")
-    return emit(df, f"key {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary", each).withColumnRenamed("key", key)
+    df = rows.join(of, (F.col("node") == F.col("n")) & some, "left").select("key", "text", "copies", "parts", "passages")
+    return emit(df, f"key {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, passage_words long, kept binary", each).withColumnRenamed("key", key)
 
 
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
