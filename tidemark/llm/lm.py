@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MOST_TASKS, WordHash, arrow_rows, bucket_count, deal_buckets, emit, ngram_hashes, pack, pack_sorted, ranges, runs, shared_dir, staged, table, unpack, unpack_sorted
+from .common import MOST_TASKS, WordHash, arrow_rows, bucket_count, deal_buckets, emit, ngram_hashes, pack, pack_sorted, places, ranges, runs, shared_dir, staged, table, unpack, unpack_sorted
 
 ORDER = 3
 ALPHA = 0.4
@@ -109,18 +109,6 @@ def count_table(docs: DataFrame, order: int = ORDER, text: str = "text") -> Data
     return emit(deal_buckets(packed, buckets), "n int, gram long, count long", each)
 
 
-def places(flat: np.ndarray) -> np.ndarray:
-    """For each key its place among the distinct keys in order, in less memory than np.unique takes for it."""
-    order = np.argsort(flat, kind="stable")
-    new = np.ones(len(flat), bool)
-    ranked = flat[order]
-    np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
-    del ranked
-    out = np.empty(len(flat), np.int32)
-    out[order] = np.cumsum(new, dtype=np.int32) - 1
-    return out
-
-
 def others(h: list[np.ndarray], n: int, nums: np.ndarray) -> np.ndarray:
     """For the n-grams of all documents, one after another: how often the other documents have them. nums: totals of the block's distinct grams."""
     size = np.array([max(0, len(x) - n + 1) for x in h])

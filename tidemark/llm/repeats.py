@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import M2, MOST_TASKS, arrow_rows, bucket_count, discard, emit, kept, lists, mix, runs, shared_dir, staged, table
+from .common import M2, MOST_TASKS, arrow_rows, bucket_count, discard, emit, kept, lists, mix, places, runs, shared_dir, staged, table
 
 MIN, GRAM = 400, 64
 LARGE = 200  # distinct segments of an anchor that one task compares
@@ -154,7 +154,7 @@ def enhanced(x: np.ndarray, start: np.ndarray, part: np.ndarray, depth: int) ->
     stop = part[np.searchsorted(part, np.arange(n), side="right")]
     near = stop - np.arange(n)
     if x.dtype != np.uint8:
-        k, rank = 1, np.unique(x, return_inverse=True)[1].astype(np.int32)
+        k, rank = 1, places(x)
     else:
         # Beyond a part's end, a symbol of its own stands for each place: suffixes of different parts differ there.
         words = np.zeros(n, np.uint64)
@@ -163,34 +163,37 @@ def enhanced(x: np.ndarray, start: np.ndarray, part: np.ndarray, depth: int) ->
             s = padded[j : j + n].copy()
             s[near <= j] = 0
             words = (words << np.uint64(9)) | s
-        k, rank = 7, np.unique(words, return_inverse=True)[1].astype(np.int32)
+        k, rank = 7, places(words)
         del words, padded
     base, levels = k, [(k, rank)]
-    while True:
-        nxt = np.full(n, -1, np.int32)
-        ok = near > k
-        nxt[ok] = rank[np.flatnonzero(ok) + k]
-        if 2 * k >= depth:  # only the suffixes asked for need the last order
-            both = (rank[start].astype(np.int64) << 32) + nxt[start] + 1
-            order = np.argsort(both, kind="stable")
-            break
-        both = (rank.astype(np.int64) << 32) + nxt + 1
-        rank = np.unique(both, return_inverse=True)[1].astype(np.int32)
-        k *= 2
+    ary, bits = (3, 21) if n < (1 << 21) - 1 else (2, 32)  # so many ranks side by side make the next one
+
+    def side_by_side(at: np.ndarray) -> np.ndarray:
+        key = rank[at].astype(np.int64)
+        for i in range(1, ary):
+            nxt, ok = np.zeros(len(at), np.int64), near[at] > i * k
+            nxt[ok] = rank[at[ok] + i * k] + 1  # 0: beyond the part
+            key = (key << bits) | nxt
+        return key
+
+    every = np.arange(n)
+    while ary * k < depth:
+        rank = places(side_by_side(every))
+        k *= ary
         levels.append((k, rank))
+    order = np.argsort(side_by_side(start), kind="stable")  # only the suffixes asked for need the last order
     sa = start[order]
     a, b = sa[:-1].copy(), sa[1:].copy()
     lcp = np.zeros(len(a), np.int64)
     for k, rank in levels[::-1]:
-        on = np.arange(len(a))
-        while len(on):  # the longest step as often as it fits, each shorter one once
+        on, times = np.arange(len(a)), 0
+        while len(on) and (k == levels[-1][0] or times < ary - 1):  # the longest step as often as it fits, each shorter one ary - 1 times
             i, j = a[on] + lcp[on], b[on] + lcp[on]
             ok = (near[a[on]] - lcp[on] >= k) & (near[b[on]] - lcp[on] >= k)
             on, i, j = on[ok], i[ok], j[ok]
             on = on[rank[i] == rank[j]]
             lcp[on] += k
-            if k != levels[-1][0]:
-                break
+            times += 1
     for _ in range(base if base > 1 else 0):
         ia, ib = np.minimum(a + lcp, n - 1), np.minimum(b + lcp, n - 1)
         same = (near[a] > lcp) & (near[b] > lcp) & (x[ia] == x[ib])
