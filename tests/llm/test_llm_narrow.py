@@ -311,6 +311,22 @@ def test_grammar_paths():
     assert path("i will kill you") == ["threat"] and path("to kill time") == [] and path("nothing at all") == []
 
 
+def test_grammar_beats_isolated_words():
+    """Planted clauses in noise, toxic only if an insult is said outright: same words in every row, so that words alone can't tell."""
+    r = np.random.default_rng(3)
+    noise = lambda n: " ".join("".join(r.choice(list("bcdfgklmp"), 6)) for _ in range(n))
+    bad = ["you {}", "{} that you are", "what a {} day", "du {}"]
+    good = ["you are not a {}", "she said you {}", "nobody called him a {}", "he wrote what a {}", "du bist kein {}"]
+    rows = [(". ".join([noise(12), (bad if y else good)[r.integers(4)].format(r.choice(["idiot", "moron"])), noise(12)]), y) for y in [0, 1] * 150]
+    m = toxicity.Model({"idiot": 3.0, "moron": 3.0})
+    x = np.array([m.features(t) for t, _ in rows])
+    y = np.array([float(v) for _, v in rows])
+    m.weights = toxicity.fitted(x[:200], y[:200])
+    got = np.array([m.score(t) >= toxicity.THRESHOLD for t, _ in rows[200:]])
+    assert (got == (y[200:] == 1)).mean() > 0.97  # a list of words gives all rows one score: 0.5
+    assert m.score("you moron") >= m.score("moron") > m.score("you are not a moron")
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     got = toxicity.op10_toxicity(spark, sf)
