@@ -16,17 +16,20 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df as a checkpoint in the folder that spark.checkpoint.dir names: several consumers don't compute it again.
-
-    Only a local session without that setting gets a folder of its own.
-    """
-    sc = df.sparkSession.sparkContext
+def folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; only a local session without that setting gets one of its own."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not sc.master.startswith("local["):
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not sc.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir isn't set")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tidemark-"))
+        sc.setCheckpointDir(base or tempfile.mkdtemp(prefix="tidemark-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df as a checkpoint: several consumers don't compute it again."""
+    folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import panel, tables, verdicts
+from . import more, panel, tables, verdicts
 
-QUERIES = {**panel.QUERIES, **tables.QUERIES, **verdicts.QUERIES}
-SQL = {**panel.SQL, **tables.SQL, **verdicts.SQL}
+QUERIES = {**panel.QUERIES, **tables.QUERIES, **verdicts.QUERIES, **more.QUERIES}
+SQL = {**panel.SQL, **tables.SQL, **verdicts.SQL, **more.SQL}
 FLAGSHIP = "placebo_rank_p"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +18,7 @@ from ..operators import timebins as T
 from ..operators import topk as K
 from ..operators import windows as W
 from . import generators as Gen
-from .base import EVENT, TREATED, cut, obs, table
+from .base import EVENT, TREATED, cut, folder, obs, table
 
 QUERIES, SQL = {}, {}
 
@@ -180,7 +182,7 @@ def red_team(spark, sf):
 def stream_tumbling(spark, sf):
     from ..streaming import events as S
 
-    df = S.run_once(S.tumbling(S.events(spark, f"{sf}/event[s].parquet")), "stream_tumbling")
+    df = S.run_once(S.tumbling(S.events(spark, f"{sf}/event[s].parquet")), f"{folder(spark)}/stream_tumbling-{uuid.uuid4().hex[:12]}")
     return df.select(F.to_date("begin").alias("day"), "event_type", "n", settled("total", 4).alias("total"))
 
 
@@ -188,7 +190,7 @@ def stream_tumbling(spark, sf):
 def stream_dedup(spark, sf):
     from ..streaming import events as S
 
-    df = S.run_once(S.first_by_minute(S.events(spark, f"{sf}/event[s].parquet")), "stream_dedup")
+    df = S.run_once(S.first_by_minute(S.events(spark, f"{sf}/event[s].parquet")), f"{folder(spark)}/stream_dedup-{uuid.uuid4().hex[:12]}")
     return df.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -196,9 +198,13 @@ def stream_dedup(spark, sf):
 def stream_sessions(spark, sf):
     from ..streaming import events as S
 
-    return S.run_once(S.sessions(S.events(spark, f"{sf}/event[s].parquet")), "stream_sessions").groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.sum("n").alias("n"))
+    return S.run_once(S.sessions(S.events(spark, f"{sf}/event[s].parquet")), f"{folder(spark)}/stream_sessions-{uuid.uuid4().hex[:12]}").groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.sum("n").alias("n"))
 
 
+# A session is closed once it ended before the watermark, a day behind the last event.
+SQL["stream_sessions"] = """WITH e AS (SELECT user_id, ts::TIMESTAMP AS ts FROM events), g AS (SELECT *, coalesce(ts > lag(ts) OVER o + INTERVAL 30 MINUTE, true)::INT AS new FROM e WINDOW o AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS nth FROM g), c AS (SELECT user_id, nth, count(*) AS n, max(ts) AS last FROM s GROUP BY 1, 2)
+SELECT user_id, count(*) AS sessions, sum(n)::BIGINT AS n FROM c WHERE last + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 1 DAY FROM e) GROUP BY 1"""
 SQL["stream_dedup"] = "SELECT event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type, date_trunc('minute', ts) AS m FROM events) GROUP BY 1"
 SQL["stream_tumbling"] = "WITH d AS (SELECT ts::DATE AS day, event_type, count(*) AS n, round(cast(sum(value) AS DECIMAL(38,10)), 4)::DOUBLE AS total FROM events GROUP BY 1, 2) SELECT * FROM d WHERE day + 1 <= (SELECT max(ts)::TIMESTAMP - INTERVAL 1 DAY FROM events)"
 

@@ -48,8 +48,12 @@ def forward_monitor(stream: DataFrame, floor: float = 0.0, late: str = "1 day")
     return stream.withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(step, "user_id long, n long, total double, peak double, below boolean", "n long, total double, peak double", "update", "NoTimeout")
 
 
-def run_once(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """What the stream gives for all files that are there now, as a table."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def run_once(stream: DataFrame, at: str, mode: str = "append") -> DataFrame:
+    """What the stream gives for all files that are there now: Parquet files below the folder `at`, beside the stream's checkpoint."""
+    w = stream.writeStream.option("checkpointLocation", f"{at}/checkpoint").outputMode(mode).trigger(availableNow=True)
+    if mode == "append":
+        q = w.format("parquet").start(f"{at}/rows")
+    else:  # what changes is written anew by each batch
+        q = w.foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{at}/rows/batch={i}")).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{at}/rows")
