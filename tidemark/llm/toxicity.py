@@ -131,7 +131,10 @@ class Model:
         return out, n
 
     def features(self, text: str | None) -> np.ndarray:
-        """1, then by path: the log-damped weight of all clauses, that against the text's length, and that of the heaviest clause.
+        return self.read(text)[0]
+
+    def read(self, text: str | None) -> tuple[np.ndarray, int]:
+        """Features and the number of matched clauses. 1, then by path: the log-damped weight of all clauses, that against the text's length, and that of the heaviest clause.
 
         A targeted insult counts as one said outright, too.
         """
@@ -139,7 +142,7 @@ class Model:
         g = np.array(got).reshape(-1, len(PATHS))
         g[:, 0] += g[:, 1]
         total = g.sum(axis=0)
-        return np.concatenate([[1.0], np.log1p(total), np.log1p(100 * total / (n + 20)), np.log1p(g.max(axis=0, initial=0.0))])
+        return np.concatenate([[1.0], np.log1p(total), np.log1p(100 * total / (n + 20)), np.log1p(g.max(axis=0, initial=0.0))]), len(got)
 
     def score(self, text: str | None) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.features(text) @ self.weights, -30, 30))))
@@ -209,10 +212,11 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with toxicity (0 to 1) and the matched clauses' number and weights by path."""
 
     def each(texts: list) -> list:
-        x = np.array([model.features(t) for t in texts]).reshape(len(texts), -1)
+        seen = [model.read(t) for t in texts]
+        x = np.array([f for f, _ in seen]).reshape(len(texts), -1)
         p = 1 / (1 + np.exp(-np.clip(x @ model.weights, -30, 30)))
         paths = [[round(v, 6) for v in row] for row in np.expm1(x[:, 1:6]).tolist()]
-        return [np.round(p, 9).tolist(), [len(model.clauses(t or "")[0]) for t in texts], paths]
+        return [np.round(p, 9).tolist(), [n for _, n in seen], paths]
 
     return with_columns(docs, [text], "toxicity double, n_toxic_clauses long, path_weights array<double>", each)
 
