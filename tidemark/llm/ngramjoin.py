@@ -7,11 +7,13 @@
 3. Prefixes. The total order is (document frequency, hash). A pair of similarity t shares at least ceil(t n) shingles of
    either side, so at least l among the first n - ceil(t n) + l of both. Each node picks the l, and with it the length
    of its prefix, whose estimated cost (postings to scan, plus candidates - postings / l - times the cost of comparing
-   a set of its size) is least; a pair is compared only if it shares l tokens in its prefixes of the smaller l of both.
-4. Groups. Nodes that share any token of their shortest prefixes, directly or by others, form a group: only there can
-   links be. A large group's nodes are first compared with its most typical node; those linked with it are known to be
-   one component, so that only the rest meets, in blocks of bounded size, the group's blocks. No token's posting list
-   is expanded into pairs, and no task holds a whole group.
+   a set of its size) is least. Prefixes are rows (token, node, l, the least l that has the token); joined by token and
+   counted, they give as candidates the pairs that share l tokens in their prefixes of the smaller l of both.
+4. Cores. First each token's most typical node stands for it, and a node is compared with the one of these that it shares
+   most tokens with: as many rows as postings, at any size of a family. What these links connect is a core, and is one
+   component already. So then only tokens of several cores are joined, and of each only the nodes outside its main core
+   with all of its nodes; a frequent token's rows are salted. Candidates are verified in blocks, which get each set once.
+   No token's list is expanded within a core, and no task holds a whole group.
 5. Links found go into components().
 
 Shingles are compared by 64-bit hashes. Defined results: a null text is empty; texts without words have no shingles and
@@ -29,8 +31,8 @@ from pyspark.sql import functions as F
 from .common import MOST_TASKS, WordHash, arrow_rows, bucket_count, components, deal_buckets, emit, lists, ngram_hashes, pack, pack_sorted, ranges, runs, shared_dir, staged, table, to_long, unpack, unpack_sorted
 
 LEVELS = (1, 2, 3, 4, 6, 8)
-BLOCK = 64  # nodes of a block when a large group is compared in blocks
-LARGE = 128  # nodes of a group that is compared at once at most
+BLOCK = 64  # nodes of a block of a core, when pairs are verified
+SALT = 1024  # postings of a token that one salt of it holds
 SHINGLES = 1_500_000  # of a block in the exchange
 
 
@@ -142,123 +144,118 @@ def records(postings: DataFrame, percent: int) -> DataFrame:
     return df.select("node", "n", F.col("t.token").alias("tokens"), F.col("t.df").alias("dfs"), (F.size("t") - need + 1).alias("base")).where("base > 0")
 
 
-def level(n: int, dfs: np.ndarray, base: int) -> int:
-    """The l of least estimated cost."""
-    scan = np.cumsum(dfs - 1)
-    best, least = 1, None
+def levels(recs: DataFrame) -> DataFrame:
+    """node, n, tokens, base, l: records with the l of least estimated cost, and so with the length of their prefix, base + l - 1."""
+    posts = F.aggregate(F.slice("dfs", F.lit(1), F.col("base")), F.lit(0.0), lambda s, d: s + d - 1)
+    each = []
     for k in LEVELS:
-        if base + k - 1 > len(dfs):
-            break
-        posts = float(scan[base + k - 2])
-        cost = posts + posts / k * (5 + 0.05 * n)
-        if least is None or cost < least:
-            best, least = k, cost
-    return best
-
-
-def _overlaps(rows: list[np.ndarray], chunk: int = 16384) -> np.ndarray:
-    """Sizes of all intersections among a bounded number of sets, by dense products over ranges of the vocabulary."""
-    vocab, ids = np.unique(np.concatenate(rows), return_inverse=True) if rows else (np.zeros(0), np.zeros(0, int))
-    who = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    order = np.argsort(ids, kind="stable")
-    ids, who = ids[order], who[order]
-    total = np.zeros((len(rows), len(rows)))
-    for lo in range(0, len(vocab), chunk):
-        a, b = np.searchsorted(ids, [lo, lo + chunk])
-        m = np.zeros((len(rows), min(chunk, len(vocab) - lo)), np.float32)
-        m[who[a:b], ids[a:b] - lo] = 1
-        total += m @ m.T
-    return total
-
-
-def linked(group: list, percent: int) -> np.ndarray:
-    """Pairs (i, j) of positions in group that are linked. group: n, tokens, dfs, base of each node."""
-    n = np.array([g[0] for g in group])
-    ls = np.array([level(g[0], g[2], g[3]) for g in group])
-    cand = np.zeros((len(group), len(group)), bool)
-    for k in np.unique(ls):
-        at = np.flatnonzero(ls >= k)  # at this l, the pairs whose smaller l it is
-        hits = _overlaps([group[i][1][: group[i][3] + k - 1] for i in at]) >= k
-        cand[np.ix_(at, at)] |= hits & (np.minimum.outer(ls[at], ls[at]) == k)
-    cand &= 100 * np.minimum.outer(n, n) >= percent * np.maximum.outer(n, n)
-    cand = np.triu(cand, 1)
-    live = np.flatnonzero(cand.any(0) | cand.any(1))
-    if not len(live):
-        return np.zeros((0, 2), int)
-    both = _overlaps([group[i][1] for i in live])
-    ok = (100 * both >= percent * (np.add.outer(n[live], n[live]) - both)) & cand[np.ix_(live, live)]
-    return live[np.argwhere(ok)]
-
-
-def forest(pairs: np.ndarray, size: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs."""
-    up = list(range(size))
-
-    def top(i: int) -> int:
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
-    out = []
-    for i, j in pairs.tolist():
-        a, b = top(i), top(j)
-        if a != b:
-            up[max(a, b)] = min(a, b)
-            out.append((i, j))
-    return out
+        at = F.col("posts") + F.aggregate(F.slice("dfs", F.col("base") + 1, F.lit(k - 1)), F.lit(0.0), lambda s, d: s + d - 1)
+        cost = F.struct((at + at / k * (5 + 0.05 * F.col("n"))).alias("cost"), F.lit(k).alias("l"))
+        each.append(F.when(F.col("base") + (k - 1) <= F.size("dfs"), cost))
+    return recs.withColumn("posts", posts).select("node", "n", "tokens", "base", F.array_min(F.array(*each))["l"].alias("l"))
 
 
-def links(spark: SparkSession, recs: DataFrame, folder: str, percent: int) -> DataFrame:
-    """a, b: links that connect what is linked. recs: a table of records()."""
-    posts = recs.select("node", F.explode(F.slice("tokens", F.lit(1), F.col("base"))).alias("token"))
-    hubs = staged(spark, posts.groupBy("token").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1").select("token", "hub"), folder, "hubs", small=True)
-    star = posts.join(hubs, "token").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    group = components(spark, star, folder, "groups")
-    sizes = staged(spark, group.groupBy("comp").agg(F.count(F.lit(1)).alias("size")), folder, "sizes", small=True)
-    of = staged(spark, group.join(sizes, "comp"), folder, "of", small=True)
-    df = staged(spark, recs.join(of, "node"), folder, "grouped")
-
-    large = df.where(F.col("size") > LARGE)
-    typical = large.groupBy("comp").agg(F.min_by(F.struct(F.col("node").alias("h"), F.col("n").alias("hn"), F.col("tokens").alias("ht")), F.struct((F.col("n") - F.size("tokens")) / F.col("n"), F.col("node"))).alias("x"))
-    typical = staged(spark, typical.select("comp", "x.*"), folder, "typical", small=True)
-
-    def near(batches, out):
-        for b in batches:
-            ok = []
-            for n, t, hn, ht in zip(b.column("n").to_pylist(), lists(b.column("tokens")), b.column("hn").to_pylist(), lists(b.column("ht")), strict=True):
-                both = len(np.intersect1d(t, ht, assume_unique=True))
-                ok.append(100 * both >= percent * (n + hn - both))
-            yield out([b.column("node").to_pylist(), b.column("h").to_pylist(), ok])
-
-    star = emit(large.join(typical, "comp").select("node", "n", "tokens", "h", "hn", "ht"), "node long, h long, core boolean", near)
-    star = staged(spark, star, folder, "star")
-
-    # Blocks: of small groups one; of large ones the core's and the rest's, of which only pairs with the rest meet.
-    pick = lambda size: F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), F.ceil(size / BLOCK)).cast("int")).cast("int")
-    parts = large.select("node", "comp").join(star.select("node", "core"), "node").groupBy("comp").agg(F.count_if("core").alias("n_core"), F.count_if(~F.col("core")).alias("n_rest"))
-    parts = staged(spark, parts, folder, "parts", small=True)
-    few = df.where(F.col("size") <= LARGE).select("node", "n", "tokens", "dfs", "base", F.concat_ws(":", "comp").alias("task"))
-    big = large.join(star.select("node", "core"), "node").join(parts, "comp").where("n_rest > 0")
-    rest_blocks, core_blocks = F.greatest(F.lit(1), F.ceil(F.col("n_rest") / BLOCK)).cast("int"), F.greatest(F.lit(1), F.ceil(F.col("n_core") / BLOCK)).cast("int")
-    mine = F.when(F.col("core"), F.concat(F.lit("c"), pick(F.col("n_core")).cast("string"))).otherwise(F.concat(F.lit("r"), F.format_string("%09d", pick(F.col("n_rest")))))
-    rest = F.transform(F.sequence(F.lit(0), rest_blocks - 1), lambda i: F.concat(F.lit("r"), F.format_string("%09d", i)))
-    cores = F.transform(F.sequence(F.lit(0), core_blocks - 1), lambda i: F.concat(F.lit("c"), i.cast("string")))
-    others = F.when(F.col("core"), rest).otherwise(F.concat(rest, cores))
-    big = big.withColumn("mine", mine).withColumn("other", F.explode(others))
-    big = big.select("node", "n", "tokens", "dfs", "base", F.concat_ws(":", "comp", F.least("mine", "other"), F.greatest("mine", "other")).alias("task"))
+def postings(recs: DataFrame) -> DataFrame:
+    """token, node, n, l, step, own for each token of a prefix. step: the least l whose prefix has it; own: the share of tokens no other has."""
+    cols = ["node", "n", "l", "base", ((F.col("n") - F.size("tokens")) / F.col("n")).alias("own")]
+    at = recs.select(*cols, F.posexplode(F.slice("tokens", F.lit(1), F.col("base") + F.col("l") - 1)).alias("pos", "token"))
+    return at.select("token", "node", "n", "l", F.greatest(F.lit(1), F.col("pos") - F.col("base") + 2).alias("step"), "own")
+
+
+def matches(met: DataFrame, percent: int) -> DataFrame:
+    """a, b, hits: pairs with as many common prefix tokens as the smaller l of both asks. met: a row (x, y: postings) for each token that two share."""
+    fits = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
+    need = F.least("x.l", "y.l")
+    met = met.where(fits & (F.greatest("x.step", "y.step") <= need))
+    hits = met.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"), need.alias("need")).agg(F.count(F.lit(1)).alias("hits"))
+    return hits.where("hits >= need").select("a", "b", "hits")
+
+
+def verified(spark: SparkSession, recs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Links among pairs (a, b, task) that connect what these link. A task gets the set of each of its nodes once."""
+    nodes = pairs.select("task", F.col("a").alias("node")).union(pairs.select("task", F.col("b").alias("node"))).distinct()
+    sets = nodes.join(recs.select("node", "n", "tokens"), "node").select("task", F.lit(None).cast("long").alias("a"), "node", "n", "tokens")
+    asks = pairs.select("task", "a", F.col("b").alias("node"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("array<bigint>").alias("tokens"))
 
     def compare(batches, out):
-        for _, rows in runs(batches, "task", ["node", "n", "tokens", "dfs", "base"]):
-            if len(rows) > 1:
-                got = forest(linked([r[1:] for r in rows], percent), len(rows))
-                if got:
-                    yield out([[rows[i][0] for i, _ in got], [rows[j][0] for _, j in got]])
+        for _, rows in runs(batches, "task", ["a", "node", "n", "tokens"]):
+            have = {v: (n, np.sort(t)) for a, v, n, t in rows if a is None}
+            up, found = {v: v for v in have}, []
+            for a, b, _, _ in rows:
+                if a is None:
+                    continue
+                i, j = top(up, a), top(up, b)
+                if i == j:  # already one component
+                    continue
+                (n, s), (m, t) = have[a], have[b]
+                both = common(s, t)
+                if 100 * both >= percent * (n + m - both):
+                    up[i] = j
+                    found.append((a, b))
+            if found:
+                yield out([[a for a, _ in found], [b for _, b in found]])
+
+    parts = min(MOST_TASKS, bucket_count(spark, recs, 4 << 20))
+    return emit(sets.union(asks).repartition(parts, "task").sortWithinPartitions("task", F.col("a").asc_nulls_first()), "a long, b long", compare)
+
+
+def common(s: np.ndarray, t: np.ndarray) -> int:
+    """How many values two sorted sets share."""
+    if not len(s) or not len(t):
+        return 0
+    at = np.searchsorted(s, t)
+    at[at == len(s)] = 0
+    return int((s[at] == t).sum())
+
+
+def top(up: dict[int, int], v: int) -> int:
+    while up[v] != v:
+        up[v] = up[up[v]]
+        v = up[v]
+    return v
+
+
+def block(node: str, count) -> "F.Column":
+    """The block of a node, of as many as count nodes need."""
+    return F.pmod(F.xxhash64(node), F.ceil(count / BLOCK).cast("long"))
 
-    n = min(MOST_TASKS, bucket_count(spark, recs, 4 << 20))
-    dealt = few.union(big).repartition(n, "task").sortWithinPartitions("task")
-    found = emit(dealt, "a long, b long", compare)
-    return found.union(star.where("core").select(F.col("node").alias("a"), F.col("h").alias("b")))
+
+def links(spark: SparkSession, recs: DataFrame, folder: str, percent: int) -> DataFrame:
+    """a, b: links that connect what is linked. recs: a table of levels()."""
+    row = F.struct("node", "n", "l", "step")
+    posts = postings(recs)
+
+    # Leaders: each node is compared with the one that most of its prefix agrees on. What these links connect is a core.
+    lead = posts.groupBy("token").agg(F.min(F.struct("own", "node", "n", "l", "step")).alias("y"), F.count(F.lit(1)).alias("c")).where("c > 1").select("token", "y")
+    star = matches(posts.select("token", row.alias("x")).join(lead, "token").where("x.node != y.node"), percent)
+    star = star.groupBy("a").agg(F.max(F.struct("hits", "b"))["b"].alias("b"))
+    star = staged(spark, star, folder, "star", small=True)
+    led = star.groupBy("b").agg(F.count(F.lit(1)).alias("c"))
+    star = star.join(led, "b").select("a", "b", F.struct(F.col("b").alias("p"), F.lit(0).cast("long").alias("i"), F.col("b").alias("q"), block("a", F.col("c")).alias("j")).alias("task"))
+    first = staged(spark, verified(spark, recs, star, percent), folder, "first", small=True)
+    core = components(spark, first, folder, "cores").withColumnRenamed("comp", "core")
+
+    # Pairs: tokens that several cores share. Nodes of a token's main core meet only the others, which meet all.
+    posts = posts.join(core, "node", "left").withColumn("core", F.coalesce("core", "node"))
+    mixed = posts.groupBy("token").agg(F.min("core").alias("lo"), F.max("core").alias("hi"), F.min(F.struct("own", "node", "core"))["core"].alias("main"), F.count(F.lit(1)).alias("c")).where("lo != hi")
+    salts = F.ceil(F.col("c") / SALT).cast("int")
+    posts = posts.join(mixed.select("token", "main", salts.alias("salts")), "token").select("token", "salts", "core", (F.col("core") == F.col("main")).alias("in_main"), row.alias("x"))
+    posts = staged(spark, posts, folder, "postings")
+    left = posts.where(~F.col("in_main")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    right = posts.select("token", "in_main", F.col("core").alias("core_y"), F.col("x").alias("y"), F.pmod(F.xxhash64("x.node"), F.col("salts")).cast("int").alias("salt"))
+    met = left.drop("in_main").join(right, ["token", "salt"]).where((F.col("core") != F.col("core_y")) & (F.col("in_main") | (F.col("x.node") < F.col("y.node"))))
+    met = met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))  # either may be in a token's main core
+    pairs = matches(met, percent).select("a", "b")
+    pairs = staged(spark, pairs, folder, "pairs", small=True)
+
+    # Tasks: blocks of what candidates connect, so that a set goes to few of them.
+    group = components(spark, pairs, folder, "groups").withColumnRenamed("comp", "g")
+    group = group.join(group.groupBy("g").agg(F.count(F.lit(1)).alias("c")), "g").select("node", "g", block("node", F.col("c")).alias("k"))
+    group = staged(spark, group, folder, "blocks", small=True)
+    i, j = F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")
+    pairs = pairs.join(group.select(F.col("node").alias("a"), "g", F.col("k").alias("i")), "a").join(group.select(F.col("node").alias("b"), F.col("k").alias("j")), "b")
+    pairs = pairs.select("a", "b", F.struct(F.col("g").alias("p"), i, F.col("g").alias("q"), j).alias("task"))
+    return first.union(verified(spark, recs, pairs, percent))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -267,7 +264,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, n: int = 5, percent: i
     folder = shared_dir(spark)
     buckets = bucket_count(spark, docs, 4 << 20)
     mem = staged(spark, members(docs, n, key, text), folder, "members")
-    recs = staged(spark, records(shared(exchange(docs, n, text, buckets), buckets), percent), folder, "records", small=True)
+    recs = staged(spark, levels(records(shared(exchange(docs, n, text, buckets), buckets), percent)), folder, "records", small=True)
     edges = staged(spark, links(spark, recs, folder, percent), folder, "links")
     comp = components(spark, edges, folder, "components")
     reps = mem.where("node is not null").groupBy("node").agg(F.min("key").alias("first"))
