@@ -115,59 +115,37 @@ def families(seed, n, size):
     return rows
 
 
-@pytest.mark.parametrize("block,salt", [(64, 1024), (4, 3)])
-def test_join_of_near_copies(spark, monkeypatch, block, salt):
-    """The second case salts most tokens and cuts every family into several blocks."""
+@pytest.mark.parametrize("large,block", [(128, 64), (10, 4)])
+def test_join_of_near_copies(spark, monkeypatch, large, block):
+    """The second case sends every family down the path of large groups: one typical node, then blocks of the rest."""
+    monkeypatch.setattr(ngramjoin, "LARGE", large)
     monkeypatch.setattr(ngramjoin, "BLOCK", block)
-    monkeypatch.setattr(ngramjoin, "SALT", salt)
     monkeypatch.setattr(ngramjoin, "SHINGLES", 2000)
     rows = families(3, 3, 60)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert result(ngramjoin.near_duplicates(spark, df)) == brute_components(rows)
 
 
-@pytest.mark.parametrize("block,salt", [(64, 1024), (2, 2)])
-def test_prefixes_lose_no_pair(spark, monkeypatch, block, salt):
-    """All linked pairs are candidates, and the links found connect what brute force connects."""
-    from tidemark.llm.common import shared_dir, staged
-
-    monkeypatch.setattr(ngramjoin, "BLOCK", block)
-    monkeypatch.setattr(ngramjoin, "SALT", salt)
+def test_prefixes_lose_no_pair():
     r = np.random.default_rng(0)
-    recs, sets = [], {}
-    for g in range(60):
+    for _ in range(60):
         base = r.integers(0, 400, 60)
-        own = {}
-        for i in range(12):
+        sets = []
+        for _ in range(12):
             x = base.copy()
             at = r.integers(0, 60, r.integers(0, 12))
             x[at] = r.integers(400, 430, len(at))
-            own[100 * g + i] = frozenset((1000 * g + x).tolist())
-        df = collections.Counter(v for s in own.values() for v in s)
-        for node, s in own.items():
-            t = sorted((v for v in s if df[v] > 1), key=lambda v: (df[v], v))
+            sets.append(np.unique(x))
+        df = collections.Counter(int(v) for s in sets for v in s)
+        group = []
+        for s in sets:
+            t = sorted((int(v) for v in s if df[int(v)] > 1), key=lambda v: (df[v], v))
             k = len(t) - -(-80 * len(s) // 100) + 1
             if k > 0:
-                recs.append((node, len(s), t, [df[v] for v in t], k))
-        sets.update(own)
-    want = {(a, b) for a in sets for b in sets if a // 100 == b // 100 and a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
-    df = spark.createDataFrame(recs, "node long, n long, tokens array<bigint>, dfs array<int>, base int")
-    folder = shared_dir(spark)
-    df = staged(spark, ngramjoin.levels(df), folder, "records")
-    posts = ngramjoin.postings(df).select("token", F.struct("node", "n", "l", "step").alias("x"))
-    met = posts.join(posts.select("token", F.col("x").alias("y")), "token").where("x.node < y.node")
-    got = {(v.a, v.b): v.hits for v in ngramjoin.matches(met, 80).collect()}
-    assert df.where("l > 1").count() and want and want <= set(got)
-    found = {(min(v), max(v)) for v in ngramjoin.links(spark, df, folder, 80).collect()}
-    assert found <= want and classes(found, sets) == classes(want, sets)
-
-
-def classes(pairs, nodes):
-    up = {v: v for v in nodes}
-    for a, b in sorted(pairs):
-        a, b = ngramjoin.top(up, a), ngramjoin.top(up, b)
-        up[max(a, b)] = min(a, b)
-    return {v: ngramjoin.top(up, v) for v in nodes}
+                group.append([len(s), np.array(t), np.array([df[v] for v in t]), k, frozenset(s.tolist())])
+        got = {tuple(p) for p in ngramjoin.linked([g[:4] for g in group], 80).tolist()}
+        want = {(i, j) for i in range(len(group)) for j in range(i + 1, len(group)) if 5 * len(group[i][4] & group[j][4]) >= 4 * len(group[i][4] | group[j][4])}
+        assert got == want
 
 
 def test_join_query(spark, sf, docs):
