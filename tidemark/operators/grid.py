@@ -133,6 +133,48 @@ def area_change(pixels: DataFrame, sign: int, size: int, ncols: int) -> DataFram
     return frac.crossJoin(p)  # a row by a row
 
 
+def clearest(scenes: DataFrame, n: int = 8) -> DataFrame:
+    """Of scenes (scene, post, tile, minute, cloud) the n clearest of each period: one of each minute, all of the tile that most scenes have.
+
+    Unknown cloud comes last; ties go to the earlier minute, then the smaller name.
+    """
+    tile = scenes.groupBy("tile").agg(F.count(F.lit(1)).alias("_n")).agg(F.max(F.struct("_n", "tile"))["tile"].alias("tile"))
+    order = [F.col("cloud").asc_nulls_last(), F.col("minute"), F.col("scene")]
+    one = scenes.join(F.broadcast(tile), "tile", "left_semi").withColumn("_r", F.row_number().over(Window.partitionBy("post", "minute").orderBy(*order))).where("_r = 1")
+    return one.withColumn("_r", F.row_number().over(Window.partitionBy("post").orderBy(*order))).where(F.col("_r") <= n).drop("_r")
+
+
+def period_change(pixels: DataFrame, scenes: DataFrame, least: int = 3, n: int = 8) -> DataFrame:
+    """row, col, delta: the median after less the median before, over the clearest scenes; null with fewer than `least` clear values in a period.
+
+    pixels: scene, row, col, v (null where not clear). One aggregation gives both composites.
+    """
+    df = pixels.join(F.broadcast(clearest(scenes, n).select("scene", "post")), "scene")  # at most 2 n rows
+    of = lambda post: F.when(F.col("post") == post, F.col("v"))
+    g = df.groupBy("row", "col").agg(F.median(of(True)).alias("_b"), F.median(of(False)).alias("_a"), F.count(of(True)).alias("_nb"), F.count(of(False)).alias("_na"))
+    return g.select("row", "col", F.when((F.col("_na") >= least) & (F.col("_nb") >= least), F.col("_b") - F.col("_a")).alias("delta"))
+
+
+def matched_controls(delta: DataFrame, ground: DataFrame, margin: int) -> DataFrame:
+    """delta (row, col, delta) with area and control: pixels of the area's most frequent class outside the margin around it.
+
+    ground: row, col, cls (0: unknown), area. Distance is to the area's nearest pixel: an area pixel marks every pixel within the margin, an
+    equi-join by tiles of that size.
+    """
+    g = ground.where("area AND cls <> 0").groupBy("cls").agg(F.count(F.lit(1)).alias("_n")).agg(F.max(F.struct("_n", (-F.col("cls")).alias("_m")))["_m"].alias("_m"))
+    tile = lambda x: F.floor(F.col(x) / margin)
+    near = F.explode(F.array(*[F.struct((tile("row") + i).alias("i"), (tile("col") + j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    # only the ends of the area's runs and of its columns can be nearest to a pixel outside it
+    edge = lambda by, o: F.coalesce(F.lag("area").over(Window.partitionBy(by).orderBy(o)) & F.lead("area").over(Window.partitionBy(by).orderBy(o)), F.lit(False))
+    rim = ground.withColumn("_in", edge("row", "col") & edge("col", "row")).where("area AND NOT _in")
+    rim = rim.select(F.col("row").alias("r"), F.col("col").alias("c"), near.alias("t")).select("r", "c", "t.i", "t.j")
+    hit = ground.where("NOT area").select("row", "col", tile("row").alias("i"), tile("col").alias("j")).join(rim, ["i", "j"])
+    close = hit.where(F.pow(F.col("row") - F.col("r"), 2) + F.pow(F.col("col") - F.col("c"), 2) <= margin * margin).select("row", "col").distinct().withColumn("_near", F.lit(True))
+    df = delta.join(ground, ["row", "col"]).join(close, ["row", "col"], "left").join(F.broadcast(g))  # one row
+    control = ~F.col("area") & F.col("_near").isNull() & (F.col("cls") == -F.col("_m")) & F.col("delta").isNotNull()
+    return df.select("row", "col", "delta", (F.col("area") & F.col("delta").isNotNull()).alias("area"), F.coalesce(control, F.lit(False)).alias("control"))
+
+
 def covariates(pixels: DataFrame) -> DataFrame:
     """zone, lc, lc_share, elevation, slope: dominant class (the smaller one among equals) and terrain. pixels: zone, cls, elev, slope."""
     n = pixels.where("cls <> 0").groupBy("zone", "cls").agg(F.count(F.lit(1)).alias("n"))

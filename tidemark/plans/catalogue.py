@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import more, panel, tables, verdicts
+from . import chains, more, panel, tables, verdicts
 
-QUERIES = {**panel.QUERIES, **tables.QUERIES, **verdicts.QUERIES, **more.QUERIES}
-SQL = {**panel.SQL, **tables.SQL, **verdicts.SQL, **more.SQL}
+QUERIES = {**panel.QUERIES, **tables.QUERIES, **verdicts.QUERIES, **more.QUERIES, **chains.QUERIES}
+SQL = {**panel.SQL, **tables.SQL, **verdicts.SQL, **more.SQL, **chains.SQL}
 FLAGSHIP = "placebo_rank_p"

@@ -89,3 +89,82 @@ def monitors(weeks: int = 170, donors: int = 18, treated: int = 3, event: int =
     tr, d = make(treated), make(donors)
     tr[:, event:] += effect
     return tr, d, t < event
+
+
+def _days(first: str, last: str, step: str) -> tuple[pd.DatetimeIndex, np.ndarray, np.ndarray]:
+    days = pd.date_range(first, last, freq=step)
+    return days, days.dayofyear.to_numpy(float), days.year.to_numpy()
+
+
+def _winter(doy: np.ndarray) -> np.ndarray:
+    return 0.5 * (((doy >= 288) | (doy <= 120)).astype(float) + np.clip(np.cos((doy - 30) / 90), 0, 1))
+
+
+def _tables(spark: SparkSession, frames: list[pd.DataFrame], schema: str, roster: list[str]) -> tuple[DataFrame, DataFrame]:
+    from ..sources.readers import nan_to_null
+
+    units = spark.createDataFrame([(i, r) for i, r in enumerate(roster)], "unit long, role string")
+    return nan_to_null(spark.createDataFrame(pd.concat(frames, ignore_index=True), schema)), units
+
+
+def tilled(spark: SparkSession, seed: int = 17) -> tuple[DataFrame, DataFrame]:
+    """Panel (channel, unit, d, v) and units (unit, role): fields with winter cover from 2021 and no tillage from 2023, among fields without either.
+
+    The optical channel has cloud gaps, the radar channel, an index of disturbed soil with pulses in spring and autumn, has none.
+    """
+    r = np.random.default_rng(seed)
+    days, doy, yr = _days("2019-01-01", "2025-12-31", "16D")
+    roster = ["both"] * 4 + ["neither"] * 20
+    pulse = 0.08 + 0.55 * sum(np.exp(-((doy - at) ** 2) / (2 * 22.0**2)) for at in (110.0, 300.0))
+    frames = []
+    for i, role in enumerate(roster):
+        on = role == "both"
+        green = r.normal(0.17, 0.02) + r.normal(0.66, 0.03) * np.exp(-((doy - 200) ** 2) / (2 * 48.0**2)) + on * 0.24 * _winter(doy) * (yr >= 2021) + r.normal(0, 0.025, len(days))
+        green[r.random(len(days)) < 0.22] = np.nan
+        soil = np.where(on & (yr >= 2023), 0.08, pulse) + r.normal(0, 0.02, len(days))
+        frames += [pd.DataFrame({"channel": c, "unit": i, "d": days.date, "v": v}) for c, v in (("optical", green), ("radar", soil))]
+    return _tables(spark, frames, "channel string, unit long, d date, v double", roster)
+
+
+def infected(spark: SparkSession, seed: int = 13, lag: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Panel (channel, unit, t, d, v) of weeks of one season and units: canopies of which some fail from weeks 14 to 20 on, red edge first, greenness `lag` weeks later."""
+    r = np.random.default_rng(seed)
+    days, _, _ = _days("2024-03-01", "2024-10-20", "7D")
+    t = np.arange(len(days))
+    roster = ["healthy"] * 20 + [f"week {w}" for w in (14, 16, 18, 20)]
+    frames = []
+    for i, role in enumerate(roster):
+        for c, top, bare, late in (("rededge", 0.45, 0.16, 0), ("green", 0.80, 0.34, lag)):
+            v = 0.15 + (top + r.normal(0, 0.015) - 0.15) * np.clip(t / 8.0, 0, 1) - 0.25 * np.clip((t - 26) / 8.0, 0, 1)
+            if role != "healthy":
+                lost = np.clip((t - int(role.split()[1]) - late) / 6.0, 0, 1)
+                v = v * (1 - lost) + bare * lost
+            v = v + r.normal(0, 0.012, len(t))
+            v[r.random(len(t)) < 0.10] = np.nan
+            frames.append(pd.DataFrame({"channel": c, "unit": i, "t": t, "d": days.date, "v": v}))
+    return _tables(spark, frames, "channel string, unit long, t long, d date, v double", roster)
+
+
+def patchy(spark: SparkSession, seed: int = 23) -> tuple[DataFrame, DataFrame]:
+    """Panel (unit, d, green, texture) and units: even winter cover, patchy weeds, bare fields."""
+    r = np.random.default_rng(seed)
+    days, doy, yr = _days("2019-01-01", "2025-12-31", "16D")
+    kinds = {"cover": (0.24, 0.035), "weeds": (0.20, 0.14), "bare": (0.0, 0.03)}
+    roster = ["cover"] * 4 + ["weeds"] * 4 + ["bare"] * 16
+    frames = []
+    for i, role in enumerate(roster):
+        up, rough = (x * _winter(doy) * (yr >= 2021) for x in kinds[role])
+        green = r.normal(0.17, 0.02) + r.normal(0.66, 0.03) * np.exp(-((doy - 200) ** 2) / (2 * 48.0**2)) + up + r.normal(0, 0.02, len(days))
+        texture = 0.03 + rough + r.normal(0, 0.005, len(days))
+        cloud = r.random(len(days)) < 0.20
+        green[cloud], texture[cloud] = np.nan, np.nan
+        frames.append(pd.DataFrame({"unit": i, "d": days.date, "green": green, "texture": texture}))
+    return _tables(spark, frames, "unit long, d date, green double, texture double", roster)
+
+
+def stations(weeks: int = 170, donors: int = 24, treated: int = 3, event: int = 156, seed: int = 5) -> tuple[np.ndarray, np.ndarray, int]:
+    """Weekly levels (treated, weeks), (donors, weeks) and the event's week: monitors of one season; the treated ones follow the mean of four donors."""
+    r = np.random.default_rng(seed)
+    season = 42 + 5 * np.sin(2 * np.pi * np.arange(weeks) / 52.18)
+    d = season + r.normal(0, 2, (donors, 1)) + r.normal(0, 1, (donors, weeks))
+    return d[:4].mean(axis=0) + r.normal(0, 0.5, (treated, weeks)), d, event
