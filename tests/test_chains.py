@@ -74,3 +74,62 @@ def test_wider_controls(spark, sf):
 
 def test_dates_cannot_be_chosen(spark):
     assert all(x["dates"] == 5 and x["reals"] == 0 for x in chains.date_selection(spark, 1).collect())
+
+
+def test_hours_become_weeks(spark, sf):
+    """The planted fall is there beside what the season (which stays in the weeks) does to all, the week of the event is gone, the station without months has a receipt."""
+    got = {x["unit"]: x for x in chains.air_chain(spark, sf).collect()}
+    moved = {u: got[u]["after"] - got[u]["before"] for u in "01234"}
+    rest = [moved[u] for u in "1234"]
+    assert max(rest) - min(rest) < 0.1 and abs(moved["0"] - np.mean(rest) + 4) < 0.1
+    assert got["5"]["reason"] == "coverage" and got["5"]["weeks"] is None and got["1"]["weeks"] == 155  # 156 whole weeks less the mixed one
+
+
+def test_gates(spark, sf):
+    got = {x["gate"]: x["status"] for x in chains.gate_attack(spark, sf).collect()}
+    assert got.pop("clear") == "REAL" and "REAL" not in got.values() and len(got) == len(chains.GATES) - 1
+
+
+def test_water_is_spared(spark, sf):
+    got = {x["days"]: x for x in chains.flood_attack(spark, sf).collect()}
+    assert got[10]["without_water"] > 0.5 and all(x["with_water"] == 0 for x in got.values())
+
+
+def test_relaxed_gate_lets_nothing_through(spark):
+    r = chains.relaxation(spark, 1).first()
+    assert r["fits"] == 3 and r["let_through_real"] == 0 and r["reals"] == 0
+
+
+def test_as_of_across_slots(spark):
+    """Against a brute force: hot keys over many slots, ties, keys and times that are missing, a limit on the age."""
+    from tidemark.operators import windows as W
+
+    r = np.random.default_rng(3)
+    make = lambda n, off: [(int(i) + off, None if i % 50 == 7 else int(r.integers(0, 3)) // 2, None if i % 60 == 9 else int(r.integers(0, 3000))) for i in range(n)]
+    ev, lo = make(300, 0), make(60, 1000)
+    table = lambda rows: spark.createDataFrame(rows, "id long, key int, s long").withColumn("ts", F.timestamp_seconds("s"))
+    for within in (None, 90):
+        got = {x["id"]: x["lookup_id"] for x in W.as_of(table(ev), table(lo).withColumn("x", F.col("id")), within_s=within, slot_s=100).collect()}
+        for i, k, s in ev:
+            may = [(t, j) for j, q, t in lo if None not in (q, t, k, s) and q == k and t <= s]
+            want = max(may)[1] if may and (within is None or s - max(may)[0] <= within) else None
+            assert got[i] == want, (i, k, s)
+        assert len(got) == len(ev)
+
+
+def test_step_up_in_parts(spark):
+    """As the definition says, over ties, missing values and families, however the range of p is cut."""
+    from tidemark.functions.stats import step_up
+
+    r = np.random.default_rng(8)
+    rows = [(i, "ab"[i % 2], None if i % 13 == 5 else round(float(r.random() ** (4 if i % 3 else 1)), 2)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, f string, p double")
+
+    def brute(part):
+        ps = sorted(p for *_, p in part if p is not None)
+        cut = max((p for i, p in enumerate(ps, 1) if p <= 0.05 * (i + ps[i:].count(p)) / len(ps)), default=-1)
+        return {i for i, _, p in part if p is not None and p <= cut}
+
+    for parts in (1, 7, 4096):
+        assert {x["id"] for x in step_up(df, parts=parts).where("found").collect()} == brute(rows)
+        assert {x["id"] for x in step_up(df, family="f", parts=parts).where("found").collect()} == brute([x for x in rows if x[1] == "a"]) | brute([x for x in rows if x[1] == "b"])

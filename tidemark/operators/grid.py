@@ -205,6 +205,11 @@ def read_resolution(width_m: float, height_m: float, most: int, choices=(40, 60,
     raise ValueError("the window is too large at any resolution")
 
 
+def resolution_of(width_m, height_m, most: int, choices=(40, 60, 80)) -> Column:
+    """read_resolution for a table of windows; null where none fits."""
+    return F.coalesce(*[F.when((width_m / r) * (height_m / r) <= most, F.lit(r)) for r in choices])
+
+
 def signal_panel(cube: DataFrame, signal: str, tile: int = 20) -> DataFrame:
     """parcel, t, v: a texture signal of each parcel and date."""
     df = cube.withColumn("parcel", F.concat_ws(":", F.floor(F.col("row") / tile), F.floor(F.col("col") / tile)))

@@ -45,15 +45,22 @@ def prefix_sums(grid: DataFrame, block: str = "block", row: str = "row", col: st
     return df.withColumn("area_sum", F.sum("_r").over(Window.partitionBy(block, col).orderBy(row))).drop("_r")
 
 
-def as_of(events: DataFrame, lookups: DataFrame, key: str = "key", ts: str = "ts", value: str = "x", within_s: int | None = None) -> DataFrame:
+def as_of(events: DataFrame, lookups: DataFrame, key: str = "key", ts: str = "ts", value: str = "x", within_s: int | None = None, slot_s: int = 7 * 86400) -> DataFrame:
     """events (id, key, ts) with at and the value of the last lookup (id, key, ts, value) at or before them.
 
-    One sort by key and time of both sides together: no pairs are made. A key's rows go to one task in order of time;
-    ties take the lookup of the largest id.
+    Both sides are sorted together by time within slots of a key, so that a key with a third of all rows is many tasks;
+    no pairs are made. What a slot starts with is the last lookup of the key's earlier slots, a row a slot. Ties take the
+    lookup of the largest id; without key or time nothing is found.
     """
-    side = lookups.select(F.col(key), F.col(ts), F.lit(0).alias("_side"), F.lit(None).cast(dict(events.dtypes)["id"]).alias("id"), F.struct(F.col(ts).alias("at"), F.col("id").alias("lookup_id"), F.col(value).alias(value)).alias("_l"))
-    mine = events.select(F.col(key), F.col(ts), F.lit(1).alias("_side"), "id", F.lit(None).cast(side.schema["_l"].dataType).alias("_l"))
-    w = Window.partitionBy(key).orderBy(ts, "_side", F.col("_l")["lookup_id"]).rowsBetween(Window.unboundedPreceding, 0)
-    df = side.unionByName(mine).withColumn("_l", F.last("_l", True).over(w)).where("_side = 1")
+    slot = F.floor(F.col(ts).cast("timestamp").cast("long") / slot_s).alias("_slot")
+    known = lookups.where(F.col(key).isNotNull() & F.col(ts).isNotNull())
+    side = known.select(F.col(key), F.col(ts), slot, F.lit(0).alias("_side"), F.lit(None).cast(dict(events.dtypes)["id"]).alias("id"), F.struct(F.col(ts).alias("at"), F.col("id").alias("lookup_id"), F.col(value).alias(value)).alias("_l"))
+    mine = events.select(F.col(key), F.col(ts), slot, F.lit(1).alias("_side"), "id", F.lit(None).cast(side.schema["_l"].dataType).alias("_l"))
+    both = side.unionByName(mine)
+    last = F.max_by("_l", F.when(F.col("_l").isNotNull(), F.struct("_l.at", "_l.lookup_id")))
+    earlier = Window.partitionBy(key).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    carried = both.groupBy(key, "_slot").agg(last.alias("_m")).select(key, "_slot", F.last("_m", True).over(earlier).alias("_c"))
+    w = Window.partitionBy(key, "_slot").orderBy(ts, "_side", F.col("_l")["lookup_id"]).rowsBetween(Window.unboundedPreceding, 0)
+    df = both.withColumn("_l", F.last("_l", True).over(w)).where("_side = 1").join(carried, [key, "_slot"], "left").withColumn("_l", F.coalesce("_l", "_c"))
     ok = F.lit(True) if within_s is None else F.col(ts).cast("timestamp").cast("long") - F.col("_l")["at"].cast("timestamp").cast("long") <= within_s
     return df.select("id", key, ts, *[F.when(ok, F.col("_l")[x]).alias(x) for x in ("at", "lookup_id", value)])

@@ -86,6 +86,17 @@ def snapped_grid(spark, sf):
     return X.snapped(z.withColumns({"x1": F.col("x0") + F.col("n") * 11, "y1": F.col("y0") + F.col("n") * 13}))
 
 
+@query(f"WITH {_IDS} SELECT id, CASE WHEN id * 30.0 / 40 * (n * 211 + 50) / 40 <= 9000 THEN 40 WHEN id * 30.0 / 60 * (n * 211 + 50) / 60 <= 9000 THEN 60 WHEN id * 30.0 / 80 * (n * 211 + 50) / 80 <= 9000 THEN 80 END AS res FROM ids")
+def read_resolutions(spark, sf):
+    """The finest resolution at which each window is small enough."""
+    return ids(spark, sf).select("id", X.resolution_of(F.col("id") * 30.0, F.col("n") * 211 + 50, 9000).alias("res"))
+
+
+@query(f"""WITH {_CUBE} SELECT ("row" // 4) || ':' || ("col" // 4) AS parcel, t, {R('stddev_pop(v)')} AS v FROM cube GROUP BY 1, 2""")
+def texture_panel(spark, sf):
+    return X.signal_panel(cube(spark, sf), "texture_std", 4).select("parcel", "t", settled("v").alias("v"))
+
+
 # -- files ----------------------------------------------------------------------------------------
 
 

@@ -13,9 +13,10 @@ from ..operators import joins as J
 from ..operators import timebins as T
 from ..operators import topk as K
 from ..operators import windows as W
-from .base import BINS, DAYS, EVENT, HOURS, MONTHS, OBS, TREATED, WIDTH, R, obs, table, user_days, user_hours
+from .base import BINS, DAYS, EVENT, HOURS, MONTHS, OBS, TREATED, WIDTH, R, cut, obs, table, user_days, user_hours
 
 QUERIES, SQL = {}, {}
+PLACEBOS = 60  # placebo units of one analysis
 
 
 def query(sql: str | None = None):
@@ -157,9 +158,10 @@ tw AS (SELECT d.u AS unit, p.k, avg(p.v) AS twin FROM dn d JOIN panel p ON p.uni
 
 
 def effects(spark, sf, k: int = 10) -> DataFrame:
-    """unit, k, v, twin, e, pre: every unit against the mean of its own k nearest others, all chosen by the same rule."""
-    p = panel(spark, sf)
-    pairs = J.pool_pairs(p, p.select("unit").distinct())
+    """unit, k, v, twin, e, pre: the treated unit and at most PLACEBOS others, each against the mean of its own k nearest others, all chosen by the same rule."""
+    p = cut(panel(spark, sf))
+    units = p.select("unit").distinct()
+    pairs = J.pool_pairs(p, units.where(F.col("unit") == TREATED).unionByName(K.hash_budget(units.where(F.col("unit") != TREATED), PLACEBOS, "placebos", key="unit")))
     best = pairs.withColumn("r", F.row_number().over(Window.partitionBy("unit").orderBy("rmse", "other"))).where(F.col("r") <= k).select("unit", "other")
     twin = best.join(p.select(F.col("unit").alias("other"), "k", F.col("v").alias("x")), "other").groupBy("unit", "k").agg(F.avg("x").alias("twin"))
     return p.join(twin, ["unit", "k"]).withColumn("e", F.col("v") - F.col("twin"))

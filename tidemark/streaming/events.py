@@ -34,18 +34,26 @@ def first_by_minute(stream: DataFrame, late: str = "1 hour") -> DataFrame:
     return stream.withColumn("minute", F.date_trunc("minute", "ts")).withWatermark("ts", late).dropDuplicatesWithinWatermark(["user_id", "event_type", "minute"])
 
 
-def forward_monitor(stream: DataFrame, floor: float = 0.0, late: str = "1 day") -> DataFrame:
-    """unit, n, total, peak, below: a running account of each user, kept in state across batches."""
+def forward_monitor(stream: DataFrame, floor: float = 0.0, late: str = "1 day", idle_days: int = 730) -> DataFrame:
+    """unit, n, total, peak, below: a running account of each user, kept in state across batches.
+
+    An account without events for idle_days of event time is given up, so that state is as large as the users who are active.
+    """
     import pandas as pd
 
     def step(key, batches, state):
-        n, total, peak = state.get if state.exists else (0, 0.0, float("-inf"))
+        if state.hasTimedOut:
+            state.remove()
+            return
+        n, total, peak, seen = state.get if state.exists else (0, 0.0, float("-inf"), 0)
         for b in batches:
             n, total, peak = n + len(b), total + float(b["value"].sum()), max(peak, float(b["value"].max()))
-        state.update((n, total, peak))
+            seen = max(seen, int(b["ts"].max().timestamp() * 1000))
+        state.update((n, total, peak, seen))
+        state.setTimeoutTimestamp(max(seen, state.getCurrentWatermarkMs()) + idle_days * 86_400_000)
         yield pd.DataFrame({"user_id": [key[0]], "n": [n], "total": [total], "peak": [peak], "below": [total / n < floor]})
 
-    return stream.withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(step, "user_id long, n long, total double, peak double, below boolean", "n long, total double, peak double", "update", "NoTimeout")
+    return stream.withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(step, "user_id long, n long, total double, peak double, below boolean", "n long, total double, peak double, seen long", "update", "EventTimeTimeout")
 
 
 def run_once(stream: DataFrame, at: str, mode: str = "append") -> DataFrame:
