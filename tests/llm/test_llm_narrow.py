@@ -31,6 +31,9 @@ def test_media_columns(spark, sf, docs):
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
         assert (r["width"], r["height"], r["depth"], r["digest"]) == (64, len(p) // 64, 8, r["payload_sha256"])
         assert by_text.setdefault(t, r[5:]) == r[5:]
+        m, k = media.encode(p), len(p) // 64
+        bits = "".join("1" if 64 * sum(p[j * k : j * k + k]) > sum(p) else "0" for j in range(64))
+        assert (r["media_bytes"], r["media_sha256"], r["feature"]) == (len(m), hashlib.sha256(m).hexdigest(), f"{int(bits, 2):016x}:{sum(p) * 1000 // len(p)}:{len(set(p))}")
 
 
 def test_media_shards_are_tar_and_png(spark, edge, tmp_path, edge_rows):
@@ -50,6 +53,33 @@ def test_media_shards_are_tar_and_png(spark, edge, tmp_path, edge_rows):
     assert seen == {r["digest"] for r in rows}
 
 
+def test_media_of_many_tiny_texts(spark, tmp_path, monkeypatch):
+    """Shards closed by rows and digests forgotten: every row has an address, a digest may have several, the table one of them."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(media, "ROWS", 40)
+    monkeypatch.setattr(media, "SEEN", 7)
+    run = media.emit
+
+    def here(df, schema, each):  # the writer of one task, in this process
+        t = df.toPandas()
+        batches = [pa.record_batch({c: t[c][i : i + 15].tolist() for c in t.columns}) for i in range(0, len(t), 15)]
+        with monkeypatch.context() as m:
+            m.setattr(media, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": lambda s: 0, "taskAttemptId": lambda s: 0})())}))
+            return [r for cols in each(iter(batches), lambda c: c) for r in zip(*cols, strict=True)]
+
+    monkeypatch.setattr(media, "emit", here)
+    docs = spark.createDataFrame([(i, f"text {i % 20}") for i in range(300)], "doc_id long, text string")
+    rows = media.store(docs, str(tmp_path))
+    monkeypatch.setattr(media, "emit", run)
+    assert [r[0] for r in rows] == list(range(300)) and len({r[4] for r in rows}) > 3
+    table = spark.createDataFrame([(*r[:7],) for r in rows], f"key long, {media.ADDRESS}")
+    assert len({(r[1], *r[4:]) for r in rows}) > 20 and media.addresses(table).count() == 20
+    for _, d, n, _, shard, at, size in rows:
+        p = media.decode((tmp_path / shard).read_bytes()[at : at + size])
+        assert hashlib.sha256(p).hexdigest() == d and p[:n].startswith(b"text ")
+
+
 def test_media_header_needs_33_bytes_and_tells_damage():
     b = media.encode(b"a" * 128)
     assert media.header(b[:33]) == {"width": 64, "height": 2, "depth": 8} and media.header(b[:20])["width"] is None and media.header(b"x" * 40)["width"] is None

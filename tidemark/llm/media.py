@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from .common import arrow_rows, crc32, emit, open_fs, shared_dir, staged, table
 
 BLOCK = 64
+ROWS, SEEN = 200_000, 1_000_000  # rows of a shard and digests of a task that are held in memory
 PNG = b"\x89PNG\r\n\x1a\n"
 ADDRESS = "digest string, n_bytes long, payload_bytes long, shard string, offset long, length long"
 
@@ -74,7 +75,7 @@ def decode(b: bytes) -> bytes:
 
 
 def feature(p: bytes) -> str:
-    """64 bits of whether each of 64 equal parts is brighter than the whole, with mean and spread of the samples."""
+    """64 bits of whether each of 64 equal parts is brighter than the whole, with the samples' mean in thousandths and how many values they take."""
     x = np.frombuffer(p, np.uint8).astype(np.int64)
     parts = x.reshape(64, -1).sum(axis=1) * 64 > x.sum()
     mean = int(x.sum() * 1000 // len(x))
@@ -120,7 +121,11 @@ class Shards:
 
 
 def store(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Writes the texts' payloads to shards below folder; returns a row with the payload's address for each of docs."""
+    """Writes the texts' payloads to shards below folder; returns a row with the payload's address for each of docs.
+
+    A shard is closed when it is full or has ROWS rows, and a task remembers at most SEEN digests: of many tiny texts, neither
+    outgrows a task's memory. A payload written twice has two locations, of which addresses() takes one.
+    """
     kind = docs.schema[key].dataType.simpleString()
 
     def write(batches, out) -> Iterator:
@@ -138,9 +143,11 @@ def store(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text")
                 p, n = payload(t)
                 d = hashlib.sha256(p).digest()
                 if d not in seen:
+                    if len(seen) >= SEEN:
+                        seen.clear()
                     seen[d] = shards.add(f"{d.hex()}.png", encode(p))
                 rows.append((k, d.hex(), n, len(p), *seen[d]))
-            if shards.full():
+            if shards.full() or len(rows) >= ROWS:
                 yield flush()
         if rows:
             yield flush()
