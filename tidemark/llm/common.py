@@ -301,6 +301,27 @@ def deal_buckets(df: DataFrame, n: int) -> DataFrame:
     return df.repartitionById(tasks, F.floor(F.col("bucket").cast("long") * tasks / n).cast("int")).sortWithinPartitions("bucket")
 
 
+def numbered(spark: SparkSession, df: DataFrame, folder: str, name: str, rows: int, *order) -> DataFrame:
+    """df as a staged table with place, its number from 0 in the given order: dealt by ranges, numbered in each, offset by their sizes.
+
+    df must read staged tables, since its ranges are sampled first. Equal rows spread over ranges by their place in the
+    table. rows: about how many; each range gets some million.
+    """
+    n = max(1, min(MOST_TASKS, int(spark.conf.get("spark.sql.shuffle.partitions")), rows >> 10), min(MOST_TASKS, rows >> 21))
+    at, spread = fresh(df, "_at", "_spread")
+    df = df.withColumn(spread, F.monotonically_increasing_id()).repartitionByRange(n, *order, spread).sortWithinPartitions(*order, spread)
+    df = staged(spark, df.withColumn(at, F.monotonically_increasing_id()).drop(spread), folder, name)
+    part = F.shiftright(at, 33)
+    sizes = dict(df.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())  # a row for each range
+    offsets, seen = [], 0
+    for k in sorted(sizes):
+        offsets.append((k, seen))
+        seen += sizes[k]
+    before = spark.createDataFrame(offsets, "_part long, _before long") if offsets else spark.createDataFrame([], "_part long, _before long")
+    df = df.join(F.broadcast(before), part == F.col("_part"))  # as many rows as ranges
+    return df.withColumn("place", F.col("_before") + F.col(at).bitwiseAND((1 << 33) - 1)).drop(at, "_part", "_before")
+
+
 def components(spark: SparkSession, edges: DataFrame, folder: str, name: str) -> DataFrame:
     """node, comp: the smallest node that edges (a, b) connect it with. Minimum labels with pointer jumping, in tables.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lm, media, mixing, ngramjoin, pieces, quality, repeats, secrets, toxicity, warc
+from . import importance, lm, media, mixing, ngramjoin, pieces, quality, repeats, search, secrets, toxicity, warc
 
 QUERIES = {
     "op1_media_columns": media.op1_media_columns,
@@ -15,9 +15,13 @@ QUERIES = {
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_suffix_array_dedup": repeats.op9_suffix_array_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_importance_resampling": importance.op11_importance_resampling,
+    "op12_ranked_search": search.op12_ranked_search,
 }
 
 ORACLES = {
     "op4_quality_rules": quality.ORACLE_SQL,
     "op8_mix_sources": mixing.ORACLE_SQL,
+    "op11_importance_resampling": importance.ORACLE_SQL,
+    "op12_ranked_search": search.ORACLE_SQL,
 }
