@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import importance, lm, media, mixing, ngramjoin, pieces, quality, repeats, search, secrets, toxicity, warc
+from . import importance, lm, media, mixing, ngramjoin, pieces, quality, recompress, repeats, search, secrets, toxicity, warc
 
 QUERIES = {
     "op1_media_columns": media.op1_media_columns,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_importance_resampling": importance.op11_importance_resampling,
     "op12_ranked_search": search.op12_ranked_search,
+    "op13_substring_dedup": recompress.op13_substring_dedup,
 }
 
 ORACLES = {
@@ -24,4 +25,5 @@ ORACLES = {
     "op8_mix_sources": mixing.ORACLE_SQL,
     "op11_importance_resampling": importance.ORACLE_SQL,
     "op12_ranked_search": search.ORACLE_SQL,
+    "op13_substring_dedup": recompress.ORACLE_SQL,
 }

@@ -34,6 +34,7 @@ DAMPING = 25  # of length, of 100
 GROUP_BYTES = 1 << 20  # of item texts that one pass holds
 CELLS = 1 << 22  # of a task's table of items by terms
 BLOCK = 256  # classes that are ranked at once
+MOST_IMPACT = 1_000_000  # an impact is below that times its term's weight
 
 
 def grouped_items(items: DataFrame, group_bytes: int, key: str, text: str) -> DataFrame:
@@ -82,7 +83,7 @@ def best_classes(classes: DataFrame, items: list[tuple[int, dict[int, int]]], we
     """item, score, bag, m, hash, first: of each task, each item's `top` classes by (score, first). items: (number, term counts)."""
     kind = classes.schema["first"].dataType.simpleString()
     longest = max((sum(c.values()) for _, c in items), default=0)
-    exact = int(weights.max(initial=0)) * 1_000_000 * longest < 1 << 53  # an impact is below 10^6 times its weight
+    exact = int(weights.max(initial=0)) * MOST_IMPACT * longest < 1 << 53
 
     def each(batches, out):
         number = np.array([i for i, _ in items])
