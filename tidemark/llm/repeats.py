@@ -17,8 +17,9 @@ repeat_groups() gives the groups themselves: left-diverse intervals, those whose
 them, with all occurrences in all documents. A group is clipped to its anchor's segment, so that a long repeat is a row of
 overlapping groups.
 
-Texts are judged as given. Equal texts are one text of many occurrences from the start. Ranges of large anchors, words and
-whole texts are told apart by hashes of 64 bits (words: 32), segments by content. Defined results: a null text is empty;
+Texts are judged as given. Equal texts are one text of many occurrences from the start. Ranges of large anchors, words,
+whole texts, and the segments of one text are told apart by hashes of 64 bits (words: 32), segments of different texts by
+content. Long texts are gone through in pieces, and a run of equal segments, as periodic texts have, is kept once. Defined results: a null text is empty;
 texts shorter than MIN keep all; texts of any length are whole; repeated rows of 400 bytes or more remove all; of over 50
 words they are passages; a null doc_id is a document like others; an empty table gives an empty one; further columns are
 ignored.
@@ -33,11 +34,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import M2, MOST_TASKS, arrow_rows, bucket_count, discard, emit, kept, lists, mix, places, runs, shared_dir, staged, table
+from .common import M2, M3, MOST_TASKS, arrow_rows, bucket_count, discard, emit, kept, lists, mix, places, runs, shared_dir, staged, table
 
 MIN, GRAM = 400, 64
 LARGE = 200  # distinct segments of an anchor that one task compares
 BATCH = 1 << 20  # bytes of segments in one suffix array
+PIECE = 1 << 21  # symbols of a text whose anchors are sought at once
 _BYTE = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * M2)
 _STEP = [mix(np.array([i + 77], np.uint64)) | np.uint64(1) for i in range(8)]
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -106,14 +108,6 @@ def word_symbols(x: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return (mix(h) >> np.uint64(32)).astype(np.uint32), np.searchsorted(a, ends)
 
 
-def symbols(x: np.ndarray, ends: np.ndarray, kind: Kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of the texts that x concatenates, their ends, and hashes of the symbols."""
-    if kind is BYTES:
-        return x, ends, _BYTE[x]
-    w, at = word_symbols(x, ends)
-    return w, at, mix(w.astype(np.uint64) + np.uint64(0x51ED27))
-
-
 def anchors(h: np.ndarray, ends: np.ndarray, kind: Kind) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(place, first window, last window, hash) of the anchors of texts that end at ends. h: hashes of their symbols."""
     none = np.zeros(0, np.int64)
@@ -325,14 +319,54 @@ def _slices(texts: list, most: int = 2 << 20):
         yield at, part
 
 
+def _symbols(part: list[bytes], kind: Kind) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of the texts of a part, and the texts' ends; words are hashed some MB at a time, cut where a word ends."""
+    if kind is BYTES:
+        return np.frombuffer(b"".join(part), np.uint8), np.cumsum([len(b) for b in part]).astype(np.int64)
+    if sum(map(len, part)) <= 2 * PIECE:
+        return word_symbols(np.frombuffer(b"".join(part), np.uint8), np.cumsum([len(b) for b in part]).astype(np.int64))
+    out, ends, n = [], [], 0
+    for t in part:
+        raw, at = np.frombuffer(t, np.uint8), 0
+        while at < len(raw):
+            to = min(len(raw), at + PIECE)
+            gap = np.flatnonzero(_SPACE[raw[to : to + PIECE]]) if to < len(raw) else [0]
+            to = to + int(gap[0]) if len(gap) else min(len(raw), to + PIECE)  # a word of more than PIECE bytes is cut: at equal places only if it is equal so far
+            w, _ = word_symbols(raw[at:to], np.array([to - at]))
+            out.append(w)
+            n += len(w)
+            at = to
+        ends.append(n)
+    return np.concatenate(out) if out else np.zeros(0, np.uint32), np.array(ends, np.int64)
+
+
 def _found(part: list[bytes]):
-    """For each kind: kind, symbols, ends, and anchors: place, first and last window, hash, text."""
-    raw = np.frombuffer(b"".join(part), np.uint8)
-    bounds = np.cumsum([len(b) for b in part]).astype(np.int64)
+    """kind, symbols, ends, first symbol and end of a piece, and its anchors: place, first and last window, hash, text. Anchors follow from their windows alone, so that pieces bound the memory of texts of any length and change nothing but where a segment ends."""
     for kind in KINDS:
-        x, ends, h = symbols(raw, bounds, kind)
-        p, first, last, g = anchors(h, ends, kind)
-        yield kind, x, ends, p, first, last, g.view(np.int64), np.searchsorted(ends, first, side="right")
+        x, ends = _symbols(part, kind)
+        for at in range(0, max(1, len(x)), PIECE):
+            to = min(len(x), at + PIECE + kind.least - 1)
+            h = _BYTE[x[at:to]] if kind is BYTES else mix(x[at:to].astype(np.uint64) + np.uint64(0x51ED27))
+            p, first, last, g = anchors(h, np.clip(ends - at, 0, to - at), kind)
+            yield kind, x, ends, at, to, p + at, first + at, last + at, g.view(np.int64), np.searchsorted(ends, first + at, side="right")
+
+
+def _fingerprints(x: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Hashes of the strings from a to z of x."""
+    up, down = powers(len(x) + 1)
+    total = np.zeros(len(x) + 1, np.uint64)
+    np.cumsum((x.astype(np.uint64) + np.uint64(1)) * up[: len(x)], out=total[1:])
+    return mix((total[z] - total[a]) * down[a] + (z - a).astype(np.uint64) * M2)
+
+
+def _distinct(h: np.ndarray, of: np.ndarray, again: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (h, of), and whether one came more than once or was told to."""
+    if not len(h):
+        return h, of, again
+    order = np.lexsort((h, of))
+    h, of = h[order], of[order]
+    heads = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (of[1:] != of[:-1])]))
+    return h[heads], of[heads], (np.diff(np.append(heads, len(h))) > 1) | np.logical_or.reduceat(again[order], heads)
 
 
 def profile(docs: DataFrame) -> DataFrame:
@@ -342,16 +376,13 @@ def profile(docs: DataFrame) -> DataFrame:
         for b in batches:
             nodes, texts = b.column("node").to_pylist(), b.column("text").to_pylist()
             for at, part in _slices(texts):
-                hs, ofs, agains = [], [], []
-                for kind, _, _, _, _, _, h, of in _found(part):
-                    order = np.lexsort((h, of))
-                    h, of = h[order], of[order]
-                    new = np.concatenate([[True], (h[1:] != h[:-1]) | (of[1:] != of[:-1])]) if len(h) else np.zeros(0, bool)
-                    size = np.diff(np.append(np.flatnonzero(new), len(h)))
-                    hs.append(h[new])
-                    ofs.append(of[new])
-                    agains.append((size > 1) & (kind is BYTES))
-                h, of, again = np.concatenate(hs), np.concatenate(ofs), np.concatenate(agains)
+                hs, ofs, agains = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+                for kind, *_, h, of in _found(part):
+                    h, of, again = _distinct(h, of, np.zeros(len(h), bool))
+                    hs.append(h)
+                    ofs.append(of)
+                    agains.append(again & (kind is BYTES))
+                h, of, again = _distinct(*map(np.concatenate, (hs, ofs, agains)))
                 order = np.argsort(of, kind="stable")
                 h, again = h[order], again[order]
                 cut = np.searchsorted(of[order], np.arange(len(part) + 1))
@@ -377,39 +408,40 @@ def segments(docs: DataFrame, every: bool = False) -> DataFrame:
         for b in batches:
             nodes, texts, wanted = b.column("node").to_pylist(), b.column("text").to_pylist(), lists(b.column("wanted"))
             for at, part in _slices(texts):
-                for kind, x, ends, p, first, last, h, of in _found(part):
-                    begin = np.concatenate([[0], ends[:-1]])
-                    cut = np.searchsorted(of, np.arange(len(part) + 1))
-                    for i in range(len(part)):
-                        mine = np.arange(cut[i], cut[i + 1])
-                        mine = mine[np.isin(h[mine], wanted[at + i])]
-                        seen: set[tuple] = set()
-                        twice: set[tuple] = set()
-                        places = []
-                        node = nodes[at + i]
-                        for j in mine.tolist():
-                            a, z = int(first[j]), int(last[j]) + kind.least
-                            k = (int(h[j]), int(p[j] - a), x[a:z].tobytes())
-                            a, z = a - int(begin[i]), z - int(begin[i])
-                            places.append((k, a, z))
-                            if k in seen:
-                                twice.add(k)
-                            if every or k not in seen:
-                                rows.append((k[0], kind.code, node, a, k[1], k[2]))
-                            seen.add(k)
-                        to = None
-                        for k, a, z in places if kind is BYTES and not every else ():  # runs of what the text itself repeats
-                            if k in twice:
-                                if to is not None and a <= to[1]:
-                                    to[1] = max(to[1], z)
-                                else:
-                                    if to:
-                                        rows.append((None, kind.code, node, to[0], to[1], None))
-                                    to = [a, z]
-                        if to:
-                            rows.append((None, kind.code, node, to[0], to[1], None))
-                        if len(rows) > 4000:
-                            yield flush()
+                seen: dict[int, set[int]] = {}  # of each text, hashes of its segments
+                own: dict[int, list[tuple]] = {}  # of each text, its segments' hashes and places, touching equal ones once
+                for kind, x, ends, lo, hi, p, first, last, h, of in _found(part):
+                    mine = [np.flatnonzero((of == i) & np.isin(h, wanted[at + i])) for i in np.unique(of)]
+                    mine = np.concatenate(mine) if mine else np.zeros(0, np.int64)
+                    if not len(mine):
+                        continue
+                    p, h, of, a, z = p[mine], h[mine], of[mine], first[mine], last[mine] + kind.least
+                    key = mix(mix(h.view(np.uint64) + (p - a).astype(np.uint64) * M3) + _fingerprints(x[lo:hi], a - lo, z - lo) + np.uint64(kind.code))
+                    begin = np.concatenate([[0], ends[:-1]])[of]
+                    cut = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1], [True]]))
+                    for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                        t = int(of[i])
+                        if kind is BYTES and not every:
+                            k, ka, kz = key[i:j], a[i:j] - begin[i:j], z[i:j] - begin[i:j]
+                            heads = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (ka[1:] > kz[:-1])]))
+                            ends_ = np.append(heads[1:], len(k)) - 1
+                            own.setdefault(t, []).append((k[heads], ka[heads], kz[ends_], ends_ > heads))
+                        new = np.arange(i, j) if every else i + np.sort(np.unique(key[i:j], return_index=True)[1])
+                        known = seen.setdefault(t, set())
+                        for n in new.tolist():
+                            if every or int(key[n]) not in known:
+                                known.add(int(key[n]))
+                                rows.append((int(h[n]), kind.code, nodes[at + t], int(a[n] - begin[n]), int(p[n] - a[n]), x[a[n] : z[n]].tobytes()))
+                                if len(rows) > 4000:
+                                    yield flush()
+                for t, found in own.items():  # runs of what the text itself repeats
+                    k, a, z, twice = (np.concatenate(c) for c in zip(*found, strict=True))
+                    _, back, count = np.unique(k, return_inverse=True, return_counts=True)
+                    many = (count[back] > 1) | (np.bincount(back, weights=twice) > 0)[back]
+                    a, z = a[many], np.maximum.accumulate(z[many])
+                    heads = np.flatnonzero(np.concatenate([[True], a[1:] > z[:-1]]))[: len(a)]
+                    for i, j in zip(heads, np.append(heads[1:], len(a))[: len(heads)], strict=True):
+                        rows.append((None, BYTES.code, nodes[at + t], int(a[i]), int(z[j - 1]), None))
         if rows:
             yield flush()
 
