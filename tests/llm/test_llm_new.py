@@ -10,7 +10,7 @@ import zlib
 import numpy as np
 import pytest
 
-from tidemark.llm import importance, queries, recompress, search
+from tidemark.llm import common, importance, ngramjoin, queries, recompress, repeats, search
 
 
 @pytest.mark.parametrize("name", ["op11_importance_resampling", "op12_ranked_search", "op13_substring_dedup"])
@@ -172,3 +172,91 @@ def test_anchors_depend_on_the_window_alone(letters):
         for j in range(len(inner) - 49):
             got = name[np.searchsorted(lo, len(sides[0]) + j, "right") - 1]
             assert seen.setdefault(j, got) == got
+
+
+# -- components and groups ------------------------------------------------------------------------
+
+
+def test_components_of_chains_and_random_graphs(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rounds, staged = [], common.staged
+
+    def counted(s, df, folder, name, small=False):
+        rounds.append(name)
+        return staged(s, df, folder, name, small)
+
+    monkeypatch.setattr(common, "staged", counted)
+    chain = spark.range(20_000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    got = common.components(spark, chain, common.shared_dir(spark), "chain").agg(F.count(F.lit(1)), F.max("comp")).first()
+    assert tuple(got) == (20_001, 0) and sum("-h" in n for n in rounds) < 20
+    r = random.Random(3)
+    edges, up = [(r.randrange(-300, 300), r.randrange(-300, 300)) for _ in range(220)], {}
+
+    def top(i):
+        while up.setdefault(i, i) != i:
+            i = up[i]
+        return i
+
+    for a, b in edges:
+        a, b = sorted((top(a), top(b)))
+        up[b] = a
+    got = common.components(spark, spark.createDataFrame(edges, "a long, b long"), common.shared_dir(spark), "random").collect()
+    assert {x["node"]: x["comp"] for x in got} == {i: top(i) for a, b in edges if a != b for i in (a, b)}
+    assert common.components(spark, spark.createDataFrame([(1, 1)], "a long, b long"), common.shared_dir(spark), "none").count() == 0
+
+
+def test_chains_of_unlinked_halves_form_no_group(spark, monkeypatch):
+    """Documents that share a half with the next one aren't compared with all others of the chain; a planted link in it is found."""
+    made, staged = {}, ngramjoin.staged
+    monkeypatch.setattr(ngramjoin, "LARGE", 16)
+
+    def counted(s, df, folder, name, small=False):
+        made[name] = staged(s, df, folder, name, small)
+        return made[name]
+
+    monkeypatch.setattr(ngramjoin, "staged", counted)
+    r = random.Random(5)
+    halves = [[f"w{r.randrange(10**6)}" for _ in range(40)] for _ in range(301)]
+    rows = [(i, " ".join(halves[i] + halves[i + 1])) for i in range(300)]
+    rows.append((1000, " ".join(halves[17] + halves[18][:-1] + ["other"])))
+    got = {x["doc_id"]: x["component_id"] for x in ngramjoin.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: 17 if i == 1000 else i for i, _ in rows}
+    assert made["regrouped"].where("size > 16").count() == 0 and made["candidates"].count() <= 320 and made["parts"].count() == 0
+
+
+# -- repeats within very long texts ---------------------------------------------------------------
+
+
+def brute_repeats(texts, least):
+    seen = {}
+    for i, t in enumerate(texts):
+        for j in range(len(t) - least + 1):
+            seen[t[j : j + least]] = seen.get(t[j : j + least], 0) + 1
+    for t in texts:
+        gone = np.zeros(len(t), bool)
+        for j in range(len(t) - least + 1):
+            if seen[t[j : j + least]] > 1:
+                gone[j : j + least] = True
+        yield int(gone.sum())
+
+
+def test_repeats_in_pieces(spark, monkeypatch):
+    """Texts longer than a piece, with repeats across its edges, periods and low entropy."""
+    monkeypatch.setattr(repeats, "PIECE", 1500)
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("etaoinshr") for _ in range(r.randint(2, 7)))
+    plain = " ".join(word() for _ in range(2000))
+    texts = [plain, plain[2900:3500] + " " + plain[:450] + " tail", " " * 6000, "ab " * 2500, "x" * 1490 + plain[5000:5600] + "x" * 1490, "".join(r.choice("ab") for _ in range(5000)), plain[6000:6399], "ab " * 100]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: x["n_removed"] for x in repeats.remove_repeats(spark, df).select("doc_id", "n_removed").collect()}
+    assert got == dict(enumerate(brute_repeats([t.encode() for t in texts], 400)))
+
+
+def test_segments_of_a_long_blank_text_stay_few(spark):
+    text = " " * 3_000_000
+    df = spark.createDataFrame([(1, text)], "node long, text string")
+    profile = repeats.profile(df).first()
+    assert len(profile["anchors"]) == 1 and profile["again"] == [True]
+    rows = repeats.segments(spark.createDataFrame([(1, text, profile["anchors"])], "node long, text string, wanted array<long>")).collect()
+    assert len(rows) <= 3 and [(x["start"], x["lead"]) for x in rows if x["seg"] is None] == [(0, 3_000_000)]

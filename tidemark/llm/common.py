@@ -323,24 +323,38 @@ def numbered(spark: SparkSession, df: DataFrame, folder: str, name: str, rows: i
 
 
 def components(spark: SparkSession, edges: DataFrame, folder: str, name: str) -> DataFrame:
-    """node, comp: the smallest node that edges (a, b) connect it with. Minimum labels with pointer jumping, in tables.
+    """node, comp: the smallest node that edges (a, b) connect it with. Contraction in tables, by rounds.
 
-    A round takes each node's smallest label among its neighbours, then the label of that label. Minima are combined
-    before the shuffle, so that a node with very many edges costs a task no more than others.
+    In a round each node hangs on the least of its neighbourhood, in an order hashed anew, and on what that one hangs on;
+    the edges between what is hung on go on. Nodes and edges fall by a factor a round whatever the graph's form, a chain
+    included, so that the rounds are few and all together cost little more than the first. The way back joins the rounds'
+    tables. Minima are combined before the shuffle, so that a node with very many edges costs a task no more than others.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct()
-    both = staged(spark, both, folder, f"{name}-edges", small=True)
-    at = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp"))
-    at = staged(spark, at, folder, f"{name}-0", small=True)
-    for i in itertools.count(1):  # labels only fall, so it ends; pointer jumping makes the rounds few
-        near = both.join(at, both.b == at.node).groupBy("a").agg(F.min("comp").alias("m"))
-        new = at.join(near, at.node == near.a).select("node", F.col("comp").alias("old"), F.least("comp", "m").alias("comp"))
-        new = staged(spark, new, folder, f"{name}-{i}a", small=True)
-        up = new.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
-        new = new.join(up, "comp").select("node", "old", F.least("comp", "up").alias("comp"))
-        new = staged(spark, new, folder, f"{name}-{i}b", small=True)
-        at = new.select("node", "comp")
-        discard(spark, folder, f"{name}-{i}a", f"{name}-{i - 1}b" if i > 1 else f"{name}-0")
-        if new.where("old != comp").isEmpty():
-            discard(spark, folder, f"{name}-edges")
-            return at
+    e = staged(spark, edges.where("a != b").select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b")).distinct(), folder, f"{name}-e0", small=True)
+    steps = []
+    for i in itertools.count():
+        if e.isEmpty():
+            break
+        both = e.union(e.select("b", "a"))
+        least = staged(spark, both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("up")), folder, f"{name}-l{i}", small=True)
+        far = least.select(F.col("node").alias("up"), F.col("up").alias("top"))
+        hung = staged(spark, least.join(far, "up").select("node", "top"), folder, f"{name}-h{i}", small=True)
+        steps.append(hung)
+        to = lambda c: hung.select(F.col("node").alias(c), F.col("top").alias(f"{c}_top"))  # noqa: B023, E731
+        e = e.join(to("a"), "a").join(to("b"), "b").where("a_top != b_top").select(F.xxhash64("a_top").alias("a"), F.xxhash64("b_top").alias("b")).distinct()
+        e = staged(spark, e, folder, f"{name}-e{i + 1}", small=True)
+        discard(spark, folder, f"{name}-e{i}", f"{name}-l{i}")
+    of = None  # node as hashed in a round; its root, and in which round's hash
+    for i, hung in reversed(list(enumerate(steps))):
+        hung = hung.select("node", F.col("top").alias("root"), F.lit(i).alias("round"))
+        if of is not None:
+            up = of.select(F.col("node").alias("next"), F.col("root").alias("_root"), F.col("round").alias("_round"))
+            hung = hung.join(up, F.xxhash64("root") == F.col("next"), "left").select("node", F.coalesce("_root", "root").alias("root"), F.coalesce("_round", "round").alias("round"))
+        of = staged(spark, hung, folder, f"{name}-r{i}", small=True)
+    if of is None:
+        return spark.createDataFrame([], f"node {edges.schema['a'].dataType.simpleString()}, comp {edges.schema['a'].dataType.simpleString()}")
+    nodes = edges.where("a != b").select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    found = staged(spark, nodes.join(of.select(F.col("node").alias("x"), "root", "round"), F.xxhash64("node") == F.col("x")).select("node", "root", "round"), folder, f"{name}-of", small=True)
+    out = staged(spark, found.join(found.groupBy("root", "round").agg(F.min("node").alias("comp")), ["root", "round"]).select("node", "comp"), folder, name, small=True)
+    discard(spark, folder, f"{name}-of", f"{name}-e{len(steps)}", *[f"{name}-{c}{i}" for c in "hr" for i in range(len(steps))])
+    return out

@@ -9,9 +9,11 @@
    of its prefix, whose estimated cost (postings to scan, plus candidates - postings / l - times the cost of comparing
    a set of its size) is least; a pair is compared only if it shares l tokens in its prefixes of the smaller l of both.
 4. Groups. Nodes that share any token of their shortest prefixes, directly or by others, form a group: only there can
-   links be. A large group's nodes are first compared with its most typical node; those linked with it are known to be
-   one component, so that only the rest meets, in blocks of bounded size, the group's blocks. No token's posting list
-   is expanded into pairs, and no task holds a whole group.
+   links be. A small group is compared at once. A large one falls apart: pairs that share only tokens of at most COLD
+   nodes come from joining the lengthened prefixes on them, with at least l hits, and are verified one by one; what
+   tokens of more nodes connect stays a group. If that is still large, its nodes are first compared with its most
+   typical node; those linked with it are known to be one component, so that only the rest meets, in blocks of bounded
+   size, the group's blocks. No long posting list is expanded into pairs, and no task holds a whole group.
 5. Links found go into components().
 
 Shingles are compared by 64-bit hashes. Defined results: a null text is empty; texts without words have no shingles and
@@ -31,6 +33,7 @@ from .common import MOST_TASKS, WordHash, arrow_rows, bucket_count, components,
 LEVELS = (1, 2, 3, 4, 6, 8)
 BLOCK = 64  # nodes of a block when a large group is compared in blocks
 LARGE = 128  # nodes of a group that is compared at once at most
+COLD = 16  # nodes that have a token, up to which it doesn't hold a large group together
 SHINGLES = 1_500_000  # of a block in the exchange
 
 
@@ -209,16 +212,64 @@ def forest(pairs: np.ndarray, size: int) -> list[tuple[int, int]]:
     return out
 
 
+def prefixes(recs: DataFrame) -> DataFrame:
+    """node, n, l, token, at: the lengthened prefixes; from level at on, up to the node's l, a token belongs to the prefix."""
+
+    def each(batches, out):
+        for b in batches:
+            for v, n, tokens, dfs, base in zip(b.column("node").to_pylist(), b.column("n").to_pylist(), lists(b.column("tokens")), lists(b.column("dfs")), b.column("base").to_pylist(), strict=True):
+                k = level(n, dfs, base)
+                size = base + k - 1
+                yield out([np.full(size, v), np.full(size, n), np.full(size, k), tokens[:size], np.maximum(1, np.arange(size) - base + 2)])
+
+    return emit(recs.select("node", "n", "tokens", "dfs", "base"), "node long, n long, l int, token long, at int", each)
+
+
+def grouped(spark: SparkSession, posts: DataFrame, folder: str, name: str) -> DataFrame:
+    """node, comp, size: the groups of nodes that tokens of posts (node, token) connect, of more than one node."""
+    hubs = staged(spark, posts.groupBy("token").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1").select("token", "hub"), folder, f"{name}-hubs", small=True)
+    star = posts.join(hubs, "token").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    group = components(spark, star, folder, name)
+    sizes = staged(spark, group.groupBy("comp").agg(F.count(F.lit(1)).alias("size")), folder, f"{name}-sizes", small=True)
+    return staged(spark, group.join(sizes, "comp").select("node", "comp", "size"), folder, f"{name}-of", small=True)
+
+
+def sparse_links(spark: SparkSession, posts: DataFrame, recs: DataFrame, of: DataFrame, folder: str, percent: int) -> DataFrame:
+    """a, b: links between nodes that aren't of one group of `of`. posts: prefixes whose tokens at most COLD nodes have."""
+    side = lambda x: posts.select("token", *[F.col(c).alias(c + x) for c in ("node", "n", "l", "at")])
+    pairs = side("1").join(side("2"), "token").where("node1 < node2 and 100 * least(n1, n2) >= greatest(n1, n2) * " + str(percent) + " and greatest(at1, at2) <= least(l1, l2)")
+    pairs = pairs.groupBy("node1", "node2").agg(F.count(F.lit(1)).alias("hits"), F.first(F.least("l1", "l2")).alias("l")).where("hits >= l").select("node1", "node2")
+    group = lambda x: of.select(F.col("node").alias("node" + x), F.col("comp").alias("comp" + x))
+    pairs = pairs.join(group("1"), "node1", "left").join(group("2"), "node2", "left").where("comp1 is null or comp2 is null or comp1 != comp2").select("node1", "node2")
+    pairs = staged(spark, pairs, folder, "candidates", small=True)
+    sets = lambda x: recs.select(*[F.col(c).alias(c + x) for c in ("node", "n", "tokens")])
+
+    def verify(batches, out):
+        for b in batches:
+            a, z, ok = b.column("node1").to_pylist(), b.column("node2").to_pylist(), []
+            for n1, t1, n2, t2 in zip(b.column("n1").to_pylist(), lists(b.column("tokens1")), b.column("n2").to_pylist(), lists(b.column("tokens2")), strict=True):
+                both = len(np.intersect1d(t1, t2, assume_unique=True))
+                ok.append(100 * both >= percent * (n1 + n2 - both))
+            yield out([[v for v, k in zip(a, ok, strict=True) if k], [v for v, k in zip(z, ok, strict=True) if k]])
+
+    return emit(pairs.join(sets("1"), "node1").join(sets("2"), "node2"), "a long, b long", verify)
+
+
 def links(spark: SparkSession, recs: DataFrame, folder: str, percent: int) -> DataFrame:
     """a, b: links that connect what is linked. recs: a table of records()."""
     posts = recs.select("node", F.explode(F.slice("tokens", F.lit(1), F.col("base"))).alias("token"))
-    hubs = staged(spark, posts.groupBy("token").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1").select("token", "hub"), folder, "hubs", small=True)
-    star = posts.join(hubs, "token").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    group = components(spark, star, folder, "groups")
-    sizes = staged(spark, group.groupBy("comp").agg(F.count(F.lit(1)).alias("size")), folder, "sizes", small=True)
-    of = staged(spark, group.join(sizes, "comp"), folder, "of", small=True)
+    of = grouped(spark, posts, folder, "groups")
     df = staged(spark, recs.join(of, "node"), folder, "grouped")
 
+    # Large groups fall apart: only tokens of many nodes hold a group together, pairs that share others are counted.
+    split = df.where(F.col("size") > LARGE)
+    posts = staged(spark, prefixes(split), folder, "prefixes")
+    counts = staged(spark, posts.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), folder, "counts", small=True)
+    hot = posts.join(counts.where(F.col("c") > COLD).select("token"), "token", "left_semi").select("node", "token")
+    of = grouped(spark, hot, folder, "hot")
+    sparse = staged(spark, sparse_links(spark, posts.join(counts.where(F.col("c") <= COLD).select("token"), "token", "left_semi"), split, of, folder, percent), folder, "sparse", small=True)
+    df = staged(spark, df.where(F.col("size") <= LARGE).unionByName(split.drop("comp", "size").join(of, "node")), folder, "regrouped")
+
     large = df.where(F.col("size") > LARGE)
     typical = large.groupBy("comp").agg(F.min_by(F.struct(F.col("node").alias("h"), F.col("n").alias("hn"), F.col("tokens").alias("ht")), F.struct((F.col("n") - F.size("tokens")) / F.col("n"), F.col("node"))).alias("x"))
     typical = staged(spark, typical.select("comp", "x.*"), folder, "typical", small=True)
@@ -258,7 +309,7 @@ def links(spark: SparkSession, recs: DataFrame, folder: str, percent: int) -> Da
     n = min(MOST_TASKS, bucket_count(spark, recs, 4 << 20))
     dealt = few.union(big).repartition(n, "task").sortWithinPartitions("task")
     found = emit(dealt, "a long, b long", compare)
-    return found.union(star.where("core").select(F.col("node").alias("a"), F.col("h").alias("b")))
+    return found.union(star.where("core").select(F.col("node").alias("a"), F.col("h").alias("b"))).union(sparse)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
