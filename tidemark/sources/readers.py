@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import finite, site_stratum, utc_time
+from .commits import staged
 
 SCENE = "scene string, sensor string, ts timestamp, cloud double, hrefs map<string,string>, props map<string,string>, bbox struct<west:double,south:double,east:double,north:double>, epsg int"
 
@@ -142,5 +143,5 @@ def cases(spark: SparkSession, items: str, calls: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, folder: str, key: str) -> DataFrame:
-    """A stage written by sinks.stage()."""
-    return spark.read.parquet(f"{folder}/key={key}")
+    """The last whole version of a stage that sinks.stage() has written."""
+    return staged(spark, f"{folder}/key={key}")

@@ -1,11 +1,15 @@
-"""Sinks: tidy CSV, stages, immutable result documents, Markdown reports."""
+"""Sinks: tidy CSV, stages, result documents that are published once (commits), Markdown reports."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import finite, fixed
+from . import commits
+from .commits import publish, published  # noqa: F401
 
 
 def long_csv(panel: DataFrame, path: str) -> None:
@@ -13,8 +17,8 @@ def long_csv(panel: DataFrame, path: str) -> None:
 
 
 def stage(df: DataFrame, folder: str, key: str) -> str:
-    """Writes a stage below its key; a stage is complete when it can be read."""
-    df.write.mode("overwrite").parquet(f"{folder}/key={key}")
+    """Writes a stage below its key, replacing what is there as a whole: readers see the old or the new version."""
+    commits.stage(df.sparkSession, f"{folder}/key={key}", uuid.uuid4().hex, lambda: df)
     return key
 
 
@@ -24,20 +28,6 @@ def documents(runs: DataFrame, key: str = "id") -> DataFrame:
     return runs.select(F.col(key).alias("_id"), F.to_json(F.struct(*clean), {"ignoreNullFields": "false"}).alias("document")).withColumnRenamed("_id", key)
 
 
-def publish(docs: DataFrame, path: str, key: str = "id") -> DataFrame:
-    """Appends documents of ids that are not there yet; published ones never change. Returns what was added."""
-    spark = docs.sparkSession
-    try:
-        old = spark.read.parquet(path).select(key)
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        old = docs.select(key).limit(0)
-    new = docs.dropDuplicates([key]).join(old, key, "left_anti")
-    new.write.mode("append").parquet(path)
-    return new
-
-
 def cell(x, kind: str = "text") -> Column:
     v = F.col(x) if isinstance(x, str) else x
     out = fixed(v, 3) if kind == "index" else fixed(v, 2) if kind == "db" else v.cast("string")
