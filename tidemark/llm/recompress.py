@@ -229,10 +229,13 @@ def exploded(texts: DataFrame, window: int) -> DataFrame:
 
     def each(batches, out):
         for b in batches:
+            parts = []
             for t, d, n, lows, names, contexts in zip(*[b.column(c).to_pylist() for c in ("t", "d", "n_words", "lows", "names", "contexts")], strict=True):
                 lo = np.frombuffer(lows, np.int32)
                 hi = np.append(lo[1:] - 1, n - window)
-                yield out([to_long(np.frombuffer(names, np.uint64)), to_long(np.frombuffer(contexts, np.uint64)), np.full(len(lo), t), np.full(len(lo), d), lo, hi])
+                parts.append([to_long(np.frombuffer(names, np.uint64)), to_long(np.frombuffer(contexts, np.uint64)), np.full(len(lo), t), np.full(len(lo), d), lo, hi])
+            if parts:
+                yield out([np.concatenate(c) for c in zip(*parts, strict=True)])
 
     return emit(texts.select("t", "d", "n_words", "lows", "names", "contexts"), "name long, context long, t long, d long, lo int, hi int", each)
 
@@ -243,13 +246,20 @@ def window_prints(rows: DataFrame, window: int) -> DataFrame:
     def each(batches, out):
         of = WordHash()
         for b in batches:
+            parts, held = [], 0
             for t, d, text, asked in zip(*[b.column(c).to_pylist() for c in ("t", "d", "text", "asked")], strict=True):
                 prints = Prints(of(text.split()))
                 lo, hi = np.array([x["lo"] for x in asked]), np.array([x["hi"] for x in asked])
                 n = hi - lo + 1
                 at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
                 name = np.repeat(np.array([x["name"] for x in asked], np.int64), n)
-                yield out([name, to_long(prints(at, at + window)), np.full(len(at), t), np.full(len(at), d), at.astype(np.int32)])
+                parts.append([name, to_long(prints(at, at + window)), np.full(len(at), t), np.full(len(at), d), at.astype(np.int32)])
+                held += len(at)
+                if held > 400_000:
+                    yield out([np.concatenate(c) for c in zip(*parts, strict=True)])
+                    parts, held = [], 0
+            if parts:
+                yield out([np.concatenate(c) for c in zip(*parts, strict=True)])
 
     return emit(rows.select("t", "d", "text", "asked"), "name long, print long, t long, d long, lo int", each)
 
@@ -278,9 +288,8 @@ def shared_anchors(spark: SparkSession, texts: DataFrame, window: int, folder: s
     rows = exploded(texts, window)
     names = rows.groupBy("name").agg(F.min("d").alias("least"), F.max("d").alias("most")).where("least < most").select("name", "least")
     held = staged(spark, rows.join(names, "name"), folder, "shared")
-    contexts = held.groupBy("name", "context").agg(F.min("d").alias("context_first"))
-    several = contexts.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name", F.lit(True).alias("several"))
-    first = staged(spark, contexts, folder, "contexts", small=True)
+    first = staged(spark, held.groupBy("name", "context").agg(F.min("d").alias("context_first")), folder, "contexts", small=True)
+    several = staged(spark, first.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name", F.lit(True).alias("several")), folder, "several", small=True)
     return staged(spark, held.join(first, ["name", "context"]).join(several, "name", "left").drop("context"), folder, "anchors")
 
 
