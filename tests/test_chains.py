@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.operators import components as C
-from tidemark.plans import chains
+from tidemark.plans import chains, planted
 from tidemark.plans.base import cut
 
 
@@ -42,13 +42,14 @@ def test_sampling_is_seeded(spark):
 
 def test_air_attacks(spark, sf):
     got = {x["attack"]: (x["status"], x["treated_n"]) for x in chains.air_attacks(spark, sf).collect()}
-    assert set(got) == set(chains.AIR_ATTACKS) and got["dropout"][1] == 2
-    for a, (_, may) in chains.AIR_ATTACKS.items():
+    made = planted.air_attacks(156)
+    assert set(got) == set(made) and got["silent"][1] == 2
+    for a, (_, may) in made.items():
         assert got[a][0] in may, (a, got[a])
 
 
-def test_air_power(spark):
-    got = {x["effect"]: x for x in chains.air_power(spark, [0.0, -6.0], 3).collect()}
+def test_air_power(spark, sf):
+    got = {x["effect"]: x for x in chains.air_power(spark, sf, [0.0, -6.0], 3).collect()}
     assert got[0.0]["REAL"] == 0 and got[-6.0]["REAL"] >= 2
 
 
@@ -72,8 +73,8 @@ def test_wider_controls(spark, sf):
     assert got == {"regional": ("REAL", True), "alone": ("REAL", False)}
 
 
-def test_dates_cannot_be_chosen(spark):
-    assert all(x["dates"] == 5 and x["reals"] == 0 for x in chains.date_selection(spark, 1).collect())
+def test_dates_cannot_be_chosen(spark, sf):
+    assert all(x["dates"] == 4 and x["reals"] == 0 for x in chains.date_selection(spark, sf).collect())
 
 
 def test_hours_become_weeks(spark, sf):
@@ -86,17 +87,23 @@ def test_hours_become_weeks(spark, sf):
 
 
 def test_gates(spark, sf):
-    got = {x["gate"]: x["status"] for x in chains.gate_attack(spark, sf).collect()}
-    assert got.pop("clear") == "REAL" and "REAL" not in got.values() and len(got) == len(chains.GATES) - 1
+    got = {x["gate"]: (x["reals"], x["n"]) for x in chains.gate_attack(spark, sf).collect()}
+    reals, n = got.pop("none")
+    assert reals == n > 0 and all(x == (0, n) for x in got.values()) and set(got) == set(chains.beyond_gates())
 
 
 def test_water_is_spared(spark, sf):
-    got = {x["days"]: x for x in chains.flood_attack(spark, sf).collect()}
-    assert got[10]["without_water"] > 0.5 and all(x["with_water"] == 0 for x in got.values())
+    got = {x["spell"]: x for x in chains.flood_attack(spark, sf).collect()}
+    assert got[3]["without_water"] > 0.5 > got[25]["without_water"] and all(x["with_water"] == 0 for x in got.values())
 
 
-def test_relaxed_gate_lets_nothing_through(spark):
-    r = chains.relaxation(spark, 1).first()
+def test_a_lasting_fall_stays(spark, sf):
+    got = chains.despike_attack(spark, sf).collect()
+    assert len(got) == 3 and all(x["lost"] <= 2 and x["series"] == 30 for x in got)
+
+
+def test_relaxed_gate_lets_nothing_through(spark, sf):
+    r = chains.relaxation(spark, sf).first()
     assert r["fits"] == 3 and r["let_through_real"] == 0 and r["reals"] == 0
 
 

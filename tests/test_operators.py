@@ -169,10 +169,10 @@ def test_planted_fields_get_their_states(spark):
     assert not any(x["status"] in ("VERIFIED", "PARTIAL") for x in r if x["role"] in ("liar", "weak"))
 
 
-def test_attacks_are_not_real(spark):
+def test_attacks_are_not_real(spark, sf):
     from tidemark.plans.attacks import red_team
 
-    r = {x["attack"]: x for x in red_team(spark, 2).collect()}
+    r = {x["attack"]: x for x in red_team(spark, sf, 2).collect()}
     assert r["step"]["REAL"] == 2 and all(r[a]["REAL"] == 0 for a in ("common_shock", "pre_trend", "no_fit", "one_bin", "untouched", "season_shift"))
 
 

@@ -118,11 +118,13 @@ AIR_OUT = "verdict string, point double, lo double, hi double, p_zero double, bo
 def air_analysis(name: str, treated: np.ndarray, pool: np.ndarray, pre: np.ndarray, grid: int = 61, cohorts: int = 40) -> tuple:
     """All of one stratum: treated (n, T) aligned members, pool (m, T) donors observed throughout."""
     y = treated.mean(axis=0)
-    point, f, sel = K.air_effect(y, pool, pre) if len(pool) else (float("nan"), None, np.zeros(0, int))
+    own_fit = K.refit(y, pool, pre, K.AIR_GATE) if len(pool) else None
     n, m = len(treated), len(pool)
-    if f is None:
+    if own_fit is None:
         return (name, None, None, None, None, None, None, None, None, int(pre.sum()), int((~pre).sum()), m, n, None, None, 0, 0.0, False, [], False, False, False, False, False, None)
+    f, sel, point = own_fit.fit, own_fit.chosen, own_fit.effect
     ci = K.air_interval(y, pool[sel], pre, f.lam, point, f.rmse, grid)
+    again = lambda y, pool: r.effect if (r := K.refit(y, pool, pre, K.AIR_GATE)) else float("nan")
     exact = m - n >= AIR["min_donors"]
     fits = []
     for g in exact_groups(m, n, cohorts, f"{name}:{m}") if exact else []:
@@ -133,9 +135,9 @@ def air_analysis(name: str, treated: np.ndarray, pool: np.ndarray, pre: np.ndarr
     own, sign = K.ratio(f.effect, pre), -1 if point < 0 else 1
     p = (sum(K.ratio(g.effect, pre) >= own for g in fits) + 1) / (len(fits) + 1) if fits else None
     pe = (sum(sign * g.effect[~pre].mean() >= sign * point for g in fits) + 1) / (len(fits) + 1) if fits else None
-    jack = [K.air_effect(np.delete(treated, i, 0).mean(axis=0), pool, pre)[0] for i in range(n)] if n >= 2 else []
+    jack = [again(np.delete(treated, i, 0).mean(axis=0), pool) for i in range(n)] if n >= 2 else []
     heavy = [int(sel[i]) for i in np.argsort(-f.weights, kind="stable")[:3] if f.weights[i] >= 0.05]
-    drop = [K.air_effect(y, np.delete(pool, i, 0), pre)[0] for i in heavy if m - 1 >= AIR["min_donors"]]
+    drop = [again(y, np.delete(pool, i, 0)) for i in heavy if m - 1 >= AIR["min_donors"]]
     robust = lambda e, want: len(e) == want and bool(np.isfinite(e).all()) and K.holds(e, point)
     return (
         name, point, ci.lo, ci.hi, ci.p_zero, ci.boundary_hit, ci.empty, f.rmse, f.lam, int(pre.sum()), int((~pre).sum()), len(sel), n, p, pe, len(fits), float(np.median([g.rmse for g in fits])) if fits else f.rmse, exact,

@@ -191,6 +191,39 @@ def slopes(dem: DataFrame, res: float, by: list[str]) -> DataFrame:
     return dem.withColumn("slope", F.degrees(F.atan(F.hypot(gx, gy))))
 
 
+def with_halo(pixels: DataFrame, tile: int, halo: int = 1) -> DataFrame:
+    """pixels (row, col ...) with their tile (tr, tc), and copies of those within `halo` of another tile's edge for that tile (ghost)."""
+    at = lambda c, d: F.floor((F.col(c) + d) / tile)
+    steps = [(0, 0), *[(d * r, d * c) for d in (-halo, halo) for r, c in ((1, 0), (0, 1))]]
+    tiles = F.array_distinct(F.array(*[F.struct(at("row", r).alias("tr"), at("col", c).alias("tc")) for r, c in steps]))
+    df = pixels.select("*", F.explode(tiles).alias("_t")).select(*pixels.columns, F.col("_t.tr").alias("tr"), F.col("_t.tc").alias("tc"))
+    return df.withColumn("ghost", (F.col("tr") != at("row", 0)) | (F.col("tc") != at("col", 0)))
+
+
+def tiled_slopes(dem: DataFrame, res: float, by: list[str], tile: int = 512) -> DataFrame:
+    """slopes() of rasters of any size: tiles get their neighbours' edges, so that no window is wider than a tile. Null where a neighbour is missing."""
+    keys = [*by, "tr", "tc"]
+
+    def step(axis: str, other: str) -> Column:
+        w = Window.partitionBy(*keys, other).orderBy(axis)
+        a, b = F.lag(F.struct(axis, "elev")).over(w), F.lead(F.struct(axis, "elev")).over(w)
+        return F.when((a[axis] == F.col(axis) - 1) & (b[axis] == F.col(axis) + 1), (b["elev"] - a["elev"]) / (2 * res))
+
+    df = with_halo(dem, tile).withColumns({"_gx": step("col", "row"), "_gy": step("row", "col")}).where(~F.col("ghost"))
+    return df.withColumn("slope", F.degrees(F.atan(F.hypot("_gx", "_gy")))).select(*dem.columns, "slope")
+
+
+def tiled_covariates(dem: DataFrame, zones: DataFrame, res: float, by: list[str], tile: int = 512) -> DataFrame:
+    """by, zone, slope (mean) and cover (the commonest, the smallest of equals) over all tiles that a zone has pixels in.
+
+    dem: by, row, col, elev, cover. zones: by, zone, row, col. Sums and counts are combined by tile before they meet.
+    """
+    px = tiled_slopes(dem, res, by, tile).join(zones, [*by, "row", "col"])
+    counts = px.groupBy(*by, "zone", "cover").agg(F.count(F.lit(1)).alias("_n"), F.sum("slope").alias("_s"), F.count("slope").alias("_k"))
+    best = F.max_by("cover", F.struct("_n", -F.col("cover")))
+    return counts.groupBy(*by, "zone").agg((F.sum("_s") / F.sum("_k")).alias("slope"), best.alias("cover"))
+
+
 def snapped(zones: DataFrame, step: int = 60) -> DataFrame:
     """One row: bounds of the zones (x0, y0, x1, y1), snapped outwards."""
     lo, hi = lambda v: F.floor(F.min(v) / step) * step, lambda v: F.ceil(F.max(v) / step) * step

@@ -72,7 +72,10 @@ def thin_evenly(df: DataFrame, order: list[str], most: int) -> DataFrame:
         return df
     keep = sorted({int(np.round(x)) for x in np.linspace(0, n - 1, most)})
     wanted = spark.createDataFrame([(i,) for i in keep], "pos long")
-    parts = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    from ..plans.base import cut
+
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = cut(df.repartitionByRange(n_parts, *order).withColumn("_p", F.spark_partition_id()))  # sampled once: sizes and positions are of the same ranges
     parts = parts.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1)
     sizes = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_c")).withColumn("_b", F.sum("_c").over(Window.orderBy("_p")) - F.col("_c"))
     return parts.join(F.broadcast(sizes), "_p").withColumn("pos", F.col("_b") + F.col("_i")).join(F.broadcast(wanted), "pos", "left_semi").drop("_p", "_i", "_c", "_b")

@@ -2,66 +2,20 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import generators as G
+from . import planted as P
 from .verdicts import land_verdicts
 
 
-def shocked(m: np.ndarray, pre: int, size: float = -0.3) -> np.ndarray:
-    """Every unit falls at the event."""
-    out = m.copy()
-    out[:, pre:] += size
-    return out
-
-
-def drifting(m: np.ndarray, pre: int, size: float = -0.3) -> np.ndarray:
-    """The treated unit has been falling since long before the event."""
-    out = m.copy()
-    out[0] += np.clip((np.arange(m.shape[1]) - pre * 0.4) / (m.shape[1] - pre * 0.4), 0, 1) * size
-    return out
-
-
-def noisy(m: np.ndarray, pre: int, seed: int = 0) -> np.ndarray:
-    """The treated unit follows nothing."""
-    out = m.copy()
-    out[0] += np.random.default_rng(seed).normal(0, 0.3, m.shape[1])
-    return out
-
-
-def brief(m: np.ndarray, pre: int, size: float = -0.4) -> np.ndarray:
-    """A dip of one bin."""
-    out = m.copy()
-    out[0, pre] += size
-    return out
-
-
-def seasonal(m: np.ndarray, pre: int, size: float = 0.25) -> np.ndarray:
-    """All units share a season that shifts by some bins after the event."""
-    t = np.arange(m.shape[1])
-    return m + size * np.sin(2 * np.pi * (t + np.where(t >= pre, 3, 0)) / 24)
-
-
-ATTACKS = {"common_shock": shocked, "pre_trend": drifting, "no_fit": noisy, "one_bin": brief, "season_shift": seasonal}
-
-
-def panels(spark: SparkSession, units: int = 3, donors: int = 60, bins: int = 110, pre: int = 75) -> DataFrame:
-    """A panel for each attack and seed, and for planted steps, steps on top of a common shock, and untouched units."""
-    named = {}
-    for s in range(units):
-        quiet = G.seasonal_panel(donors, bins, pre, seed=50 + s)
-        named |= {f"{a}:{s}": (f(quiet, pre), pre) for a, f in ATTACKS.items()}
-        named[f"untouched:{s}"] = (quiet, pre)
-        named[f"step:{s}"] = (G.seasonal_panel(donors, bins, pre, seed=50 + s, effect=-0.3), pre)
-        named[f"step_in_shock:{s}"] = (shocked(G.seasonal_panel(donors, bins, pre, seed=50 + s, effect=-0.3), pre), pre)
-    return G.as_panel(spark, named)
-
-
-def red_team(spark: SparkSession, units: int = 3) -> DataFrame:
-    """attack, REAL, NOT_REAL, CANT_TELL."""
-    d = land_verdicts(spark, panels(spark, units), placebos=30, grid=21)
+def red_team(spark: SparkSession, sf: str, seeds: int = 2, donors: int = 60, bins: int = 110, at: int = 75) -> DataFrame:
+    """attack, REAL, NOT_REAL, CANT_TELL over panels dealt with several seeds."""
+    made = [P.cases(P.land(spark, sf, donors, bins, seed=s), [(f"{a}:{s}", at, x) for a, x in P.land_attacks(at, bins).items()]) for s in range(seeds)]
+    panel = made[0]
+    for m in made[1:]:
+        panel = panel.unionByName(m)
+    d = land_verdicts(spark, panel, placebos=30, grid=21)
     return d.groupBy(F.split("verdict", ":")[0].alias("attack")).pivot("status", ["REAL", "NOT_REAL", "CANT_TELL"]).agg(F.count(F.lit(1))).na.fill(0)
 
 

@@ -19,15 +19,6 @@ def factor_panel(units: int, bins: int, pre: int, effect: float, seed: int, nois
     return np.vstack([y, d])
 
 
-def seasonal_panel(units: int, bins: int, pre: int, seed: int, effect: float = 0.0, noise: float = 0.03) -> np.ndarray:
-    """(units + 1, bins): units of one season of 36 bins, each with its own amplitude, level and noise; unit 0 shifted by effect from bin pre on."""
-    r = np.random.default_rng(seed)
-    season = 0.22 * np.sin(2 * np.pi * np.arange(bins) / 36.5)
-    m = 0.5 + r.uniform(0.8, 1.2, (units + 1, 1)) * season + r.normal(0, 0.05, (units + 1, 1)) + r.normal(0, noise, (units + 1, bins))
-    m[0, pre:] += effect
-    return m
-
-
 def autoregressive(n: int, phi: float, sigma: float, k: int, seed: int) -> np.ndarray:
     r = np.random.default_rng(seed)
     e = r.normal(0, sigma, (n, k))
@@ -65,21 +56,6 @@ def crops(spark: SparkSession, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     return nan_to_null(spark.createDataFrame(pd.concat(rows, ignore_index=True), "unit long, d date, v double")), spark.createDataFrame(units, "unit long, role string, claims boolean, year int")
 
 
-def ramps(spark: SparkSession, seed: int = 11, effect: float = -0.5) -> DataFrame:
-    """Panel (unit, d, v) of 24 fields, four of which fade to bare ground over a year from 2020 to 2023."""
-    r = np.random.default_rng(seed)
-    days = pd.date_range("2016-01-01", "2025-12-31", freq="16D")
-    doy = days.dayofyear.to_numpy(float)
-    rows = []
-    for i in range(24):
-        v = 0.15 + 0.5 * np.exp(-((doy - 200) ** 2) / 4000) + r.normal(0, 0.02, len(days))
-        if i < 4:
-            fade = np.clip((days - pd.Timestamp(f"{2020 + i}-01-01")).days.to_numpy() / 365.0, 0, 1)
-            v = v * (1 - fade) + 0.08 * fade
-        rows.append(pd.DataFrame({"unit": i, "d": days.date, "v": v}))
-    return spark.createDataFrame(pd.concat(rows, ignore_index=True), "unit long, d date, v double")
-
-
 def monitors(weeks: int = 170, donors: int = 18, treated: int = 3, event: int = 156, effect: float = -6.0, seed: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Weekly levels (treated, weeks), (donors, weeks) and the pre mask."""
     r = np.random.default_rng(seed)
@@ -160,11 +136,3 @@ def patchy(spark: SparkSession, seed: int = 23) -> tuple[DataFrame, DataFrame]:
         green[cloud], texture[cloud] = np.nan, np.nan
         frames.append(pd.DataFrame({"unit": i, "d": days.date, "green": green, "texture": texture}))
     return _tables(spark, frames, "unit long, d date, green double, texture double", roster)
-
-
-def stations(weeks: int = 170, donors: int = 24, treated: int = 3, event: int = 156, seed: int = 5) -> tuple[np.ndarray, np.ndarray, int]:
-    """Weekly levels (treated, weeks), (donors, weeks) and the event's week: monitors of one season; the treated ones follow the mean of four donors."""
-    r = np.random.default_rng(seed)
-    season = 42 + 5 * np.sin(2 * np.pi * np.arange(weeks) / 52.18)
-    d = season + r.normal(0, 2, (donors, 1)) + r.normal(0, 1, (donors, weeks))
-    return d[:4].mean(axis=0) + r.normal(0, 0.5, (treated, weeks)), d, event

@@ -18,6 +18,7 @@ from ..operators import timebins as T
 from ..operators import topk as K
 from ..operators import windows as W
 from . import generators as Gen
+from . import planted as Pl
 from .base import EVENT, TREATED, cut, folder, obs, table
 
 QUERIES, SQL = {}, {}
@@ -99,13 +100,9 @@ def audit_claims(spark: SparkSession, panel_: DataFrame, units: DataFrame, year:
 
 @query
 def air_verdict(spark, sf):
-    """Planted monitors: cohort, donors, conformal interval, cohort placebos, jackknife, lead check, rules."""
-    rows = []
-    for name, effect in (("traffic", -6.0), ("background", 0.0)):
-        t, d, pre = Gen.monitors(effect=effect)
-        for kind, m in ((True, t), (False, d)):
-            rows += [(name, i + (0 if kind else 100), kind, k, float(v), bool(pre[k])) for i, s in enumerate(m) for k, v in enumerate(s)]
-    p = spark.createDataFrame(pd.DataFrame(rows, columns=["verdict", "unit", "treated", "k", "v", "pre"]))
+    """Stations on the scatter of line items, a stratum with a planted fall and one without: cohort, donors, conformal interval, cohort placebos, jackknife, lead check, rules."""
+    fall = F.when(F.col("treated"), Pl.after(156, -6.0)).otherwise(0.0)
+    p = Pl.cases(Pl.stations(spark, sf, 3, 20), [("traffic", 156, fall), ("background", 156, F.lit(0.0))])
     r = D.air(E.air(p, grid=21, cohorts=20))
     return r.select("verdict", "status", *[settled(c, 3).alias(c) for c in ("point", "lo", "hi", "placebo_p")], F.size("reasons").alias("n_reasons"))
 
@@ -126,12 +123,15 @@ def weather_ridge(spark, sf):
 @query
 def power_grid(spark, sf):
     """Planted steps in panels without any: calls by effect."""
-    return power(spark, [0.0, -0.05, -0.10, -0.20], units=6)
+    return power(spark, sf, [0.0, -0.05, -0.10, -0.20], seeds=6)
 
 
-def power(spark: SparkSession, effects: list[float], units: int, bins: int = 60, pre: int = 44, donors: int = 24) -> DataFrame:
-    named = {f"{e}:{s}": (Gen.factor_panel(donors, bins, pre, e, s), pre) for e in effects for s in range(units)}
-    d = land_verdicts(spark, Gen.as_panel(spark, named), k=20, placebos=20, grid=15)
+def power(spark: SparkSession, sf: str, effects: list[float], seeds: int, bins: int = 60, at: int = 44, donors: int = 24) -> DataFrame:
+    panel = None
+    for i in range(seeds):
+        one = Pl.cases(Pl.land(spark, sf, donors, bins, seed=100 + i), [(f"{e}:{i}", at, Pl.own(Pl.after(at, e))) for e in effects])
+        panel = one if panel is None else panel.unionByName(one)
+    d = land_verdicts(spark, panel, k=20, placebos=20, grid=15)
     return d.groupBy(F.split("verdict", ":")[0].cast("double").alias("effect")).pivot("status", ["REAL", "NOT_REAL", "CANT_TELL"]).agg(F.count(F.lit(1))).na.fill(0)
 
 
@@ -140,16 +140,25 @@ def calibration_study(spark, sf):
     """Intervals of panels without an effect: how often they hold zero."""
     from ..operators.aggregates import calibration
 
-    named = {f"{s}": (Gen.factor_panel(20, 50, 36, 0.0, 100 + s), 36) for s in range(8)}
-    fits = E.run(Gen.as_panel(spark, named), 15, placebos=3, grid=21)
+    panel = None
+    for i in range(8):
+        one = Pl.cases(Pl.land(spark, sf, 20, 50, seed=200 + i), [(str(i), 36, F.lit(0.0))])
+        panel = one if panel is None else panel.unionByName(one)
+    fits = E.run(panel, 15, placebos=3, grid=21)
     return calibration(fits.where("kind = 'treated'").select("lo", "hi", F.lit(0.0).alias("truth"), "lam")).select("coverage", settled("half_width", 4).alias("half_width"), "degenerate")
 
 
 @query
 def cohort_groups(spark, sf):
-    """Exact-size placebo cohorts of the customers' nations."""
-    g = K.exact_groups(12, 3, 40, "1999-01-01:traffic")
-    return spark.createDataFrame([(i, list(x)) for i, x in enumerate(g)], "i int, members array<int>")
+    """Placebo cohorts of three nations for each region: exact-size groups of its own nations."""
+    n = table(spark, sf, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list("n_nationkey")).alias("of"))
+
+    def each(batches):
+        for b in batches:
+            rows = [(r, i, [int(of[j]) for j in g]) for r, of in zip(b["n_regionkey"], b["of"], strict=True) for i, g in enumerate(K.exact_groups(len(of), 3, 40, f"region {r}"))]
+            yield pd.DataFrame(rows, columns=["region", "i", "members"])
+
+    return n.mapInPandas(each, "region long, i int, members array<long>")
 
 
 def remaining(todo: DataFrame, done: DataFrame, key: str = "id") -> DataFrame:
@@ -175,7 +184,7 @@ def red_team(spark, sf):
     """Adversarial panels against the verdict rules."""
     from .attacks import red_team as attack
 
-    return attack(spark, 2)
+    return attack(spark, sf, 2)
 
 
 @query

@@ -65,3 +65,78 @@ def run_once(stream: DataFrame, at: str, mode: str = "append") -> DataFrame:
         q = w.foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{at}/rows/batch={i}")).start()
     q.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{at}/rows")
+
+
+REVERSAL = "user_id long, period long, e double, peak double, peak_period long, recent double, detected boolean, reversal_period long"
+
+
+def reversals(stream: DataFrame, width_ms: int, floor: float, share: float = 0.45, late: str = "1 day", idle_periods: int = 400) -> DataFrame:
+    """A row (REVERSAL) whenever a period of a user closes: its mean, the peak so far, and whether the last two periods have fallen from it.
+
+    A period closes by an event-time timer at its end, once the watermark has passed it: rows that come late but before that
+    count, later ones don't. Open periods are a map in state, by period; of closed ones state keeps the last two means (a
+    list) and what the rule needs of the rest (one value), so that it doesn't grow with time. A user without events for
+    idle_periods is forgotten, by a timer too. Empty periods are none. Rows without time, user or value don't count.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming import StatefulProcessor
+
+    names = [x.split()[0] for x in REVERSAL.split(", ")]
+
+    class Reversals(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.open = handle.getMapState("open", "period long", "total double, n long")
+            self.last = handle.getListState("last", "e double")
+            self.past = handle.getValueState("past", "peak double, peak_period long, below long, closed long")
+
+        def handleInputRows(self, key, rows, timerValues):
+            timer = set(self.handle.listTimers())
+            closed = self.past.get()[3] if self.past.exists() else None
+            for pdf in rows:
+                g = pdf.assign(period=pdf["ms"] // width_ms).groupby("period")["value"].agg(["sum", "count"])
+                for period, total, n in g.itertuples():
+                    if closed is not None and period <= closed:
+                        continue
+                    old = self.open.getValue((int(period),)) if self.open.containsKey((int(period),)) else (0.0, 0)
+                    self.open.updateValue((int(period),), (old[0] + float(total), old[1] + int(n)))
+                    end = (int(period) + 1) * width_ms
+                    if end not in timer:
+                        self.handle.registerTimer(end)
+                        timer.add(end)
+            yield pd.DataFrame(columns=names)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            now, out = expiredTimerInfo.getExpiryTimeInMs(), []
+            done = sorted((p[0], v) for p, v in self.open.iterator() if (p[0] + 1) * width_ms <= now)
+            for period, (total, n) in done:
+                e = total / n
+                peak, at, below, _ = self.past.get() if self.past.exists() else (None, None, None, None)
+                if peak is None or e > peak:
+                    peak, at, below = e, period, None
+                elif below is None and e < floor:
+                    below = period
+                two = [*[x[0] for x in self.last.get()], e][-2:]
+                self.last.put([(x,) for x in two])
+                self.past.update((peak, at, below, period))
+                self.open.removeKey((period,))
+                recent = sum(two) / len(two)
+                hit = peak >= floor and recent < floor and recent < share * peak
+                out.append((key[0], period, e, peak, at, recent, hit, (period if below is None else below) if hit else None))
+            if done:
+                self.handle.registerTimer((done[-1][0] + idle_periods) * width_ms)
+            elif self.past.exists() and (self.past.get()[3] + idle_periods) * width_ms <= now:
+                for state in (self.open, self.last, self.past):
+                    state.clear()
+            yield pd.DataFrame(out, columns=names).astype({"reversal_period": "Int64"})
+
+        def close(self) -> None:
+            """Nothing is held outside state."""
+
+    rows = stream.where("user_id is not null and ts is not null and value is not null").withWatermark("ts", late).select("user_id", "ts", "value", F.unix_millis("ts").alias("ms"))
+    return rows.groupBy("user_id").transformWithStateInPandas(Reversals(), REVERSAL, "Append", "EventTime")
+
+
+def with_rocksdb(spark: SparkSession) -> None:
+    """State with timers needs the RocksDB store, which also keeps state out of the executors' heaps."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
