@@ -1,0 +1,70 @@
+"""Scenes that fail, zones of any size, and distances to polygons, against plain loops."""
+
+import math
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.operators import isolate as I
+from tidemark.operators import joins as J
+
+
+def scenes(spark):
+    return spark.createDataFrame([(i, f"scene {i}", "clash") for i in range(12)] + [(None, "scene 0", "x")], "scene long, text string, _tries string").repartition(2)
+
+
+def test_bad_scenes_are_receipts(spark):
+    def work(s):
+        i = int(s["text"].split()[1])
+        if i == 3:
+            raise OSError("torn\nheader")
+        yield from ((i, str(j)) for j in range(i % 3))
+        if i == 7:
+            raise ValueError("half done")  # its rows before don't count
+        if i == 8:
+            yield (i, 5)  # doesn't fit the schema
+
+    done = I.isolated(scenes(spark), "scene", work, "a long, b string", tries=2).cache()
+    got = sorted((r["_scene"] is None, r["_scene"] or 0, r["a"], r["b"]) for r in I.results(done).collect())
+    assert got == [(False, i, i, str(j)) for i in range(12) if i not in (3, 7, 8) for j in range(i % 3)]
+    why = {r["scene"]: (r["reason"], r["detail"].split(":")[0], r["tries"]) for r in I.receipts(done).collect()}
+    assert why[3] == ("failed", "OSError", 2) and why[7] == ("failed", "ValueError", 2) and why[8][1] == "ArrowTypeError" and len(why) == 3
+    assert I.isolated(scenes(spark).limit(0), "scene", work, "a long, b string").count() == 0
+
+
+def test_retries_help_what_passes_and_have_a_budget(spark, tmp_path):
+    at = str(tmp_path)
+
+    def flaky(s):
+        import os
+
+        mark = f"{at}/{s['scene']}"
+        if not os.path.exists(mark):
+            open(mark, "w").close()
+            raise TimeoutError("busy")
+        yield (1,)
+
+    one = scenes(spark).coalesce(1)
+    done = I.isolated(one, "scene", flaky, "n int", tries=3, budget=5).cache()
+    assert I.results(done).count() == 5 and {r["reason"] for r in I.receipts(done).collect()} == {"failed, no retries left"}
+    with pytest.raises(Exception, match="MemoryError"):
+        I.isolated(one, "scene", lambda s: (_ for _ in ()).throw(MemoryError("no room")), "n int").collect()
+
+
+def test_zones_of_any_size(spark):
+    r = random.Random(3)
+    zones = [(1, -1e6, -1e6, 1e6, 1e6)] + [(i, x, y, x + w, y + w * r.random()) for i in range(2, 60) for x, y, w in [(r.uniform(-500, 500), r.uniform(-500, 500), 2 ** r.uniform(0, 9))]] + [(99, 5.0, 5.0, 5.0, 9.0), (98, None, 0.0, 1.0, 1.0)]
+    pixels = [(i, r.uniform(-600, 600), r.uniform(-600, 600)) for i in range(400)] + [(500 + i, 10.0, 10.0) for i in range(50)] + [(900, 2e6, 0.0), (901, None, 1.0)]
+    got = J.painted(spark.createDataFrame(pixels, "id long, x double, y double"), spark.createDataFrame(zones, "zone long, x0 double, y0 double, x1 double, y1 double")).collect()
+    hold = lambda x, y: max((z for z, x0, y0, x1, y1 in zones if x is not None and x0 is not None and x0 <= x < x1 and y0 <= y < y1), default=0)
+    assert {p["id"]: p["zone"] for p in got} == {i: hold(x, y) for i, x, y in pixels} and len(got) == len(pixels)
+    none = spark.createDataFrame([], "zone long, x0 double, y0 double, x1 double, y1 double")
+    assert {p["zone"] for p in J.painted(spark.createDataFrame(pixels, "id long, x double, y double"), none).collect()} == {0}
+
+
+def segment_distance(px, py, a, b):
+    (ax, ay), (bx, by) = a, b
+    d = (bx - ax) ** 2 + (by - ay) ** 2
+    t = max(0.0, min(1.0, ((px - ax) * (bx - ax) + (py - ay) * (by - ay)) / d)) if d else 0.0
+    return math.hypot(px - ax - t * (bx - ax), py - ay - t * (by - ay))

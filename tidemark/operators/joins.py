@@ -72,18 +72,23 @@ def with_findings(results: DataFrame, findings: DataFrame, key: str = "stratum")
     return df.withColumn("agreement", F.when(F.col("study").isNull(), "no finding").when(~same, "other horizon").when(F.col("published").between(F.col("lo"), F.col("hi")), "inside").otherwise("outside")).drop("_m")
 
 
-def painted(pixels: DataFrame, zones: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
+def painted(pixels: DataFrame, zones: DataFrame, x: str = "x", y: str = "y", finest: float = 60.0) -> DataFrame:
     """pixels with zone: that of the largest number among the zones (zone, x0, y0, x1, y1) that hold the pixel's centre.
 
-    Zones are first dealt to the 60-unit tiles that they touch, so that pixels meet only the zones of their own tile.
+    Each zone has the level of a pyramid of grids whose cells are as wide as it is, so that it meets nine cells at most,
+    whether it is a parcel or lies over everything; pixels look it up once for each level that zones have. A cell of very
+    many pixels meets few zones, and its join is one whose large side Spark can split.
     """
-    size = 60
-    tiles = zones.select("*", F.explode(F.sequence(F.floor(F.col("x0") / size), F.floor(F.col("x1") / size))).alias("_tx")).select("*", F.explode(F.sequence(F.floor(F.col("y0") / size), F.floor(F.col("y1") / size))).alias("_ty"))
-    p = pixels.withColumn("_tx", F.floor(c(x) / size)).withColumn("_ty", F.floor(c(y) / size))
+    side = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(finest))
+    leveled = zones.withColumn("_level", F.ceil(F.log2(side / finest) - 1e-9).cast("int"))
+    levels = sorted(r["_level"] for r in leveled.select("_level").where("_level is not null").distinct().collect())  # a number for each doubling of size
+    cell = lambda v, level: F.floor(v / (F.lit(finest) * F.pow(F.lit(2.0), level)))
+    across = lambda a, b: F.explode(F.sequence(cell(F.col(a), F.col("_level")), cell(F.col(b), F.col("_level"))))
+    tiles = leveled.where("_level is not null").select("*", across("x0", "x1").alias("_tx")).select("*", across("y0", "y1").alias("_ty"))
+    p = pixels.withColumn("_level", F.explode(F.array(*[F.lit(i) for i in levels or [0]]))).withColumns({"_tx": cell(c(x), F.col("_level")), "_ty": cell(c(y), F.col("_level"))})
     inside = (c(x) >= F.col("x0")) & (c(x) < F.col("x1")) & (c(y) >= F.col("y0")) & (c(y) < F.col("y1"))
-    hit = p.join(tiles, ["_tx", "_ty"], "left")
-    keys = [k for k in pixels.columns]
-    return hit.groupBy(*keys).agg(F.coalesce(F.max(F.when(inside, F.col("zone"))), F.lit(0)).alias("zone"))
+    hit = p.join(tiles, ["_level", "_tx", "_ty"], "left")
+    return hit.groupBy(*pixels.columns).agg(F.coalesce(F.max(F.when(inside, F.col("zone"))), F.lit(0)).alias("zone"))
 
 
 def on_grid(points: DataFrame, grid: DataFrame, x0: float, y0: float, res: float, value: str = "v") -> DataFrame:

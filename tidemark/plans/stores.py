@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import settled
+from ..operators import isolate as I
 from ..operators import polygons as P
 from ..sources import commits as C
 from ..sources import raster as Ra
-from .base import PIX, R, pixels, table
+from .base import PIX, R, cut, pixels, table
 from .more import scratch
 
 QUERIES, SQL = {}, {}
@@ -135,3 +136,27 @@ def fetched_pages(spark, sf):
     fetch = lambda missing: missing.withColumn("page", F.col("params")["page"]).join(web, "page").select("request", "body")
     C.fetched(asked.where("page_id % 2 = 0"), at, fetch).count()
     return C.fetched(asked, at, fetch).select("page_id", "digest", F.octet_length("body").cast("long").alias("n_bytes"))
+
+
+# -- scenes of which some fail -----------------------------------------------------------------------
+
+
+@query("""WITH e AS (SELECT vec_id AS scene, embedding AS v, vec_id % 7 = 3 AS torn, vec_id % 11 = 5 AS negative FROM embeddings)
+SELECT scene, CASE WHEN NOT torn AND NOT negative THEN round(cast(list_sum([x::DOUBLE for x in v]) / len(v) AS DECIMAL(38,10)), 5)::DOUBLE END AS mean, CASE WHEN torn OR negative THEN 'failed' END AS reason, CASE WHEN torn THEN 'JSONDecodeError' WHEN negative THEN 'ValueError' END AS error FROM e""")
+def isolated_scenes(spark, sf):
+    """Scenes as text, of which some are torn and some refused: each is a result or a receipt."""
+    e = table(spark, sf, "embeddings")
+    k, text = F.col("vec_id"), F.to_json(F.transform("embedding", lambda x: x.cast("double")))
+    scenes = e.select(k.alias("scene"), F.when(k % 7 == 3, F.substring(text, 1, 20)).otherwise(text).alias("payload"), (k % 11 == 5).alias("negative"))
+
+    def work(scene: dict):
+        import json
+
+        v = json.loads(scene["payload"])
+        if scene["negative"]:
+            raise ValueError("the scene has a negative area")
+        yield (float(sum(v) / len(v)),)
+
+    done = cut(I.isolated(scenes, "scene", work, "mean double", tries=2, budget=5))
+    failed = I.receipts(done).select("scene", F.lit(None).cast("double").alias("mean"), F.lit("failed").alias("reason"), F.regexp_extract("detail", r"^(\w+)", 1).alias("error"))
+    return I.results(done).select(F.col("_scene").alias("scene"), settled("mean", 5).alias("mean"), F.lit(None).cast("string").alias("reason"), F.lit(None).cast("string").alias("error")).unionByName(failed)

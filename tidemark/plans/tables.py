@@ -207,11 +207,9 @@ def block_contrast(spark, sf):
     return X.contrast(pixels(spark, sf), ["block"]).withColumn("contrast", settled("contrast"))
 
 
-@query(f"""WITH {PIX} SELECT block, {R('avg(v) FILTER (NOT ("row" BETWEEN 2 AND 5 AND "col" BETWEEN 2 AND 5)) / avg(v) FILTER ("row" BETWEEN 2 AND 5 AND "col" BETWEEN 2 AND 5)', 3)} AS perimeter_ratio FROM px GROUP BY 1 HAVING abs(avg(v) FILTER ("row" BETWEEN 2 AND 5 AND "col" BETWEEN 2 AND 5)) > 0.001""")
+@query(f"""WITH {PIX} SELECT block, {R('avg(v) FILTER (NOT ("row" BETWEEN 2 AND 5 AND "col" BETWEEN 2 AND 5)) / nullif(avg(v) FILTER ("row" BETWEEN 2 AND 5 AND "col" BETWEEN 2 AND 5), 0)', 3)} AS perimeter_ratio FROM px GROUP BY 1""")
 def block_perimeter(spark, sf):
-    p = pixels(spark, sf)
-    core = p.where(F.col("row").between(2, 5) & F.col("col").between(2, 5)).groupBy("block").agg(F.avg("v").alias("c")).where(F.abs("c") > 0.001).select("block")
-    return X.perimeters(p.join(core, "block", "left_semi"), ["block"]).withColumn("perimeter_ratio", settled("perimeter_ratio", 3))
+    return X.perimeters(pixels(spark, sf), ["block"]).withColumn("perimeter_ratio", settled("perimeter_ratio", 3))
 
 
 @query(f"""WITH {PIX} SELECT label AS zone, {R('avg(v) FILTER (v > -0.1)')} AS mean, count(*) FILTER (v > -0.1) AS n_clear, count(*) AS n_all FROM px WHERE label <> 0 GROUP BY 1""")
@@ -438,12 +436,17 @@ def answers_scored(spark, sf):
     return J.scored(lab.select(F.col("doc_id").alias("case_id"), F.col("quality").alias("truth")), doc.select(F.col("doc_id").alias("case_id"), F.col("lang").alias("answer")), lab.select(F.col("doc_id").alias("case_id"), F.col("toxic").alias("call"))).select("case_id", "truth", "answer", "call")
 
 
-@query(f"""WITH {_LAND} SELECT id, '# Run ' || id::VARCHAR || chr(10) || 'Verdict: ' || status AS head FROM dec""")
+_NUM = "CASE WHEN signal = 'VH' THEN printf('%.2f', {x}) ELSE printf('%.3f', {x}) END"
+
+
+@query(f"""WITH {_LAND}, r AS (SELECT l_partkey AS id, string_agg('- ' || l_shipdate::DATE::VARCHAR || ': ' || l_returnflag || ' (' || l_linestatus || ')', chr(10) ORDER BY l_shipdate::DATE, l_returnflag, l_linestatus) AS t
+FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate::DATE, l_returnflag, l_linestatus) AS n FROM lineitem WHERE l_quantity < 20) WHERE n <= 5 GROUP BY 1)
+SELECT dec.id, '# Run ' || dec.id || chr(10) || chr(10) || '| | |' || chr(10) || '|-|-|' || chr(10) || '| Verdict | ' || status || ' |' || chr(10) || '| Effect ' || CASE WHEN signal = 'VH' THEN 'dB' ELSE '' END || ' | ' || {_NUM.format(x="point")} || ' |' || chr(10)
+|| '| Interval | ' || {_NUM.format(x="lo")} || ' to ' || {_NUM.format(x="hi")} || ' |' || chr(10) || '| Placebo p | ' || printf('%.2f', placebo_p) || ' |' || chr(10) || chr(10) || '## Dropped observations' || chr(10) || coalesce(t, 'none') AS markdown FROM dec LEFT JOIN r USING (id)""")
 def report_markdown(spark, sf):
-    d = D.land(result_rows(spark, sf))
-    none = d.select("id", F.lit("").alias("day"), F.lit("").alias("reason"), F.lit("").alias("detail")).where("false")
-    md = Sk.report(d, none)
-    return md.select("id", F.concat_ws("\n", F.split("markdown", "\n")[0], F.concat(F.lit("Verdict: "), F.regexp_extract("markdown", r"\| Verdict \| (\w+) \|", 1))).alias("head"))
+    """The whole report of each run, with its first receipts by day."""
+    receipts = table(spark, sf, "lineitem").where("l_quantity < 20").select(F.col("l_partkey").alias("id"), F.col("l_shipdate").cast("date").alias("day"), F.col("l_returnflag").alias("reason"), F.col("l_linestatus").alias("detail"))
+    return Sk.report(D.land(result_rows(spark, sf)), receipts, most=5)
 
 
 @query("SELECT doc_id, lang FROM documents")

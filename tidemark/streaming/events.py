@@ -104,7 +104,7 @@ def reversals(stream: DataFrame, width_ms: int, floor: float, share: float = 0.4
                     if end not in timer:
                         self.handle.registerTimer(end)
                         timer.add(end)
-            yield pd.DataFrame(columns=names)
+            return iter(())
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
             now, out = expiredTimerInfo.getExpiryTimeInMs(), []
@@ -128,7 +128,7 @@ def reversals(stream: DataFrame, width_ms: int, floor: float, share: float = 0.4
             elif self.past.exists() and (self.past.get()[3] + idle_periods) * width_ms <= now:
                 for state in (self.open, self.last, self.past):
                     state.clear()
-            yield pd.DataFrame(out, columns=names).astype({"reversal_period": "Int64"})
+            return iter([pd.DataFrame(out, columns=names).astype({"reversal_period": "Int64"})] if out else [])
 
         def close(self) -> None:
             """Nothing is held outside state."""
