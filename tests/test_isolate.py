@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import isolate as I
 from tidemark.operators import joins as J
+from tidemark.operators import polygons as P
 
 
 def scenes(spark):
@@ -68,3 +69,38 @@ def segment_distance(px, py, a, b):
     d = (bx - ax) ** 2 + (by - ay) ** 2
     t = max(0.0, min(1.0, ((px - ax) * (bx - ax) + (py - ay) * (by - ay)) / d)) if d else 0.0
     return math.hypot(px - ax - t * (bx - ax), py - ay - t * (by - ay))
+
+
+def holds(x, y, rings):
+    c = False
+    for ring in rings:
+        for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1], strict=True):
+            if (y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1:
+                c = not c
+    return c
+
+
+STRIP, FRAME = [[(0, 0), (90, 30), (89, 33), (-1, 3)]], [[(0, 0), (40, 0), (40, 40), (0, 40)], [(10, 10), (30, 10), (30, 30), (10, 30)]]
+CONCAVE = [[(0, 0), (50, 0), (50, 50), (45, 5), (5, 5), (0, 50)]]
+
+
+@pytest.mark.parametrize("reach", [7.0, 60.0])
+def test_gaps_of_cells_from_any_polygon(spark, reach):
+    """Points and squares around a strip, a frame and a concave area: as dense samples of both say."""
+    r = random.Random(9)
+    zones = {"strip": [STRIP], "frame": [FRAME], "concave": [CONCAVE], "two": [STRIP, [[(60, -20), (70, -20), (65, -5)]]]}
+    point = lambda ring: [{"x": float(x), "y": float(y)} for x, y in ring]
+    rows = [(z, "a", f, k, point(ring)) for z, fs in zones.items() for f, rings in enumerate(fs) for k, ring in enumerate(rings)]
+    features = spark.createDataFrame(rows, "zone string, side string, feature int, ring int, points array<struct<x:double,y:double>>")
+    cells = [(z, i, x, y, x + w, y + w) for z in zones for i in range(60) for x, y, w in [(r.uniform(-30, 100), r.uniform(-30, 60), r.choice([0.0, 3.0, 12.0]))]]
+    got = {(c["zone"], c["cell"]): c["gap"] for c in P.gaps(features, spark.createDataFrame(cells, "zone string, cell int, x0 double, y0 double, x9 double, y9 double"), reach).collect()}
+    assert len(got) == len(cells)
+    for z, i, x0, y0, x9, y9 in cells:
+        border = [(x0 + (x9 - x0) * a, y0 + (y9 - y0) * b) for k in range(41) for a, b in ((k / 40, 0), (k / 40, 1), (0, k / 40), (1, k / 40))]
+        rings = [ring for f in zones[z] for ring in f]
+        want = 0.0 if any(holds(x, y, f) for f in zones[z] for x, y in [*border, ((x0 + x9) / 2, (y0 + y9) / 2)]) else min(segment_distance(x, y, a, b) for x, y in border for ring in rings for a, b in zip(ring, ring[1:] + ring[:1], strict=True))
+        if not any(holds(x, y, f) for f in zones[z] for x, y in border):
+            ends = [math.hypot(max(x0 - x, x - x9, 0), max(y0 - y, y - y9, 0)) for ring in rings for x, y in ring]
+            want = min(want, *ends)
+        g = got[z, i]
+        assert (g is None and want > reach - 0.2) or (g is not None and abs(g - want) < 0.2), (z, i, g, want)

@@ -1,4 +1,4 @@
-"""Union and difference of polygons with holes, as trapezoids between edge events and as rings.
+"""Union and difference of polygons with holes, as trapezoids between edge events and as rings; distances of cells from them.
 
 Features are (zone, side, feature, ring, points): rings of one feature are taken even-odd, so that an inner ring is a hole;
 side 'a' is what a zone includes, 'b' what is taken off. A zone's plane is cut into bands of equal numbers of vertices; a
@@ -16,7 +16,7 @@ from collections import defaultdict
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TRAPEZOID = "y0 double, y1 double, l0 double, l1 double, r0 double, r1 double"
@@ -24,18 +24,23 @@ NEAR = 1e-7  # points of a ring that are nearer are one, and sides that bend les
 PER_BAND = 512  # vertices of a zone that one band has, about
 
 
-def edges(features: DataFrame) -> DataFrame:
-    """zone, side, feature, x1, y1, x2, y2 (y1 < y2) of all rings, horizontal ones left out."""
+def sides(features: DataFrame) -> DataFrame:
+    """zone, side, feature, x1, y1, x2, y2 (y1 <= y2) of all rings."""
     ok = F.filter("points", lambda p: p["x"].isNotNull() & p["y"].isNotNull())
     f = features.withColumn("_p", ok).where(F.size("_p") >= 3)
     at = lambda i: F.col("_p")[F.pmod(i, F.size("_p"))]
     ends = F.transform(F.sequence(F.lit(0), F.size("_p") - 1), lambda i: F.struct(at(i)["x"].alias("ax"), at(i)["y"].alias("ay"), at(i + 1)["x"].alias("bx"), at(i + 1)["y"].alias("by")))
-    e = f.select("zone", "side", "feature", F.explode(ends).alias("e")).where("e.ay != e.by")
+    e = f.select("zone", "side", "feature", F.explode(ends).alias("e"))
     low = F.col("e.ay") < F.col("e.by")
     pick = lambda a, b: F.when(low, F.col(f"e.{a}")).otherwise(F.col(f"e.{b}")).cast("double")
     return e.select("zone", "side", "feature", pick("ax", "bx").alias("x1"), pick("ay", "by").alias("y1"), pick("bx", "ax").alias("x2"), pick("by", "ay").alias("y2"))
 
 
+def edges(features: DataFrame) -> DataFrame:
+    """sides() without the horizontal ones."""
+    return sides(features).where("y1 < y2")
+
+
 def banded(e: DataFrame, per_band: int = PER_BAND) -> DataFrame:
     """Edges with the bands (band, lo, hi) that they meet: bounds are quantiles of a zone's vertices, at most one for each per_band of them."""
     n = e.groupBy("zone").agg(F.count(F.lit(1)).alias("n"), F.min("y1").alias("_lo"), F.max("y2").alias("_hi"))
@@ -170,3 +175,69 @@ def difference(features: DataFrame) -> DataFrame:
     df = zones.join(left, "zone", "left")
     check = F.assert_true(F.col("ring").isNotNull(), F.concat(F.lit("nothing is left of zone "), F.col("zone").cast("string")))
     return df.where(check.isNull())
+
+
+# -- distances ------------------------------------------------------------------------------------
+
+
+def _to_segment(px: Column, py: Column) -> Column:
+    """From a point to the side (x1, y1, x2, y2)."""
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    d = dx * dx + dy * dy
+    t = F.when(d > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - F.col("x1")) * dx + (py - F.col("y1")) * dy) / d))).otherwise(0.0)
+    return F.hypot(px - F.col("x1") - t * dx, py - F.col("y1") - t * dy)
+
+
+def _to_cell(px: Column, py: Column) -> Column:
+    """From a point to the cell (x0, y0, x9, y9)."""
+    out = lambda v, a, b: F.greatest(F.col(a) - v, v - F.col(b), F.lit(0.0))
+    return F.hypot(out(px, "x0", "x9"), out(py, "y0", "y9"))
+
+
+def _cell_to_side() -> Column:
+    """From a cell to a side: 0 where they meet, else a corner's or an end's distance."""
+    corners = [(F.col(x), F.col(y)) for x in ("x0", "x9") for y in ("y0", "y9")]
+    turn = [(F.col("x2") - F.col("x1")) * (y - F.col("y1")) - (F.col("y2") - F.col("y1")) * (x - F.col("x1")) for x, y in corners]
+    boxes = (F.least("x1", "x2") <= F.col("x9")) & (F.greatest("x1", "x2") >= F.col("x0")) & (F.col("y1") <= F.col("y9")) & (F.col("y2") >= F.col("y0"))
+    meets = boxes & (F.least(*turn) <= 0) & (F.greatest(*turn) >= 0)
+    return F.when(meets, 0.0).otherwise(F.least(*[_to_segment(x, y) for x, y in corners], _to_cell(F.col("x1"), F.col("y1")), _to_cell(F.col("x2"), F.col("y2"))))
+
+
+def gaps(features: DataFrame, cells: DataFrame, reach: float) -> DataFrame:
+    """cells (zone, cell, x0, y0, x9, y9) with gap: their distance, edge to edge, from what the zone's features cover, null beyond `reach`.
+
+    Sides are cut into pieces of `reach` at most, which a grid of that width indexes; a cell meets the pieces in the grid
+    squares within reach of it. Whether a cell lies inside is told by the sides right of its centre, in its band of the
+    grid: a cell that meets no side is inside as a whole or not at all. A point is a cell without width.
+    """
+    keys = ["zone", "cell"]
+    at = lambda v: F.floor(v / reach)
+    span = lambda a, b: F.explode(F.sequence(at(a), at(b)))
+    e = sides(features)
+    n = F.greatest(F.lit(1), F.ceil(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) / reach)).cast("int")
+    cut = lambda a, b, i: F.col(a) + (F.col(b) - F.col(a)) * i / F.col("_n")
+    p = e.withColumn("_n", n).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    p = p.select("zone", *[cut(a, b, F.col("_i") + d).alias(o) for o, a, b, d in (("x1", "x1", "x2", 0), ("y1", "y1", "y2", 0), ("x2", "x1", "x2", 1), ("y2", "y1", "y2", 1))])
+    p = p.select("*", span(F.least("x1", "x2"), F.greatest("x1", "x2")).alias("_tx")).select("*", span(F.col("y1"), F.col("y2")).alias("_ty"))
+    near = cells.select(*keys, "x0", "y0", "x9", "y9", span(F.col("x0") - reach, F.col("x9") + reach).alias("_tx")).select("*", span(F.col("y0") - reach, F.col("y9") + reach).alias("_ty"))
+    gap = near.join(p, ["zone", "_tx", "_ty"]).groupBy(*keys).agg(F.min(_cell_to_side()).alias("_gap")).where(F.col("_gap") <= reach)
+
+    mid = cells.select(*keys, ((F.col("x0") + F.col("x9")) / 2).alias("_x"), ((F.col("y0") + F.col("y9")) / 2).alias("_y")).withColumn("_ty", at(F.col("_y")))
+    up = e.where("y1 < y2").select("zone", "feature", "x1", "y1", "x2", "y2", span(F.col("y1"), F.col("y2")).alias("_ty"))
+    right = (F.col("y1") <= F.col("_y")) & (F.col("y2") > F.col("_y")) & (F.col("x1") + (F.col("_y") - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1")) > F.col("_x"))
+    inside = mid.join(up, ["zone", "_ty"]).where(right).groupBy(*keys, "feature").agg((F.count(F.lit(1)) % 2 == 1).alias("_odd")).where("_odd").select(*keys).distinct().withColumn("_in", F.lit(True))
+    df = cells.join(gap, keys, "left").join(inside, keys, "left")
+    return df.withColumn("gap", F.when(F.col("_in"), 0.0).otherwise(F.col("_gap"))).drop("_gap", "_in")
+
+
+def control_cells(features: DataFrame, side: float, inner: float, outer: float) -> DataFrame:
+    """zone, cell, x, y (centre), gap, distance: squares of a lattice over each zone's box and `outer` around it, at least `inner` off, edge to edge, with their centre within `outer` of what the zone covers."""
+    p = F.explode("points").alias("p")
+    box = features.select("zone", p).groupBy("zone").agg(F.min("p.x").alias("_x0"), F.min("p.y").alias("_y0"), F.max("p.x").alias("_x1"), F.max("p.y").alias("_y1"))
+    steps = lambda a, b: F.sequence(F.floor((F.col(a) - outer) / side), F.floor((F.col(b) + outer) / side))
+    c = box.select("zone", "_y0", "_y1", F.explode(steps("_x0", "_x1")).alias("i")).select("zone", "i", F.explode(steps("_y0", "_y1")).alias("j"))
+    c = c.select("zone", F.concat_ws(":", "i", "j").alias("cell"), (F.col("i") * side).alias("x0"), (F.col("j") * side).alias("y0"), ((F.col("i") + 1) * side).alias("x9"), ((F.col("j") + 1) * side).alias("y9"))
+    g = gaps(features, c, outer).where(F.col("gap") >= inner)
+    mid = g.select("zone", "cell", *[((F.col(a) + F.col(b)) / 2).alias(o) for o, a, b in (("x0", "x0", "x9"), ("y0", "y0", "y9"), ("x9", "x0", "x9"), ("y9", "y0", "y9"))])
+    d = gaps(features, mid, outer).where("gap is not null").select("zone", "cell", F.col("x0").alias("x"), F.col("y0").alias("y"), F.col("gap").alias("distance"))
+    return d.join(g.select("zone", "cell", "gap"), ["zone", "cell"])

@@ -103,6 +103,17 @@ def zone_taken_off(spark, sf):
     return measured(P.difference(f.join(left, "zone", "left_semi")))
 
 
+@query(f"""WITH {_RECTS}, {_CELLS}, one AS (SELECT DISTINCT zone, x, y FROM cells), box AS (SELECT zone, min(x) AS x0, min(y) AS y0, max(x) + 1 AS x1, max(y) + 1 AS y1 FROM one GROUP BY 1),
+lat AS (SELECT zone, i, unnest(range(floor((y0 - 12) / 4.0)::BIGINT, floor((y1 + 12) / 4.0)::BIGINT + 1)) AS j FROM (SELECT *, unnest(range(floor((x0 - 12) / 4.0)::BIGINT, floor((x1 + 12) / 4.0)::BIGINT + 1)) AS i FROM box)),
+d AS (SELECT lat.zone, i, j, min(sqrt(power(greatest(x - i * 4 - 4, i * 4 - x - 1, 0), 2) + power(greatest(y - j * 4 - 4, j * 4 - y - 1, 0), 2))) AS gap,
+  min(sqrt(power(greatest(x - i * 4 - 2, i * 4 + 2 - x - 1, 0), 2) + power(greatest(y - j * 4 - 2, j * 4 + 2 - y - 1, 0), 2))) AS distance FROM lat JOIN one ON one.zone = lat.zone GROUP BY ALL)
+SELECT zone, i || ':' || j AS cell, {R('gap')} AS gap, {R('distance')} AS distance FROM d WHERE gap >= 3 AND distance <= 12""")
+def polygon_controls(spark, sf):
+    """Control cells around zones of frames and squares: at least 3 off, edge to edge, centres within 12."""
+    c = P.control_cells(frames(spark, sf), 4.0, 3.0, 12.0)
+    return c.select("zone", "cell", settled("gap").alias("gap"), settled("distance").alias("distance"))
+
+
 # -- published documents, stages, fetched bodies ----------------------------------------------------
 
 
