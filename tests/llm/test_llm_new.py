@@ -177,7 +177,8 @@ def test_anchors_depend_on_the_window_alone(letters):
 # -- components and groups ------------------------------------------------------------------------
 
 
-def test_components_of_chains_and_random_graphs(spark, monkeypatch):
+@pytest.mark.parametrize("few", [0, 500])
+def test_components_of_chains_and_random_graphs(spark, monkeypatch, few):
     from pyspark.sql import functions as F
 
     rounds, staged = [], common.staged
@@ -187,6 +188,7 @@ def test_components_of_chains_and_random_graphs(spark, monkeypatch):
         return staged(s, df, folder, name, small)
 
     monkeypatch.setattr(common, "staged", counted)
+    monkeypatch.setattr(common, "FEW_EDGES", few)
     chain = spark.range(20_000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     got = common.components(spark, chain, common.shared_dir(spark), "chain").agg(F.count(F.lit(1)), F.max("comp")).first()
     assert tuple(got) == (20_001, 0) and sum("-h" in n for n in rounds) < 20

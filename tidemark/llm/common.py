@@ -322,39 +322,63 @@ def numbered(spark: SparkSession, df: DataFrame, folder: str, name: str, rows: i
     return df.withColumn("place", F.col("_before") + F.col(at).bitwiseAND((1 << 33) - 1)).drop(at, "_part", "_before")
 
 
+FEW_EDGES = 1 << 17
+
+
+def _joined(batches, out):
+    """node, top: each node of some edges with the least node that they connect it with."""
+    up: dict[int, int] = {}
+
+    def root(v: int) -> int:
+        while up.setdefault(v, v) != v:
+            up[v] = up[up[v]]
+            v = up[v]
+        return v
+
+    for b in batches:
+        for v, w in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True):
+            v, w = root(v), root(w)
+            if v != w:
+                up[max(v, w)] = min(v, w)
+    yield out([list(up), [root(v) for v in list(up)]])
+
+
 def components(spark: SparkSession, edges: DataFrame, folder: str, name: str) -> DataFrame:
     """node, comp: the smallest node that edges (a, b) connect it with. Contraction in tables, by rounds.
 
     In a round each node hangs on the least of its neighbourhood, in an order hashed anew, and on what that one hangs on;
-    the edges between what is hung on go on. Nodes and edges fall by a factor a round whatever the graph's form, a chain
+    the edges between what is hung on go on, until they are FEW_EDGES at most. Nodes and edges fall by a factor a round whatever the graph's form, a chain
     included, so that the rounds are few and all together cost little more than the first. The way back joins the rounds'
     tables. Minima are combined before the shuffle, so that a node with very many edges costs a task no more than others.
     """
     e = staged(spark, edges.where("a != b").select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b")).distinct(), folder, f"{name}-e0", small=True)
     steps = []
     for i in itertools.count():
-        if e.isEmpty():
+        n = e.count()
+        if n <= FEW_EDGES:  # of bounded size: one task joins what is left, which saves the last rounds
+            if n:
+                steps.append(staged(spark, emit(e.coalesce(1), "node long, top long", _joined), folder, f"{name}-h{i}", small=True))
             break
         both = e.union(e.select("b", "a"))
-        least = staged(spark, both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("up")), folder, f"{name}-l{i}", small=True)
+        least = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("up"))
         far = least.select(F.col("node").alias("up"), F.col("up").alias("top"))
         hung = staged(spark, least.join(far, "up").select("node", "top"), folder, f"{name}-h{i}", small=True)
         steps.append(hung)
         to = lambda c: hung.select(F.col("node").alias(c), F.col("top").alias(f"{c}_top"))  # noqa: B023, E731
         e = e.join(to("a"), "a").join(to("b"), "b").where("a_top != b_top").select(F.xxhash64("a_top").alias("a"), F.xxhash64("b_top").alias("b")).distinct()
         e = staged(spark, e, folder, f"{name}-e{i + 1}", small=True)
-        discard(spark, folder, f"{name}-e{i}", f"{name}-l{i}")
+        discard(spark, folder, f"{name}-e{i}")
     of = None  # node as hashed in a round; its root, and in which round's hash
-    for i, hung in reversed(list(enumerate(steps))):
-        hung = hung.select("node", F.col("top").alias("root"), F.lit(i).alias("round"))
+    for k, hung in reversed(list(enumerate(steps))):
+        hung = hung.select("node", F.col("top").alias("root"), F.lit(k).alias("round"))
         if of is not None:
             up = of.select(F.col("node").alias("next"), F.col("root").alias("_root"), F.col("round").alias("_round"))
             hung = hung.join(up, F.xxhash64("root") == F.col("next"), "left").select("node", F.coalesce("_root", "root").alias("root"), F.coalesce("_round", "round").alias("round"))
-        of = staged(spark, hung, folder, f"{name}-r{i}", small=True)
+        of = staged(spark, hung, folder, f"{name}-r{k}", small=True)
     if of is None:
         return spark.createDataFrame([], f"node {edges.schema['a'].dataType.simpleString()}, comp {edges.schema['a'].dataType.simpleString()}")
     nodes = edges.where("a != b").select(F.explode(F.array("a", "b")).alias("node")).distinct()
     found = staged(spark, nodes.join(of.select(F.col("node").alias("x"), "root", "round"), F.xxhash64("node") == F.col("x")).select("node", "root", "round"), folder, f"{name}-of", small=True)
     out = staged(spark, found.join(found.groupBy("root", "round").agg(F.min("node").alias("comp")), ["root", "round"]).select("node", "comp"), folder, name, small=True)
-    discard(spark, folder, f"{name}-of", f"{name}-e{len(steps)}", *[f"{name}-{c}{i}" for c in "hr" for i in range(len(steps))])
+    discard(spark, folder, f"{name}-of", f"{name}-e{i}", *[f"{name}-{c}{k}" for c in "hr" for k in range(len(steps))])
     return out
