@@ -160,11 +160,11 @@ def test_merged_draws_refuse_repeats(spark):
         merged_draws([a, a]).collect()
 
 
-def test_planted_fields_get_their_states(spark):
-    from tidemark.plans import generators as G2
+def test_planted_fields_get_their_states(spark, sf):
+    from tidemark.plans import planted as G2
     from tidemark.plans.verdicts import audit_claims
 
-    r = audit_claims(spark, *G2.crops(spark)).collect()
+    r = audit_claims(spark, *G2.crops(spark, sf)).collect()
     assert sum(x["status"] == "VERIFIED" for x in r if x["role"] == "adopter") >= 4 and all(x["onset"] == 2021 for x in r if x["role"] == "adopter")
     assert not any(x["status"] in ("VERIFIED", "PARTIAL") for x in r if x["role"] in ("liar", "weak"))
 

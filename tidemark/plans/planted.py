@@ -116,3 +116,97 @@ def water_losses(spark: SparkSession, sf: str, spells: tuple[int, ...] = (3, 8,
     x = x.select(F.concat_ws(":", "spell", "series").alias("unit"), "spell", "t", "d", wet.alias("wet"), (F.when(wet, -0.08).otherwise(0.62) + F.col("e")).alias("v"), (F.when(wet, 0.35).otherwise(-0.4) - F.col("e")).alias("w"))
     lost = G.despike(G.despike(x).withColumnRenamed("suspect", "blind"), water="w").where("wet")
     return lost.groupBy("spell").agg(F.avg(F.col("blind").cast("double")).alias("without_water"), F.avg(F.col("suspect").cast("double")).alias("with_water"))
+
+
+# -- fields and canopies --------------------------------------------------------------------------
+
+
+def share(*of) -> Column:
+    """0 to 1, by a hash."""
+    return F.pmod(F.xxhash64(*[F.lit(x) if isinstance(x, str) and x.startswith("#") else F.col(x) for x in of]), F.lit(1000)) / 1000.0
+
+
+def roster(spark: SparkSession, sf: str, roles: list[str], first: str, step: int, bins: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """unit, t, d, doy, y, role, e - scatter and a hashed part of it, so that no two units are equal - and units (unit, role)."""
+    role = F.element_at(F.array(*[F.lit(r) for r in roles]), (F.col("unit") + 1).cast("int"))
+    e = F.greatest(F.lit(-2.5), F.least(F.lit(2.5), F.col("e"))) * 0.6 + 2.4 * (share("#noise", "unit", "k") - 0.5)
+    x = scatter(spark, sf, len(roles), bins, seed).select("unit", F.col("k").alias("t"), F.date_add(F.lit(first).cast("date"), (F.col("k") * step).cast("int")).alias("d"), role.alias("role"), e.alias("e"))
+    units = spark.range(len(roles)).select(F.col("id").alias("unit"), F.element_at(F.array(*[F.lit(r) for r in roles]), (F.col("id") + 1).cast("int")).alias("role"))
+    return cut(x.withColumns({"doy": F.dayofyear("d").cast("double"), "y": F.year("d")})), units
+
+
+def bell(at: float, width: float) -> Column:
+    return F.exp(-((F.col("doy") - at) * (F.col("doy") - at)) / (2 * width * width))
+
+
+def winter() -> Column:
+    """How much a winter cover stands: 1 from the autumn on, falling through the spring."""
+    return F.when(F.col("doy") >= 290, F.least(F.lit(1.0), (F.col("doy") - 270) / 40)).when(F.col("doy") <= 125, F.greatest(F.lit(0.4), 1 - F.col("doy") / 250)).otherwise(0.0)
+
+
+def summer() -> Column:
+    return 0.17 + 0.04 * share("#level", "unit") + (0.6 + 0.06 * share("#crop", "unit")) * bell(205, 45)
+
+
+def unless(hidden: Column, v: Column) -> Column:
+    return F.when(~hidden, v)
+
+
+def crops(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Panel (unit, d, v) and units (unit, role, claims, year): claimants who do as they claim, less, nothing, or stop again, and others who claim nothing."""
+    roles = ["adopter"] * 6 + ["over"] * 3 + ["weak"] * 2 + ["reverter"] * 2 + ["liar"] * 4 + ["control"] * 20
+    x, units = roster(spark, sf, roles, "2019-01-01", 16, 160, 31)
+    up = F.when(F.col("role").isin("adopter", "reverter"), 0.2).when(F.col("role") == "over", 0.07).when(F.col("role") == "weak", 0.02).otherwise(0.0)
+    on = (F.col("y") >= 2021) & ((F.col("role") != "reverter") | (F.col("y") <= 2023))
+    v = summer() + 0.03 * (share("#year", "y") - 0.5) + 0.022 * F.col("e") + F.when(on, up * winter()).otherwise(0.0)
+    cloudy = share("#cloud", "unit", "t") < F.when(winter() > 0, 0.35).otherwise(0.15)
+    claims = F.col("role") != "control"
+    return x.select("unit", "d", unless(cloudy, v).alias("v")), units.select("unit", "role", claims.alias("claims"), F.when(claims, 2021).alias("year"))
+
+
+def tilled(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Panel (channel, unit, d, v) and units: fields with winter cover from 2021, in the optical channel, and without tillage from 2023, in the radar one, among fields without either."""
+    x, units = roster(spark, sf, ["both"] * 4 + ["neither"] * 20, "2019-01-01", 16, 160, 32)
+    both = F.col("role") == "both"
+    green = unless(share("#cloud", "unit", "t") < 0.2, summer() + F.when(both & (F.col("y") >= 2021), 0.24 * winter()).otherwise(0.0) + 0.02 * F.col("e"))
+    soil = F.when(both & (F.col("y") >= 2023), 0.09).otherwise(0.09 + 0.5 * (bell(105, 24) + bell(295, 24))) + 0.015 * F.col("e")
+    rows = F.explode(F.array(F.struct(F.lit("optical").alias("channel"), green.alias("v")), F.struct(F.lit("radar").alias("channel"), soil.alias("v")))).alias("c")
+    return x.select("unit", "d", rows).select("c.channel", "unit", "d", "c.v"), units
+
+
+def infected(spark: SparkSession, sf: str, lag: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Panel (channel, unit, t, d, v) of weeks of one season and units: canopies of which some fail from a week on, red edge first, greenness `lag` weeks later."""
+    x, units = roster(spark, sf, ["healthy"] * 20 + [f"week {w}" for w in (14, 16, 18, 20)], "2024-03-01", 7, 33, 33)
+    from_ = F.regexp_extract("role", r"(\d+)", 1).try_cast("int")
+    grown = F.least(F.lit(1.0), F.col("t") / 9) * F.greatest(F.lit(0.0), F.least(F.lit(1.0), (36 - F.col("t")) / 9.0))
+
+    def canopy(top: float, bare: float, late: int) -> Column:
+        lost = F.when(from_.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("t") - from_ - late) / 6.0))).otherwise(0.0)
+        return (0.14 + (top - 0.14) * grown) * (1 - lost) + bare * lost + 0.01 * F.col("e")
+
+    seen = lambda name, v: F.struct(F.lit(name).alias("channel"), unless(share(f"#{name}", "unit", "t") < 0.1, v).alias("v"))
+    rows = F.explode(F.array(seen("rededge", canopy(0.46, 0.15, 0)), seen("green", canopy(0.82, 0.33, lag)))).alias("c")
+    return x.select("unit", "t", "d", rows).select("c.channel", "unit", "t", "d", "c.v"), units
+
+
+def patchy(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Panel (unit, d, green, texture) and units: even winter cover, patchy weeds, bare fields."""
+    x, units = roster(spark, sf, ["cover"] * 4 + ["weeds"] * 4 + ["bare"] * 16, "2019-01-01", 16, 160, 34)
+    by = lambda a, b, c: F.when(F.col("role") == "cover", a).when(F.col("role") == "weeds", b).otherwise(c)
+    on = F.when(F.col("y") >= 2021, winter()).otherwise(0.0)
+    cloudy = share("#cloud", "unit", "t") < 0.2
+    return x.select("unit", "d", unless(cloudy, summer() + by(0.24, 0.20, 0.0) * on + 0.015 * F.col("e")).alias("green"), unless(cloudy, 0.03 + by(0.035, 0.14, 0.03) * on + 0.004 * F.col("e")).alias("texture")), units
+
+
+def hours(spark: SparkSession, sf: str, fall: float = 4.0) -> tuple[DataFrame, DataFrame]:
+    """Hours (unit, ts, v) of six stations from 2017 to 2019, driven by the temperature, and their weather by day; station 0 falls on 2019-04-10, station 5 lacks months.
+
+    A day's weather is that of the line items: the scatter of its cell, and a season.
+    """
+    day = scatter(spark, sf, 1, 1095, 35).select(F.date_add(F.lit("2017-01-01").cast("date"), F.col("k").cast("int")).alias("d"), F.greatest(F.lit(-2.5), F.least(F.lit(2.5), F.col("e"))).alias("e"))
+    warm = 19 - 16 * F.abs(F.pmod(F.dayofyear("d") + 10, F.lit(365)) - 182.5) / 182.5 + 2 * F.col("e")
+    noise = lambda name: 2 * (share(name, "d") - 0.5)
+    weather = cut(day.withColumns({"temperature_2m": warm, "precipitation": 5 + 5 * noise("#rain"), "wind_u": 2 * noise("#u"), "wind_v": 2 * noise("#v"), "boundary_layer_height": 500 + 50 * noise("#high")}).drop("e").select("*", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("u")).select(F.col("u").cast("long").alias("unit"), "d", "temperature_2m", "precipitation", "wind_u", "wind_v", "boundary_layer_height"))
+    h = weather.select("unit", "d", "temperature_2m", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("h")).withColumn("ts", F.col("d").cast("timestamp") + F.make_dt_interval(F.lit(0), F.col("h")))
+    v = 40 - F.col("temperature_2m") + 2 * (share("#hour", "unit", "ts") - 0.5) - F.when((F.col("unit") == 0) & (F.col("d") >= F.lit("2019-04-10").cast("date")), fall).otherwise(0.0)
+    return h.where(~((F.col("unit") == 5) & F.month("d").isin(2, 6, 9))).select("unit", "ts", v.alias("v")), weather

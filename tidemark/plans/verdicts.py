@@ -17,7 +17,6 @@ from ..operators import joins as J
 from ..operators import timebins as T
 from ..operators import topk as K
 from ..operators import windows as W
-from . import generators as Gen
 from . import planted as Pl
 from .base import EVENT, TREATED, cut, folder, obs, table
 
@@ -75,7 +74,7 @@ def break_search(spark, sf):
 @query
 def field_audit(spark, sf):
     """Planted fields: monthly composite, gap fill, convex twin, placebo ranks, five states, false-discovery control."""
-    a = audit_claims(spark, *Gen.crops(spark))
+    a = audit_claims(spark, *Pl.crops(spark, sf))
     return a.select("unit", "role", "status", settled("effect", 4).alias("effect"), settled("p", 4).alias("p"), "onset", "found")
 
 
