@@ -210,6 +210,18 @@ def crc32(b: bytes) -> int:
 # -- Arrow kernels --------------------------------------------------------------------------------
 
 
+def give_back() -> None:
+    """Returns memory that a task has freed to the system: a worker lives on between tasks, and would keep the most it ever held."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def with_columns(df: DataFrame, inputs: list[str], extra: str, fn, replaces: str | None = None) -> DataFrame:
     """df with further columns that fn(*lists of the inputs) gives as lists; all others pass through untouched.
 
@@ -228,12 +240,15 @@ def with_columns(df: DataFrame, inputs: list[str], extra: str, fn, replaces: str
     types = [f.type for f in to_arrow_schema(new)]
 
     def each(batches):
-        for b in batches:
-            made = fn(*[b.column(a).to_pylist() for a in back])
-            cols = [b.column(c) for c in names]
-            if replaces:
-                cols[names.index(replaces)] = pa.array(made[-1], cols[names.index(replaces)].type)
-            yield pa.RecordBatch.from_arrays(cols + [v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(made, types, strict=False)], [*names, *[f.name for f in new]])
+        try:
+            for b in batches:
+                made = fn(*[b.column(a).to_pylist() for a in back])
+                cols = [b.column(c) for c in names]
+                if replaces:
+                    cols[names.index(replaces)] = pa.array(made[-1], cols[names.index(replaces)].type)
+                yield pa.RecordBatch.from_arrays(cols + [v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(made, types, strict=False)], [*names, *[f.name for f in new]])
+        finally:
+            give_back()
 
     return kept.mapInArrow(each, schema)
 
@@ -248,7 +263,10 @@ def emit(df: DataFrame, schema: str, fn) -> DataFrame:
     arrow = to_arrow_schema(kind)
 
     def each(batches):
-        yield from fn(batches, lambda cols: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], [f.name for f in arrow]))
+        try:
+            yield from fn(batches, lambda cols: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], [f.name for f in arrow]))
+        finally:
+            give_back()
 
     return df.mapInArrow(each, kind)
 
