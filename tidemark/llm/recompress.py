@@ -286,7 +286,8 @@ def without(rows: DataFrame, window: int) -> DataFrame:
 def shared_anchors(spark: SparkSession, texts: DataFrame, window: int, folder: str) -> DataFrame:
     """The anchors whose name several documents have, with context_first (smallest d of the context) and several (contexts of the name)."""
     rows = exploded(texts, window)
-    names = rows.groupBy("name").agg(F.min("d").alias("least"), F.max("d").alias("most")).where("least < most").select("name", "least")
+    names = rows.groupBy("name").agg(F.min("d").alias("least"), F.max("d").alias("most")).where("least < most").select("name")
+    names = staged(spark, names, folder, "names", small=True)  # joins read it as it is, so that a frequent name's rows can be split
     held = staged(spark, rows.join(names, "name"), folder, "shared")
     first = staged(spark, held.groupBy("name", "context").agg(F.min("d").alias("context_first")), folder, "contexts", small=True)
     several = staged(spark, first.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name", F.lit(True).alias("several")), folder, "several", small=True)
@@ -310,6 +311,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, window: int = WINDOW,
     source = keyed(docs, key, text).withColumn("d", d).select("h1", "h2", "d", "text")
     prints = staged(spark, window_prints(source.join(wanted, ["h1", "h2", "d"]), window).distinct(), folder, "prints")
     first = prints.groupBy("name", "print").agg(F.min("d").alias("least"), F.max("d").alias("most")).where("least < most").select("name", "print", "least")
+    first = staged(spark, first, folder, "first", small=True)
     single = prints.join(first, ["name", "print"]).where("least < d").select("t", "lo", F.col("lo").alias("hi"))
     spans = found.where("context_first < d").select("t", "lo", "hi").union(single).groupBy("t").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     spans = staged(spark, spans.join(ids, "t"), folder, "spans")
