@@ -12,6 +12,7 @@ from tidemark.operators import gates as G
 from tidemark.operators import timebins as T
 from tidemark.operators import topk as K
 from tidemark.operators import windows as W
+from tidemark.plans import tables
 from tidemark.sources import readers as R
 from tidemark.sources import sinks as Sk
 
@@ -82,6 +83,18 @@ def test_polygons(spark):
     assert (r["a"], r["i"], r["o"], r["p"]) == (12.0, True, False, "smaller than 0.5 ha")
 
 
+def test_polygon_edges_are_those_of_the_sql(spark, tmp_path):
+    """Suppliers on the polygon's edges and corners: those on the left are inside."""
+    import duckdb
+
+    keys = [0, 405, 3460, 5595, 5630, 7730, 47_930, *range(400, 420)]
+    spark.createDataFrame([(k, 1, 0.0) for k in keys], "s_suppkey long, s_nationkey long, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW supplier AS SELECT * FROM read_parquet('{tmp_path}/supplier.parquet/*.parquet')")
+    got = sorted(x["id"] for x in tables.inside_polygon(spark, str(tmp_path)).collect())
+    assert got == sorted(x for (x,) in c.execute(tables.SQL["inside_polygon"]).fetchall()) and 405 in got
+
+
 def test_receipts(spark):
     rows = [("coverage", "s", D(2024, 1, 1), "x", None)] * 2 + [("time", "s", D(2024, 1, i), "y", None) for i in (1, 2)] + [("time", "s", D(2024, 1, 3), "z", "station")]
     c = A.compact_receipts(spark.createDataFrame(rows, "reason string, sensor string, day date, detail string, scope string")).collect()

@@ -155,8 +155,10 @@ def footprint_gate(spark, sf):
     return boxes.join(hit, "id", "left").select("id", F.coalesce("m", F.lit(False)).alias("meets"), G.polygon_problem(ring, F.col("lat")).isNull().alias("fine"))
 
 
-@query(f"""WITH {_LL} SELECT id FROM ll WHERE abs(lon) + abs(lat) < 60""")
+@query(f"""WITH {_LL}, edge AS (SELECT * FROM (VALUES (60.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 60.0::DOUBLE), (0, 60, -60, 0), (-60, 0, 0, -60), (0, -60, 60, 0)) t(x1, y1, x2, y2))
+SELECT id FROM ll WHERE (SELECT count(*) FROM edge WHERE (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1) % 2 = 1""")
 def inside_polygon(spark, sf):
+    """Edges on the polygon's left count as inside, those on its right don't."""
     return places(spark, sf).where(G.in_polygon("lon", "lat", [(60.0, 0.0), (0.0, 60.0), (-60.0, 0.0), (0.0, -60.0)])).select("id")
 
 
