@@ -88,6 +88,26 @@ def test_rows_behind_the_watermark_do_not_reopen_a_period(spark, tmp_path):
     assert sorted((x["user_id"], x["period"], x["e"]) for x in got.collect()) == [(1, base // (4 * DAY), 40.0), (1, (base + 9 * DAY) // (4 * DAY), 60.0)]
 
 
+def test_ties_of_means_do_not_hang_on_the_order_of_adding(spark, tmp_path, same):
+    """Two periods of one mean, and means of just the floor, of values in any order: the query and its SQL say the same."""
+    import duckdb
+
+    r, width, base = random.Random(8), 2 * DAY, 9_900 * 2 * DAY
+    rows = []
+    for u in range(60):
+        peak, edge = [37.47, 27.66, 63.74, 44.11, 24.87], [47.53, 10.07, 33.62, 28.78]  # their means are 39.57 and 30
+        r.shuffle(peak)
+        r.shuffle(edge)
+        for period, values in enumerate([[39.57], peak, edge, [12.5], [3.1]] if u % 2 else [peak, [39.57], edge, [12.5], [3.1]]):
+            rows += [(u, base + period * width + j * 1000, v) for j, v in enumerate(values)]
+    write_events(spark, f"{tmp_path}/events.parquet", [*rows, (99, base + 9 * width, 1.0)])
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW events AS SELECT * REPLACE (ts::TIMESTAMP AS ts) FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    got = surfaces.stream_reversals(spark, str(tmp_path)).toPandas()
+    same(got, c.execute(surfaces.SQL["stream_reversals"]).df())
+    assert set(got["peak_period"]) == {9_900} and set(got["reversal_period"]) == {9_903.0}
+
+
 @pytest.mark.parametrize("tile", [1, 5, 64])
 def test_slopes_over_tiles(spark, tile):
     k = F.col("id")

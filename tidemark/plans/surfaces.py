@@ -85,7 +85,7 @@ def expanded_tasks(spark, sf):
 _WIDTH_S, _FLOOR = 2 * 86_400, 30.0
 
 
-@query(f"""WITH p AS (SELECT user_id, epoch_ms(ts)::BIGINT // {_WIDTH_S * 1000} AS period, avg(value) AS e FROM events GROUP BY 1, 2),
+@query(f"""WITH p AS (SELECT user_id, epoch_ms(ts)::BIGINT // {_WIDTH_S * 1000} AS period, cast(avg(value) AS DECIMAL(38, 10))::DOUBLE AS e FROM events GROUP BY 1, 2),
 c AS (SELECT * FROM p WHERE (period + 1) * {_WIDTH_S * 1000} <= (SELECT epoch_ms(max(ts)) - 86400000 FROM events)),
 w AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY period DESC) AS back, max(e) OVER (PARTITION BY user_id) AS peak FROM c),
 q AS (SELECT *, min(CASE WHEN e = peak THEN period END) OVER (PARTITION BY user_id) AS peak_period FROM w),

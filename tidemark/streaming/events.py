@@ -76,7 +76,8 @@ def reversals(stream: DataFrame, width_ms: int, floor: float, share: float = 0.4
     A period closes by an event-time timer at its end, once the watermark has passed it: rows that come late but before that
     count, later ones don't. Open periods are a map in state, by period; of closed ones state keeps the last two means (a
     list) and what the rule needs of the rest (one value), so that it doesn't grow with time. A user without events for
-    idle_periods is forgotten, by a timer too. Empty periods are none. Rows without time, user or value don't count.
+    idle_periods is forgotten, by a timer too. Empty periods are none. Rows without time, user or value don't count. Means
+    are taken to 10 digits after the point, so that the order in which values are added decides no tie.
     """
     import pandas as pd
     from pyspark.sql.streaming import StatefulProcessor
@@ -110,7 +111,7 @@ def reversals(stream: DataFrame, width_ms: int, floor: float, share: float = 0.4
             now, out = expiredTimerInfo.getExpiryTimeInMs(), []
             done = sorted((p[0], v) for p, v in self.open.iterator() if (p[0] + 1) * width_ms <= now)
             for period, (total, n) in done:
-                e = total / n
+                e = round(total / n, 10)
                 peak, at, below, _ = self.past.get() if self.past.exists() else (None, None, None, None)
                 if peak is None or e > peak:
                     peak, at, below = e, period, None
