@@ -64,6 +64,35 @@ def test_zones_of_any_size(spark):
     assert {p["zone"] for p in J.painted(spark.createDataFrame(pixels, "id long, x double, y double"), none).collect()} == {0}
 
 
+def test_zones_over_each_other(spark):
+    """Very many zones over the same places, equal ones and others: as a loop says, and pixels don't meet them all."""
+    r = random.Random(5)
+    zones = [(i, x, y, x + s, y + s) for i in range(3000) for x, y, s in [(r.randrange(20), r.randrange(20), r.choice([40.0, 90.0]))]] + [(3000 + i, x, y, x + 40, y + 40) for i in range(3000) for x, y in [(r.uniform(0, 60), r.uniform(0, 60))]]
+    zones = [(z, float(x0), float(y0), float(x1), float(y1)) for z, x0, y0, x1, y1 in zones]
+    pixels = [(i, r.uniform(-5, 110), r.uniform(-5, 110)) for i in range(500)] + [(500 + i, z[1 + i % 2 * 2], z[2 + i % 3 // 2 * 2]) for i, z in enumerate(zones[::30])] + [(900, -1e6, 5.0)]
+    z = spark.createDataFrame(zones, "zone long, x0 double, y0 double, x1 double, y1 double")
+    out = J.painted(spark.createDataFrame(pixels, "id long, x double, y double"), z)
+    hold = lambda x, y: max((z for z, x0, y0, x1, y1 in zones if x0 <= x < x1 and y0 <= y < y1), default=0)
+    assert {p["id"]: p["zone"] for p in out.collect()} == {i: hold(x, y) for i, x, y in pixels}
+    met = joined_rows(out)
+    assert len(pixels) < met < 100 * len(pixels)  # of 6,000 zones
+
+
+def joined_rows(df):
+    """Rows that the join of pixels in df's executed plan gave."""
+    found, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        if "AdaptiveSparkPlan" in p.nodeName():
+            todo.append(p.executedPlan())
+        elif "QueryStage" in p.nodeName():
+            todo.append(p.plan())
+        if "Join" in p.nodeName() and "id#" in p.output().toString():
+            found.append(p.metrics().apply("numOutputRows").value())
+        todo += [p.children().apply(i) for i in range(p.children().size())]
+    return max(found)
+
+
 def segment_distance(px, py, a, b):
     (ax, ay), (bx, by) = a, b
     d = (bx - ax) ** 2 + (by - ay) ** 2
