@@ -262,3 +262,18 @@ def test_segments_of_a_long_blank_text_stay_few(spark):
     assert len(profile["anchors"]) == 1 and profile["again"] == [True]
     rows = repeats.segments(spark.createDataFrame([(1, text, profile["anchors"])], "node long, text string, wanted array<long>")).collect()
     assert len(rows) <= 3 and [(x["start"], x["lead"]) for x in rows if x["seg"] is None] == [(0, 3_000_000)]
+
+
+def test_stages_and_shuffle_files_go_when_read(spark, tmp_path, sf, monkeypatch):
+    """A staged table leaves no shuffle files, and substring dedup none of its large tables."""
+    from pyspark.sql import functions as F
+
+    files = lambda: sum("shuffle_" in str(f) for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").split())
+    before = files()
+    df = common.staged(spark, spark.range(5000).groupBy((F.col("id") % 50).alias("k")).count(), str(tmp_path), "rows")
+    assert files() <= before and df.count() == 50
+    monkeypatch.setattr(recompress, "shared_dir", lambda _: str(tmp_path / "stages"))
+    out = recompress.op13_substring_dedup(spark, sf)
+    assert out.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+    left = {p.name for p in (tmp_path / "stages").glob("*")}
+    assert {"rows", "ids", "cut"} <= left and not left & {"parsed", "texts", "shared", "anchors", "wanted", "prints"}

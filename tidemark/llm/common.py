@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WS = " \t\n\x0b\x0c\r"  # what separates words: \x20 and \x09-\x0D
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _OWN: dict[str, str] = {}
 _MADE: list[tuple[SparkSession, str]] = []
 
@@ -48,9 +49,14 @@ def staged(spark: SparkSession, df: DataFrame, folder: str, name: str, small: bo
     """Cuts the lineage: df as a table in the shared folder, which survives lost executors.
 
     small: rows of a few numbers, which come from a shuffle: two files a core are enough for them, instead of a tiny one
-    for each partition of the shuffle.
+    for each partition of the shuffle. The write's shuffle files go with its end: nothing reads them again.
     """
-    (df.coalesce(2 * spark.sparkContext.defaultParallelism) if small else df).write.mode("overwrite").parquet(f"{folder}/{name}")
+    held = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        (df.coalesce(2 * spark.sparkContext.defaultParallelism) if small else df).write.mode("overwrite").parquet(f"{folder}/{name}")
+    finally:
+        spark.conf.set(CLEANUP, held)
     return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 

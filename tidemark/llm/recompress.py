@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import M3, WordHash, arrow_rows, emit, mix, shared_dir, staged, table, to_long
+from .common import M3, WordHash, arrow_rows, discard, emit, mix, shared_dir, staged, table, to_long
 
 WINDOW = 50
 CAPS = (2, 4, 8)  # words that a name of a round may stand for
@@ -291,7 +291,9 @@ def shared_anchors(spark: SparkSession, texts: DataFrame, window: int, folder: s
     held = staged(spark, rows.join(names, "name"), folder, "shared")
     first = staged(spark, held.groupBy("name", "context").agg(F.min("d").alias("context_first")), folder, "contexts", small=True)
     several = staged(spark, first.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name", F.lit(True).alias("several")), folder, "several", small=True)
-    return staged(spark, held.join(first, ["name", "context"]).join(several, "name", "left").drop("context"), folder, "anchors")
+    found = staged(spark, held.join(first, ["name", "context"]).join(several, "name", "left").drop("context"), folder, "anchors")
+    discard(spark, folder, "names", "shared", "contexts", "several")
+    return found
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -303,21 +305,26 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, window: int = WINDOW,
     payload = F.struct("lows", "names", "contexts")
     texts = rows.where(F.col("n_words") >= window).groupBy("h1", "h2").agg(F.min(d).alias("d"), F.first("n_words").alias("n_words"), F.first(payload).alias("x"))
     texts = staged(spark, texts.select("h1", "h2", "d", "n_words", "x.*", F.monotonically_increasing_id().alias("t")), folder, "texts")
+    rows = staged(spark, rows.select("key", "h1", "h2", "n_words", "sha"), folder, "rows")
+    discard(spark, folder, "parsed")
 
     found = shared_anchors(spark, texts, window, folder)
-    ids = texts.select("t", "h1", "h2", "d")
+    ids = staged(spark, texts.select("t", "h1", "h2", "d"), folder, "ids")
+    discard(spark, folder, "texts")
     wanted = found.where("several and d = context_first").groupBy("t").agg(F.collect_list(F.struct("lo", "hi", "name")).alias("asked"))  # a text's own anchors
     wanted = staged(spark, wanted.join(ids, "t"), folder, "wanted")
     source = keyed(docs, key, text).withColumn("d", d).select("h1", "h2", "d", "text")
     prints = staged(spark, window_prints(source.join(wanted, ["h1", "h2", "d"]), window).distinct(), folder, "prints")
     first = prints.groupBy("name", "print").agg(F.min("d").alias("least"), F.max("d").alias("most")).where("least < most").select("name", "print", "least")
     first = staged(spark, first, folder, "first", small=True)
+    discard(spark, folder, "wanted")
     single = prints.join(first, ["name", "print"]).where("least < d").select("t", "lo", F.col("lo").alias("hi"))
     spans = found.where("context_first < d").select("t", "lo", "hi").union(single).groupBy("t").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     spans = staged(spark, spans.join(ids, "t"), folder, "spans")
+    discard(spark, folder, "anchors", "prints", "first")
     cut = staged(spark, without(source.join(spans, ["h1", "h2", "d"]), window).distinct(), folder, "cut", small=True)
 
-    out = rows.select("key", "h1", "h2", "n_words", "sha").join(ids.select("h1", "h2", "d"), ["h1", "h2"], "left").join(cut, ["h1", "h2"], "left")
+    out = rows.join(ids.select("h1", "h2", "d"), ["h1", "h2"], "left").join(cut, ["h1", "h2"], "left")
     copy = F.coalesce(d, F.lit(LAST)) > F.col("d")  # an equal text has a smaller key
     none = hashlib.sha256(b"").hexdigest()
     return out.select(
