@@ -277,3 +277,18 @@ def test_stages_and_shuffle_files_go_when_read(spark, tmp_path, sf, monkeypatch)
     assert out.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
     left = {p.name for p in (tmp_path / "stages").glob("*")}
     assert {"rows", "ids", "cut"} <= left and not left & {"parsed", "texts", "shared", "anchors", "wanted", "prints"}
+
+
+def test_shares_are_the_longest_common_prefixes(monkeypatch):
+    """What a suffix shares with any other, and with one of another document, of suffixes in order; no loop over intervals."""
+    r = random.Random(6)
+    monkeypatch.setattr(repeats, "intervals", None)
+    for _ in range(200):
+        rows = sorted(("".join(r.choice("ab") for _ in range(r.randrange(1, 9))), r.randrange(3)) for _ in range(r.randrange(1, 12)))
+        common_ = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))  # noqa: B905, E731
+        lcp = np.array([common_(a, b) for (a, _), (b, _) in zip(rows, rows[1:])], np.int64)  # noqa: B905
+        who = np.array([d for _, d in rows])
+        for w in (None, who):
+            want = [max((common_(a, b) for j, (b, e) in enumerate(rows) if (i != j if w is None else d != e)), default=0) for i, (a, d) in enumerate(rows)]
+            assert repeats.shares(lcp, w).tolist() == want
+    assert repeats.covered([b"x" * 450, b"y" * 30 + b"x" * 420]) == [[(0, 450)], [(30, 450)]]

@@ -270,29 +270,31 @@ def _array(segs: list[bytes], kind: Kind, whole: bool = False):
     return x, size, ends, sa, lcp, of, before
 
 
-def shares(sa: np.ndarray, lcp: np.ndarray, before: np.ndarray, least: int, who: np.ndarray | None):
-    """(length, places): for each suffix its innermost interval; with who (the document of each suffix), the innermost that two documents have."""
-    held: list[tuple[int, list[int]]] = []  # intervals of one document: an outer one may have two
+def shares(lcp: np.ndarray, who: np.ndarray | None) -> np.ndarray:
+    """Length of each suffix's innermost interval; with who (the document of each suffix), of the innermost that two documents have.
+
+    It is the longer of the common prefixes with the nearest suffixes before and behind, of another document with who: the
+    least of the prefixes on the way there, taken over runs of a document.
+    """
+    n = len(lcp) + 1
+    ahead, behind = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    ahead[1:], behind[:-1] = lcp, lcp
     if who is not None:
-        change = np.append(np.flatnonzero(who[1:] != who[:-1]), len(who))
-    for n, lb, rb, own, _ in intervals(sa, lcp, before, least):
-        if who is not None and change[np.searchsorted(change, lb)] + 1 > rb:
-            held.append((lb, own))
-            continue
-        while held and held[-1][0] >= lb:
-            own = own + held.pop()[1]
-        yield n, own
+        run = np.cumsum(np.append(False, who[1:] != who[:-1])) * (int(lcp.max(initial=0)) + 1)  # later runs lie below all earlier ones
+        ahead = np.minimum.accumulate(ahead - run) + run
+        run = run[-1] - run[::-1]
+        behind = (np.minimum.accumulate(behind[::-1] - run) + run)[::-1]
+    return np.maximum(ahead, behind)
 
 
 def covered(segs: list[bytes], kind: Kind = BYTES, docs: list[int] | None = None) -> list[list[tuple[int, int]]]:
     """For each segment, merged parts (begin, end) that repeats among the segments cover. docs: the document of each segment, where only repeats of two documents count."""
-    x, size, ends, sa, lcp, of, before = _array(segs, kind)
-    begin, delta = ends - size, np.zeros(len(x) + 1, np.int64)
+    x, size, ends, sa, lcp, of, _ = _array(segs, kind)
+    begin = ends - size
     # Order beyond the least length isn't needed: what a longer repeat covers further on, suffixes that begin later show.
-    for n, own in shares(sa, lcp, before, kind.least, None if docs is None else np.array(docs)[of]):
-        p = sa[own]
-        np.add.at(delta, p, 1)
-        np.add.at(delta, p + n, -1)
+    n = shares(lcp, None if docs is None else np.array(docs)[of])
+    hot = n >= kind.least
+    delta = np.bincount(sa[hot], minlength=len(x) + 1) - np.bincount((sa + n)[hot], minlength=len(x) + 1)
     on = np.concatenate([[0], (np.cumsum(delta[:-1]) > 0).astype(np.int8), [0]])
     out: list[list[tuple[int, int]]] = [[] for _ in segs]
     a, b = np.flatnonzero(np.diff(on) == 1), np.flatnonzero(np.diff(on) == -1)
