@@ -108,6 +108,60 @@ def test_ties_of_means_do_not_hang_on_the_order_of_adding(spark, tmp_path, same)
     assert set(got["peak_period"]) == {9_900} and set(got["reversal_period"]) == {9_903.0}
 
 
+def test_state_is_held_by_groups_not_by_users(spark, tmp_path):
+    """Calls to the state store are made for a group's periods: what is open is a row of state a group, not a user. Values may be decimals."""
+    St.with_rocksdb(spark)
+    folder, at = str(tmp_path / "in"), str(tmp_path / "out")
+    rows = [(u, 19_000 * DAY + d * DAY + u, 10.0 + u % 7 + d) for u in range(2500) for d in (1, 6)]
+    write_events(spark, folder, rows)
+    got = St.run_once(St.reversals(St.events(spark, folder).withColumn("value", F.col("value").cast("decimal(9,2)")), 4 * DAY, 30.0), at)
+    assert sorted((x["user_id"], x["e"]) for x in got.collect()) == [(u, 11.0 + u % 7) for u in range(2500)]
+    left = spark.read.format("statestore").option("path", f"{at}/checkpoint").option("stateVarName", "open").load()
+    assert 0 < left.count() <= 1024
+
+
+def test_groups_of_users_restart_as_single_users_do(spark, tmp_path):
+    """Users who share a group, some of them absent from periods, late within the watermark, over restarts."""
+    St.with_rocksdb(spark)
+    r, base, folder, at = random.Random(12), 19_000 * DAY, str(tmp_path / "in"), str(tmp_path / "out")
+    rows = [(u, base + d * DAY + r.randrange(DAY), max(0.0, r.gauss(50 if d < 20 or u % 2 else 10, 8))) for u in range(50) for d in range(40) if (d // 4 + u) % 5 or u % 3 for _ in range(2)]
+    rows.sort(key=lambda x: x[1] + r.randrange(DAY // 2))
+    for i in range(0, len(rows), 900):
+        write_events(spark, folder, rows[i : i + 900])
+        got = St.run_once(St.reversals(St.events(spark, folder), 4 * DAY, 30.0, groups=3), at)
+    got = {x["user_id"]: (x["periods"], x["peak"], x["peak_period"], x["recent"], x["detected"], x["reversal_period"]) for x in surfaces.last_closings(got).collect()}
+    assert got == brute(rows, 4 * DAY, max(ms for _, ms, _ in rows) - DAY, 30.0) and any(x[4] for x in got.values()) and not all(x[4] for x in got.values())
+
+
+def test_who_returns_while_a_timer_is_due_loses_no_rows(spark, tmp_path):
+    """A user whose events are there when the timer fires is not forgotten, nor are its open periods; one without any is."""
+    St.with_rocksdb(spark)
+    base, w = 4_750 * 4 * DAY, 4 * DAY
+    early, back, alone = [(1, base + DAY, 90.0), (2, base + 3 * w, 7.0)], [(1, base + 5 * w, 20.0), (1, base + 6 * w, 40.0)], [(2, base + 7 * w + 2 * DAY, 6.0)]
+    last = [(1, base + 9 * w, 20.0), (2, base + 12 * w, 5.0)]
+    for name, batches, peak in (("there", [early, back + alone, last], 90.0), ("gone", [early, alone, last], 20.0)):
+        for batch in batches:
+            write_events(spark, f"{tmp_path}/{name}", batch)
+            got = St.run_once(St.reversals(St.events(spark, f"{tmp_path}/{name}"), w, 30.0, idle_periods=4, groups=1), f"{tmp_path}/{name}-out")
+        rows = sorted((x["user_id"], x["period"] - base // w, x["e"], x["peak"]) for x in got.collect())
+        assert rows == [(1, 0, 90.0, 90.0), *([(1, 5, 20.0, 90.0), (1, 6, 40.0, 90.0)] if name == "there" else []), (1, 9, 20.0, peak), (2, 3, 7.0, 7.0), (2, 7, 6.0, 7.0)]
+
+
+def test_files_of_a_table_are_not_late_to_each_other(spark, tmp_path, same):
+    """Files over the same days, and an empty one: the query and its SQL say the same."""
+    import duckdb
+
+    base = 9_900 * 2 * DAY
+    for u in range(4):
+        write_events(spark, f"{tmp_path}/events.parquet", [(u, base + d * DAY, 60.0 if d < 4 else 5.0 + u) for d in range(12)])
+    write_events(spark, f"{tmp_path}/events.parquet", [])
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW events AS SELECT * REPLACE (ts::TIMESTAMP AS ts) FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    got = surfaces.stream_reversals(spark, str(tmp_path)).toPandas()
+    same(got, c.execute(surfaces.SQL["stream_reversals"]).df())
+    assert sorted(got["user_id"]) == [0, 1, 2, 3] and got["detected"].all()
+
+
 @pytest.mark.parametrize("tile", [1, 5, 64])
 def test_slopes_over_tiles(spark, tile):
     k = F.col("id")

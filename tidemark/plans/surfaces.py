@@ -93,9 +93,12 @@ g AS (SELECT user_id, count(*) AS periods, max(peak) AS peak, max(peak_period) A
 SELECT user_id, periods, {R('peak')} AS peak, peak_period, {R('recent')} AS recent, peak >= {_FLOOR} AND recent < {_FLOOR} AND recent < 0.45 * peak AS detected,
 CASE WHEN peak >= {_FLOOR} AND recent < {_FLOOR} AND recent < 0.45 * peak THEN coalesce(below, last) END::DOUBLE AS reversal_period FROM g""")
 def stream_reversals(spark, sf):
-    """Forward monitoring: periods of users close by timers in state, and each closing says whether the user has fallen from its peak."""
+    """Forward monitoring: periods of users close by timers in state, and each closing says whether the user has fallen from its peak.
+
+    The table's files are one batch, as its SQL has one watermark for all of them.
+    """
     St.with_rocksdb(spark)
-    s = St.reversals(St.events(spark, f"{sf}/event[s].parquet"), _WIDTH_S * 1000, _FLOOR)
+    s = St.reversals(St.events(spark, f"{sf}/event[s].parquet", None), _WIDTH_S * 1000, _FLOOR)
     return last_closings(St.run_once(s, scratch(spark)))
 
 

@@ -6,10 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def events(spark: SparkSession, folder: str, files: int = 1) -> DataFrame:
-    """A stream of event files; event times become timestamps, as watermarks want."""
+def events(spark: SparkSession, folder: str, files: int | None = 1) -> DataFrame:
+    """A stream of event files; event times become timestamps, as watermarks want.
+
+    A batch has that many files, so their order in time decides what is late. With None it has all that are there: no file of a
+    table is late to another.
+    """
     schema = spark.read.parquet(folder).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+    reader = spark.readStream.schema(schema)
+    return (reader if files is None else reader.option("maxFilesPerTrigger", files)).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def tumbling(stream: DataFrame, width: str = "1 day", late: str = "1 day", start: str | None = None) -> DataFrame:
@@ -70,14 +75,19 @@ def run_once(stream: DataFrame, at: str, mode: str = "append") -> DataFrame:
 REVERSAL = "user_id long, period long, e double, peak double, peak_period long, recent double, detected boolean, reversal_period long"
 
 
-def reversals(stream: DataFrame, width_ms: int, floor: float, share: float = 0.45, late: str = "1 day", idle_periods: int = 400) -> DataFrame:
+def reversals(stream: DataFrame, width_ms: int, floor: float, share: float = 0.45, late: str = "1 day", idle_periods: int = 400, groups: int = 1024) -> DataFrame:
     """A row (REVERSAL) whenever a period of a user closes: its mean, the peak so far, and whether the last two periods have fallen from it.
 
     A period closes by an event-time timer at its end, once the watermark has passed it: rows that come late but before that
-    count, later ones don't. Open periods are a map in state, by period; of closed ones state keeps the last two means (a
-    list) and what the rule needs of the rest (one value), so that it doesn't grow with time. A user without events for
-    idle_periods is forgotten, by a timer too. Empty periods are none. Rows without time, user or value don't count. Means
-    are taken to 10 digits after the point, so that the order in which values are added decides no tie.
+    count, later ones don't. A user of whom no period has closed for idle_periods, and none is open, is forgotten, by a timer
+    too. Empty periods are none. Rows without time, user or value don't count. Means are taken to 10 digits after the point,
+    so that the order in which values are added decides no tie.
+
+    State is held by group of users, hashed from them: each call to the store goes through a socket, and with calls by user
+    and period these took nearly all of the time. A group makes a few calls for each period, however many users it has. Open
+    periods are a map in state, by period, so that a batch rewrites only those that it has rows of; of closed ones state
+    keeps, in one value, what the rule needs of each user, so that it doesn't grow with time. A stream keeps its number of
+    groups for good, as its checkpoint is by group.
     """
     import pandas as pd
     from pyspark.sql.streaming import StatefulProcessor
@@ -87,55 +97,90 @@ def reversals(stream: DataFrame, width_ms: int, floor: float, share: float = 0.4
     class Reversals(StatefulProcessor):
         def init(self, handle) -> None:
             self.handle = handle
-            self.open = handle.getMapState("open", "period long", "total double, n long")
-            self.last = handle.getListState("last", "e double")
-            self.past = handle.getValueState("past", "peak double, peak_period long, below long, closed long")
+            self.open = handle.getMapState("open", "period long", "user array<long>, total array<double>, n array<long>")
+            self.past = handle.getValueState("past", "user array<long>, peak array<double>, peak_period array<long>, below array<long>, closed array<long>, last array<double>")
+            self.until = handle.getValueState("until", "ms long")  # periods that end by then are closed
+
+        def wake(self, at: int, now: int | None = None) -> None:
+            """A timer at that time, unless one before it (and after now) will look after it."""
+            if at < min((t for t in self.handle.listTimers() if now is None or t > now), default=at + 1):
+                self.handle.registerTimer(at)
 
         def handleInputRows(self, key, rows, timerValues):
-            timer = set(self.handle.listTimers())
-            closed = self.past.get()[3] if self.past.exists() else None
+            until = self.until.get() or (None,)
+            new = {}
             for pdf in rows:
-                g = pdf.assign(period=pdf["ms"] // width_ms).groupby("period")["value"].agg(["sum", "count"])
-                for period, total, n in g.itertuples():
-                    if closed is not None and period <= closed:
-                        continue
-                    old = self.open.getValue((int(period),)) if self.open.containsKey((int(period),)) else (0.0, 0)
-                    self.open.updateValue((int(period),), (old[0] + float(total), old[1] + int(n)))
-                    end = (int(period) + 1) * width_ms
-                    if end not in timer:
-                        self.handle.registerTimer(end)
-                        timer.add(end)
+                g = pdf.assign(period=pdf["ms"] // width_ms).groupby(["period", "user_id"], as_index=False)["value"].agg(["sum", "count"])
+                for period, part in g.groupby("period"):
+                    if until[0] is None or (period + 1) * width_ms > until[0]:
+                        add(new.setdefault(int(period), {}), part["user_id"].tolist(), part["sum"].tolist(), part["count"].tolist())
+                if sum(map(len, new.values())) >= 100_000:  # a batch may have any number of periods
+                    self.keep(new)
+                    new = {}
+            self.keep(new)
             return iter(())
 
+        def keep(self, new: dict) -> None:
+            for period, sums in new.items():
+                old = self.open.getValue((period,))
+                if old is not None:
+                    add(sums, *old)
+                self.open.updateValue((period,), (list(sums), [x for x, _ in sums.values()], [n for _, n in sums.values()]))
+            if new:
+                self.wake((min(new) + 1) * width_ms)
+
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-            now, out = expiredTimerInfo.getExpiryTimeInMs(), []
-            done = sorted((p[0], v) for p, v in self.open.iterator() if (p[0] + 1) * width_ms <= now)
-            for period, (total, n) in done:
-                e = round(total / n, 10)
-                peak, at, below, _ = self.past.get() if self.past.exists() else (None, None, None, None)
-                if peak is None or e > peak:
-                    peak, at, below = e, period, None
-                elif below is None and e < floor:
-                    below = period
-                two = [*[x[0] for x in self.last.get()], e][-2:]
-                self.last.put([(x,) for x in two])
-                self.past.update((peak, at, below, period))
+            now, out = timerValues.getCurrentWatermarkInMs(), []
+            periods = sorted(p for (p,) in self.open.keys())
+            kept = self.past.get()
+            past = {u: x for u, *x in zip(*kept, strict=True)} if kept else {}
+            done, ahead = [p for p in periods if (p + 1) * width_ms <= now], [p for p in periods if (p + 1) * width_ms > now]
+            for period in done:
+                for user, total, n in zip(*self.open.getValue((period,)), strict=True):
+                    e = round(total / n, 10)
+                    peak, at, below, _, last = past.get(user, (None,) * 5)
+                    if peak is None or e > peak:
+                        peak, at, below = e, period, None
+                    elif below is None and e < floor:
+                        below = period
+                    past[user] = (peak, at, below, period, e)
+                    recent = e if last is None else (last + e) / 2
+                    hit = peak >= floor and recent < floor and recent < share * peak
+                    out.append((user, period, e, peak, at, recent, hit, (period if below is None else below) if hit else None))
                 self.open.removeKey((period,))
-                recent = sum(two) / len(two)
-                hit = peak >= floor and recent < floor and recent < share * peak
-                out.append((key[0], period, e, peak, at, recent, hit, (period if below is None else below) if hit else None))
-            if done:
-                self.handle.registerTimer((done[-1][0] + idle_periods) * width_ms)
-            elif self.past.exists() and (self.past.get()[3] + idle_periods) * width_ms <= now:
-                for state in (self.open, self.last, self.past):
-                    state.clear()
-            return iter([pd.DataFrame(out, columns=names).astype({"reversal_period": "Int64"})] if out else [])
+                if len(out) >= 10_000:
+                    yield frame(out)
+                    out = []
+            if out:
+                yield frame(out)
+            idle = {u for u, x in past.items() if (x[3] + idle_periods) * width_ms <= now}
+            for period in ahead if idle else []:
+                idle.difference_update(self.open.getValue((period,))[0])
+            past = {u: x for u, x in past.items() if u not in idle}
+            if past:
+                self.past.update((list(past), *map(list, zip(*past.values(), strict=True))))
+            else:
+                self.past.clear()
+            self.until.update((now,))
+            due = [(p + 1) * width_ms for p in ahead] + [(x[3] + idle_periods) * width_ms for x in past.values()]
+            due = [t for t in due if t > now]
+            if due:
+                self.wake(min(due), now)
 
         def close(self) -> None:
             """Nothing is held outside state."""
 
-    rows = stream.where("user_id is not null and ts is not null and value is not null").withWatermark("ts", late).select("user_id", "ts", "value", F.unix_millis("ts").alias("ms"))
-    return rows.groupBy("user_id").transformWithStateInPandas(Reversals(), REVERSAL, "Append", "EventTime")
+    def add(sums: dict, users: list, totals: list, counts: list) -> None:
+        for user, total, n in zip(users, totals, counts, strict=True):
+            old = sums.get(user, (0.0, 0))
+            sums[user] = (old[0] + total, old[1] + n)
+
+    def frame(out: list):
+        return pd.DataFrame(out, columns=names).astype({"reversal_period": "Int64"})
+
+    rows = stream.where("user_id is not null and ts is not null and value is not null").withWatermark("ts", late)
+    rows = rows.select(F.pmod(F.hash("user_id"), F.lit(groups)).alias("part"), "user_id", "ts", F.col("value").cast("double").alias("value"), F.unix_millis("ts").alias("ms"))
+    return rows.groupBy("part").transformWithStateInPandas(Reversals(), REVERSAL, "Append", "EventTime")
 
 
 def with_rocksdb(spark: SparkSession) -> None:
